@@ -46,8 +46,9 @@ def is_training_row(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Yield (first row, uint8 buffer, row offsets) over runs of rows of about ``limit`` bytes. Null is empty."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Yield (first row, uint8 buffer, row offsets) over runs of at most ``rows`` rows of about ``limit``
+    bytes. Null is empty."""
     values = batch.column(batch.schema.get_field_index(column))
     if values.null_count:
         values = values.fill_null("")
@@ -57,7 +58,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
     first = 0
     while first < len(values):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
-        last = min(last, len(values))
+        last = min(last, len(values), first + rows)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
@@ -93,3 +94,20 @@ def odd_powers(base: int, n: int) -> np.ndarray:
 def stable_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that clashing extra columns of the input can't reach a join."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """(doc_id, text, y) of about ``limit`` labelled training rows (all where there are fewer), chosen by a
+    hash of doc_id among the ids of ``labels``. Only ids and labels are broadcast: 2 * ``limit`` rows at most.
+    """
+    known = (
+        stable_columns(labels, "doc_id", label)
+        .filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & is_training_row())
+        .groupBy("doc_id")
+        .agg(F.max(label).cast("int").alias("y"))
+    )
+    count = known.count()
+    share = min(1.0, limit / max(count, 1))
+    u = F.pmod(F.xxhash64(F.lit(101), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    known = known.filter(u < share).limit(2 * limit)
+    return stable_columns(documents, "doc_id", "text").join(F.broadcast(known), "doc_id").limit(4 * limit)
