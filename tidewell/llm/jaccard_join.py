@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import byte_codes, column_bytes, cut_lineage, mix64, odd_powers, stable_columns, store_rows, text_slices
+from tidewell.llm._common import byte_codes, cut_lineage, mix64, odd_powers, pack_text, stable_columns, text_slices, unpack_text
 from tidewell.llm.components import connected_components
 
 N = 5
@@ -92,9 +93,9 @@ def _set_of(raw: bytes) -> np.ndarray:
     return shingle_sets(data, np.array([0, len(data)], np.int64))[1]
 
 
-def _classes(documents: DataFrame) -> DataFrame:
-    """Rows of documents (kind 0: doc_id, n, cls, v, sketch, text) and of locally common shingles (kind 1:
-    v, n = count), written once; all later steps read it."""
+def _classes(packed: DataFrame) -> DataFrame:
+    """Rows of documents (kind 0: doc_id, n, cls, v, sketch, packed text) and of locally common shingles
+    (kind 1: v, n = count), checkpointed; all later steps read it. ``packed``: (doc_id, packed text)."""
     schema = "kind int, doc_id long, n long, cls binary, v long, sketch array<long>, text binary"
     sketch_type = pa.list_(pa.int64())
 
@@ -113,8 +114,8 @@ def _classes(documents: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            texts = column_bytes(batch, "text")
-            for first, data, offsets in text_slices(batch):
+            texts = batch.column("text")
+            for first, data, offsets in text_slices(next(unpack_text(iter([batch]), 1 << 30))):
                 rows = len(offsets) - 1
                 doc, value = shingle_sets(data, offsets)
                 bound = np.searchsorted(doc, np.arange(rows + 1))
@@ -131,7 +132,7 @@ def _classes(documents: DataFrame) -> DataFrame:
                         size += len(own)
                 v = np.array([int.from_bytes(c[:8], "big", signed=True) if c else 0 for c in cls], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(rows, np.int32)), batch.column("doc_id").slice(first, rows), pa.array(np.diff(bound)), pa.array(cls, pa.binary()), pa.array(v), pa.array(sketch, sketch_type), pa.array(texts[first : first + rows], pa.binary())],
+                    [pa.array(np.zeros(rows, np.int32)), batch.column("doc_id").slice(first, rows), pa.array(np.diff(bound)), pa.array(cls, pa.binary()), pa.array(v), pa.array(sketch, sketch_type), texts.slice(first, rows)],
                     ["kind", "doc_id", "n", "cls", "v", "sketch", "text"],
                 )
                 if size >= 2_000_000:
@@ -140,8 +141,7 @@ def _classes(documents: DataFrame) -> DataFrame:
         if held:
             yield common()
 
-    rows = stable_columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return store_rows(rows.mapInArrow(step, schema), "shingles")
+    return cut_lineage(packed.select("doc_id", "text").mapInArrow(step, schema))
 
 
 def _texts(classes: DataFrame, needed: DataFrame) -> DataFrame:
@@ -172,12 +172,13 @@ def _verified(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
+        open_up = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             keep = []
             for i, (b, t, u) in enumerate(zip(batch.column("b").to_pylist(), batch.column("t"), batch.column("u"))):
                 if last[0] != b:
-                    last = (b, _set_of(u.as_py()))
-                x, y = _set_of(t.as_py()), last[1]
+                    last = (b, _set_of(open_up(u.as_py())))
+                x, y = _set_of(open_up(t.as_py())), last[1]
                 both = np.intersect1d(x, y, assume_unique=True).size
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(i)
@@ -210,7 +211,7 @@ def _index(classes: DataFrame, common: tuple[np.ndarray, np.ndarray], known: Dat
         maybe = np.zeros(1 << 22, bool)
         maybe[table & mask] = True
         seen: set[int] = set()
-        for batch in batches:
+        for batch in unpack_text(batches, 2048):
             v_all, comp_all = batch.column("v").to_numpy(), batch.column("comp").to_numpy()
             for first, data, offsets in text_slices(batch):
                 rows = len(offsets) - 1
@@ -302,8 +303,29 @@ def link_components(documents: DataFrame, percent: int = 80) -> DataFrame:
     sets are one class and always linked. ``component_id`` is the least non-null doc_id reachable. Repeated
     rows come out repeated; an empty table gives no rows; extra columns are ignored.
     """
-    spark = documents.sparkSession
-    stored = _classes(documents)
+    return _linked(pack_text(stable_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))), percent)
+
+
+def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """One row of each group of linked documents, all columns as they were (null text as empty)."""
+    numbered = cut_lineage(pack_text(documents.withColumn("uid", F.monotonically_increasing_id())))
+    groups = _linked(numbered.select(F.col("uid").alias("doc_id"), "text"), percent)
+    kept = cut_lineage(groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("uid")))
+    few = kept.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+    rows = numbered.join(F.broadcast(kept) if few else kept, "uid", "left_semi")
+    names = documents.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in unpack_text(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(n).cast(pa.string()) if n == "text" else batch.column(n) for n in names], names)
+
+    return rows.mapInArrow(step, schema)
+
+
+def _linked(packed: DataFrame, percent: int) -> DataFrame:
+    spark = packed.sparkSession
+    stored = _classes(packed)
     classes = stored.filter((F.col("kind") == 0) & F.col("cls").isNotNull())
 
     links = _verified(classes, cut_lineage(_leaders(classes, percent)), percent)
