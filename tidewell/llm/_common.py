@@ -143,3 +143,20 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limit:
     u = F.pmod(F.xxhash64(F.lit(101), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     known = known.filter(u < share).limit(2 * limit)
     return stable_columns(documents, "doc_id", "text").join(F.broadcast(known), "doc_id").limit(4 * limit)
+
+
+def fold(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): all further columns in one struct, where their names can't clash."""
+    rest = [F.col(f"`{c}`").alias(c) for c in documents.columns if c not in ("doc_id", "text")]
+    return documents.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("tidewell_end")).alias("rest"))
+
+
+def unfold(folded: DataFrame, columns: list[str], changed: Column | None = None) -> DataFrame:
+    """The columns as they were; where ``changed`` holds, ``n_chars`` follows the text."""
+    out = []
+    for c in columns:
+        value = F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c)
+        if c == "n_chars" and changed is not None:
+            value = F.when(changed, F.length("text").cast(folded.schema["rest"].dataType[c].dataType)).otherwise(value)
+        out.append(value.alias(c))
+    return folded.select(*out)

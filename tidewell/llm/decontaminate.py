@@ -8,7 +8,6 @@ an occurrence of a window (``window`` consecutive item words, or a whole shorter
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import column_bytes, stable_columns
+from tidewell.llm._common import column_bytes, fold, stable_columns, unfold
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Lower-cases A-Z and blanks every other byte that is no word byte: bytes.split() then yields the words.
@@ -238,9 +237,9 @@ def remove_contamination(documents: DataFrame, items: DataFrame, window: int = 1
     """Documents without benchmark passages: hit spans are cut out of the text, and a document whose hit
     share exceeds ``max_coverage`` goes. Clean documents come out unchanged; ``n_chars`` follows the text.
     """
-    columns = documents.columns
-    marked = mark_contamination(documents, items, window)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+    marked = mark_contamination(fold(documents), items, window)
+    rest = marked.schema["rest"].dataType.simpleString()
+    id_type = documents.schema["doc_id"].dataType.simpleString()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,27 +247,10 @@ def remove_contamination(documents: DataFrame, items: DataFrame, window: int = 1
             share = [sum(s[1::2]) - sum(s[::2]) for s in spans]
             keep = [i for i, s in enumerate(share) if s <= max_coverage * n_words[i]]
             kept = batch.take(pa.array(keep, pa.int64()))
-            texts = kept.column("text").to_pylist()
-            changed = {}
-            for at, i in enumerate(keep):
-                if spans[i]:
-                    texts[at] = changed[at] = _cut(texts[at].encode(), spans[i]).decode()
-            arrays = []
-            for name in columns:
-                values = kept.column(name)
-                if changed and name == "text":
-                    values = pa.array(texts, values.type)
-                elif changed and name == "n_chars":
-                    counts = values.to_pylist()
-                    for at, text in changed.items():
-                        counts[at] = len(text)
-                    values = pa.array(counts, values.type)
-                arrays.append(values)
-            yield pa.RecordBatch.from_arrays(arrays, columns)
-
-    return marked.mapInArrow(step, schema)
-
-
-def report_bytes(ids: list[str]) -> str:
-    """Digest of an item list as the report has it."""
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+            texts, changed = kept.column("text"), [bool(spans[i]) for i in keep]
+            if any(changed):
+                texts = pa.array([_cut(t.as_py().encode(), spans[i]).decode() if spans[i] else t.as_py() for i, t in zip(keep, texts)], pa.string())
+            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), texts, kept.column("rest"), pa.array(changed, pa.bool_())], ["doc_id", "text", "rest", "changed"])
+
+    out = marked.mapInArrow(step, f"doc_id {id_type}, text string, rest {rest}, changed boolean")
+    return unfold(out, documents.columns, F.col("changed"))

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import byte_codes, cut_lineage, mix64, odd_powers, pack_text, stable_columns, text_slices, unpack_text
+from tidewell.llm._common import byte_codes, cut_lineage, fold, mix64, odd_powers, pack_text, stable_columns, text_slices, unfold, unpack_text
 from tidewell.llm.components import connected_components
 
 N = 5
@@ -308,19 +308,19 @@ def link_components(documents: DataFrame, percent: int = 80) -> DataFrame:
 
 def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
     """One row of each group of linked documents, all columns as they were (null text as empty)."""
-    numbered = cut_lineage(pack_text(documents.withColumn("uid", F.monotonically_increasing_id())))
+    numbered = cut_lineage(pack_text(fold(documents).withColumn("uid", F.monotonically_increasing_id())))
     groups = _linked(numbered.select(F.col("uid").alias("doc_id"), "text"), percent)
     kept = cut_lineage(groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("uid")))
     few = kept.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
     rows = numbered.join(F.broadcast(kept) if few else kept, "uid", "left_semi")
-    names = documents.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in unpack_text(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(n).cast(pa.string()) if n == "text" else batch.column(n) for n in names], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").cast(pa.string()), batch.column("rest")], ["doc_id", "text", "rest"])
 
-    return rows.mapInArrow(step, schema)
+    rest = numbered.schema["rest"].dataType.simpleString()
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    return unfold(rows.mapInArrow(step, f"doc_id {id_type}, text string, rest {rest}"), documents.columns)
 
 
 def _linked(packed: DataFrame, percent: int) -> DataFrame:

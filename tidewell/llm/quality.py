@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import byte_codes, is_training_row, labelled_sample, mix64, odd_powers, stable_columns, text_slices
+from tidewell.llm._common import byte_codes, fold, is_training_row, labelled_sample, mix64, odd_powers, stable_columns, text_slices, unfold
 
 WORDS, SHAPES, DIM = 4096, 64, 64
 #: Bound of the labelled sample that the network is fitted on.
@@ -252,4 +252,5 @@ def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, model: tuple[np.ndarray, Network] | None = None) -> DataFrame:
     """The rows of ``documents`` that score at least ``threshold``, all columns as they were."""
     model = model or train(documents, labels)
-    return _scored(documents, model).filter(F.col("quality_score") >= threshold).drop("quality_score")
+    scored = _scored(fold(documents), model).filter(F.col("quality_score") >= threshold)
+    return unfold(scored, documents.columns)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import column_bytes, cut_lineage, mix64, pack_text, stable_columns, text_slices, unpack_text
+from tidewell.llm._common import column_bytes, cut_lineage, fold, mix64, pack_text, stable_columns, text_slices, unfold, unpack_text
 
 LENGTH = 200
 ANCHOR = 64
@@ -449,13 +449,11 @@ def _on_letters(text: bytes, runs: list[dict], length: int) -> str:
 def remove_repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """``documents`` without their repeated passages; a text of which nothing but blanks is left goes.
     Texts without repeats come out as they were (null text as empty); ``n_chars`` follows the text."""
-    docs = _numbered(documents)
-    names = documents.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+    docs = _numbered(fold(documents))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in unpack_text(batches):
-            keep, texts, counts = [], [], []
+            keep, texts, changed = [], [], []
             for i, (raw, own) in enumerate(zip(column_bytes(batch, "text"), batch.column("runs"))):
                 runs = own.as_py()
                 text = _on_letters(raw, runs, length) if runs else raw.decode()
@@ -463,16 +461,11 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -
                     continue
                 keep.append(i)
                 texts.append(text)
-                counts.append(len(text) if runs else None)
+                changed.append(bool(runs))
             kept = batch.take(pa.array(keep, pa.int64()))
-            arrays = []
-            for name in names:
-                values = kept.column(name)
-                if name == "text":
-                    values = pa.array(texts, pa.string())
-                elif name == "n_chars":
-                    values = pa.array([old if new is None else new for new, old in zip(counts, values.to_pylist())], values.type)
-                arrays.append(values)
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    return _with_runs(docs, length, hot).mapInArrow(step, schema)
+            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), pa.array(texts, pa.string()), kept.column("rest"), pa.array(changed, pa.bool_())], ["doc_id", "text", "rest", "changed"])
+
+    rest = docs.schema["rest"].dataType.simpleString()
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    out = _with_runs(docs, length, hot).mapInArrow(step, f"doc_id {id_type}, text string, rest {rest}, changed boolean")
+    return unfold(out, documents.columns, F.col("changed"))

@@ -200,9 +200,9 @@ class Scorer:
             if found is not None:
                 hits.append((i, word, *found))
         out = np.zeros(N_FEATURES)
-        out[0] = math.log1p(len(words))
         if not hits:
-            return out
+            return out  # texts without hits score alike, whatever their length
+        out[0] = math.log1p(len(words))
         quoted = self._quoted(lower, hits, words)
         best: dict[bytes, float] = {}
         places, weights = [], []
