@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from tidewell.llm._common import column_bytes, is_training_row, stable_columns, text_slices
 
-BUCKETS = 8192
+BUCKETS = 2048
 #: Training rows per language; the bound of the sample that classifiers are fitted on.
-ROWS_PER_LANGUAGE = 2500
+ROWS_PER_LANGUAGE = 1500
 _LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint8)
 
 
@@ -38,7 +38,7 @@ def ngram_rows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
                     code = b[: len(b) - k + 1]
                     for j in range(1, k):
                         code = code * np.uint32(257) + b[j : len(b) - k + 1 + j]
-                    code = (code * np.uint32(2654435761)) >> np.uint32(19)
+                    code = (code * np.uint32(2654435761)) >> np.uint32(21)
                     inside = row[k - 1 :] == row[: len(row) - k + 1]
                     counts += np.bincount(row[: len(code)][inside] + code[inside], minlength=n * BUCKETS)
         x = counts.reshape(n, BUCKETS).astype(np.float32)
