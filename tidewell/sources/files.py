@@ -45,7 +45,13 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     def decode(content: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_decoded(bytes(c)) for c in content], columns=["text", "encoding"])
 
-    rows = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"), decode("content").alias("d"))
+    found = spark.read.format("binaryFile").load(path)
+    rows = found.select("path", F.col("length").alias("size_bytes"), decode("content").alias("d"))
+    # The scan leaves out empty files; the listing, which the reader has made anyway, has them.
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    listed = spark.createDataFrame([(f,) for f in found.inputFiles()], "path string").select(same("path").alias("path"))
+    none = listed.join(found.select(same("path").alias("path")), "path", "left_anti")
+    rows = rows.union(none.select("path", F.lit(0).cast("long"), F.struct(F.lit("").alias("text"), F.lit("utf-8").alias("encoding"))))
     empty = F.trim("d.text") == ""
     return rows.select("path", "size_bytes", "d.text", "d.encoding", F.when(empty, "failed").otherwise("success").alias("status"), F.when(empty, "empty file").otherwise("").alias("error"))
 
