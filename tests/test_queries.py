@@ -48,3 +48,13 @@ def test_query(spark, duck, sf_dir, name):
 
 def test_names_of_sql_are_queries():
     assert registry.oracle_sql().keys() <= registry.queries().keys()
+
+
+def test_listing_needs_no_session():
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr

@@ -279,3 +279,21 @@ def parse_record_block(c: Column | str) -> Column:
         .otherwise(acc),
     )
     return F.struct(sheet.alias("sheet"), strip(title).alias("title"), glued.alias("fields"))
+
+
+#: Field words and their aliases, longer ones before what they contain (fixed values).
+FIELD_ALIASES = (
+    ("ctn weight", "整箱重量"), ("gross weight", "毛重"), ("net weight", "净重"), ("weight", "重量"), ("wireless data rate", "无线速率"),
+    ("data rate", "速率"), ("transmission distance", "传输距离"), ("ptp distance", "传输距离"), ("distance", "距离"), ("frequency", "频率"),
+    ("antenna", "天线"), ("chipset", "芯片"), ("flash/ram", "内存"), ("lan ports", "网口"), ("poe ports", "POE口"), ("ports", "端口"),
+    ("poe power", "供电"), ("power", "功率"), ("ctn size", "整箱尺寸"), ("packing", "装箱"), ("package", "包装"), ("accessory", "配件"),
+    ("warranty", "保修"), ("price", "价格"), ("moq", "最小起订量"), ("color", "颜色"), ("material", "材质"), ("model", "型号"),
+)
+
+
+def field_alias(c: Column | str) -> Column:
+    """The alias of a field name: that of the first word it contains; a short CJK name is its own."""
+    low = F.lower(strip(F.coalesce(_c(c), F.lit(""))))
+    words = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(a).alias("a")) for w, a in FIELD_ALIASES])
+    found = F.get(F.filter(words, lambda x: F.contains(low, x["w"])), F.lit(0))["a"]
+    return F.coalesce(found, F.when(low.rlike("[一-鿿]") & (F.length(low) <= 8), low), F.lit(""))

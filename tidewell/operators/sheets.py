@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.chunking import pack_udf
-from tidewell.functions.text import cell_type, is_blank, strip
+from tidewell.functions.text import cell_type, field_alias, is_blank, strip
 
 #: Words of field names and the look of entity names (fixed values).
 FIELD_WORDS = (
@@ -169,5 +169,7 @@ def attribute_summary(pairs: DataFrame, filenames: DataFrame, size: int = 600) -
     last = pairs.groupBy("doc_id", "field", "title").agg(F.max_by("value", "pos").alias("value"), F.min("pos").alias("pos"))
     good = attribute_gates(pairs).select("doc_id", "field")
     own = last.join(good, ["doc_id", "field"]).groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat("title", F.lit(": "), "value", F.lit("；")).alias("item")))).alias("items")).join(filenames, "doc_id")
-    header: Column = F.concat(F.lit("【属性对照】《"), "filename", F.lit("》"), "field", F.lit("："))
+    alias = field_alias("field")
+    label = F.when((alias != "") & (alias != F.col("field")), F.concat("field", F.lit("（"), alias, F.lit("）"))).otherwise(F.col("field"))
+    header: Column = F.concat(F.lit("【属性对照】《"), "filename", F.lit("》"), label, F.lit("："))
     return own.select("doc_id", "field", F.posexplode(pack_udf(size)(header, F.transform("items", lambda x: x["item"]))).alias("piece", "text"))

@@ -12,8 +12,9 @@ from tidewell.plans.sessions import GROUPS
 from tidewell.sources.derived import frame, with_views
 
 
-def _docs(**columns):
-    return lambda spark, sf: frame(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in columns.items()])
+def _docs(columns):
+    """``columns`` is called when the query runs: expressions need a session."""
+    return lambda spark, sf: frame(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in columns().items()])
 
 
 _RULES = "array(named_struct('days', array(0, 1, 2, 3, 4), 'start', '22:00', 'end', '06:30'), named_struct('days', array(5, 6), 'start', '12:15', 'end', '12:15'), named_struct('days', array(0), 'start', 'x', 'end', '24:00'))"
@@ -55,21 +56,21 @@ def _intents(spark, sf):
 
 
 QUERIES = {
-    "normalize_text": _docs(out=F.md5(X.normalize_text(F.concat(F.lit("  "), F.regexp_replace("text", "\\. ", ".   \r\n"))))),
-    "text_helpers": _docs(ws=X.normalize_ws(F.substring("text", 1, 50)), short=X.truncate("text", 30), slug=X.slugify(F.substring("text", 1, 24)), masked=X.mask_secret(F.substring("text", 1, 20)), chars=X.count_chars("text")),
-    "strip_control_chars": _docs(out=F.md5(X.strip_control_chars(F.concat(F.lit("a\x01b\x7f\t"), "text")))),
+    "normalize_text": _docs(lambda: dict(out=F.md5(X.normalize_text(F.concat(F.lit("  "), F.regexp_replace("text", "\\. ", ".   \r\n")))))),
+    "text_helpers": _docs(lambda: dict(ws=X.normalize_ws(F.substring("text", 1, 50)), short=X.truncate("text", 30), slug=X.slugify(F.substring("text", 1, 24)), masked=X.mask_secret(F.substring("text", 1, 20)), chars=X.count_chars("text"))),
+    "strip_control_chars": _docs(lambda: dict(out=F.md5(X.strip_control_chars(F.concat(F.lit("a\x01b\x7f\t"), "text"))))),
     "detect_language": lambda s, d: frame(s, d, "conversations").select("conv_id", "turn", X.detect_language("text").alias("language")),
     "split_sub_intents": lambda s, d: frame(s, d, "conversations").select("conv_id", "turn", F.array_join(X.split_sub_intents("text"), "|").alias("parts")),
     "is_meaningless": lambda s, d: frame(s, d, "conversations").select("conv_id", "turn", I.is_meaningless(F.expr("substr(text, 1, 2)")).alias("flag")),
     "detect_intent": _intents,
     "confidence": lambda s, d: frame(s, d, "events").select("event_id", X.confidence(F.col("value") / 500 - 0.02).alias("confidence")),
-    "embed_tokens": _docs(n=F.size(X.embed_tokens("text")).cast("long"), tokens=F.md5(F.array_join(X.embed_tokens("text"), " "))),
-    "estimate_tokens": _docs(tokens=X.estimate_tokens("text")),
+    "embed_tokens": _docs(lambda: dict(n=F.size(X.embed_tokens("text")).cast("long"), tokens=F.md5(F.array_join(X.embed_tokens("text"), " ")))),
+    "estimate_tokens": _docs(lambda: dict(tokens=X.estimate_tokens("text"))),
     "persona": _persona,
     "refuse_stats": _refuse,
     "in_stop_window": _stop_window,
     "turn_route": _route,
-    "split_reply": _docs(parts=F.array_join(X.split_reply(F.substring("text", 1, 400), 3), "|")),
+    "split_reply": _docs(lambda: dict(parts=F.array_join(X.split_reply(F.substring("text", 1, 400), 3), "|"))),
     "cell_type": lambda s, d: frame(s, d, "part").select("p_partkey", X.cell_type("p_name").alias("name"), X.cell_type("p_size").alias("size"), X.cell_type(F.concat(F.col("p_size"), F.lit("KG"))).alias("weight"), X.cell_type(F.concat(F.lit("$1,"), F.col("p_partkey"))).alias("price")),
 }
 
