@@ -43,7 +43,6 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         if "<|endoftext|>" in text:
             return np.asarray(self._own.encode(text, allowed_special="all"), dtype="<u4")
-        # A long run without a break costs the merge loop more than its length; such texts are rare.
         return np.asarray(self._own.encode_ordinary(text), dtype="<u4")
 
 
