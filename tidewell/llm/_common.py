@@ -35,7 +35,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def store_rows(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back (compact form of a checkpoint)."""
+    """Write ``df`` as Parquet under the shared folder and read it back: a compact checkpoint with true sizes.
+    In loops it must take the place of ``checkpoint()``, which hands the old plan's size estimates on: joins
+    multiply them, and after a few rounds the planner is busy with numbers of thousands of digits."""
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"tidewell-{label}-{os.urandom(8).hex()}")
     df.write.option("compression", "zstd").parquet(path)

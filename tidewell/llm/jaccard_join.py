@@ -25,15 +25,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import byte_codes, cut_lineage, fold, mix64, odd_powers, pack_text, stable_columns, text_slices, unfold, unpack_text
+from tidewell.llm._common import byte_codes, cut_lineage, fold, mix64, odd_powers, pack_text, stable_columns, store_rows, text_slices, unfold, unpack_text
 from tidewell.llm.components import connected_components
 
 N = 5
 #: Shingles in the table of common ones at most (16 bytes each where it is broadcast).
-COMMON = 100_000
+COMMON = 50_000
+#: Shingles are counted below this hash: three tenths of the range, where all but a few prefixes end.
+LOW = np.uint64(3 * (1 << 64) // 10)
 #: Classes whose numbers may be broadcast (8 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_CLASSES = 2_000_000
 SKETCH = 4
+BITS = 1024
 _LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint8)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -93,61 +96,42 @@ def _set_of(raw: bytes) -> np.ndarray:
     return shingle_sets(data, np.array([0, len(data)], np.int64))[1]
 
 
-def _classes(packed: DataFrame) -> DataFrame:
-    """Rows of documents (kind 0: doc_id, n, cls, v, sketch, packed text) and of locally common shingles
-    (kind 1: v, n = count), checkpointed; all later steps read it. ``packed``: (doc_id, packed text)."""
-    schema = "kind int, doc_id long, n long, cls binary, v long, sketch array<long>, text binary"
-    sketch_type = pa.list_(pa.int64())
+def _bits(own: np.ndarray) -> bytes:
+    """Parities of a set's shingles over BITS places. Two sets differ in at least as many shingles as their
+    parities differ in places, so that most unlike pairs can be dropped without their texts."""
+    odd = np.bincount((own >> np.uint64(20)) & np.uint64(BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        held: list[np.ndarray] = []
-        size = 0
 
-        def common() -> pa.RecordBatch:
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            keep = count >= 3
-            k = int(keep.sum())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(count[keep].astype(np.int64)), pa.nulls(k, pa.binary()), pa.array(value[keep].view(np.int64)), pa.nulls(k, sketch_type), pa.nulls(k, pa.binary())],
-                ["kind", "doc_id", "n", "cls", "v", "sketch", "text"],
-            )
+def _classes(packed: DataFrame) -> DataFrame:
+    """(doc_id, n, cls, v, sketch, bits, packed text) of every row, checkpointed; all later steps read it.
+    ``packed``: (doc_id, packed text)."""
+    schema = "doc_id long, n long, cls binary, v long, sketch array<long>, bits binary, text binary"
 
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             for first, data, offsets in text_slices(next(unpack_text(iter([batch]), 1 << 30))):
                 rows = len(offsets) - 1
                 doc, value = shingle_sets(data, offsets)
                 bound = np.searchsorted(doc, np.arange(rows + 1))
-                cls, sketch = [], []
-                for i in range(rows):
-                    own = value[bound[i] : bound[i + 1]]
-                    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
-                    cls.append(digest)
-                    sketch.append(own[:SKETCH].view(np.int64))
-                    if digest and digest not in seen:
-                        if len(seen) < 200_000:
-                            seen.add(digest)
-                        held.append(own)
-                        size += len(own)
+                own = [value[bound[i] : bound[i + 1]] for i in range(rows)]
+                cls = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in own]
                 v = np.array([int.from_bytes(c[:8], "big", signed=True) if c else 0 for c in cls], np.int64)
+                sketch = pa.array([x[:SKETCH].view(np.int64) for x in own], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(rows, np.int32)), batch.column("doc_id").slice(first, rows), pa.array(np.diff(bound)), pa.array(cls, pa.binary()), pa.array(v), pa.array(sketch, sketch_type), texts.slice(first, rows)],
-                    ["kind", "doc_id", "n", "cls", "v", "sketch", "text"],
+                    [batch.column("doc_id").slice(first, rows), pa.array(np.diff(bound)), pa.array(cls, pa.binary()), pa.array(v), sketch, pa.array([_bits(x) for x in own], pa.binary()), texts.slice(first, rows)],
+                    ["doc_id", "n", "cls", "v", "sketch", "bits", "text"],
                 )
-                if size >= 2_000_000:
-                    yield common()
-                    held, size = [], 0
-        if held:
-            yield common()
 
     return cut_lineage(packed.select("doc_id", "text").mapInArrow(step, schema))
 
 
-def _texts(classes: DataFrame, needed: DataFrame) -> DataFrame:
-    """(v, cls, n, text) of the classes numbered in ``needed``, one row a class."""
-    few = needed.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
-    rows = classes.select("v", "cls", "n", "text").join(F.broadcast(needed) if few else needed, "v", "left_semi")
+def _texts(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(v, cls, n, text) of the classes that ``pairs`` (v, w; written) names, one row a class."""
+    needed = pairs.select("v").union(pairs.select("w"))
+    few = 2 * pairs.count() <= BROADCAST_CLASSES
+    rows = classes.select("v", "cls", "n", "text").join(F.broadcast(needed) if few else needed.distinct(), "v", "left_semi")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # copies of a class leave a task once
@@ -165,8 +149,7 @@ def _texts(classes: DataFrame, needed: DataFrame) -> DataFrame:
 
 def _verified(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes among the candidate ``pairs`` (v, w), checked on the whole texts."""
-    needed = cut_lineage(pairs.select("v").union(pairs.select("w")).distinct())
-    texts = _texts(classes, needed)
+    texts = _texts(classes, pairs)
     one = texts.select("v", F.col("cls").alias("a"), F.col("text").alias("t"))
     two = texts.select(F.col("v").alias("w"), F.col("cls").alias("b"), F.col("text").alias("u"))
 
@@ -184,8 +167,8 @@ def _verified(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    joined = pairs.join(one, "v").join(two, "w").filter(F.col("a") != F.col("b")).select("a", "b", "t", "u")
-    return cut_lineage(joined.mapInArrow(check, "a binary, b binary"))
+    joined = one.join(pairs, "v").join(two, "w").filter(F.col("a") != F.col("b")).select("a", "b", "t", "u")
+    return store_rows(joined.mapInArrow(check, "a binary, b binary"), "links")
 
 
 def _leaders(classes: DataFrame, percent: int) -> DataFrame:
@@ -198,12 +181,59 @@ def _leaders(classes: DataFrame, percent: int) -> DataFrame:
     return best.filter("best.count > 1").select("v", F.col("best.w").alias("w"))
 
 
-def _index(classes: DataFrame, common: tuple[np.ndarray, np.ndarray], known: DataFrame, percent: int) -> DataFrame:
+def _with_components(classes: DataFrame, known: DataFrame) -> DataFrame:
+    """(v, comp, text): classes and the component each is known to be in (by itself where none is)."""
+    few = known.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+    rows = classes.select("v", "text").join(F.broadcast(known) if few else known, "v", "left")
+    return rows.select("v", F.coalesce("comp", "v").alias("comp"), "text")
+
+
+def _common_shingles(rows: DataFrame, limit: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles sorted, their rank by count) of those found in most components over all documents.
+
+    Each task counts its documents' shingles, those in the lower part of the hash range that prefixes are
+    drawn from, and passes on what two of its components share; the sums are cut to the ``limit`` most
+    common. The table only orders shingles: whatever it holds, the join stays exact.
+    """
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def shared() -> pa.RecordBatch:
+            both = np.concatenate(held)
+            both = both[np.lexsort((both[:, 1], both[:, 0]))]
+            both = both[np.r_[True, (both[1:] != both[:-1]).any(1)]]
+            value, count = np.unique(both[:, 0], return_counts=True)
+            keep = count > 1
+            return pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(count[keep])], ["token", "n"])
+
+        for batch in unpack_text(batches, 2048):
+            comp = batch.column("comp").to_numpy().view(np.uint64)
+            for first, data, offsets in text_slices(batch):
+                doc, value = shingle_sets(data, offsets)
+                low = value < LOW
+                held.append(np.stack([value[low], comp[first + doc[low]]], 1))
+                size += len(held[-1])
+                if size > 2_500_000:
+                    yield shared()
+                    held, size = [], 0
+        if size:
+            yield shared()
+
+    sums = rows.mapInArrow(step, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = sums.orderBy(F.desc("n"), "token").limit(limit).toArrow()
+    token, count = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    rank = np.empty(len(token), np.int64)
+    rank[np.lexsort((token, count))] = np.arange(len(token))
+    order = np.argsort(token)
+    return token[order], rank[order]
+
+
+def _index(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
     """Prefix postings (token, comp, v, n, pos): the first n - ceil(n * percent / 100) + 1 shingles of each
     class, corpus-wide common shingles last."""
-    held = classes.sparkSession.sparkContext.broadcast(common)
-    few = known.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
-    rows = classes.select("v", "text").join(F.broadcast(known) if few else known, "v", "left").select("v", F.coalesce("comp", "v").alias("comp"), "text")
+    held = rows.sparkSession.sparkContext.broadcast(common)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, rank = held.value
@@ -247,52 +277,146 @@ def _index(classes: DataFrame, common: tuple[np.ndarray, np.ndarray], known: Dat
     return rows.mapInArrow(step, "token long, comp long, v long, n int, pos int")
 
 
-def _pairs_of_list(comp: np.ndarray, v: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one index list (sorted by n) across components that can still reach the needed overlap."""
-    for i in range(len(v) - 1):
+def _pairs_of_list(comp: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places (i, js) of one index list (sorted by n) in different components that can still reach the needed
+    overlap."""
+    for i in range(len(n) - 1):
         end = int(np.searchsorted(n, n[i] * 100 // percent, "right"))  # block of sizes that may link
         j = np.arange(i + 1, end)
         need = -(-(n[i] + n[j]) * percent // (100 + percent))
         rest = np.minimum(n[i] - pos[i], n[j] - pos[j])  # the common shingle and all after it
         j = j[(comp[j] != comp[i]) & (rest >= need)]
         if len(j):
-            yield np.full(len(j), v[i]), v[j]
+            yield i, j
+
+
+def _neighbours_of_list(comp: np.ndarray, v: np.ndarray, n: np.ndarray, turn: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one index list that follow each other, by size or by number: as many as the list is long."""
+    order = np.arange(len(v)) if turn == 0 else np.argsort(mix64(v.view(np.uint64) + np.uint64(turn)), kind="stable")
+    i, j = order[:-1], order[1:]
+    fit = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+    yield v[i[fit]], v[j[fit]]
+
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Index lists of one partition that hold several components, sorted by size: (token, comp, v, n, pos)."""
+    parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+    if not parts:
+        return
+    token, comp, v, n, pos = (np.concatenate(c) for c in zip(*parts))
+    del parts
+    order = np.argsort(token, kind="stable")
+    token = token[order]
+    edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    size = np.diff(np.r_[edge, len(token)])
+    for a, m in zip(edge[size > 1].tolist(), size[size > 1].tolist()):
+        at = order[a : a + m]
+        c = comp[at]
+        if (c == c[0]).all():
+            continue  # one component: every answer is known
+        at = at[np.lexsort((v[at], n[at]))]
+        at = at[np.r_[True, v[at][1:] != v[at][:-1]]]
+        yield token[a], comp[at], v[at], n[at].astype(np.int64), pos[at].astype(np.int64)
+
+
+POSTING = "token long, comp long, v long, n int, pos int"
+
+
+def _live(postings: DataFrame, partitions: int) -> DataFrame:
+    """Postings of lists that hold several components: all that can still give a new answer."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for token, comp, v, n, pos in _lists(batches):
+            held.append([np.full(len(v), token), comp, v, n.astype(np.int32), pos.astype(np.int32)])
+            rows += len(v)
+            if rows > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["token", "comp", "v", "n", "pos"])
+                held, rows = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["token", "comp", "v", "n", "pos"])
+
+    return store_rows(postings.repartition(partitions, "token").mapInArrow(step, POSTING), "postings")
+
+
+def _pair_batch(held: list[np.ndarray]) -> tuple[np.ndarray, pa.RecordBatch]:
+    out = np.unique(np.concatenate(held), axis=0)
+    return out, pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["v", "w"])
+
+
+def _relabelled(postings: DataFrame, known: DataFrame) -> DataFrame:
+    """Postings with the components known by now."""
+    few = known.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+    now = known.withColumnRenamed("comp", "now")
+    return postings.join(F.broadcast(now) if few else now, "v", "left").select("token", F.coalesce("now", "v").alias("comp"), "v", "n", "pos")
+
+
+def _neighbours(live: DataFrame, known: DataFrame, partitions: int, percent: int, turn: int) -> DataFrame:
+    """Candidate pairs (v, w): those that follow each other in a list and are of different components."""
 
-def _candidates(postings: DataFrame, partitions: int, percent: int) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-        if not parts:
-            return
-        token, comp, v, n, pos = (np.concatenate(c) for c in zip(*parts))
-        del parts
-        order = np.argsort(token, kind="stable")
-        token = token[order]
-        edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        size = np.diff(np.r_[edge, len(token)])
-        many = size > 1
-        edge, size = edge[many], size[many]
         held: list[np.ndarray] = []
         rows = 0
-        for a, m in zip(edge.tolist(), size.tolist()):
-            at = order[a : a + m]
-            c = comp[at]
-            if (c == c[0]).all():
-                continue  # one component: every answer is known
-            at = at[np.lexsort((v[at], n[at]))]
-            at = at[np.r_[True, v[at][1:] != v[at][:-1]]]
-            for x, y in _pairs_of_list(comp[at], v[at], n[at].astype(np.int64), pos[at].astype(np.int64), percent):
+        for _, comp, v, n, _pos in _lists(batches):
+            for x, y in _neighbours_of_list(comp, v, n, turn, percent):
                 held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
                 rows += len(x)
+            if rows > 1_000_000:
+                yield _pair_batch(held)[1]
+                held, rows = [], 0
+        if held:
+            yield _pair_batch(held)[1]
+
+    found = _relabelled(live, known).repartition(partitions, "token").mapInArrow(step, "v long, w long")
+    return store_rows(found.distinct(), "pairs")
+
+
+def _all_pairs(live: DataFrame, known: DataFrame, classes: DataFrame, partitions: int, percent: int) -> DataFrame:
+    """Candidate pairs (v, w): all of different components that size, position and parities leave over."""
+
+    def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Postings that are in some pair which size and position allow."""
+        for token, comp, v, n, pos in _lists(batches):
+            used = np.zeros(len(v), bool)
+            for i, j in _pairs_of_list(comp, n, pos, percent):
+                used[i] = True
+                used[j] = True
+            if used.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(used.sum()), token)), pa.array(comp[used]), pa.array(v[used]), pa.array(n[used].astype(np.int32)), pa.array(pos[used].astype(np.int32))], ["token", "comp", "v", "n", "pos"])
+
+    def unlike_dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [b for b in batches if b.num_rows]
+        if not kept:
+            return
+        v_all = np.concatenate([b.column("v").to_numpy() for b in kept])
+        raw = np.frombuffer(b"".join(x for b in kept for x in b.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        order = np.argsort(v_all, kind="stable")
+        sorted_v = v_all[order]
+        held: list[np.ndarray] = []
+        rows = 0
+        for _, comp, v, n, pos in _lists(iter([b.select(["token", "comp", "v", "n", "pos"]) for b in kept])):
+            bits = raw[order[np.searchsorted(sorted_v, v)]]
+            for i, j in _pairs_of_list(comp, n, pos, percent):
+                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+                j = j[differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent)]
+                if len(j):
+                    held.append(np.stack([np.minimum(v[i], v[j]), np.maximum(v[i], v[j])], 1))
+                    rows += len(j)
+            if rows > 1_000_000:
+                out, batch = _pair_batch(held)
+                held, rows = [out], len(out)
                 if rows > 500_000:
-                    held = [np.unique(np.concatenate(held), axis=0)]
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][:, 0].copy()), pa.array(held[0][:, 1].copy())], ["v", "w"])
+                    yield batch
                     held, rows = [], 0
         if held:
-            out = np.unique(np.concatenate(held), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["v", "w"])
+            yield _pair_batch(held)[1]
 
-    return postings.repartition(partitions, "token").mapInArrow(step, "v long, w long").distinct()
+    postings = store_rows(_relabelled(live, known).repartition(partitions, "token").mapInArrow(still_open, POSTING), "open")
+    bits = classes.select(F.col("v").alias("own"), "bits").groupBy("own").agg(F.first("bits").alias("bits"))
+    with_bits = postings.join(bits, postings["v"] == bits["own"]).select("token", "comp", "v", "n", "pos", "bits")
+    found = with_bits.repartition(partitions, "token").mapInArrow(unlike_dropped, "v long, w long")
+    return store_rows(found.distinct(), "pairs")
 
 
 def link_components(documents: DataFrame, percent: int = 80) -> DataFrame:
@@ -310,7 +434,7 @@ def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
     """One row of each group of linked documents, all columns as they were (null text as empty)."""
     numbered = cut_lineage(pack_text(fold(documents).withColumn("uid", F.monotonically_increasing_id())))
     groups = _linked(numbered.select(F.col("uid").alias("doc_id"), "text"), percent)
-    kept = cut_lineage(groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("uid")))
+    kept = store_rows(groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("uid")), "kept")
     few = kept.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
     rows = numbered.join(F.broadcast(kept) if few else kept, "uid", "left_semi")
 
@@ -323,30 +447,34 @@ def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
     return unfold(rows.mapInArrow(step, f"doc_id {id_type}, text string, rest {rest}"), documents.columns)
 
 
+def _known(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components of the links so far, by class and by class number."""
+    found = connected_components(links)
+    numbers = found.select(_low_long("vertex").alias("v"), _low_long("component").alias("comp"))
+    return found, numbers.groupBy("v").agg(F.min("comp").alias("comp"))
+
+
 def _linked(packed: DataFrame, percent: int) -> DataFrame:
     spark = packed.sparkSession
     stored = _classes(packed)
-    classes = stored.filter((F.col("kind") == 0) & F.col("cls").isNotNull())
-
-    links = _verified(classes, cut_lineage(_leaders(classes, percent)), percent)
-    first = connected_components(links)
-    known = first.select(_low_long("vertex").alias("v"), _low_long("component").alias("comp"))
-    known = cut_lineage(known.dropDuplicates(["v"]))
-
-    top = stored.filter(F.col("kind") == 1).groupBy("v").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "v").limit(COMMON).toArrow()
-    token, count = top.column("v").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    rank = np.empty(len(token), np.int64)
-    rank[np.lexsort((token, count))] = np.arange(len(token))
-    order = np.argsort(token)
+    classes = stored.filter(F.col("cls").isNotNull())
     total = classes.agg(F.coalesce(F.sum(F.col("n") / 5 + 1), F.lit(0.0))).first()[0]
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 2_000_000) + 1)
-    pairs = cut_lineage(_candidates(_index(classes, (token[order], rank[order]), known, percent), partitions, percent))
-    links = links.union(_verified(classes, pairs, percent))
-    found = cut_lineage(connected_components(links).select(F.col("vertex").alias("cls"), F.col("component")))
 
-    rows = stored.filter(F.col("kind") == 0).select("doc_id", "n", "cls")
-    rows = rows.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = cut_lineage(rows.filter(F.col("cls").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    links = _verified(classes, store_rows(_leaders(classes, percent), "leaders"), percent)
+    found, known = _known(links)
+    rows = _with_components(classes, known)
+    live = _live(_index(rows, _common_shingles(rows), percent), partitions)
+    for turn in (0, 1, None):  # neighbours first: most pairs of large groups then need no look
+        pairs = _all_pairs(live, known, classes, partitions, percent) if turn is None else _neighbours(live, known, partitions, percent, turn)
+        fresh = _verified(classes, pairs, percent) if pairs.count() else None
+        if fresh is not None and fresh.count():
+            links = found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(fresh)
+            found, known = _known(links)
+
+    found = found.withColumnRenamed("vertex", "cls")
+    rows = stored.select("doc_id", "n", "cls").join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least = store_rows(rows.filter(F.col("cls").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
