@@ -36,7 +36,10 @@ LOW = np.uint64(3 * (1 << 64) // 10)
 #: Classes whose numbers may be broadcast (8 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_CLASSES = 2_000_000
 SKETCH = 4
+#: Places of a set's parities.
 BITS = 1024
+#: Lists of so many open postings first get each posting's nearest neighbour checked.
+LARGE = 12
 _LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint8)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -144,7 +147,8 @@ def _texts(classes: DataFrame, pairs: DataFrame) -> DataFrame:
                         seen.add(c)
             yield batch.take(pa.array(keep, pa.int64()))
 
-    return rows.mapInArrow(once, rows.schema).groupBy("v", "cls", "n").agg(F.first("text").alias("text"))
+    # Dealt by v alone, so that the aggregate and the joins on either side of a pair share one shuffle.
+    return rows.mapInArrow(once, rows.schema).repartition("v").groupBy("v", "cls", "n").agg(F.first("text").alias("text"))
 
 
 def _verified(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -277,74 +281,73 @@ def _index(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int)
     return rows.mapInArrow(step, "token long, comp long, v long, n int, pos int")
 
 
-def _pairs_of_list(comp: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places (i, js) of one index list (sorted by n) in different components that can still reach the needed
-    overlap."""
-    for i in range(len(n) - 1):
-        end = int(np.searchsorted(n, n[i] * 100 // percent, "right"))  # block of sizes that may link
-        j = np.arange(i + 1, end)
-        need = -(-(n[i] + n[j]) * percent // (100 + percent))
-        rest = np.minimum(n[i] - pos[i], n[j] - pos[j])  # the common shingle and all after it
-        j = j[(comp[j] != comp[i]) & (rest >= need)]
-        if len(j):
-            yield i, j
-
-
-def _neighbours_of_list(comp: np.ndarray, v: np.ndarray, n: np.ndarray, turn: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one index list that follow each other, by size or by number: as many as the list is long."""
-    order = np.arange(len(v)) if turn == 0 else np.argsort(mix64(v.view(np.uint64) + np.uint64(turn)), kind="stable")
-    i, j = order[:-1], order[1:]
-    fit = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-    yield v[i[fit]], v[j[fit]]
-
-
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Index lists of one partition that hold several components, sorted by size: (token, comp, v, n, pos)."""
-    parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-    if not parts:
-        return
-    token, comp, v, n, pos = (np.concatenate(c) for c in zip(*parts))
-    del parts
-    order = np.argsort(token, kind="stable")
-    token = token[order]
+POSTING = "token long, comp long, v long, n int, pos int"
+COLUMNS = ["token", "comp", "v", "n", "pos"]
+
+
+def _index_lists(batches: list[pa.RecordBatch]) -> list[np.ndarray] | None:
+    """Postings of one partition in lists by token, sorted by set size, each class once; lists of a single
+    component are left out, since all their answers are known. Columns: token, comp, v, n, pos."""
+    if not batches:
+        return None
+    parts = [np.concatenate([b.column(c).to_numpy() for b in batches]) for c in COLUMNS]
+    order = np.lexsort((parts[2], parts[3], parts[0]))
+    token, comp, v, n, pos = (p[order] for p in parts)
+    once = np.r_[True, (token[1:] != token[:-1]) | (v[1:] != v[:-1])]
+    token, comp, v, n, pos = (p[once] for p in (token, comp, v, n, pos))
     edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     size = np.diff(np.r_[edge, len(token)])
-    for a, m in zip(edge[size > 1].tolist(), size[size > 1].tolist()):
-        at = order[a : a + m]
-        c = comp[at]
-        if (c == c[0]).all():
-            continue  # one component: every answer is known
-        at = at[np.lexsort((v[at], n[at]))]
-        at = at[np.r_[True, v[at][1:] != v[at][:-1]]]
-        yield token[a], comp[at], v[at], n[at].astype(np.int64), pos[at].astype(np.int64)
+    many = np.minimum.reduceat(comp, edge) != np.maximum.reduceat(comp, edge)
+    keep = np.repeat(many, size)
+    return [p[keep] for p in (token, comp, v, n.astype(np.int64), pos.astype(np.int64))] if keep.any() else None
+
+
+def _pairs_of_lists(token: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, reach: int = 1 << 40) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of pairs in one list and different components that can still reach the needed overlap,
+    by their distance in the list. A place whose partner has grown too large is skipped from there on."""
+    i = np.arange(len(token) - 1)
+    step = 1
+    while len(i) and step <= reach:
+        i = i[i + step < len(token)]
+        j = i + step
+        near = (token[i] == token[j]) & (n[j] * percent <= n[i] * 100)  # the block of sizes that may link
+        i, j = i[near], j[near]
+        need = -(-(n[i] + n[j]) * percent // (100 + percent))
+        rest = np.minimum(n[i] - pos[i], n[j] - pos[j])  # the common shingle and all after it
+        good = (comp[i] != comp[j]) & (rest >= need)
+        if good.any():
+            yield i[good], j[good]
+        step += 1
 
 
-POSTING = "token long, comp long, v long, n int, pos int"
+def _record(columns: list[np.ndarray], chosen: np.ndarray) -> pa.RecordBatch:
+    token, comp, v, n, pos = (c[chosen] for c in columns)
+    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(comp), pa.array(v), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32))], COLUMNS)
 
 
-def _live(postings: DataFrame, partitions: int) -> DataFrame:
-    """Postings of lists that hold several components: all that can still give a new answer."""
+def _open_postings(postings: DataFrame, partitions: int, percent: int, large: int = 0) -> DataFrame:
+    """Postings in some pair that component, size and position allow; with ``large`` only of lists of so many
+    postings."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        rows = 0
-        for token, comp, v, n, pos in _lists(batches):
-            held.append([np.full(len(v), token), comp, v, n.astype(np.int32), pos.astype(np.int32)])
-            rows += len(v)
-            if rows > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["token", "comp", "v", "n", "pos"])
-                held, rows = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["token", "comp", "v", "n", "pos"])
+        lists = _index_lists([b for b in batches if b.num_rows])
+        if lists is None:
+            return
+        token, comp, v, n, pos = lists
+        used = np.zeros(len(token), bool)
+        for i, j in _pairs_of_lists(token, comp, n, pos, percent):
+            used[i] = True
+            used[j] = True
+        if large:
+            edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            size = np.diff(np.r_[edge, len(token)])
+            used &= np.repeat(np.add.reduceat(used, edge) >= large, size)
+        if used.any():
+            yield _record(lists, used)
 
     return store_rows(postings.repartition(partitions, "token").mapInArrow(step, POSTING), "postings")
 
 
-def _pair_batch(held: list[np.ndarray]) -> tuple[np.ndarray, pa.RecordBatch]:
-    out = np.unique(np.concatenate(held), axis=0)
-    return out, pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["v", "w"])
-
-
 def _relabelled(postings: DataFrame, known: DataFrame) -> DataFrame:
     """Postings with the components known by now."""
     few = known.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
@@ -352,70 +355,47 @@ def _relabelled(postings: DataFrame, known: DataFrame) -> DataFrame:
     return postings.join(F.broadcast(now) if few else now, "v", "left").select("token", F.coalesce("now", "v").alias("comp"), "v", "n", "pos")
 
 
-def _neighbours(live: DataFrame, known: DataFrame, partitions: int, percent: int, turn: int) -> DataFrame:
-    """Candidate pairs (v, w): those that follow each other in a list and are of different components."""
+def _candidates(postings: DataFrame, classes: DataFrame, partitions: int, percent: int, nearest: bool) -> DataFrame:
+    """Candidate pairs (v, w) that parities leave over: all of them, or (``nearest``) each posting's most
+    similar one among the next in its list, at most one a posting."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        rows = 0
-        for _, comp, v, n, _pos in _lists(batches):
-            for x, y in _neighbours_of_list(comp, v, n, turn, percent):
-                held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-                rows += len(x)
-            if rows > 1_000_000:
-                yield _pair_batch(held)[1]
-                held, rows = [], 0
-        if held:
-            yield _pair_batch(held)[1]
-
-    found = _relabelled(live, known).repartition(partitions, "token").mapInArrow(step, "v long, w long")
-    return store_rows(found.distinct(), "pairs")
-
-
-def _all_pairs(live: DataFrame, known: DataFrame, classes: DataFrame, partitions: int, percent: int) -> DataFrame:
-    """Candidate pairs (v, w): all of different components that size, position and parities leave over."""
-
-    def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Postings that are in some pair which size and position allow."""
-        for token, comp, v, n, pos in _lists(batches):
-            used = np.zeros(len(v), bool)
-            for i, j in _pairs_of_list(comp, n, pos, percent):
-                used[i] = True
-                used[j] = True
-            if used.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(used.sum()), token)), pa.array(comp[used]), pa.array(v[used]), pa.array(n[used].astype(np.int32)), pa.array(pos[used].astype(np.int32))], ["token", "comp", "v", "n", "pos"])
-
-    def unlike_dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [b for b in batches if b.num_rows]
-        if not kept:
+        lists = _index_lists(kept)
+        if lists is None:
             return
-        v_all = np.concatenate([b.column("v").to_numpy() for b in kept])
+        token, comp, v, n, pos = lists
+        known = np.concatenate([b.column("v").to_numpy() for b in kept])
         raw = np.frombuffer(b"".join(x for b in kept for x in b.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        order = np.argsort(v_all, kind="stable")
-        sorted_v = v_all[order]
+        known, first = np.unique(known, return_index=True)
+        own = first[np.searchsorted(known, v)]
         held: list[np.ndarray] = []
         rows = 0
-        for _, comp, v, n, pos in _lists(iter([b.select(["token", "comp", "v", "n", "pos"]) for b in kept])):
-            bits = raw[order[np.searchsorted(sorted_v, v)]]
-            for i, j in _pairs_of_list(comp, n, pos, percent):
-                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-                j = j[differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent)]
-                if len(j):
-                    held.append(np.stack([np.minimum(v[i], v[j]), np.maximum(v[i], v[j])], 1))
-                    rows += len(j)
-            if rows > 1_000_000:
-                out, batch = _pair_batch(held)
-                held, rows = [out], len(out)
-                if rows > 500_000:
-                    yield batch
-                    held, rows = [], 0
+        best, partner = np.full(len(v), np.inf), np.zeros(len(v), np.int64)
+        for i, j in _pairs_of_lists(token, comp, n, pos, percent, 32 if nearest else 1 << 40):
+            differ = np.bitwise_count(raw[own[i]] ^ raw[own[j]]).sum(1, dtype=np.int64)
+            like = differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+            i, j, differ = i[like], j[like], differ[like]
+            if nearest:
+                share = differ / (n[i] + n[j])
+                less = share < best[i]
+                best[i[less]], partner[i[less]] = share[less], j[less]
+            elif len(i):
+                held.append(np.unique(np.stack([np.minimum(v[i], v[j]), np.maximum(v[i], v[j])], 1), axis=0))
+                rows += len(held[-1])
+                if rows > 2_000_000:
+                    held = [np.unique(np.concatenate(held), axis=0)]
+                    rows = len(held[0])
+        if nearest and (found := np.flatnonzero(best < np.inf)).size:
+            held = [np.stack([np.minimum(v[found], v[partner[found]]), np.maximum(v[found], v[partner[found]])], 1)]
         if held:
-            yield _pair_batch(held)[1]
+            out = np.unique(np.concatenate(held), axis=0)
+            for a in range(0, len(out), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(out[a : a + 200_000, 0].copy()), pa.array(out[a : a + 200_000, 1].copy())], ["v", "w"])
 
-    postings = store_rows(_relabelled(live, known).repartition(partitions, "token").mapInArrow(still_open, POSTING), "open")
     bits = classes.select(F.col("v").alias("own"), "bits").groupBy("own").agg(F.first("bits").alias("bits"))
-    with_bits = postings.join(bits, postings["v"] == bits["own"]).select("token", "comp", "v", "n", "pos", "bits")
-    found = with_bits.repartition(partitions, "token").mapInArrow(unlike_dropped, "v long, w long")
+    with_bits = postings.join(bits, postings["v"] == bits["own"]).select(*COLUMNS, "bits")
+    found = with_bits.repartition(partitions, "token").mapInArrow(step, "v long, w long")
     return store_rows(found.distinct(), "pairs")
 
 
@@ -464,10 +444,11 @@ def _linked(packed: DataFrame, percent: int) -> DataFrame:
     links = _verified(classes, store_rows(_leaders(classes, percent), "leaders"), percent)
     found, known = _known(links)
     rows = _with_components(classes, known)
-    live = _live(_index(rows, _common_shingles(rows), percent), partitions)
-    for turn in (0, 1, None):  # neighbours first: most pairs of large groups then need no look
-        pairs = _all_pairs(live, known, classes, partitions, percent) if turn is None else _neighbours(live, known, partitions, percent, turn)
-        fresh = _verified(classes, pairs, percent) if pairs.count() else None
+    live = _open_postings(_index(rows, _common_shingles(rows), percent), partitions, percent)
+    for nearest in (True, True, False):  # large lists first: most of their pairs then need no look
+        now = _open_postings(_relabelled(live, known), partitions, percent, LARGE if nearest else 0)
+        pairs = _candidates(now, classes, partitions, percent, nearest) if now.count() else None
+        fresh = _verified(classes, pairs, percent) if pairs is not None and pairs.count() else None
         if fresh is not None and fresh.count():
             links = found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(fresh)
             found, known = _known(links)
