@@ -36,7 +36,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents, packed into sequences of 1024 tokens."""
+    """Pieces of the remaining documents with their token ids, packed into sequences of 1024 tokens."""
     return packing.pack_documents(docs)
 
 

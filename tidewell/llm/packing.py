@@ -1,7 +1,7 @@
 """Sequence packing by non-negative least squares over the length histogram.
 
-Documents are tokenized once, cut into full windows and one shorter piece, and only (id, start, length,
-checksum) of each piece is kept. The histogram of piece lengths has as many bins as a window has tokens,
+Documents are tokenized once and cut into full windows and one shorter piece; the pieces are stored with
+their ids (compressed) and moved once, to the task that ranks their length. The histogram of piece lengths has as many bins as a window has tokens,
 whatever the corpus: on it, shallow combinations of lengths that fill a window get repeat counts by
 non-negative least squares; rounded counts that the histogram can't cover are lowered and what remains is
 packed greedily. Pieces then take their places by rank within their length, with no search over pieces.
@@ -15,13 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import cut_lineage, stable_columns
+from tidewell.llm._common import stable_columns, store_rows
 
 WINDOW = 1024
-PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length int, packed_ids binary, doc_tokens long"
+#: Pieces of an Arrow batch, which carries their ids.
+BATCH_PIECES = 2048
 #: Rank buckets per length, so that one length that a third of the pieces share is not one task's work.
 BUCKETS = 64
 
@@ -53,22 +56,31 @@ def _default_tokenizer() -> tuple[str, str]:
 
 
 def cut_pieces(documents: DataFrame, window: int = WINDOW, end_id: int = 0, tokenizer: tuple[str, str] | None = None) -> DataFrame:
-    """Pieces of at most ``window`` ids: each document's ids and ``end_id``, cut at multiples of ``window``."""
+    """Pieces of at most ``window`` ids: each document's ids and ``end_id``, cut at multiples of ``window``.
+    ``packed_ids`` are the piece's ids as little-endian 32-bit numbers in a Zstandard frame."""
     path, pattern = tokenizer or _default_tokenizer()
+    names = ["doc_id", "start", "length", "packed_ids", "doc_tokens"]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Encoder(path, pattern)
+        own, press = Encoder(path, pattern), zstandard.ZstdCompressor(level=1)
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+        out: list[tuple] = []
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            out = []
             for doc_id, text in zip(doc_ids, texts):
                 ids = np.append(own.ids(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), window):
                     part = ids[start : start + window]
-                    out.append((doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids)))
-            columns = list(zip(*out)) if out else [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    out.append((doc_id, start, len(part), press.compress(part.tobytes()), len(ids)))
+                    if len(out) == BATCH_PIECES:
+                        yield batch_of(out)
+                        out = []
+        if out:
+            yield batch_of(out)
 
     return stable_columns(documents, "doc_id", "text").mapInArrow(step, PIECES)
 
@@ -156,38 +168,55 @@ def _places(plan: list[tuple[tuple[int, ...], int]], window: int) -> dict[str, n
 
 
 def pack_documents(documents: DataFrame, window: int = WINDOW, tokenizer: tuple[str, str] | None = None) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """A row per piece: doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts have one id (the end id). Equal rows are packed apart, each id once. Sequences
-    hold at most ``window`` ids, offsets run without gaps. No documents: no rows. Extra columns are ignored.
+    ``ids`` (array<int>) are the piece's token ids; a sequence is the ids of its pieces by offset (see
+    ``sequences``). Null and empty texts have one id (the end id). Equal rows are packed apart, each id
+    once. Sequences hold at most ``window`` ids, offsets run without gaps. No documents: no rows. Extra
+    columns are ignored.
     """
     spark = documents.sparkSession
     pieces = cut_pieces(documents, window, tokenizer=tokenizer)
-    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(BUCKETS)).cast("int")
-    pieces = cut_lineage(pieces.withColumn("bucket", bucket))  # ids above are fixed from here on
+    bucket = F.pmod(F.xxhash64("doc_id", "start", "packed_ids", F.monotonically_increasing_id()), F.lit(BUCKETS)).cast("int")
+    pieces = store_rows(pieces.withColumn("bucket", bucket), "pieces")  # ids above are fixed from here on
 
     counts = pieces.groupBy("length", "bucket").count()  # at most window * BUCKETS rows
     by_bucket = {(r.length, r.bucket): r["count"] for r in counts.collect()}
     histogram = np.zeros(window + 1, np.int64)
-    starts = []
+    first = np.zeros((window + 1) * BUCKETS, np.int64)
     for (length, own), n in sorted(by_bucket.items()):
-        starts.append((length, own, int(histogram[length])))
+        first[length * BUCKETS + own] = histogram[length]
         histogram[length] += n
-    places = spark.sparkContext.broadcast(_places(plan_sequences(histogram, window), window))
+    held = spark.sparkContext.broadcast((first, _places(plan_sequences(histogram, window), window)))
 
-    first = spark.createDataFrame(starts, "length int, bucket int, first long")
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
-    ranked = pieces.withColumn("n", F.row_number().over(order)).join(F.broadcast(first), ["length", "bucket"])
-    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("n") - 1).alias("rank"))
+    # Ranks are counted as the sorted rows stream by, so that no group of pieces is held with its ids.
+    ranked = pieces.repartition("length", "bucket").sortWithinPartitions("length", "bucket", "doc_id", "start", "packed_ids")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = places.value
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            at = np.searchsorted(own["key"], (length.astype(np.int64) << 40) + rank, "right") - 1
+        first, own = held.value
+        open_up = zstandard.ZstdDecompressor()
+        group, seen = -1, 0
+        for batch in (b.slice(k, BATCH_PIECES) for b in batches for k in range(0, b.num_rows, BATCH_PIECES)):
+            length = batch.column("length").to_numpy().astype(np.int64)
+            groups = length * BUCKETS + batch.column("bucket").to_numpy()
+            edges = np.r_[0, np.flatnonzero(groups[1:] != groups[:-1]) + 1]
+            n = np.arange(len(groups)) - np.repeat(edges, np.diff(np.r_[edges, len(groups)]))
+            if groups[0] == group:
+                n[: edges[1] if len(edges) > 1 else len(n)] += seen
+            group, seen = groups[-1], int(n[-1]) + 1
+            rank = first[groups] + n
+            at = np.searchsorted(own["key"], (length << 40) + rank, "right") - 1
             sequence = own["sequence"][at] + rank - own["rank"][at]
-            arrays = [batch.column(n) for n in ("doc_id", "start")] + [pa.array(length.astype(np.int64))]
-            arrays += [batch.column(n) for n in ("ids_crc32", "doc_tokens")] + [pa.array(sequence), pa.array(own["offset"][at])]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            raw = [open_up.decompress(x) for x in batch.column("packed_ids").to_pylist()]
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)], pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+            arrays = [batch.column("doc_id"), batch.column("start"), pa.array(length), ids, pa.array([zlib.crc32(x) for x in raw], pa.int64())]
+            arrays += [batch.column("doc_tokens"), pa.array(sequence), pa.array(own["offset"][at])]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+
 
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids) of ``pack_documents``: the ids of a sequence's pieces in the order of their offsets."""
+    parts = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    return parts.select("sequence_id", F.flatten(F.col("parts.ids")).alias("ids"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, jaccard_join, language_id, license_scan, media, packing, quality, sharding, suffix_dedup, toxicity
 
@@ -12,7 +13,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(_table(spark, sf_dir, "documents"), n_shards=24, law="bytes")
+    placed = sharding.shard_documents(_table(spark, sf_dir, "documents"), n_shards=24, law="bytes")
+    digest = F.crc32(F.coalesce(F.col("record.text"), F.lit("")).cast("binary"))  # of the record in its shard
+    return placed.withColumn("text_crc32", digest).drop("record")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +35,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

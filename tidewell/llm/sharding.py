@@ -2,19 +2,22 @@
 
 A size-weighted sample of keys gives quantile boundaries; records are range-partitioned by them, ranges
 that came out overfull are sampled again and subdivided, and exact sizes per range then turn positions in
-the key order into shards of near equal weight. Texts are read once; all later steps carry four numbers a
-record. The sample, the boundaries and the per-range sums are bounded by the number of ranges.
+the key order into shards of near equal weight. Whole records are stored once (texts compressed); planning
+reads five numbers a record of them, and a last pass moves the records to their ranges, in the order of
+their slots. The sample, the boundaries and the per-range sums are bounded by the number of ranges.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import cut_lineage, stable_columns
+from tidewell.llm._common import fold, pack_text, store_rows, unpack_text
 
 ORDER = ("doc_id", "text_crc32", "size", "uid")
 
@@ -52,23 +55,28 @@ def shard_documents(
     draws_per_range: int = 24,
     seed: int = 7,
 ) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every record.
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, record) for every record; ``record`` is a
+    struct of all columns of ``documents`` as they were. Rows of a partition stand in the order of their slots.
 
     ``law``: ``bytes`` makes shard sizes near equal (apart by less than one record), ``rows`` the counts.
     Size is the text's UTF-8 bytes plus 8, null text as empty. Records are ordered by doc_id (null first),
     checksum, size and a record number, so equal records, equal ids and null ids are split like any others.
-    Slots run from 0 without gaps in each shard. An empty table gives no rows. Extra columns are ignored.
+    Slots run from 0 without gaps in each shard. An empty table gives no rows. Extra columns take no part in the order.
     """
     if law not in ("bytes", "rows"):
         raise ValueError(f"unknown law {law!r}")
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
-    rows = stable_columns(documents, "doc_id", "text").select(
+    records = fold(documents).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.length(text).cast("long") + 8).alias("size"),
         F.crc32(text).alias("text_crc32"),
+        F.col("text").isNull().alias("no_text"),
+        "text",
+        "rest",
     )
-    rows = rows.withColumn("uid", F.monotonically_increasing_id())
-    rows = cut_lineage(rows.withColumn("weight", F.col("size") if law == "bytes" else F.lit(1).cast("long")))
+    records = pack_text(records).withColumn("uid", F.monotonically_increasing_id())
+    records = store_rows(records.withColumn("weight", F.col("size") if law == "bytes" else F.lit(1).cast("long")), "records")
+    rows = records.select(*ORDER, "weight")
 
     total, count = rows.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.count("*")).first()
     n_ranges = max(8 * n_shards, -(-count // rows_per_range))
@@ -85,8 +93,7 @@ def shard_documents(
         held = F.when(F.col("range").isin(sorted(full)), F.lit(float(draws_per_range) / fair)).otherwise(0.0)
         more = _draw(ranged, F.col("weight") * held, seed + again)
         splitters = sorted({*splitters, *more[:: max(1, draws_per_range)]})
-    ranged = _with_range(rows, splitters)
-    sums = _sums(ranged)
+    sums = _sums(_with_range(rows, splitters))
 
     offsets, w0, n0 = [], 0, 0
     for k in sorted(sums):
@@ -94,15 +101,38 @@ def shard_documents(
         w0, n0 = w0 + sums[k][0], n0 + sums[k][1]
     before = rows.sparkSession.createDataFrame(offsets, "range int, w0 long, n0 long")
     in_range = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "uid")
-    placed = (
-        ranged.join(F.broadcast(before), "range")  # a row per range
-        .withColumn("past", F.col("w0") + F.sum("weight").over(in_range.rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight"))
-        .withColumn("place", F.col("n0") + F.row_number().over(in_range) - 1)
-        .withColumn("shard", F.least(F.lit(n_shards - 1), F.expr(f"(2 * past + weight) * {n_shards} div {2 * max(total, 1)}").cast("int")))
-        .select("doc_id", "size", "text_crc32", "shard", "place")
-    )
-    placed = cut_lineage(placed)
-    first = placed.groupBy("shard").agg(F.min("place").alias("first"))
-    return placed.join(F.broadcast(first), "shard").select(  # a row per shard
-        "doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("place") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    def place(some: DataFrame) -> DataFrame:
+        return (
+            _with_range(some, splitters)
+            .join(F.broadcast(before), "range")  # a row per range
+            .withColumn("past", F.col("w0") + F.sum("weight").over(in_range.rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight"))
+            .withColumn("place", F.col("n0") + F.row_number().over(in_range) - 1)
+            .withColumn("shard", F.least(F.lit(n_shards - 1), F.expr(f"(2 * past + weight) * {n_shards} div {2 * max(total, 1)}").cast("int")))
+        )
+
+    first = place(rows).groupBy("shard").agg(F.min("place").alias("first")).collect()  # a row per shard
+    first = rows.sparkSession.createDataFrame([tuple(r) for r in first], "shard int, first long")
+    placed = place(records).join(F.broadcast(first), "shard").select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("place") - F.col("first")).alias("slot"), "no_text", "text", "rest"
     )
+    kinds = {f.name: f.dataType for f in documents.schema.fields}
+    values = {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.when(~F.col("no_text"), F.col("text"))}
+    record = F.struct(*[values.get(c, F.col("rest").getField(c)).alias(c) for c in documents.columns])
+    return _with_text(placed).select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), record.alias("record"))
+
+
+def _with_text(placed: DataFrame) -> DataFrame:
+    """``placed`` with its texts as strings again."""
+    names = placed.columns
+    schema = ", ".join(f"`{f.name}` " + ("string" if f.name == "text" else f.dataType.simpleString()) for f in placed.schema.fields)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in unpack_text(batches):
+            yield pa.RecordBatch.from_arrays([c.cast(pa.string()) if n == "text" else c for n, c in zip(names, batch.columns)], names)
+
+    return placed.mapInArrow(step, schema)
+
+
+def write_shards(placed: DataFrame, path: str) -> None:
+    """Whole records of ``shard_documents`` as Parquet: a folder per shard, rows (slot, record)."""
+    placed.select("shard", "slot", "record").write.partitionBy("shard").parquet(path)
