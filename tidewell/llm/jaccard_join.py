@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm._common import byte_codes, cut_lineage, fold, mix64, odd_powers, pack_text, stable_columns, store_rows, text_slices, unfold, unpack_text
@@ -407,7 +407,44 @@ def link_components(documents: DataFrame, percent: int = 80) -> DataFrame:
     sets are one class and always linked. ``component_id`` is the least non-null doc_id reachable. Repeated
     rows come out repeated; an empty table gives no rows; extra columns are ignored.
     """
-    return _linked(pack_text(stable_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))), percent)
+    return _linked(pack_text(_documents(documents)), percent)
+
+
+def link_pairs(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """(a, b): the digests of every two different classes (see ``class_members``) that link, a < b, each once.
+
+    No pair is passed over for its component: the whole index is searched. As many rows as there are links,
+    which in a group of n near copies may be n * n / 2. Members of one class link with each other besides.
+    """
+    classes = _classes(pack_text(_documents(documents))).filter(F.col("cls").isNotNull())
+    total = classes.agg(F.coalesce(F.sum(F.col("n") / 5 + 1), F.lit(0.0))).first()[0]
+    partitions = _partitions(documents.sparkSession, total)
+    rows = classes.select("v", F.col("v").alias("comp"), "text")
+    live = _open_postings(_index(rows, _common_shingles(rows), percent), partitions, percent)
+    links = _verified(classes, _candidates(live, classes, partitions, percent, False), percent)
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def class_members(documents: DataFrame) -> DataFrame:
+    """(doc_id, cls) of every row: the digest of its set of shingles, null for the empty set."""
+    return _classes(pack_text(_documents(documents))).select("doc_id", "cls")
+
+
+def count_links(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, n_links) of every row of ``class_members``: how many other rows it links with, by ``link_pairs``."""
+    sizes = members.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.count("*").alias("size"))
+    both = links.union(links.select("b", "a")).join(sizes.withColumnRenamed("cls", "b"), "b")
+    other = both.groupBy(F.col("a").alias("cls")).agg(F.sum("size").alias("others"))
+    rows = members.join(sizes.join(other, "cls", "left"), "cls", "left")
+    return rows.select("doc_id", F.coalesce(F.col("size") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).alias("n_links"))
+
+
+def _documents(documents: DataFrame) -> DataFrame:
+    return stable_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def _partitions(spark: SparkSession, postings: float) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(postings // 2_000_000) + 1)
 
 
 def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
@@ -435,11 +472,10 @@ def _known(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _linked(packed: DataFrame, percent: int) -> DataFrame:
-    spark = packed.sparkSession
     stored = _classes(packed)
     classes = stored.filter(F.col("cls").isNotNull())
     total = classes.agg(F.coalesce(F.sum(F.col("n") / 5 + 1), F.lit(0.0))).first()[0]
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 2_000_000) + 1)
+    partitions = _partitions(packed.sparkSession, total)
 
     links = _verified(classes, store_rows(_leaders(classes, percent), "leaders"), percent)
     found, known = _known(links)
