@@ -34,8 +34,15 @@ REPORTING = frozenset("said says wrote writes quoted quote called calls told ask
 CONTEXT_WORDS = 30
 #: Share of its weight that a quoted or reported hit keeps.
 QUOTED = 0.1
-#: Byte table that blanks ASCII signs; other bytes are word bytes, so that splitting needs no pattern.
-_BLANK = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
+#: Byte table that blanks ASCII signs: what WORD finds in ASCII texts, without a pattern.
+_BLANK = bytes(c if chr(c).isalnum() else 0x20 for c in range(128)) + bytes(range(128, 256))
+
+
+def words_of(lower: str) -> list[str]:
+    """The words of a lower-case text, as the lexicon is learnt from them."""
+    if lower.isascii():
+        return lower.encode().translate(_BLANK).decode("ascii").split()
+    return WORD.findall(lower)
 
 
 class Lexicon:
@@ -179,18 +186,18 @@ class Scorer:
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.seen: dict[bytes, tuple[float, float] | None] = {}
+        self.seen: dict[str, tuple[float, float] | None] = {}
 
-    def _look_up(self, word: bytes) -> tuple[float, float] | None:
+    def _look_up(self, word: str) -> tuple[float, float] | None:
         if len(self.seen) > 400_000:
             self.seen.clear()
-        found = self.lexicon.match(word.decode("utf-8", "replace"))
+        found = self.lexicon.match(word)
         self.seen[word] = out = found if found[0] or found[1] else None
         return out
 
     def features(self, text: str) -> np.ndarray:
         lower = text.lower()
-        words = lower.encode().translate(_BLANK).split()
+        words = words_of(lower)
         seen, look_up = self.seen, self._look_up
         hits = []
         for i, word in enumerate(words):
@@ -204,7 +211,7 @@ class Scorer:
             return out  # texts without hits score alike, whatever their length
         out[0] = math.log1p(len(words))
         quoted = self._quoted(lower, hits, words)
-        best: dict[bytes, float] = {}
+        best: dict[str, float] = {}
         places, weights = [], []
         for (i, word, exact, fuzzy), q in zip(hits, quoted):
             weight = (exact or 0.8 * fuzzy) * (QUOTED if q else 1.0)
@@ -226,22 +233,22 @@ class Scorer:
         return out
 
     @staticmethod
-    def _quoted(lower: str, hits: list, words: list[bytes]) -> list[bool]:
+    def _quoted(lower: str, hits: list, words: list[str]) -> list[bool]:
         """Whether each hit stands inside quotation marks of its line, or soon after a reporting word."""
         inside: list[bool] = []
-        if any(c in lower for c in "\"“”«»„"):
+        if any(c in lower for c in "\"“”«»„"):  # neither marks nor line ends stand inside words
             for line in lower.split("\n"):
                 opened = False
                 last = 0
                 for m in re.finditer(r"[\"“”«»„]", line):
-                    inside += [opened] * len(line[last : m.start()].encode().translate(_BLANK).split())
+                    inside += [opened] * len(words_of(line[last : m.start()]))
                     last = m.end()
                     closes = opened and m.group() in "\"”“»" and '"“”«»'.count(m.group())
                     opened = not closes and (m.group() in '"“«„' or opened)
-                inside += [False] * len(line[last:].encode().translate(_BLANK).split())
-        if len(inside) != len(words):
+                inside += [False] * len(words_of(line[last:]))
+        else:
             inside = [False] * len(words)
-        return [inside[h[0]] or any(w.decode("utf-8", "replace") in REPORTING for w in words[max(0, h[0] - 4) : h[0]]) for h in hits]
+        return [inside[h[0]] or any(w in REPORTING for w in words[max(0, h[0] - 4) : h[0]]) for h in hits]
 
 
 def train(documents: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) -> tuple[Lexicon, Network]:
