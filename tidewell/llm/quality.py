@@ -79,10 +79,6 @@ def context_sums(documents: DataFrame) -> np.ndarray:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = WORDS + SHAPES
         total = np.zeros((rows, DIM), np.int64)
-        near = [(np.flatnonzero(base[:, d] > 0), np.flatnonzero(base[:, d] < 0)) for d in range(DIM)]
-        plus = np.stack([np.isin(np.arange(rows), p) for p, _ in near], 1).astype(np.float32)
-        minus = np.stack([np.isin(np.arange(rows), m) for _, m in near], 1).astype(np.float32)
-        signed = plus - minus
         used = False
         for batch in batches:
             for _, data, offsets in text_slices(batch):
@@ -94,11 +90,10 @@ def context_sums(documents: DataFrame) -> np.ndarray:
                     if len(doc) <= gap:
                         continue
                     inside = doc[gap:] == doc[:-gap]
-                    # A word sees its neighbours' shapes and words: counts of pairs, then one product.
-                    for mine, theirs in ((word, shape), (shape, word)):
-                        left, right = mine[:-gap][inside], theirs[gap:][inside]
-                        total += _pair_sums(left, right, signed)
-                        total += _pair_sums(mine[gap:][inside], theirs[:-gap][inside], signed)
+                    # A word sees its neighbours' shapes and words, a shape the words around it.
+                    for mine, theirs in ((word, shape), (shape, word), (word, word)):
+                        total += _pair_sums(mine[:-gap][inside], theirs[gap:][inside], base)
+                        total += _pair_sums(mine[gap:][inside], theirs[:-gap][inside], base)
         if used:
             at = np.flatnonzero(np.abs(total).sum(1))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32())] + [pa.array(total[at, d]) for d in range(DIM)], ["word"] + [f"d{d}" for d in range(DIM)])
@@ -111,17 +106,15 @@ def context_sums(documents: DataFrame) -> np.ndarray:
     return out
 
 
-def _pair_sums(mine: np.ndarray, theirs: np.ndarray, signed: np.ndarray) -> np.ndarray:
-    """Sum of the neighbours' index vectors for each row, through counts of (row, neighbour) pairs."""
-    rows = len(signed)
-    low, high = (mine, theirs) if mine.max() >= WORDS else (theirs, mine)
-    grid = np.bincount((low - WORDS) * WORDS + high, minlength=SHAPES * WORDS).reshape(SHAPES, WORDS).astype(np.float32)
-    out = np.zeros((rows, signed.shape[1]), np.int64)
-    if mine.max() >= WORDS:
-        out[WORDS:] = np.rint(grid @ signed[:WORDS]).astype(np.int64)
-    else:
-        out[:WORDS] = np.rint(grid.T @ signed[WORDS:]).astype(np.int64)
-    return out
+def _pair_sums(mine: np.ndarray, theirs: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Sum of the neighbours' index vectors for each row: each adds its few places that aren't 0."""
+    rows, dim = base.shape
+    out = np.zeros(rows * dim, np.int64)
+    for sign in (1, -1):
+        places = np.nonzero(base == sign)[1].reshape(rows, -1)
+        for place in places.T:  # every row has equally many
+            out += sign * np.bincount(mine * dim + place[theirs], minlength=rows * dim)
+    return out.reshape(rows, dim)
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
