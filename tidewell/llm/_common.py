@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,17 +16,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel handles at once; temporary arrays are a small multiple of it.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: Rows of a batch that a step gets at once.
+BATCH_ROWS = 1024
+#: Folders that ``store_rows`` wrote in this session and ``scratch`` hasn't dropped.
+_STORED: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where that is unset, a session of one machine (as in
+    tests) gets a local one; on a cluster that would be one machine's disk, so it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -40,10 +50,55 @@ def store_rows(df: DataFrame, label: str) -> DataFrame:
     multiply them, and after a few rounds the planner is busy with numbers of thousands of digits."""
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"tidewell-{label}-{os.urandom(8).hex()}")
+    _STORED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drops at its end what ``store_rows`` wrote inside: for use around an action that makes its result final."""
+    first = len(_STORED)
+    try:
+        yield
+    finally:
+        for path in _STORED[first:]:
+            drop_folder(spark, path)
+        del _STORED[first:]
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def map_batches(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = BATCH_ROWS) -> DataFrame:
+    """``df.mapInArrow`` in batches of at most ``rows`` rows. At the end of a task its worker hands freed memory
+    back: workers live on and would otherwise keep the most that any of their tasks took."""
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, max(batch.num_rows, 1), rows):
+                yield batch.slice(first, rows)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(small(batches))
+        finally:
+            hand_back_memory()
+
+    return df.mapInArrow(own, schema)
+
+
+def hand_back_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def pack_text(df: DataFrame) -> DataFrame:
     """``df`` with its text column compressed (null as empty): what checkpoints and shuffles then carry is
     less than half as large. ``unpack_text`` undoes it inside a task."""
@@ -56,7 +111,7 @@ def pack_text(df: DataFrame) -> DataFrame:
             packed = pa.array([press.compress(raw) for raw in column_bytes(batch, "text")], pa.binary())
             yield pa.RecordBatch.from_arrays([packed if n == "text" else batch.column(n) for n in names], names)
 
-    return df.mapInArrow(step, schema)
+    return map_batches(df, step, schema)
 
 
 def unpack_text(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import column_bytes, is_training_row, stable_columns, text_slices
+from tidewell.llm._common import column_bytes, is_training_row, map_batches, stable_columns, text_slices
 
 BUCKETS = 2048
 #: Training rows per language; the bound of the sample that classifiers are fitted on.
@@ -125,7 +125,7 @@ def train(documents: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> C
                 at += len(x)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    rows = known.filter(u < chance).select("lang", "text").mapInArrow(features, "lang string, x binary").limit(2 * rows_per_language * len(languages)).toArrow()
+    rows = map_batches(known.filter(u < chance).select("lang", "text"), features, "lang string, x binary").limit(2 * rows_per_language * len(languages)).toArrow()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
     y = np.searchsorted(languages, rows.column("lang").to_pylist())
     order = np.argsort([hash_row(r) for r in x], kind="stable")
@@ -148,8 +148,9 @@ def identify_languages(documents: DataFrame, model: CodeModel | None = None) ->
     """(doc_id, held_out, lang_pred, score, ambiguous) for every row of ``documents``.
 
     Null texts and texts without a letter get ``und`` with score 0; where no training row has a language
-    every text does. A language seen alone is always answered. Equal texts get equal answers; null ids
-    count as held out. Extra columns are ignored.
+    every text does. A language seen alone is always answered. Equal texts get equal answers, repeated rows one
+    each; of languages that tie the first in order is answered. Texts of any length are read whole; null ids
+    count as held out; an empty table gives no rows. Extra columns are ignored.
     """
     model = model or train(documents)
     held = documents.sparkSession.sparkContext.broadcast(model)
@@ -170,4 +171,4 @@ def identify_languages(documents: DataFrame, model: CodeModel | None = None) ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names), pa.array(scores, pa.float64()), pa.array(unsure)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     rows = stable_columns(documents, "doc_id", "text").select("doc_id", (~is_training_row()).alias("held_out"), "text")
-    return rows.mapInArrow(step, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return map_batches(rows, step, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import fold, pack_text, store_rows, unpack_text
+from tidewell.llm._common import fold, map_batches, pack_text, store_rows, unpack_text
 
 ORDER = ("doc_id", "text_crc32", "size", "uid")
 
@@ -130,7 +130,7 @@ def _with_text(placed: DataFrame) -> DataFrame:
         for batch in unpack_text(batches):
             yield pa.RecordBatch.from_arrays([c.cast(pa.string()) if n == "text" else c for n, c in zip(names, batch.columns)], names)
 
-    return placed.mapInArrow(step, schema)
+    return map_batches(placed, step, schema)
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
