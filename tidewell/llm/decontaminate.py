@@ -1,22 +1,24 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
-The automaton is built once from the items (size checked; beyond ``max_words`` the items are cut into
-groups and the documents pass one automaton after the other), broadcast, and every document streams its
-words through it: the automaton state gives the longest item passage that ends at each word. Words inside
+The automaton is built once from the items and broadcast (their words are counted first; beyond
+``max_words`` the items are dealt into blocks, each with its own automaton and its own pass over the
+documents, so that one automaton is held at a time), and every document streams its words through it: the automaton state gives the longest item passage that ends at each word. Words inside
 an occurrence of a window (``window`` consecutive item words, or a whole shorter item) are hit.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import column_bytes, fold, stable_columns, unfold
+from tidewell.llm._common import column_bytes, cut_lineage, fold, map_batches, stable_columns, store_rows, unfold
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Lower-cases A-Z and blanks every other byte that is no word byte: bytes.split() then yields the words.
@@ -25,6 +27,8 @@ TO_WORDS = bytes(
     for c in range(256)
 )
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
+#: Words of items in one automaton: by measurement about 800 bytes each in every process that holds it.
+MAX_WORDS = 150_000
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -139,22 +143,18 @@ class ItemAutomaton:
         return hit, found
 
 
-def item_groups(items: DataFrame, window: int, max_words: int) -> list[ItemAutomaton]:
-    """Automata over all items, each over at most ``max_words`` words (or one longer item)."""
-    rows = stable_columns(items, "item_id", "text").select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text")
-    )
-    groups, held, words = [], [], 0
-    for row in rows.dropna(subset=["text"]).toLocalIterator():
-        raw = bytes(row.text)
-        n = len(words_of(raw))
-        if held and words + n > max_words:
-            groups.append(ItemAutomaton(held, window))
-            held, words = [], 0
-        held.append((row.item_id, raw))
-        words += n
-    groups.append(ItemAutomaton(held, window))
-    return groups
+def _item_rows(items: DataFrame, max_words: int) -> tuple[DataFrame, int]:
+    """(block, item_id, text) of the items that have a text, and the number of blocks: about ``max_words`` words
+    each, dealt out by hash."""
+    text = F.col("text").cast("string")
+    rows = stable_columns(items, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), text.alias("text")).filter(F.col("text").isNotNull())
+    words = rows.agg(F.coalesce(F.sum(F.regexp_count(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))), F.lit(0))).first()[0]
+    blocks = max(1, -(-words // max_words))
+    return rows.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int").alias("block"), "item_id", "text"), blocks
+
+
+def _automaton(rows: DataFrame, block: int, window: int) -> ItemAutomaton:
+    return ItemAutomaton(((r.item_id, r.text.encode()) for r in rows.filter(F.col("block") == block).toLocalIterator()), window)
 
 
 def _spans(hit: np.ndarray) -> list[int]:
@@ -163,63 +163,119 @@ def _spans(hit: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def mark_contamination(documents: DataFrame, items: DataFrame, window: int = 10, max_words: int = 2_000_000) -> DataFrame:
-    """Documents' columns plus ``n_words``, ``hit_spans`` (flat word starts and ends) and ``hit_items``.
+#: Of a batch's rows: number of words, hit spans, items found.
+Marks = tuple[list[int], list[list[int]], list[list[str]]]
 
-    Null and empty texts have no words. Repeated rows are marked alike, item ids are compared as strings,
-    equal ids count once, null ids as ''. No items: nothing is hit. The documents are read once and not
-    shuffled; each group of items adds one streaming step.
-    """
+
+def _marks(own: ItemAutomaton, texts: list[bytes]) -> Marks:
+    n_words, spans, found = [], [], []
+    for raw in texts:
+        words = words_of(raw)
+        hit, owners = own.hits(words)
+        n_words.append(len(words))
+        spans.append(_spans(hit))
+        found.append(sorted(owners))
+    return n_words, spans, found
+
+
+def _joined(texts: list[bytes], parts: list[list[dict] | None]) -> Marks:
+    """Marks of texts from those that every block of items left."""
+    n_words, spans, found = [], [], []
+    for raw, own in zip(texts, parts):
+        n_words.append(len(words_of(raw)))
+        hit = np.zeros(n_words[-1], bool)
+        for part in own or []:
+            for a, b in zip(part["spans"][::2], part["spans"][1::2]):
+                hit[a:b] = True
+        spans.append(_spans(hit))
+        found.append(sorted({x for part in own or [] for x in part["items"]}))
+    return n_words, spans, found
+
+
+def _over(documents: DataFrame, items: DataFrame, window: int, max_words: int, finish: Callable[[pa.RecordBatch, list[bytes], Marks], pa.RecordBatch], schema) -> DataFrame:
+    """``finish`` over the batches of ``documents`` and their marks. Items of one block are matched on the way;
+    for more, each block is a pass that leaves only what it hit, and these marks are joined to their documents."""
     spark = documents.sparkSession
-    out = documents
-    marks = ("n_words", "hit_spans", "hit_items")
-    for automaton in item_groups(items, window, max_words):
-        held = spark.sparkContext.broadcast(automaton)
-        first = "hit_spans" not in out.columns or out is documents
-        base = [f for f in out.schema.fields if not (first and f.name in marks) and f.name not in marks]
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base] + ["n_words long", "hit_spans array<int>", "hit_items array<string>"])
+    rows, blocks = _item_rows(items, max_words)
+    if blocks == 1:
+        held = spark.sparkContext.broadcast(_automaton(rows, 0, window))
 
-        def step(batches: Iterator[pa.RecordBatch], first: bool = first, held=held, names=tuple(f.name for f in base)) -> Iterator[pa.RecordBatch]:
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = held.value
             for batch in batches:
                 texts = column_bytes(batch, "text")
-                before = None if first else (batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist())
-                n_words, spans, found = [], [], []
-                for i, raw in enumerate(texts):
-                    words = words_of(raw)
-                    hit, owners = own.hits(words)
-                    if before:
-                        for a, b in zip(before[0][i][::2], before[0][i][1::2]):
-                            hit[a:b] = True
-                        owners |= set(before[1][i])
-                    n_words.append(len(words))
-                    spans.append(_spans(hit))
-                    found.append(sorted(owners))
-                arrays = [batch.column(n) for n in names]
-                arrays += [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, [*names, *marks])
-
-        out = out.mapInArrow(step, schema)
-    return out
-
-
-def contamination_report(documents: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """One row per document: word counts, hit words, number and digest of the items found in it."""
-    marked = mark_contamination(stable_columns(documents, "doc_id", "text"), items, window)
-    n_hit = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(F.size("hit_spans") / 2 - 1, F.lit(-1)).cast("int")),
-        F.lit(0).cast("long"),
-        lambda acc, i: acc + F.when(F.size("hit_spans") > 0, F.try_element_at("hit_spans", 2 * i + 2) - F.try_element_at("hit_spans", 2 * i + 1)).otherwise(0),
-    )
-    ids = F.array_join(F.array_sort("hit_items"), ",")
-    return marked.select(
-        "doc_id",
-        "n_words",
-        F.when(F.size("hit_spans") > 0, n_hit).otherwise(F.lit(0)).cast("long").alias("n_hit"),
-        F.size("hit_items").cast("long").alias("n_items"),
-        F.sha2(ids, 256).alias("items_sha256"),
-        (F.size("hit_spans") > 0).alias("contaminated"),
-    )
+                yield finish(batch, texts, _marks(own, texts))
+
+        return map_batches(documents, step, schema)
+
+    names = documents.columns
+    docs = cut_lineage(documents.select(F.monotonically_increasing_id().alias("tidewell_uid"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")))
+    texts_only = docs.select("tidewell_uid", "row.text")
+    passes = []
+    for block in range(blocks):
+        held = spark.sparkContext.broadcast(_automaton(rows, block, window))
+
+        def look(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            own = held.value
+            for batch in batches:
+                _, spans, found = _marks(own, column_bytes(batch, "text"))
+                at = [i for i, x in enumerate(spans) if x]
+                uid = batch.column("tidewell_uid").take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([uid, pa.array([spans[i] for i in at], pa.list_(pa.int32())), pa.array([found[i] for i in at], pa.list_(pa.string()))], ["tidewell_uid", "spans", "items"])
+
+        passes.append(store_rows(map_batches(texts_only, look, "tidewell_uid long, spans array<int>, items array<string>"), "hits"))
+        held.destroy()
+    hits = reduce(DataFrame.union, passes)
+    parts = hits.groupBy("tidewell_uid").agg(F.collect_list(F.struct("spans", "items")).alias("parts"))  # one of each block at most
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([batch.column(n) for n in names], names)
+            texts = column_bytes(own, "text")
+            yield finish(own, texts, _joined(texts, batch.column("tidewell_parts").to_pylist()))
+
+    marked = docs.join(parts, "tidewell_uid", "left").select("row.*", F.col("parts").alias("tidewell_parts"))
+    return map_batches(marked, join, schema)
+
+
+def mark_contamination(documents: DataFrame, items: DataFrame, window: int = 10, max_words: int = MAX_WORDS) -> DataFrame:
+    """Documents' columns plus ``n_words``, ``hit_spans`` (flat word starts and ends) and ``hit_items``.
+
+    Null and empty texts have no words. Repeated rows are marked alike, item ids are compared as strings,
+    equal ids count once, null ids as ''. No items: nothing is hit. Documents are read once for each
+    ``max_words`` words of items, whose automaton then is the one that driver and workers hold; columns of
+    ``documents`` with the names of the marks are replaced.
+    """
+    marks = ("n_words", "hit_spans", "hit_items")
+    base = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c not in marks])
+    names = base.columns
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields] + ["n_words long", "hit_spans array<int>", "hit_items array<string>"])
+
+    def finish(batch: pa.RecordBatch, texts: list[bytes], own: Marks) -> pa.RecordBatch:
+        arrays = [pa.array(c, t) for c, t in zip(own, (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*names, *marks])
+
+    return _over(base, items, window, max_words, finish, schema)
+
+
+def _hit_words(spans: list[int]) -> int:
+    return sum(spans[1::2]) - sum(spans[::2])
+
+
+def contamination_report(documents: DataFrame, items: DataFrame, window: int = 10, max_words: int = MAX_WORDS) -> DataFrame:
+    """One row per document: word counts, hit words, number and digest of the items found in it.
+
+    Nulls, empty texts, repeated rows and items as in ``mark_contamination``; null doc_ids stay null, further
+    columns are ignored, an empty table gives no rows. Texts of any length are streamed whole.
+    """
+
+    def finish(batch: pa.RecordBatch, texts: list[bytes], own: Marks) -> pa.RecordBatch:
+        n_words, spans, found = own
+        digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]
+        arrays = [pa.array(n_words, pa.int64()), pa.array([_hit_words(x) for x in spans], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(digests, pa.string()), pa.array([bool(x) for x in spans], pa.bool_())]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    return _over(stable_columns(documents, "doc_id", "text"), items, window, max_words, finish, SCHEMA)
 
 
 def _cut(raw: bytes, spans: list[int]) -> bytes:
@@ -233,24 +289,23 @@ def _cut(raw: bytes, spans: list[int]) -> bytes:
     return b"".join(out)
 
 
-def remove_contamination(documents: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
+def remove_contamination(documents: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, max_words: int = MAX_WORDS) -> DataFrame:
     """Documents without benchmark passages: hit spans are cut out of the text, and a document whose hit
-    share exceeds ``max_coverage`` goes. Clean documents come out unchanged; ``n_chars`` follows the text.
+    share exceeds ``max_coverage`` goes. Clean documents come out unchanged, null and empty texts among them;
+    ``n_chars`` follows the text. Repeated rows are each cut; an empty table stays empty.
     """
-    marked = mark_contamination(fold(documents), items, window)
-    rest = marked.schema["rest"].dataType.simpleString()
+    folded = fold(documents)
+    rest = folded.schema["rest"].dataType.simpleString()
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, n_words = batch.column("hit_spans").to_pylist(), batch.column("n_words").to_pylist()
-            share = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-            keep = [i for i, s in enumerate(share) if s <= max_coverage * n_words[i]]
-            kept = batch.take(pa.array(keep, pa.int64()))
-            texts, changed = kept.column("text"), [bool(spans[i]) for i in keep]
-            if any(changed):
-                texts = pa.array([_cut(t.as_py().encode(), spans[i]).decode() if spans[i] else t.as_py() for i, t in zip(keep, texts)], pa.string())
-            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), texts, kept.column("rest"), pa.array(changed, pa.bool_())], ["doc_id", "text", "rest", "changed"])
-
-    out = marked.mapInArrow(step, f"doc_id {id_type}, text string, rest {rest}, changed boolean")
+    def finish(batch: pa.RecordBatch, texts: list[bytes], own: Marks) -> pa.RecordBatch:
+        n_words, spans, _ = own
+        keep = [i for i, x in enumerate(spans) if _hit_words(x) <= max_coverage * n_words[i]]
+        kept = batch.take(pa.array(keep, pa.int64()))
+        column, changed = kept.column("text"), [bool(spans[i]) for i in keep]
+        if any(changed):
+            column = pa.array([_cut(texts[i], spans[i]).decode() if spans[i] else t.as_py() for i, t in zip(keep, column)], pa.string())
+        return pa.RecordBatch.from_arrays([kept.column("doc_id"), column, kept.column("rest"), pa.array(changed, pa.bool_())], ["doc_id", "text", "rest", "changed"])
+
+    out = _over(folded, items, window, max_words, finish, f"doc_id {id_type}, text string, rest {rest}, changed boolean")
     return unfold(out, documents.columns, F.col("changed"))
