@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import column_bytes, cut_lineage, stable_columns, store_rows
+from tidewell.llm._common import column_bytes, cut_lineage, map_batches, stable_columns, store_rows
 
 ROW = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -54,10 +54,11 @@ class _Parts(HTMLParser):
         if tag in _BREAK:
             self.flush()
         if tag == "figure":
+            self._end_caption()
             self.figure = len(self.parts)
         elif tag == "figcaption":
             self.flush()
-            self.caption = []
+            self.caption = [] if self.figure is not None else None  # outside a figure it is plain text
         elif tag in _MEDIA and (ref := dict(attrs).get("src")):
             self.flush()
             alt = dict(attrs).get("alt")
@@ -68,6 +69,8 @@ class _Parts(HTMLParser):
             self.skip = max(0, self.skip - 1)
         elif tag == "figcaption":
             self._end_caption()
+            if not self.skip:
+                self.flush()
         elif tag == "figure":
             self._end_caption()
             self.figure = None
@@ -79,7 +82,7 @@ class _Parts(HTMLParser):
             return
         caption = " ".join("".join(self.caption).split()) or None
         self.caption = None
-        for part in self.parts[self.figure or 0 :]:
+        for part in self.parts[self.figure :]:
             if part["kind"] == "media" and caption:
                 part["caption"] = caption
 
@@ -108,7 +111,7 @@ def interleave(pages: DataFrame, html: str = "html") -> DataFrame:
             parts = [parse_parts(raw.decode("utf-8", "replace")) for raw in column_bytes(batch, html)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(_PART))], [*names, "parts"])
 
-    return pages.mapInArrow(step, schema)
+    return map_batches(pages, step, schema)
 
 
 def encode_samples(payload: bytes) -> bytes:
@@ -156,7 +159,7 @@ def store_media(documents: DataFrame) -> DataFrame:
                 arrays = [pa.array([hashlib.sha256(raw).hexdigest() for raw in part]), pa.array([len(raw) for raw in part], pa.int64()), pa.array([encode_samples(pad(raw)) for raw in part], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["digest", "n_bytes", "media"])
 
-    return store_rows(stable_columns(documents, "text").mapInArrow(step, "digest string, n_bytes long, media binary"), "media")
+    return store_rows(map_batches(stable_columns(documents, "text"), step, "digest string, n_bytes long, media binary"), "media")
 
 
 FEATURES = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -178,13 +181,13 @@ def read_media(stored: DataFrame) -> DataFrame:
             types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in FEATURES.split(", ")])
 
-    rows = stored.select("digest", "n_bytes", "media").mapInArrow(step, FEATURES)
+    rows = map_batches(stored.select("digest", "n_bytes", "media"), step, FEATURES)
     return rows.groupBy("digest").agg(*[F.min(x.split()[0]).alias(x.split()[0]) for x in FEATURES.split(", ")[1:]])
 
 
 def resolve(sequences: DataFrame, features: DataFrame, scheme: str = "media:") -> DataFrame:
     """A row per media part of ``sequences`` (with ``parts``) whose digest is known, beside its position,
-    caption and features. A digest that many references share is split by the adaptive join: both sides
+    caption and features; ``resolve_sequences`` keeps text parts and unknown references too. A digest that many references share is split by the adaptive join: both sides
     are plain shuffles."""
     refs = sequences.select(*[c for c in sequences.columns if c not in ("parts", "html")], F.explode("parts").alias("part"))
     refs = refs.filter((F.col("part.kind") == "media") & F.col("part.ref").startswith(scheme))
@@ -192,12 +195,32 @@ def resolve(sequences: DataFrame, features: DataFrame, scheme: str = "media:") -
     return refs.join(cut_lineage(features), "digest")
 
 
+PAYLOAD = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def resolve_sequences(sequences: DataFrame, features: DataFrame, scheme: str = "media:") -> DataFrame:
+    """``sequences`` with whole interleaved ``parts``: every text and media part in its place, media parts with
+    their caption and ``payload``, a struct of the features of their digest (null where the digest is unknown or
+    the reference has another scheme). Pages without parts keep an empty array.
+
+    Only positions and digests are joined: a digest that many pages share is a plain shuffled join that adaptive
+    execution splits, and what meets again for a page is bounded by that page.
+    """
+    pages = cut_lineage(sequences.withColumn("tidewell_uid", F.monotonically_increasing_id()))
+    part = pages.select("tidewell_uid", F.explode("parts").alias("part")).filter((F.col("part.kind") == "media") & F.col("part.ref").startswith(scheme))
+    refs = part.select("tidewell_uid", F.col("part.pos").alias("pos"), F.substring("part.ref", len(scheme) + 1, 64).alias("digest"))
+    found = refs.join(cut_lineage(features), "digest").groupBy("tidewell_uid").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct(*PAYLOAD)))).alias("tidewell_found"))
+    rows = pages.join(found, "tidewell_uid", "left")
+    parts = F.transform("parts", lambda p: p.withField("payload", F.try_element_at("tidewell_found", p["pos"])))
+    return rows.withColumn("parts", parts).drop("tidewell_uid", "tidewell_found")
+
+
 def media_digests(documents: DataFrame) -> DataFrame:
     """Every document as a page with one figure: its text stored as media, found again by digest.
 
     Null text is stored as empty; empty text is one row of zero samples. Equal texts share one digest and
-    all values; repeated rows stay repeated; null ids stay null. Extra columns are ignored, an empty table
-    gives no rows.
+    all values; repeated rows stay repeated; null ids stay null. Texts of any length are one image. Extra
+    columns are ignored, an empty table gives no rows.
     """
     own = stable_columns(documents, "doc_id", "text")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("without id"))
