@@ -19,14 +19,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import stable_columns, store_rows
+from tidewell.llm._common import map_batches, stable_columns, store_rows
 
 WINDOW = 1024
 PIECES = "doc_id long, start long, length int, packed_ids binary, doc_tokens long"
 #: Pieces of an Arrow batch, which carries their ids.
 BATCH_PIECES = 2048
-#: Rank buckets per length, so that one length that a third of the pieces share is not one task's work.
-BUCKETS = 64
+#: Pieces of one length that are ranked together; lengths of more are dealt into buckets.
+BUCKET_PIECES = 20_000
+#: Buckets in all, beyond one for each length: where the corpus would need more, they grow instead.
+MOST_BUCKETS = 200_000
 
 
 class Encoder:
@@ -82,7 +84,7 @@ def cut_pieces(documents: DataFrame, window: int = WINDOW, end_id: int = 0, toke
         if out:
             yield batch_of(out)
 
-    return stable_columns(documents, "doc_id", "text").mapInArrow(step, PIECES)
+    return map_batches(stable_columns(documents, "doc_id", "text"), step, PIECES)
 
 
 def combinations(lengths: list[int], window: int, step: int = 16) -> list[tuple[int, ...]]:
@@ -176,29 +178,36 @@ def pack_documents(documents: DataFrame, window: int = WINDOW, tokenizer: tuple[
     columns are ignored.
     """
     spark = documents.sparkSession
-    pieces = cut_pieces(documents, window, tokenizer=tokenizer)
-    bucket = F.pmod(F.xxhash64("doc_id", "start", "packed_ids", F.monotonically_increasing_id()), F.lit(BUCKETS)).cast("int")
-    pieces = store_rows(pieces.withColumn("bucket", bucket), "pieces")  # ids above are fixed from here on
-
-    counts = pieces.groupBy("length", "bucket").count()  # at most window * BUCKETS rows
-    by_bucket = {(r.length, r.bucket): r["count"] for r in counts.collect()}
-    histogram = np.zeros(window + 1, np.int64)
-    first = np.zeros((window + 1) * BUCKETS, np.int64)
-    for (length, own), n in sorted(by_bucket.items()):
-        first[length * BUCKETS + own] = histogram[length]
+    pieces = cut_pieces(documents, window, tokenizer=tokenizer).withColumn("uid", F.monotonically_increasing_id())
+    pieces = store_rows(pieces, "pieces")  # numbers are fixed from here on
+
+    by_length = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``window`` rows
+    share = max(BUCKET_PIECES, sum(by_length.values()) // MOST_BUCKETS)
+    split = [(length, n // share + 1) for length, n in sorted(by_length.items())]
+    n_buckets = F.broadcast(spark.createDataFrame(split, "length int, n_buckets long"))
+    pieces = pieces.join(n_buckets, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "uid"), F.col("n_buckets")))
+    base = np.zeros(window + 2, np.int64)
+    for length, n in split:
+        base[length + 1] = n
+    base = np.cumsum(base)
+    first, histogram = np.zeros(base[-1], np.int64), np.zeros(window + 1, np.int64)
+    for length, bucket, n in sorted(tuple(r) for r in pieces.groupBy("length", "bucket").count().collect()):
+        first[base[length] + bucket] = histogram[length]
         histogram[length] += n
-    held = spark.sparkContext.broadcast((first, _places(plan_sequences(histogram, window), window)))
+    held = spark.sparkContext.broadcast((base, first, _places(plan_sequences(histogram, window), window)))
 
     # Ranks are counted as the sorted rows stream by, so that no group of pieces is held with its ids.
-    ranked = pieces.repartition("length", "bucket").sortWithinPartitions("length", "bucket", "doc_id", "start", "packed_ids")
+    ranked = pieces.repartition("length", "bucket").sortWithinPartitions("length", "bucket", "doc_id", "start", "uid")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, own = held.value
+        base, first, own = held.value
         open_up = zstandard.ZstdDecompressor()
         group, seen = -1, 0
-        for batch in (b.slice(k, BATCH_PIECES) for b in batches for k in range(0, b.num_rows, BATCH_PIECES)):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
             length = batch.column("length").to_numpy().astype(np.int64)
-            groups = length * BUCKETS + batch.column("bucket").to_numpy()
+            groups = base[length] + batch.column("bucket").to_numpy()
             edges = np.r_[0, np.flatnonzero(groups[1:] != groups[:-1]) + 1]
             n = np.arange(len(groups)) - np.repeat(edges, np.diff(np.r_[edges, len(groups)]))
             if groups[0] == group:
@@ -213,7 +222,7 @@ def pack_documents(documents: DataFrame, window: int = WINDOW, tokenizer: tuple[
             arrays += [batch.column("doc_tokens"), pa.array(sequence), pa.array(own["offset"][at])]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return map_batches(ranked, place, "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long", BATCH_PIECES)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
