@@ -10,16 +10,17 @@ small calibrated network turns the sums into a probability.
 from __future__ import annotations
 
 import math
+import operator
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import is_training_row, labelled_sample, stable_columns
+from tidewell.llm._common import is_training_row, labelled_sample, map_batches, stable_columns, store_rows
 from tidewell.llm.quality import Network, fit_network
 
 #: Bound of the labelled sample that the lexicon and the network are fitted on.
@@ -28,7 +29,10 @@ WORD = re.compile(r"[^\W_]+")
 STEM_LENGTHS = range(4, 12)
 #: A stem must open so many different words of toxic rows.
 STEM_TERMS = 4
+#: Misspellings are sought of terms with so many letters or more: an edit of a shorter one is too often another word.
 FUZZY_LENGTH = 5
+#: Bound of the lexicon.
+LEXICON_TERMS = 50_000
 #: Words that introduce someone else's words.
 REPORTING = frozenset("said says wrote writes quoted quote called calls told asked reported claims dijo dice escribió dit écrit sagte schrieb".split())
 CONTEXT_WORDS = 30
@@ -67,11 +71,17 @@ class Lexicon:
         self.start = self._state(self._closed({(0, 0)}), 0.0)
 
     def __getstate__(self) -> dict:
-        return {"terms": self._all(self.term), "stems": self._all(self.stem), "common": self.common}
+        return {"terms": self.term_weights(), "stems": self.stem_weights(), "common": self.common}
 
     def __setstate__(self, state: dict) -> None:
         self.__init__(state["terms"], state["stems"], state["common"])
 
+    def term_weights(self) -> dict[str, float]:
+        return self._all(self.term)
+
+    def stem_weights(self) -> dict[str, float]:
+        return self._all(self.stem)
+
     def _all(self, weights: list[float]) -> dict[str, float]:
         out, stack = {}, [(0, "")]
         while stack:
@@ -144,38 +154,59 @@ class Lexicon:
         return own, 0.0 if own or word in self.common else fuzzy
 
 
-def learn_lexicon(texts: list[str], toxic: np.ndarray, least: int = 3, odds: float = 6.0) -> Lexicon:
-    """Words and stems that stand in toxic rows ``odds`` times as often as in others; weights are log odds."""
-    n_toxic, n_other = int(toxic.sum()), int((1 - toxic).sum())
-    in_toxic: Counter[str] = Counter()
-    in_other: Counter[str] = Counter()
-
-    def entries(text: str) -> set[str]:
-        words = {w for w in WORD.findall(text.lower()) if len(w) >= 3 and not any(c.isdigit() for c in w)}
-        return words | {w[:k] + "*" for w in words for k in STEM_LENGTHS if k < len(w)}
-
-    for text, y in zip(texts, toxic):
-        if y:
-            in_toxic.update(entries(text))
-    kept = {w: n for w, n in in_toxic.items() if n >= least}
-    opens = Counter(w[:k] for w in in_toxic if w[-1] != "*" for k in STEM_LENGTHS if k < len(w))
-    kept = {w: n for w, n in kept.items() if w[-1] != "*" or opens[w[:-1]] >= STEM_TERMS}
-    common: Counter[str] = Counter()
-    for text, y in zip(texts, toxic):
-        if not y:
-            words = entries(text)
-            in_other.update(w for w in words if w in kept)
-            common.update(w for w in words if w[-1] != "*")
-    weights = {}
-    for word, n in kept.items():
-        lift = math.log((n + 0.2) / (n_toxic + 1)) - math.log((in_other[word] + 0.5) / (n_other + 1))
-        # The lower end of a rough interval, so that a chance excess of few rows does not make a term.
-        lift -= 1.3 * math.sqrt(1 / n + 1 / (in_other[word] + 1.0) if in_other[word] else 1 / n)
-        if lift >= math.log(odds) * 0.7:
-            weights[word] = round(lift, 4)
+def _entries(text: str) -> set[str]:
+    """Words of a text, and their possible stems marked by a star."""
+    words = {w for w in words_of(text.lower()) if len(w) >= 3 and not any(c.isdigit() for c in w)}
+    return words | {w[:k] + "*" for w in words for k in STEM_LENGTHS if k < len(w)}
+
+
+def _entry_counts(sample: DataFrame) -> DataFrame:
+    """(entry, t0, t1, o0, o1): in how many toxic and other rows of either half of the sample an entry stands."""
+    fields = ["entry", "t0", "t1", "o0", "o1"]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[str, list[int]] = {}
+            for text, y, half in zip(batch.column("text"), batch.column("y").to_pylist(), batch.column("half").to_pylist()):
+                for entry in _entries(text.as_py() or ""):
+                    counts.setdefault(entry, [0, 0, 0, 0])[half + (0 if y else 2)] += 1
+            columns = [list(counts), *(zip(*counts.values()) if counts else [[]] * 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], fields)
+
+    rows = map_batches(sample.select("text", "y", "half"), step, "entry string, t0 long, t1 long, o0 long, o1 long")
+    return store_rows(rows.groupBy("entry").agg(*[F.sum(c).alias(c) for c in fields[1:]]), "entries")
+
+
+def learn_lexicon(counts: DataFrame, totals: dict[str, int], halves: str = "01", least: int = 3, odds: float = 6.0, limit: int = LEXICON_TERMS) -> Lexicon:
+    """Words and stems that stand in toxic rows ``odds`` times as often as in others; weights are log odds.
+
+    Counting and choosing are Spark's work; what comes to the driver are the ``limit`` heaviest entries at most,
+    and the ordinary words within an edit of one of them."""
+    n, m = (reduce(operator.add, [F.col(c + h) for h in halves]) for c in "to")
+    n_toxic, n_other = (sum(totals[c + h] for h in halves) for c in "to")
+    rows = counts.select("entry", F.endswith("entry", F.lit("*")).alias("is_stem"), n.alias("n"), m.alias("m"))
+    toxic_words = rows.filter("n > 0 AND NOT is_stem").select("entry")
+    lengths = F.sequence(F.lit(STEM_LENGTHS[0]), F.least(F.lit(STEM_LENGTHS[-1]), F.length("entry") - 1))
+    stems = toxic_words.filter(F.length("entry") > STEM_LENGTHS[0]).select(F.explode(F.transform(lengths, lambda k: F.concat(F.substring("entry", F.lit(1), k), F.lit("*")))).alias("entry"))
+    opening = stems.groupBy("entry").count().filter(F.col("count") >= STEM_TERMS).select("entry")
+    kept = rows.filter(F.col("n") >= least)
+    kept = kept.filter("NOT is_stem").union(kept.filter("is_stem").join(opening, "entry", "left_semi").select(kept.columns))
+    # The lower end of a rough interval, so that a chance excess of few rows does not make a term.
+    spread = 1.3 * F.sqrt(1 / F.col("n") + F.when(F.col("m") > 0, 1 / (F.col("m") + 1)).otherwise(0.0))
+    lift = F.log((F.col("n") + 0.2) / (n_toxic + 1)) - F.log((F.col("m") + 0.5) / (n_other + 1)) - spread
+    heavy = kept.withColumn("lift", F.round(lift, 4)).filter(F.col("lift") >= math.log(odds) * 0.7).orderBy(F.desc("lift"), "entry").limit(limit)
+    weights = {r.entry: r.lift for r in heavy.collect()}
     terms = {w: x for w, x in weights.items() if w[-1] != "*"}
-    stems = {w[:-1]: x for w, x in weights.items() if w[-1] == "*"}
-    return Lexicon(terms, stems, frozenset(w for w, n in common.items() if n >= 2))
+    found = Lexicon(terms, {w[:-1]: x for w, x in weights.items() if w[-1] == "*"}, frozenset())
+    held = counts.sparkSession.sparkContext.broadcast(found)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
+        for batch in batches:
+            yield batch.filter(pa.array([own.match(w)[1] > 0 for w in batch.column("entry").to_pylist()], pa.bool_()))
+
+    common = map_batches(rows.filter("m >= 2 AND NOT is_stem").select("entry"), near, "entry string")
+    return Lexicon(found.term_weights(), found.stem_weights(), frozenset(r.entry for r in common.collect()))
 
 
 N_FEATURES = 10
@@ -252,30 +283,36 @@ class Scorer:
 
 
 def train(documents: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) -> tuple[Lexicon, Network]:
-    """Lexicon and network from about ``limit`` labelled training rows. The network sees each row with a
-    lexicon learnt from the other half of the sample, as it will see unknown texts."""
-    rows = labelled_sample(documents, labels, "toxic", limit).select("doc_id", "text", "y").toArrow()
+    """Lexicon and network from about ``limit`` labelled training rows, whose texts stay with the executors. The
+    network sees each row with a lexicon learnt from the other half of the sample, as it will see unknown texts."""
+    sample = labelled_sample(documents, labels, "toxic", limit)
+    sample = store_rows(sample.select("doc_id", "text", "y", F.pmod("doc_id", F.lit(2)).cast("int").alias("half")), "labelled")
+    totals = {c + h: 0 for c in "to" for h in "01"}
+    totals |= {("t" if r.y else "o") + str(r.half): r["count"] for r in sample.groupBy("y", "half").count().collect()}
+    counts = _entry_counts(sample)
+    others = [learn_lexicon(counts, totals, half, least=2) for half in "10"]  # by the half that they score
+    held = documents.sparkSession.sparkContext.broadcast(others)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers = [Scorer(x) for x in held.value]
+        for batch in batches:
+            x = [scorers[h].features(t.as_py() or "").tolist() for t, h in zip(batch.column("text"), batch.column("half").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+
+    rows = map_batches(sample, step, "doc_id long, y int, x array<double>").toArrow()
     ids, y = rows.column("doc_id").to_numpy().astype(np.uint64), rows.column("y").to_numpy().astype(np.int64)
-    order = np.argsort(ids * np.uint64(0x9E3779B97F4A7C15), kind="stable")
-    texts = rows.column("text")
-    texts, y, ids = [texts[int(i)].as_py() or "" for i in order], y[order], ids[order]
-    half = (ids % np.uint64(2)).astype(int)
-    x = np.zeros((len(texts), N_FEATURES))
-    for part in (0, 1):
-        other = np.flatnonzero(half != part)
-        scorer = Scorer(learn_lexicon([texts[i] for i in other], y[other], least=2))
-        for i in np.flatnonzero(half == part):
-            x[i] = scorer.features(texts[i])
-    return learn_lexicon(texts, y), fit_network(x, y, hidden=12)
+    x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, N_FEATURES)
+    order = np.lexsort((*x.T, ids * np.uint64(0x9E3779B97F4A7C15)))
+    return learn_lexicon(counts, totals), fit_network(x[order], y[order], hidden=12)
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, model: tuple[Lexicon, Network] | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row.
 
-    Scores depend on the text alone; null is scored as empty. Without labels, or with labels of one class,
-    the score is that class's share (0.5 without any). An empty table gives no rows; null ids count as
-    held out and are never learnt from. Extra columns are ignored. The model has a fixed size bound (the
-    sample's vocabulary) and is broadcast; documents are read once and not shuffled.
+    Scores depend on the text alone, so that equal texts tie; null is scored as empty, a long text whole. Without
+    labels, or with labels of one class, the score is that class's share (0.5 without any). An empty table gives
+    no rows; null ids count as held out and are never learnt from. Repeated rows are scored each, extra columns
+    ignored. The model (at most ``LEXICON_TERMS`` terms) is broadcast; documents are read once and not shuffled.
     """
     model = model or train(documents, labels)
     held = documents.sparkSession.sparkContext.broadcast(model)
@@ -289,5 +326,5 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(net.probability(x), pa.float64())], ["doc_id", "held_out", "score"])
 
     rows = stable_columns(documents, "doc_id", "text").select("doc_id", (~is_training_row()).alias("held_out"), "text")
-    scored = rows.mapInArrow(step, "doc_id long, held_out boolean, score double")
+    scored = map_batches(rows, step, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
