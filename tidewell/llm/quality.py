@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import byte_codes, fold, is_training_row, labelled_sample, mix64, odd_powers, stable_columns, text_slices, unfold
+from tidewell.llm._common import byte_codes, fold, is_training_row, labelled_sample, map_batches, mix64, odd_powers, stable_columns, text_slices, unfold
 
-WORDS, SHAPES, DIM = 4096, 64, 64
+#: Rows of the word table (words are hashed to them), classes of word shapes, and dimensions of their vectors.
+WORDS, SHAPES, DIM = 32_768, 64, 64
 #: Bound of the labelled sample that the network is fitted on.
 LABELLED_ROWS = 12_000
 
@@ -34,11 +35,10 @@ _DIGIT[48:58] = 1
 
 def index_vectors(rows: int = WORDS + SHAPES, dim: int = DIM, ones: int = 4, seed: int = 11) -> np.ndarray:
     """Sparse ternary index vectors: half of ``ones`` places +1, half -1."""
-    rng = np.random.default_rng(seed)
+    places = np.argpartition(np.random.default_rng(seed).random((rows, dim)), ones, axis=1)[:, :ones]
     out = np.zeros((rows, dim), np.int8)
-    for i in range(rows):
-        at = rng.choice(dim, ones, replace=False)
-        out[i, at[: ones // 2]], out[i, at[ones // 2 :]] = 1, -1
+    np.put_along_axis(out, places[:, : ones // 2], 1, axis=1)
+    np.put_along_axis(out, places[:, ones // 2 :], -1, axis=1)
     return out
 
 
@@ -74,49 +74,38 @@ def token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def context_sums(documents: DataFrame) -> np.ndarray:
     """Context vectors of all rows over the whole corpus: neighbours up to two tokens away."""
-    base = index_vectors().astype(np.int64)
+    rows = WORDS + SHAPES
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = WORDS + SHAPES
-        total = np.zeros((rows, DIM), np.int64)
-        used = False
+        base = index_vectors()
+        places = [(sign, np.nonzero(base == sign)[1].reshape(rows, -1).T.copy()) for sign in (1, -1)]  # equally many a row
+        total = np.zeros(rows * DIM, np.int64)
         for batch in batches:
             for _, data, offsets in text_slices(batch):
                 doc, word, shape = token_stream(data, offsets)
-                if not len(doc):
-                    continue
-                used = True
                 for gap in (1, 2):
-                    if len(doc) <= gap:
-                        continue
-                    inside = doc[gap:] == doc[:-gap]
+                    inside = np.flatnonzero(doc[gap:] == doc[:-gap])
                     # A word sees its neighbours' shapes and words, a shape the words around it.
                     for mine, theirs in ((word, shape), (shape, word), (word, word)):
-                        total += _pair_sums(mine[:-gap][inside], theirs[gap:][inside], base)
-                        total += _pair_sums(mine[gap:][inside], theirs[:-gap][inside], base)
-        if used:
-            at = np.flatnonzero(np.abs(total).sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32())] + [pa.array(total[at, d]) for d in range(DIM)], ["word"] + [f"d{d}" for d in range(DIM)])
+                        for a, b in ((mine[inside], theirs[inside + gap]), (mine[inside + gap], theirs[inside])):
+                            a = a * DIM
+                            for sign, own in places:
+                                for place in own:
+                                    np.add.at(total, a + place[b], np.int64(sign))
+        total = total.reshape(rows, DIM)
+        at = np.flatnonzero(total.any(1))
+        for first in range(0, len(at), 4096):
+            part = at[first : first + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32())] + [pa.array(total[part, d]) for d in range(DIM)], ["word"] + [f"d{d}" for d in range(DIM)])
 
     schema = "word int, " + ", ".join(f"d{d} long" for d in range(DIM))
-    sums = stable_columns(documents, "text").mapInArrow(step, schema).groupBy("word").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(DIM)])
-    out = np.zeros((WORDS + SHAPES, DIM))
+    sums = map_batches(stable_columns(documents, "text"), step, schema).groupBy("word").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(DIM)])
+    out = np.zeros((rows, DIM))
     for batch in sums.toArrow().to_batches():  # a row per word row: fixed size
         out[batch.column(0).to_numpy()] = np.stack([batch.column(1 + d).to_numpy() for d in range(DIM)], 1)
     return out
 
 
-def _pair_sums(mine: np.ndarray, theirs: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Sum of the neighbours' index vectors for each row: each adds its few places that aren't 0."""
-    rows, dim = base.shape
-    out = np.zeros(rows * dim, np.int64)
-    for sign in (1, -1):
-        places = np.nonzero(base == sign)[1].reshape(rows, -1)
-        for place in places.T:  # every row has equally many
-            out += sign * np.bincount(mine * dim + place[theirs], minlength=rows * dim)
-    return out.reshape(rows, dim)
-
-
 def word_vectors(sums: np.ndarray) -> np.ndarray:
     """Own index vector plus the context vector at unit length."""
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -124,18 +113,20 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 
 
 def pooled(batch: pa.RecordBatch, vectors: np.ndarray) -> np.ndarray:
-    """Mean vector of each text's words, the mean of its shapes, and the log of its length."""
+    """Mean vector of each text's words, the mean of its shapes, and the log of its length. Each text is summed by
+    itself in its own order, so that equal texts get equal rows wherever they stand."""
     parts = []
-    for _, data, offsets in text_slices(batch, rows=256, limit=1 << 20):
+    for _, data, offsets in text_slices(batch, limit=1 << 18):
         n = len(offsets) - 1
         doc, word, shape = token_stream(data, offsets)
         out = np.zeros((n, 2 * DIM + 1), np.float32)
         if len(doc):
-            size = np.bincount(doc, minlength=n).clip(1)[:, None]
-            for k, ids, low, width in ((0, word, 0, WORDS), (1, shape, WORDS, SHAPES)):
-                grid = np.bincount(doc * width + ids - low, minlength=n * width).reshape(n, width).astype(np.float32)
-                out[:, k * DIM : (k + 1) * DIM] = grid @ vectors[low : low + width] / size
-            out[:, -1] = np.log1p(np.bincount(doc, minlength=n))
+            starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            size = np.diff(np.r_[starts, len(doc)])
+            own = doc[starts]
+            for k, ids in ((0, word), (1, shape)):
+                out[own, k * DIM : (k + 1) * DIM] = np.add.reduceat(vectors[ids], starts, axis=0, dtype=np.float64) / size[:, None]
+            out[own, -1] = np.log1p(size)
         parts.append(out)
     return np.concatenate(parts) if parts else np.zeros((0, 2 * DIM + 1), np.float32)
 
@@ -171,7 +162,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, rounds: int = 40
     rng = np.random.default_rng(seed)
     p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), np.zeros(1)]
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    best, best_loss, t = [a.copy() for a in p], np.inf, 0
+    best, best_loss, last, t = [a.copy() for a in p], np.inf, 0, 0
     for turn in range(rounds):
         order = rng.permutation(len(xs))
         for part in np.array_split(order, max(1, len(xs) // 512)):
@@ -208,7 +199,8 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = LABELLED_ROWS) -
             x = pooled(batch, held.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
-    rows = labelled_sample(documents, labels, "quality", limit).select("doc_id", "y", "text").mapInArrow(features, "doc_id long, y int, x binary").toArrow()
+    sample = labelled_sample(documents, labels, "quality", limit).select("doc_id", "y", "text")
+    rows = map_batches(sample, features, "doc_id long, y int, x binary").toArrow()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, 2 * DIM + 1)
     y, ids = rows.column("y").to_numpy(), rows.column("doc_id").to_numpy()
     order = np.argsort((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
@@ -227,7 +219,7 @@ def _scored(documents: DataFrame, model: tuple[np.ndarray, Network]) -> DataFram
             p = net.probability(pooled(batch, vectors).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*names, "quality_score"])
 
-    return documents.mapInArrow(step, schema)
+    return map_batches(documents, step, schema)
 
 
 def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, model: tuple[np.ndarray, Network] | None = None) -> DataFrame:
@@ -235,7 +227,8 @@ def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.
 
     Scores depend on the text alone: equal texts score alike, null is scored as empty. Without labels, or
     with labels of one class, the score is that class's share (0.5 without any). An empty table gives no
-    rows; null ids count as held out and are never learnt from. Extra columns are ignored.
+    rows; null ids count as held out and are never learnt from. Texts of any length are scored whole, ties and
+    repeated rows each. Extra columns are ignored.
     """
     model = model or train(documents, labels)
     rows = _scored(stable_columns(documents, "doc_id", "text"), model)
@@ -243,7 +236,8 @@ def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, model: tuple[np.ndarray, Network] | None = None) -> DataFrame:
-    """The rows of ``documents`` that score at least ``threshold``, all columns as they were."""
+    """The rows of ``documents`` that score at least ``threshold``, all columns as they were. Nulls, empty and long
+    texts, ties, repeated rows and empty tables as in ``score_quality``."""
     model = model or train(documents, labels)
     scored = _scored(fold(documents), model).filter(F.col("quality_score") >= threshold)
     return unfold(scored, documents.columns)
