@@ -1,19 +1,18 @@
-"""Repeated passages by a logarithmic family of sampled suffix arrays.
+"""Repeated passages by a logarithmic family of suffix arrays over sampled places.
 
-A byte goes when a string of ``length`` bytes around it also starts anywhere else. Suffixes are sampled by
+A byte goes when a string of ``length`` bytes around it also starts anywhere else. Places are sampled by
 content: of the 64-byte strings inside each window of ``length`` bytes the one with the least hash is its
-anchor, so equal windows have equal anchors at equal places. Suffix entries are dealt out by anchor hash,
-and each task keeps a logarithmic index family of them: a new batch is sorted into a suffix array, scanned
-against the existing levels, and levels of equal size merge. Entries are ordered by fingerprints instead
-of letters, since only equality of the first ``length`` bytes counts.
-
-1. Neighbouring windows with one anchor are one run. If the whole span of a run occurs twice, all its
-   windows repeat. Runs whose anchor occurs once repeat nothing. This settles almost everything.
-2. Where an anchor occurs with different spans (the ends of a repeat), the spans themselves are dealt out
-   by anchor, and the family indexes each of their windows.
+anchor, so equal windows have equal anchors at equal places.
+
+1. Neighbouring windows with one anchor are one run. If the whole span of a run occurs twice (by 128 bits of
+   hash), all its windows repeat. Runs whose anchor occurs once repeat nothing. This settles almost everything.
+2. Where an anchor occurs with different spans (the ends of a repeat), the spans' texts are dealt out by anchor.
+   There a logarithmic index family takes them in batches: each is sorted into a suffix array of its text,
+   merge-scanned against the existing levels for common prefixes of ``length`` bytes, and levels of like size
+   merge. Of hot anchors each window is dealt out by its own fingerprint instead.
 3. Removed bytes are cut from the texts.
 
-Fingerprints have 128 bits. Texts travel only for documents that step 2 or 3 needs.
+Texts travel only for documents that step 2 or 3 needs.
 """
 
 from __future__ import annotations
@@ -27,56 +26,91 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import column_bytes, cut_lineage, fold, mix64, pack_text, stable_columns, text_slices, unfold, unpack_text
+from tidewell.llm._common import column_bytes, cut_lineage, fold, map_batches, mix64, pack_text, stable_columns, store_rows, text_slices, unfold, unpack_text
 
 LENGTH = 200
 ANCHOR = 64
 #: Positions that one kernel call numbers (20 bits beside the hash).
 CHUNK = 1 << 19
-#: Spans of one anchor from which on its windows are dealt out singly, by their own fingerprints.
-HOT = 20_000
+#: Entries of one anchor from which on they are dealt out by their spans, and windows by their own fingerprints.
+HOT = 5_000
+#: Windows that are sorted into one suffix array, and entries of a level that are compared with it at once.
+BATCH_WINDOWS, SCAN = 100_000, 16_384
 #: Documents whose numbers may be broadcast (8 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
+def suffix_array(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank): the order of the suffixes at ``starts`` by their first ``length`` bytes, ties by place, and
+    their ranks in that order, equal where those bytes are. By doubling: ranks of strings of 8 bytes give ranks of
+    16, 32 and so on; two overlapping ones cover ``length``. ``text`` holds ``length`` bytes from every start on."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(text),), ">u8", padded, strides=(1,)).astype(np.uint64)
+    rank, have = np.unique(words, return_inverse=True)[1], 8
+
+    def joined(rank: np.ndarray, step: int) -> np.ndarray:
+        after = np.zeros(len(rank), np.int64)
+        after[: len(rank) - step] = rank[step:]
+        return rank * (int(rank.max()) + 1) + after
+
+    while 2 * have <= length:
+        rank = np.unique(joined(rank, have), return_inverse=True)[1]
+        have *= 2
+    if have < length:
+        rank = joined(rank, length - have)
+    own = rank[starts]
+    order = np.argsort(own, kind="stable")
+    return order, own[order]
+
+
 class SuffixFamily:
-    """Levels of sorted suffix entries; entry numbers run on in the order of ``add``."""
+    """A logarithmic family of suffix arrays over texts that come in batches; entries are numbered as they come.
+
+    A batch is sorted into a suffix array and merge-scanned against the levels that are there for common prefixes
+    of ``length`` bytes; then it becomes a level, and levels of like size merge."""
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, length: int = LENGTH) -> None:
+        self.length = length
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # text, sorted places, their numbers
         self.repeats: list[np.ndarray] = []
         self.count = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        """Sort a batch of 16-byte keys and note, for its entries and for older ones, which occur again."""
-        if not len(keys):
+    def _prefixes(self, text: np.ndarray, places: np.ndarray) -> np.ndarray:
+        whole = np.ndarray((len(text) - self.length + 1,), f"S{self.length}", np.ascontiguousarray(text), strides=(1,))
+        return whole[places]
+
+    def add(self, text: np.ndarray, starts: np.ndarray) -> None:
+        """Index the suffixes of ``text`` at ``starts``; note, for them and for older ones, which occur again."""
+        if not len(starts):
             return
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        number = order + self.count
-        self.repeats.append(np.zeros(len(keys), bool))
-        self.count += len(keys)
-        same = keys[1:] == keys[:-1]
-        again = np.zeros(len(keys), bool)
+        order, rank = suffix_array(text, starts, self.length)
+        places, number = starts[order], order + self.count
+        self.repeats.append(np.zeros(len(starts), bool))
+        self.count += len(starts)
+        again = np.zeros(len(starts), bool)
+        same = rank[1:] == rank[:-1]
         again[1:] |= same
         again[:-1] |= same
-        for old, old_number in self.levels:
-            low = np.searchsorted(old, keys, "left")
-            high = np.searchsorted(old, keys, "right")
-            met = high > low
-            again |= met
-            span = np.zeros(len(old) + 1, np.int64)
-            np.add.at(span, low[met], 1)
-            np.add.at(span, high[met], -1)
-            self._mark(old_number[np.cumsum(span[:-1]) > 0])
+        own = self._prefixes(text, places) if self.levels else None
+        for old_text, old_places, old_number in self.levels:
+            span = np.zeros(len(own) + 1, np.int64)
+            for first in range(0, len(old_places), SCAN):
+                other = self._prefixes(old_text, old_places[first : first + SCAN])
+                low, high = np.searchsorted(own, other, "left"), np.searchsorted(own, other, "right")
+                met = high > low
+                np.add.at(span, low[met], 1)
+                np.add.at(span, high[met], -1)
+                self._mark(old_number[first : first + SCAN][met])
+            again |= np.cumsum(span[:-1]) > 0
         self._mark(number[again])
-        level = (keys, number)
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):  # geometric merge
-            old, old_number = self.levels.pop()
-            both, numbers = np.concatenate([old, level[0]]), np.concatenate([old_number, level[1]])
-            order = np.argsort(both, kind="stable")
-            level = (both[order], numbers[order])
+        level = (text, places, number)
+        while self.levels and len(self.levels[-1][1]) <= 2 * len(level[1]):  # geometric merge
+            old_text, old_places, old_number = self.levels.pop()
+            both = np.concatenate([old_text, level[0]])
+            places, number = np.concatenate([old_places, level[1] + len(old_text)]), np.concatenate([old_number, level[2]])
+            order, _ = suffix_array(both, places, self.length)
+            level = (both, places[order], number[order])
         self.levels.append(level)
 
     def _mark(self, number: np.ndarray) -> None:
@@ -88,15 +122,6 @@ class SuffixFamily:
     def repeated(self) -> np.ndarray:
         return np.concatenate(self.repeats) if self.repeats else np.zeros(0, bool)
 
-    def sorted_entries(self) -> tuple[np.ndarray, np.ndarray]:
-        """All keys in order, with their entry numbers."""
-        if not self.levels:
-            return np.zeros(0, "S16"), np.zeros(0, np.int64)
-        keys = np.concatenate([k for k, _ in self.levels])
-        number = np.concatenate([n for _, n in self.levels])
-        order = np.argsort(keys, kind="stable")
-        return keys[order], number[order]
-
 
 def _keys(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """16-byte keys; zero bytes at the end would be lost, so the last bit is set."""
@@ -218,44 +243,51 @@ def _entries(docs: DataFrame, length: int) -> DataFrame:
                 ["key", "uid", "first", "last", "m"],
             )
 
-    return docs.select("uid", "text").mapInArrow(step, ENTRY)
+    return map_batches(docs.select("uid", "text"), step, ENTRY, 4096)
+
+
+def _hot_anchors(entries: DataFrame, hot: int) -> DataFrame:
+    """(anchor): those with ``hot`` entries or more, or with so many more that they are a million at most."""
+    anchors = entries.filter("m > 0").groupBy(F.substring("key", 1, 8).alias("anchor")).count()
+    least = max(hot, entries.count() // 1_000_000)
+    return store_rows(anchors.filter(F.col("count") >= least).select("anchor", F.lit(True).alias("is_hot")), "anchors")
 
 
 def _settle(entries: DataFrame, partitions: int, hot: int) -> DataFrame:
     """Per anchor: runs whose span repeats (FULL), and runs of anchors with several spans (ENDS; PARTNER for
-    one of each repeated span, which other ends may match in part)."""
+    one of each repeated span, which other ends may match in part). Entries of hot anchors are dealt out by anchor
+    and span, so that no anchor is one task's work; they count as having several spans."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = SuffixFamily()
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            key, (uid, first, last, m) = batch.column("key"), [batch.column(n).to_numpy() for n in ("uid", "first", "last", "m")]
+            key, (uid, first, last, m, is_hot) = batch.column("key"), [batch.column(n).to_numpy(zero_copy_only=False) for n in ("uid", "first", "last", "m", "is_hot")]
             done = m == 0
             if done.any():
                 yield _settled(uid[done], first[done], last[done], FULL, np.zeros(int(done.sum()), "S8"))
             if not done.all():
-                keys = np.frombuffer(b"".join(key.to_pylist()), "S16")[~done]
-                family.add(keys)
-                held.append((uid[~done], first[~done], last[~done], m[~done]))
+                keys = np.frombuffer(b"".join(key.to_pylist()), "S16")
+                held.append(tuple(c[~done] for c in (keys, uid, first, last, m, is_hot)))
         if not held:
             return
-        uid, first, last, m = (np.concatenate(c) for c in zip(*held))
-        full = family.repeated() | (m > 1)
-        keys, number = family.sorted_entries()
+        keys, uid, first, last, m, is_hot = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        order = np.argsort(keys, kind="stable")
+        keys, uid, first, last, m, is_hot = (c[order] for c in (keys, uid, first, last, m, is_hot))
         anchor = np.ascontiguousarray(keys).view("S8")[::2]
-        new = np.r_[True, anchor[1:] != anchor[:-1]]
         new_span = np.r_[True, keys[1:] != keys[:-1]]
-        group = np.cumsum(new) - 1
-        spans = np.bincount(group, weights=new_span).astype(np.int64)
-        mixed = spans[group] > 1
-        large = spans[group] >= hot
-        is_full = full[number]
+        span = np.cumsum(new_span) - 1
+        full = np.bincount(span, weights=m)[span] > 1
+        group = np.cumsum(np.r_[True, anchor[1:] != anchor[:-1]]) - 1
+        mixed = (np.bincount(group, weights=new_span)[group] > 1) | is_hot
         yield _settled(uid[full], first[full], last[full], FULL, np.zeros(int(full.sum()), "S8"))
-        for chosen, kind, hot_kind in ((mixed & ~is_full, ENDS, HOT_ENDS), (mixed & is_full & new_span, PARTNER, HOT_PARTNER)):
-            at = number[chosen]
-            yield _settled(uid[at], first[at], last[at], np.where(large[chosen], hot_kind, kind), anchor[chosen])
+        for chosen, kind, hot_kind in ((mixed & ~full, ENDS, HOT_ENDS), (mixed & full & new_span, PARTNER, HOT_PARTNER)):
+            yield _settled(uid[chosen], first[chosen], last[chosen], np.where(is_hot[chosen], hot_kind, kind), anchor[chosen])
 
-    return entries.repartition(partitions, F.substring("key", 1, 8)).mapInArrow(step, SETTLED)
+    anchor = F.substring("key", 1, 8)
+    rows = entries.withColumn("anchor", anchor).join(F.broadcast(_hot_anchors(entries, hot)), "anchor", "left")
+    rows = rows.select("key", "uid", "first", "last", "m", F.coalesce("is_hot", F.lit(False)).alias("is_hot"))
+    return map_batches(rows.repartition(partitions, F.when(F.col("is_hot"), F.col("key")).otherwise(anchor)), step, SETTLED, 1 << 16)
 
 
 def _settled(uid: np.ndarray, first: np.ndarray, last: np.ndarray, kind: np.ndarray | int, anchor: np.ndarray) -> pa.RecordBatch:
@@ -292,7 +324,7 @@ def _spans(docs: DataFrame, ends: DataFrame, length: int) -> DataFrame:
                         rows, size = [], 0
             yield _span_batch(rows)
 
-    return joined.select("uid", "text", "runs").mapInArrow(step, SPAN)
+    return map_batches(joined.select("uid", "text", "runs"), step, SPAN)
 
 
 def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -301,64 +333,75 @@ def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["key", "uid", "first", "kind", "span"])
 
 
-def _match_spans(spans: DataFrame, partitions: int, length: int) -> DataFrame:
-    """Windows of ENDS runs that occur again among the spans of their anchor."""
+def _match_spans(spans: DataFrame, partitions: int, length: int, batch_windows: int = BATCH_WINDOWS) -> DataFrame:
+    """Windows of ENDS runs that occur again among the spans of their anchor. Spans come sorted by anchor, so that
+    a family lives no longer than the anchors it indexes; single windows come sorted by fingerprint."""
+
+    def hits(uid: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((first, uid))
+        uid, first = uid[order], first[order]
+        if len(uid):
+            new = np.ones(len(uid), bool)
+            new[1:] = (uid[1:] != uid[:-1]) | (first[1:] > first[:-1] + 1)
+            yield _settled(uid[new], first[new], first[np.r_[new[1:], True]], FULL, np.zeros(int(new.sum()), "S8"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = SuffixFamily()
-        held: list[tuple[np.ndarray, ...]] = []
-        waiting: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        family = SuffixFamily(length)
+        held: list[tuple[np.ndarray, ...]] = []  # of the family's entries: uid, first, asked
+        waiting: list[tuple[bytes, int, int, bool]] = []
+        windows = 0
+        anchor = single = None  # the last ones seen
+        single_row: tuple[int, int] | None = None  # of a window met once so far
 
         def index() -> None:
-            nonlocal waiting, size
-            family.add(np.concatenate([w[0] for w in waiting]))
-            held.extend(w[1:] for w in waiting)
-            waiting, size = [], 0
+            nonlocal windows
+            data = np.frombuffer(b"".join(w[0] for w in waiting), np.uint8)
+            size = np.array([len(w[0]) for w in waiting])
+            count = size - length + 1
+            row = np.repeat(np.arange(len(waiting)), count)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            family.add(data, (np.cumsum(size) - size)[row] + place)
+            uid, first, asked = (np.array([w[k] for w in waiting]) for k in (1, 2, 3))
+            held.append((uid[row], first[row] + place, asked[row]))
+            waiting.clear()
+            windows = 0
+
+        def conclude() -> Iterator[pa.RecordBatch]:
+            nonlocal family
+            if held:
+                uid, first, asked = (np.concatenate(c) for c in zip(*held))
+                found = family.repeated() & asked
+                yield from hits(uid[found], first[found])
+            held.clear()
+            family = SuffixFamily(length)
 
         for batch in batches:
-            uid, first, kind = (batch.column(n).to_numpy() for n in ("uid", "first", "kind"))
-            raw, key = batch.column("span").to_pylist(), batch.column("key").to_pylist()
-            single = [i for i, s in enumerate(raw) if s is None]
-            if single:
-                at = np.array(single)
-                waiting.append((np.array([key[i] for i in single], "S16"), uid[at], first[at], kind[at] == ENDS))
-                size += len(single)
-            group: list[int] = []
-            group_size = 0
-            for i, s in enumerate([*raw, None]):
-                if s is not None:
-                    group.append(i)
-                    group_size += len(s)
-                if group and (group_size > CHUNK or i == len(raw)):
-                    data = np.frombuffer(b"".join(raw[g] for g in group), np.uint8)
-                    n = np.array([len(raw[g]) for g in group])
-                    starts = np.cumsum(n) - n
-                    keys = window_keys(data, length)
-                    count = n - length + 1
-                    row = np.repeat(np.arange(len(group)), count)
-                    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                    g = np.array(group)[row]
-                    waiting.append((keys[starts[row] + place], uid[g], first[g] + place, kind[g] == ENDS))
-                    size += len(row)
-                    group, group_size = [], 0
-                    if size > 400_000:
-                        index()
+            again: list[tuple[int, int]] = []
+            for key, uid, first, kind, span in zip(*[batch.column(n).to_pylist() for n in ("key", "uid", "first", "kind", "span")]):
+                if span is None:
+                    if key == single:
+                        if single_row is not None and single_row[0] >= 0:
+                            again.append(single_row)
+                        single_row = None
+                        if kind == ENDS:
+                            again.append((uid, first))
+                    else:
+                        single, single_row = key, (uid if kind == ENDS else -1, first)
+                    continue
+                if windows > batch_windows:
+                    index()
+                    if key != anchor:
+                        yield from conclude()
+                anchor = key
+                waiting.append((span, uid, first, kind == ENDS))
+                windows += len(span) - length + 1
+            if again:
+                yield from hits(*np.array(again).T)
         if waiting:
             index()
-        if not held:
-            return
-        uid, first, asked = (np.concatenate(c) for c in zip(*held))
-        hit = family.repeated() & asked
-        uid, first = uid[hit], first[hit]
-        order = np.lexsort((first, uid))
-        uid, first = uid[order], first[order]
-        if len(uid):
-            new = np.ones(len(uid), bool)
-            new[1:] = (uid[1:] != uid[:-1]) | (first[1:] > first[:-1] + 1)
-            yield _settled(uid[new], first[new], first[np.r_[new[1:], True]], FULL, np.zeros(int(new.sum()), "S8"))
+        yield from conclude()
 
-    return spans.repartition(partitions, "key").mapInArrow(step, SETTLED)
+    return map_batches(spans.repartition(partitions, "key").sortWithinPartitions("key"), step, SETTLED, 1 << 16)
 
 
 def _chosen(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
@@ -391,7 +434,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
     spark = docs.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    settled = cut_lineage(_settle(_entries(docs, length), max(least, size // 64_000_000 + 1), hot))
+    entries = store_rows(_entries(docs, length), "entries")
+    settled = cut_lineage(_settle(entries, max(least, size // 64_000_000 + 1), hot))
     ends = settled.filter(F.col("kind") != FULL)
     n_ends = ends.count()
     found = _match_spans(_spans(docs, ends, length), max(least, n_ends // 20_000 + 1), length)
@@ -416,7 +460,8 @@ def removal_report(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -
 
     Null text is empty; texts shorter than ``length`` bytes lose nothing. Copies repeat each other, so a
     text that stands twice is removed wherever it is long enough. Matches never cross documents. Repeated
-    rows and null ids are reported each; extra columns are ignored; an empty table gives no rows.
+    rows and null ids are reported each; texts of any length are read whole; extra columns are ignored; an empty
+    table gives no rows.
     """
     docs = _numbered(stable_columns(documents, "doc_id", "text"))
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +475,7 @@ def removal_report(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _with_runs(docs, length, hot).select("doc_id", "text", "runs")
-    return rows.mapInArrow(step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_batches(rows, step, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _on_letters(text: bytes, runs: list[dict], length: int) -> str:
@@ -448,7 +493,8 @@ def _on_letters(text: bytes, runs: list[dict], length: int) -> str:
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """``documents`` without their repeated passages; a text of which nothing but blanks is left goes.
-    Texts without repeats come out as they were (null text as empty); ``n_chars`` follows the text."""
+    Texts without repeats come out as they were (null text as empty); ``n_chars`` follows the text. Repeated rows,
+    null ids, long texts and empty tables as in ``removal_report``."""
     docs = _numbered(fold(documents))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,5 +513,5 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -
 
     rest = docs.schema["rest"].dataType.simpleString()
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    out = _with_runs(docs, length, hot).mapInArrow(step, f"doc_id {id_type}, text string, rest {rest}, changed boolean")
+    out = map_batches(_with_runs(docs, length, hot), step, f"doc_id {id_type}, text string, rest {rest}, changed boolean")
     return unfold(out, documents.columns, F.col("changed"))
