@@ -110,14 +110,34 @@ def test_suffix_dedup_long_document(spark):
 
 def test_suffix_family_levels():
     rng = np.random.default_rng(0)
-    keys = [np.array([b"k%014d!" % i for i in rng.integers(0, 400, n)], "S16") for n in (50, 10, 120, 7, 200)]
-    family = suffix_dedup.SuffixFamily()
-    for k in keys:
-        family.add(k)
-    every = np.concatenate(keys)
-    count = Counter(every.tolist())
-    assert family.repeated().tolist() == [count[k] > 1 for k in every.tolist()]
+    length = 20
+    family, every = suffix_dedup.SuffixFamily(length), []
+    for n in (300, 50, 700, 40, 1200):
+        text = np.concatenate([rng.choice([0, 97, 98], 30), np.tile(rng.choice([0, 97, 98], 25), 3), rng.choice([0, 97], n)]).astype(np.uint8)
+        starts = np.sort(rng.choice(len(text) - length + 1, n // 2, replace=False))
+        family.add(text, starts)
+        every += [text[k : k + length].tobytes() for k in starts]
+    count = Counter(every)
+    assert family.repeated().tolist() == [count[k] > 1 for k in every]
     assert len(family.levels) <= 3
+    for text, places, number in family.levels:
+        own = [text[k : k + length].tobytes() for k in places]
+        assert own == sorted(own) and own == [every[k] for k in number]
+
+
+def test_batches_of_one_anchor(spark):
+    rng = np.random.default_rng(5)
+    parts = [rng.choice(list(b"abc"), 40).astype(np.uint8).tobytes() for _ in range(3)]
+    texts = [b"".join(parts[k] for k in rng.integers(0, 3, 4)) for _ in range(80)]
+    rows = [(b"anchor%d" % (i % 2), i, 10, suffix_dedup.ENDS if i % 5 else suffix_dedup.PARTNER, t) for i, t in enumerate(texts)]
+    rows += [(b"%016d" % (i % 3), 1000 + i, i, suffix_dedup.ENDS, None) for i in range(4)]
+    spans = spark.createDataFrame(rows, suffix_dedup.SPAN).repartition(3)
+    count = Counter((i % 2, t[k : k + 30]) for i, t in enumerate(texts) for k in range(len(t) - 29))
+    want = {(i, 10 + k) for i, t in enumerate(texts) if i % 5 for k in range(len(t) - 29) if count[(i % 2, t[k : k + 30])] > 1}
+    want |= {(1000, 0), (1003, 3)}
+    for batch in (200, 100_000):
+        got = suffix_dedup._match_spans(spans, 3, 30, batch).collect()
+        assert {(r.uid, k) for r in got for k in range(r.first, r.last + 1)} == want
 
 
 def test_remove_repeats_keeps_letters(spark, passages, odd_wide):
@@ -184,6 +204,24 @@ def test_jaccard_components(spark, odd_rows, near_copies, odd_wide, nothing):
     assert jaccard_join.link_components(nothing).count() == 0
 
 
+def test_hot_shingles_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    rng = np.random.default_rng(12)
+    word = lambda: "w%d" % rng.integers(0, 500)
+    common = " ".join(word() for _ in range(12))
+    inputs = []
+    for i in range(60):
+        own = [word() for _ in range(int(rng.integers(1, 30)))]
+        for _ in range(int(rng.integers(1, 3))):
+            inputs.append((len(inputs), f"{common} {' '.join(own)}"))
+            own = [*own, word()]
+    docs = spark.createDataFrame(inputs, "doc_id long, text string").repartition(3)
+    assert bag(jaccard_join.link_components(docs)) == components_of(inputs)
+    sets = list({shingles(t) for _, t in inputs})
+    links = sum(100 * len(x & y) >= 80 * len(x | y) for k, x in enumerate(sets) for y in sets[:k])
+    assert jaccard_join.link_pairs(docs).count() == links
+
+
 def test_keep_one(spark, near_copies, odd_wide, odd_rows):
     kept = jaccard_join.keep_one(spark.createDataFrame(near_copies, "doc_id long, text string")).collect()
     groups = defaultdict(set)
@@ -278,6 +316,30 @@ def test_interleave_keeps_order(spark):
         media.decode_samples(b"not an image")
 
 
+def test_captions_belong_to_their_figure(spark):
+    html = "<img src=media:a alt=A><p>x</p><img src=media:b alt=B><figcaption>loose</figcaption><figure><img src=media:c><img src=media:d><figcaption>both</figcaption></figure><figure><img src=media:e alt=E><figcaption>never closed"
+    parts = media.parse_parts(html)
+    got = [(p["kind"], p["text"] or p["ref"], p["caption"]) for p in parts]
+    assert got == [("media", "media:a", "A"), ("text", "x", None), ("media", "media:b", "B"), ("text", "loose", None), ("media", "media:c", "both"), ("media", "media:d", "both"), ("media", "media:e", "never closed")]
+
+
+def test_sequences_are_resolved_in_place(spark, tables, odd_rows):
+    texts = [t for _, t in odd_rows if t]
+    digest = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    pages = [(r.page_id, (r.html or "") + "".join(f"<p>before {k}</p><figure><img src='media:{digest[(r.page_id + k) % len(texts)]}'><figcaption>c{k}</figcaption></figure>" for k in range(3)) + "<img src='media:unknown'>") for r in tables["pages"].collect()] + [(-1, None)]
+    sequences = media.interleave(spark.createDataFrame(pages, "page_id long, html string"))
+    features = media.read_media(media.store_media(spark.createDataFrame([(t,) for t in texts], "text string")))
+    rows = {r.page_id: r.parts for r in media.resolve_sequences(sequences, features).collect()}
+    by_digest = {d: len(t.encode()) for d, t in zip(digest, texts)}
+    assert set(rows) == {i for i, _ in pages} and rows[-1] == []
+    for page_id, html in pages[:-1]:
+        want = media.parse_parts(html)
+        assert [(p.pos, p.kind, p.text, p.ref, p.caption) for p in rows[page_id]] == [tuple(w.values()) for w in want]
+        for p in rows[page_id]:
+            n = by_digest.get((p.ref or "").removeprefix("media:"))
+            assert (p.payload.n_bytes if p.payload else None) == n
+
+
 def test_interleave_pages(tables):
     rows = media.interleave(tables["pages"]).collect()
     assert all([p.pos for p in r.parts] == list(range(len(r.parts))) for r in rows)

@@ -9,7 +9,8 @@ similarity reaches the threshold. Three ideas keep the exact join near linear:
 * only the rarest shingles of a set (its prefix) are indexed. Shingles common in the corpus, counted over
   all documents, come last in the order, so that shared passages hardly enter the index;
 * index lists are sorted by set size and skipped in blocks by size and by position: a pair is dropped when
-  what is left after the common shingle can't reach the needed overlap.
+  what is left after the common shingle can't reach the needed overlap. Long lists are cut into blocks of
+  classes, and pairs of blocks are compared in tasks of their own.
 
 Pairs that remain are verified on whole texts, so the result is exact.
 """
@@ -24,13 +25,17 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from tidewell.llm._common import byte_codes, cut_lineage, fold, mix64, odd_powers, pack_text, stable_columns, store_rows, text_slices, unfold, unpack_text
+from tidewell.llm._common import byte_codes, column_bytes, cut_lineage, fold, map_batches, mix64, odd_powers, pack_text, stable_columns, store_rows, text_slices, unfold, unpack_text
 from tidewell.llm.components import connected_components
 
 N = 5
-#: Shingles in the table of common ones at most (16 bytes each where it is broadcast).
-COMMON = 50_000
+#: Shingles in the table of common ones: one for so many postings, within these bounds (16 bytes each where it is
+#: broadcast).
+COMMON_SHARE, COMMON = 500, (50_000, 1_000_000)
+#: Postings of one list that are compared in one task; longer lists are cut into blocks, and pairs of blocks dealt out.
+BLOCK = 1_500
 #: Shingles are counted below this hash: three tenths of the range, where all but a few prefixes end.
 LOW = np.uint64(3 * (1 << 64) // 10)
 #: Classes whose numbers may be broadcast (8 bytes each); beyond that they are joined by a shuffle.
@@ -106,15 +111,17 @@ def _bits(own: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _classes(packed: DataFrame) -> DataFrame:
+def _classes(documents: DataFrame) -> DataFrame:
     """(doc_id, n, cls, v, sketch, bits, packed text) of every row, checkpointed; all later steps read it.
-    ``packed``: (doc_id, packed text)."""
+    ``documents``: (doc_id, text), the text as it is or packed."""
+    packed = isinstance(documents.schema["text"].dataType, BinaryType)
     schema = "doc_id long, n long, cls binary, v long, sketch array<long>, bits binary, text binary"
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            texts = batch.column("text")
-            for first, data, offsets in text_slices(next(unpack_text(iter([batch]), 1 << 30))):
+            texts = batch.column("text") if packed else pa.array([press(raw) for raw in column_bytes(batch, "text")], pa.binary())
+            for first, data, offsets in text_slices(next(unpack_text(iter([batch]), 1 << 30)) if packed else batch):
                 rows = len(offsets) - 1
                 doc, value = shingle_sets(data, offsets)
                 bound = np.searchsorted(doc, np.arange(rows + 1))
@@ -127,7 +134,7 @@ def _classes(packed: DataFrame) -> DataFrame:
                     ["doc_id", "n", "cls", "v", "sketch", "bits", "text"],
                 )
 
-    return cut_lineage(packed.select("doc_id", "text").mapInArrow(step, schema))
+    return cut_lineage(map_batches(documents.select("doc_id", "text"), step, schema))
 
 
 def _texts(classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -143,12 +150,12 @@ def _texts(classes: DataFrame, pairs: DataFrame) -> DataFrame:
             for i, c in enumerate(batch.column("cls").to_pylist()):
                 if c not in seen:
                     keep.append(i)
-                    if len(seen) < 500_000:
+                    if len(seen) < 200_000:
                         seen.add(c)
             yield batch.take(pa.array(keep, pa.int64()))
 
     # Dealt by v alone, so that the aggregate and the joins on either side of a pair share one shuffle.
-    return rows.mapInArrow(once, rows.schema).repartition("v").groupBy("v", "cls", "n").agg(F.first("text").alias("text"))
+    return map_batches(rows, once, rows.schema).repartition("v").groupBy("v", "cls", "n").agg(F.first("text").alias("text"))
 
 
 def _verified(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -172,7 +179,7 @@ def _verified(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     joined = one.join(pairs, "v").join(two, "w").filter(F.col("a") != F.col("b")).select("a", "b", "t", "u")
-    return store_rows(joined.mapInArrow(check, "a binary, b binary"), "links")
+    return store_rows(map_batches(joined, check, "a binary, b binary"), "links")
 
 
 def _leaders(classes: DataFrame, percent: int) -> DataFrame:
@@ -192,12 +199,11 @@ def _with_components(classes: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select("v", F.coalesce("comp", "v").alias("comp"), "text")
 
 
-def _common_shingles(rows: DataFrame, limit: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+def _common_shingles(rows: DataFrame, postings: float) -> tuple[np.ndarray, np.ndarray]:
     """(shingles sorted, their rank by count) of those found in most components over all documents.
 
     Each task counts its documents' shingles, those in the lower part of the hash range that prefixes are
-    drawn from, and passes on what two of its components share; the sums are cut to the ``limit`` most
-    common. The table only orders shingles: whatever it holds, the join stays exact.
+    drawn from, and passes on what two of its components share; the sums are cut to the most common. The table only orders shingles: whatever it holds, the join stays exact.
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,13 +225,14 @@ def _common_shingles(rows: DataFrame, limit: int = COMMON) -> tuple[np.ndarray,
                 low = value < LOW
                 held.append(np.stack([value[low], comp[first + doc[low]]], 1))
                 size += len(held[-1])
-                if size > 2_500_000:
+                if size > 2_200_000:
                     yield shared()
                     held, size = [], 0
         if size:
             yield shared()
 
-    sums = rows.mapInArrow(step, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    sums = map_batches(rows, step, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    limit = int(min(max(postings // COMMON_SHARE, COMMON[0]), COMMON[1]))
     top = sums.orderBy(F.desc("n"), "token").limit(limit).toArrow()
     token, count = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
     rank = np.empty(len(token), np.int64)
@@ -254,7 +261,7 @@ def _index(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int)
                 for i, v in enumerate(v_all[first : first + rows].tolist()):
                     if v not in seen:
                         new[i] = True
-                        if len(seen) < 500_000:
+                        if len(seen) < 200_000:
                             seen.add(v)
                 kept = new[doc]
                 doc, value = doc[kept], value[kept]
@@ -278,74 +285,94 @@ def _index(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int)
                     ["token", "comp", "v", "n", "pos"],
                 )
 
-    return rows.mapInArrow(step, "token long, comp long, v long, n int, pos int")
+    return map_batches(rows, step, "token long, comp long, v long, n int, pos int")
 
 
 POSTING = "token long, comp long, v long, n int, pos int"
 COLUMNS = ["token", "comp", "v", "n", "pos"]
 
 
-def _index_lists(batches: list[pa.RecordBatch]) -> list[np.ndarray] | None:
-    """Postings of one partition in lists by token, sorted by set size, each class once; lists of a single
-    component are left out, since all their answers are known. Columns: token, comp, v, n, pos."""
-    if not batches:
-        return None
-    parts = [np.concatenate([b.column(c).to_numpy() for b in batches]) for c in COLUMNS]
-    order = np.lexsort((parts[2], parts[3], parts[0]))
-    token, comp, v, n, pos = (p[order] for p in parts)
-    once = np.r_[True, (token[1:] != token[:-1]) | (v[1:] != v[:-1])]
-    token, comp, v, n, pos = (p[once] for p in (token, comp, v, n, pos))
-    edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    size = np.diff(np.r_[edge, len(token)])
-    many = np.minimum.reduceat(comp, edge) != np.maximum.reduceat(comp, edge)
-    keep = np.repeat(many, size)
-    return [p[keep] for p in (token, comp, v, n.astype(np.int64), pos.astype(np.int64))] if keep.any() else None
-
-
-def _pairs_of_lists(token: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, reach: int = 1 << 40) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of pairs in one list and different components that can still reach the needed overlap,
-    by their distance in the list. A place whose partner has grown too large is skipped from there on."""
-    i = np.arange(len(token) - 1)
-    step = 1
-    while len(i) and step <= reach:
-        i = i[i + step < len(token)]
-        j = i + step
-        near = (token[i] == token[j]) & (n[j] * percent <= n[i] * 100)  # the block of sizes that may link
-        i, j = i[near], j[near]
-        need = -(-(n[i] + n[j]) * percent // (100 + percent))
-        rest = np.minimum(n[i] - pos[i], n[j] - pos[j])  # the common shingle and all after it
-        good = (comp[i] != comp[j]) & (rest >= need)
-        if good.any():
-            yield i[good], j[good]
-        step += 1
-
-
-def _record(columns: list[np.ndarray], chosen: np.ndarray) -> pa.RecordBatch:
-    token, comp, v, n, pos = (c[chosen] for c in columns)
-    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(comp), pa.array(v), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32))], COLUMNS)
+def _open_lists(index: DataFrame) -> DataFrame:
+    """(token, blocks) of the lists that hold several components: all answers of the others are known. Counted
+    with partial sums, so that no list is gathered for it."""
+    lists = index.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"))
+    return store_rows(lists.filter("low < high").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "lists")
+
+
+def _dealt(postings: DataFrame, lists: DataFrame, partitions: int, *more: str) -> DataFrame:
+    """Postings of ``lists`` by pairs of blocks: a list of one block is one group; of a longer one each class belongs
+    to a block by hash, and each pair of blocks (x <= y) is a group of its own."""
+    few = lists.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+    rows = postings.join(F.broadcast(lists) if few else lists, "token").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    rows = rows.select(*COLUMNS, *more, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select(*COLUMNS, *more, "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    return rows.repartition(partitions, "token", "x", "y")
+
+
+class _Lists:
+    """Postings of one partition in lists, each class once, sorted by set size; ``side`` tells the two blocks of a
+    pair apart (-1 where a list is one block). Lists of a single component are left out."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        parts = {c: np.concatenate([b.column(c).to_numpy() for b in batches] or [np.zeros(0, np.int64)]) for c in [*COLUMNS, "own", "x", "y"]}
+        order = np.lexsort([parts[c] for c in ("v", "n", "y", "x", "token")])
+        parts = {c: p[order] for c, p in parts.items()}
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([parts[c][1:] != parts[c][:-1] for c in ("token", "x", "y")])
+        once = new.copy()
+        once[1:] |= parts["v"][1:] != parts["v"][:-1]
+        parts = {c: p[once] for c, p in parts.items()}
+        edge = np.flatnonzero(new[once])
+        size = np.diff(np.r_[edge, len(parts["v"])])
+        keep = np.repeat(np.minimum.reduceat(parts["comp"], edge) != np.maximum.reduceat(parts["comp"], edge), size) if len(edge) else np.zeros(0, bool)
+        self.group = np.repeat(np.arange(len(edge)), size)[keep]
+        self.token, self.comp, self.v, own, x, y = (parts[c][keep] for c in ("token", "comp", "v", "own", "x", "y"))
+        self.n, self.pos = parts["n"][keep].astype(np.int64), parts["pos"][keep].astype(np.int64)
+        self.side = np.where(x < y, (own == y).astype(np.int8), np.int8(-1))
+
+    def pairs(self, percent: int, reach: int = 1 << 40) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (i, j) of pairs in one list and different components that can still reach the needed overlap,
+        by their distance in the list. A place whose partner has grown too large is skipped from there on."""
+        group, comp, n, pos, side = self.group, self.comp, self.n, self.pos, self.side
+        i = np.arange(len(group) - 1)
+        step = 1
+        while len(i) and step <= reach:
+            i = i[i + step < len(group)]
+            j = i + step
+            near = (group[i] == group[j]) & (n[j] * percent <= n[i] * 100)  # the block of sizes that may link
+            i, j = i[near], j[near]
+            need = -(-(n[i] + n[j]) * percent // (100 + percent))
+            rest = np.minimum(n[i] - pos[i], n[j] - pos[j])  # the common shingle and all after it
+            good = (comp[i] != comp[j]) & (rest >= need) & ((side[i] < 0) | (side[i] != side[j]))
+            if good.any():
+                yield i[good], j[good]
+            step += 1
+
+    def record(self, chosen: np.ndarray) -> pa.RecordBatch:
+        arrays = [pa.array(c[chosen]) for c in (self.token, self.comp, self.v, self.n.astype(np.int32), self.pos.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(arrays, COLUMNS)
 
 
 def _open_postings(postings: DataFrame, partitions: int, percent: int, large: int = 0) -> DataFrame:
     """Postings in some pair that component, size and position allow; with ``large`` only of lists of so many
     postings."""
+    lists = _open_lists(postings)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = _index_lists([b for b in batches if b.num_rows])
-        if lists is None:
-            return
-        token, comp, v, n, pos = lists
-        used = np.zeros(len(token), bool)
-        for i, j in _pairs_of_lists(token, comp, n, pos, percent):
+        own = _Lists([b for b in batches if b.num_rows])
+        used = np.zeros(len(own.v), bool)
+        for i, j in own.pairs(percent):
             used[i] = True
             used[j] = True
-        if large:
-            edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            size = np.diff(np.r_[edge, len(token)])
-            used &= np.repeat(np.add.reduceat(used, edge) >= large, size)
+        if large and len(used):
+            used &= np.bincount(own.group, weights=used)[own.group] >= large
         if used.any():
-            yield _record(lists, used)
+            yield own.record(used)
 
-    return store_rows(postings.repartition(partitions, "token").mapInArrow(step, POSTING), "postings")
+    found = map_batches(_dealt(postings, lists, partitions), step, POSTING, 1 << 16)
+    if lists.filter("blocks > 1").limit(1).count():  # those of longer lists come out of several pairs of blocks
+        found = found.dropDuplicates(["token", "v"])
+    return store_rows(found, "postings")
 
 
 def _relabelled(postings: DataFrame, known: DataFrame) -> DataFrame:
@@ -361,10 +388,10 @@ def _candidates(postings: DataFrame, classes: DataFrame, partitions: int, percen
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [b for b in batches if b.num_rows]
-        lists = _index_lists(kept)
-        if lists is None:
+        if not kept:
             return
-        token, comp, v, n, pos = lists
+        lists = _Lists(kept)
+        n, v = lists.n, lists.v
         known = np.concatenate([b.column("v").to_numpy() for b in kept])
         raw = np.frombuffer(b"".join(x for b in kept for x in b.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         known, first = np.unique(known, return_index=True)
@@ -372,7 +399,7 @@ def _candidates(postings: DataFrame, classes: DataFrame, partitions: int, percen
         held: list[np.ndarray] = []
         rows = 0
         best, partner = np.full(len(v), np.inf), np.zeros(len(v), np.int64)
-        for i, j in _pairs_of_lists(token, comp, n, pos, percent, 32 if nearest else 1 << 40):
+        for i, j in lists.pairs(percent, 32 if nearest else 1 << 40):
             differ = np.bitwise_count(raw[own[i]] ^ raw[own[j]]).sum(1, dtype=np.int64)
             like = differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
             i, j, differ = i[like], j[like], differ[like]
@@ -393,9 +420,9 @@ def _candidates(postings: DataFrame, classes: DataFrame, partitions: int, percen
             for a in range(0, len(out), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(out[a : a + 200_000, 0].copy()), pa.array(out[a : a + 200_000, 1].copy())], ["v", "w"])
 
-    bits = classes.select(F.col("v").alias("own"), "bits").groupBy("own").agg(F.first("bits").alias("bits"))
-    with_bits = postings.join(bits, postings["v"] == bits["own"]).select(*COLUMNS, "bits")
-    found = with_bits.repartition(partitions, "token").mapInArrow(step, "v long, w long")
+    bits = classes.select("v", "bits").groupBy("v").agg(F.first("bits").alias("bits"))
+    with_bits = postings.join(bits, "v").select(*COLUMNS, "bits")
+    found = map_batches(_dealt(with_bits, _open_lists(postings), partitions, "bits"), step, "v long, w long", 1 << 16)
     return store_rows(found.distinct(), "pairs")
 
 
@@ -405,9 +432,10 @@ def link_components(documents: DataFrame, percent: int = 80) -> DataFrame:
     Words are runs of bytes other than blanks, A-Z lower-cased. A text of fewer than five words is one
     shingle; one without words (or null) has none and links with nothing, not even with its like. Equal
     sets are one class and always linked. ``component_id`` is the least non-null doc_id reachable. Repeated
-    rows come out repeated; an empty table gives no rows; extra columns are ignored.
+    rows come out repeated; texts of any length are read whole; an empty table gives no rows; extra columns are
+    ignored. Classes are numbered by 64 bits of their digest on the way (see the limits in the README).
     """
-    return _linked(pack_text(_documents(documents)), percent)
+    return _linked(_documents(documents), percent)
 
 
 def link_pairs(documents: DataFrame, percent: int = 80) -> DataFrame:
@@ -416,18 +444,18 @@ def link_pairs(documents: DataFrame, percent: int = 80) -> DataFrame:
     No pair is passed over for its component: the whole index is searched. As many rows as there are links,
     which in a group of n near copies may be n * n / 2. Members of one class link with each other besides.
     """
-    classes = _classes(pack_text(_documents(documents))).filter(F.col("cls").isNotNull())
+    classes = _classes(_documents(documents)).filter(F.col("cls").isNotNull())
     total = classes.agg(F.coalesce(F.sum(F.col("n") / 5 + 1), F.lit(0.0))).first()[0]
     partitions = _partitions(documents.sparkSession, total)
     rows = classes.select("v", F.col("v").alias("comp"), "text")
-    live = _open_postings(_index(rows, _common_shingles(rows), percent), partitions, percent)
+    live = _open_postings(_index(rows, _common_shingles(rows, total), percent), partitions, percent)
     links = _verified(classes, _candidates(live, classes, partitions, percent, False), percent)
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def class_members(documents: DataFrame) -> DataFrame:
     """(doc_id, cls) of every row: the digest of its set of shingles, null for the empty set."""
-    return _classes(pack_text(_documents(documents))).select("doc_id", "cls")
+    return _classes(_documents(documents)).select("doc_id", "cls")
 
 
 def count_links(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -448,7 +476,8 @@ def _partitions(spark: SparkSession, postings: float) -> int:
 
 
 def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """One row of each group of linked documents, all columns as they were (null text as empty)."""
+    """One row of each group of linked documents, all columns as they were (null text as empty). Texts without
+    words all stay; repeated rows are one group; null ids, long texts and empty tables as in ``link_components``."""
     numbered = cut_lineage(pack_text(fold(documents).withColumn("uid", F.monotonically_increasing_id())))
     groups = _linked(numbered.select(F.col("uid").alias("doc_id"), "text"), percent)
     kept = store_rows(groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("uid")), "kept")
@@ -461,7 +490,7 @@ def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
 
     rest = numbered.schema["rest"].dataType.simpleString()
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    return unfold(rows.mapInArrow(step, f"doc_id {id_type}, text string, rest {rest}"), documents.columns)
+    return unfold(map_batches(rows, step, f"doc_id {id_type}, text string, rest {rest}"), documents.columns)
 
 
 def _known(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -471,16 +500,16 @@ def _known(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, numbers.groupBy("v").agg(F.min("comp").alias("comp"))
 
 
-def _linked(packed: DataFrame, percent: int) -> DataFrame:
-    stored = _classes(packed)
+def _linked(documents: DataFrame, percent: int) -> DataFrame:
+    stored = _classes(documents)
     classes = stored.filter(F.col("cls").isNotNull())
     total = classes.agg(F.coalesce(F.sum(F.col("n") / 5 + 1), F.lit(0.0))).first()[0]
-    partitions = _partitions(packed.sparkSession, total)
+    partitions = _partitions(documents.sparkSession, total)
 
     links = _verified(classes, store_rows(_leaders(classes, percent), "leaders"), percent)
     found, known = _known(links)
     rows = _with_components(classes, known)
-    live = _open_postings(_index(rows, _common_shingles(rows), percent), partitions, percent)
+    live = _open_postings(_index(rows, _common_shingles(rows, total), percent), partitions, percent)
     for nearest in (True, True, False):  # large lists first: most of their pairs then need no look
         now = _open_postings(_relabelled(live, known), partitions, percent, LARGE if nearest else 0)
         pairs = _candidates(now, classes, partitions, percent, nearest) if now.count() else None
