@@ -12,7 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import decontaminate, jaccard_join, packing, quality, suffix_dedup
-from tidewell.llm._common import checkpoint_dir
+from tidewell.llm._common import checkpoint_dir, drop_folder, scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +53,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of the whole documents table."""
+    """The packed pieces of the whole documents table. What stages store on their way is dropped with each, and
+    a stage's documents once the next one has written its own; the last folder stays, as the result reads it.
+
+    Rows with null or repeated ids, null, empty and very long texts, ties and columns of any name pass as the
+    stages' docstrings say; an empty table gives no rows."""
     at = os.path.join(checkpoint_dir(spark), f"tidewell-pipeline-{os.urandom(8).hex()}")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{at}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
