@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import byte_codes, fold, is_training_row, labelled_sample, map_batches, mix64, odd_powers, stable_columns, text_slices, unfold
+from tidewell.llm._common import SLICE_BYTES, byte_codes, fold, is_training_row, labelled_sample, map_batches, mix64, odd_powers, stable_columns, text_slices, unfold
 
 #: Rows of the word table (words are hashed to them), classes of word shapes, and dimensions of their vectors.
 WORDS, SHAPES, DIM = 32_768, 64, 64
@@ -27,10 +27,23 @@ LABELLED_ROWS = 12_000
 _CLASS = np.full(256, 2, np.uint8)  # 0 space, 1 letter or digit, 2 other signs
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = 1
-_UPPER = np.zeros(256, np.uint8)
+_UPPER = np.zeros(256, np.int32)
 _UPPER[65:91] = 1
-_DIGIT = np.zeros(256, np.uint8)
+_DIGIT = np.zeros(256, np.int32)
 _DIGIT[48:58] = 1
+_CODES = byte_codes(3)
+_BASE = 0x9E3779B97F4A7C15
+_known_powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2 ** 64, kept for slices of the usual size."""
+    if n <= len(_known_powers[0]):
+        return _known_powers[0][:n], _known_powers[1][:n]
+    both = odd_powers(_BASE, n), odd_powers(pow(_BASE, -1, 1 << 64), n)
+    if n <= 2 * SLICE_BYTES:
+        _known_powers[:] = both
+    return both
 
 
 def index_vectors(rows: int = WORDS + SHAPES, dim: int = DIM, ones: int = 4, seed: int = 11) -> np.ndarray:
@@ -50,16 +63,21 @@ def token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     kind = _CLASS[data]
     edge = np.empty(len(data), bool)
     edge[0] = True
-    edge[1:] = kind[1:] != kind[:-1]
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:])
     edge[offsets[:-1][offsets[:-1] < len(data)]] = True
     starts = np.flatnonzero(edge)
-    ends = np.r_[starts[1:], len(data)]
-    size = ends - starts
-    codes = byte_codes(3)[data]
-    power = odd_powers(0x9E3779B97F4A7C15, int(size.max()))
-    place = np.arange(len(data)) - np.repeat(starts, size)
-    value = mix64(np.add.reduceat(codes * power[place], starts))
-    upper, digits = np.add.reduceat(_UPPER[data], starts, dtype=np.int64), np.add.reduceat(_DIGIT[data], starts, dtype=np.int64)
+    size = np.diff(np.r_[starts, len(data)])
+
+    def per_token(values: np.ndarray) -> np.ndarray:
+        """Sums of a byte table's values over each token, by one running sum."""
+        upto = np.zeros(len(data) + 1, values.dtype)
+        np.cumsum(values, out=upto[1:])
+        return upto[starts + size] - upto[starts]
+
+    # A token's hash is its part of one running polynomial, moved back to where a text begins.
+    forth, back = _powers(len(data))
+    value = mix64(per_token(_CODES[data] * forth) * back[starts])
+    upper, digits = per_token(_UPPER[data]), per_token(_DIGIT[data])
     kept = kind[starts] != 0
     doc = np.searchsorted(offsets, starts, "right")[kept] - 1
     value, size, upper, digits, sign = value[kept], size[kept], upper[kept], digits[kept], kind[starts][kept] == 2
@@ -78,25 +96,38 @@ def context_sums(documents: DataFrame) -> np.ndarray:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = index_vectors()
-        places = [(sign, np.nonzero(base == sign)[1].reshape(rows, -1).T.copy()) for sign in (1, -1)]  # equally many a row
-        total = np.zeros(rows * DIM, np.int64)
+        places = [(sign, np.nonzero(base == sign)[1].astype(np.int32).reshape(rows, -1).T.copy()) for sign in (1, -1)]  # equally many a row
+        total, shaped, tokens = np.zeros(rows * DIM, np.int32), np.zeros(WORDS * SHAPES, np.int32), 0
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            out = total.reshape(rows, DIM).astype(np.int64)
+            counts = shaped.reshape(WORDS, SHAPES).astype(np.float64)
+            out[:WORDS] += np.rint(counts @ base[WORDS:]).astype(np.int64)
+            out[WORDS:] += np.rint(counts.T @ base[:WORDS]).astype(np.int64)
+            at = np.flatnonzero(out.any(1))
+            for first in range(0, len(at), 2048):
+                part = at[first : first + 2048]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32())] + [pa.array(out[part, d]) for d in range(DIM)], ["word"] + [f"d{d}" for d in range(DIM)])
+
         for batch in batches:
             for _, data, offsets in text_slices(batch):
                 doc, word, shape = token_stream(data, offsets)
+                tokens += len(doc)
+                wide, narrow = word * DIM, word * SHAPES - WORDS
                 for gap in (1, 2):
-                    inside = np.flatnonzero(doc[gap:] == doc[:-gap])
-                    # A word sees its neighbours' shapes and words, a shape the words around it.
-                    for mine, theirs in ((word, shape), (shape, word), (word, word)):
-                        for a, b in ((mine[inside], theirs[inside + gap]), (mine[inside + gap], theirs[inside])):
-                            a = a * DIM
-                            for sign, own in places:
-                                for place in own:
-                                    np.add.at(total, a + place[b], np.int64(sign))
-        total = total.reshape(rows, DIM)
-        at = np.flatnonzero(total.any(1))
-        for first in range(0, len(at), 4096):
-            part = at[first : first + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32())] + [pa.array(total[part, d]) for d in range(DIM)], ["word"] + [f"d{d}" for d in range(DIM)])
+                    left = np.flatnonzero(doc[gap:] == doc[:-gap])
+                    right = left + gap
+                    # A word sees its neighbours' words, as index vectors; words and shapes that meet are counted.
+                    for mine, theirs in ((left, right), (right, left)):
+                        np.add.at(shaped, narrow[mine] + shape[theirs], np.int32(1))
+                        seen, own = word[theirs], wide[mine]
+                        for sign, some in places:
+                            for place in some:
+                                np.add.at(total, own + place[seen], np.int32(sign))
+                if tokens > 100_000_000:  # no sum passes 32 bits
+                    yield from sums()
+                    total[:], shaped[:], tokens = 0, 0, 0
+        yield from sums()
 
     schema = "word int, " + ", ".join(f"d{d} long" for d in range(DIM))
     sums = map_batches(stable_columns(documents, "text"), step, schema).groupBy("word").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(DIM)])
@@ -124,8 +155,9 @@ def pooled(batch: pa.RecordBatch, vectors: np.ndarray) -> np.ndarray:
             starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
             size = np.diff(np.r_[starts, len(doc)])
             own = doc[starts]
-            for k, ids in ((0, word), (1, shape)):
-                out[own, k * DIM : (k + 1) * DIM] = np.add.reduceat(vectors[ids], starts, axis=0, dtype=np.float64) / size[:, None]
+            out[own, :DIM] = np.add.reduceat(vectors[word], starts, axis=0) / size[:, None]
+            shapes = np.bincount(doc * SHAPES + shape - WORDS, minlength=n * SHAPES).reshape(n, SHAPES)[own]
+            out[own, DIM : 2 * DIM] = np.einsum("ns,sd->nd", shapes, vectors[WORDS:], dtype=np.float64) / size[:, None]
             out[own, -1] = np.log1p(size)
         parts.append(out)
     return np.concatenate(parts) if parts else np.zeros((0, 2 * DIM + 1), np.float32)
