@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions import chunking, intent, pages, text
+from tidewell.functions import bullets, chunking, intent, pages, text
 from tidewell.operators import documents, lifecycle, retrieval, scope, sessions, sheets, usage, vectors
 from tidewell.sources import files
 from tidewell.streaming import jobs
@@ -169,14 +169,38 @@ def test_key_values(spark):
     assert documents.kv_param_summary(docs).first().text.startswith("【参数对照】《m.pdf》产品型号：DDX19；")
 
 
+MANUAL = """1. 连接电源线
+*语音为高配标配
+5 获取完整版使用指南
+微信扫描机身二维码，获取完整版使用指南。
+• 基站附近若有镜子、 反光的踢脚线等物体， 需遮挡其底部 14cm 的部分。
+• 请勿将基站放在阳光直射的地方。
+• 建议放置在信号强的位置，以便获得更好的使用体验。
+2. 寻找合适的位置放置基站
+基站靠墙放置在平坦的硬质地面，左右0.1m和前方0.8m范围内不要
+放置物品。
+≥0.1m (0.33')
+3. 使用水箱"""
+
+
+def test_bullets():
+    out = bullets.bullet_texts([MANUAL])
+    assert out == ["基站附近若有镜子、 反光的踢脚线等物体， 需遮挡其底部 14cm 的部分。；请勿将基站放在阳光直射的地方。；建议放置在信号强的位置，以便获得更好的使用体验。；寻找合适的位置放置基站基站靠墙放置在平坦的硬质地面，左右0.1m和前方0.8m范围内不要放置物品。"]
+    assert bullets.bullet_texts(["正文一句话。\n• 孤立的一条要求请不要忽视它。\n正文一句话。\n正文一句话。"]) == []
+    care = "• 主机长时间不用时请先充满电，\n每 3 个月补充电一次。\n5. 返回基站后主机待机约5小时进入深度休眠。\n• 短句"
+    assert bullets.bullet_texts([care]) == ["主机长时间不用时请先充满电，每 3 个月补充电一次。；返回基站后主机待机约5小时进入深度休眠。", "返回基站后主机待机约5小时进入深度休眠。"]
+    assert bullets.bullet_texts([MANUAL, MANUAL]) == out and bullets.bullet_texts(["", "\n"]) == []
+
+
 def test_summaries(spark):
-    body = "- 第一条要求内容\n- 第二条要求\n续行\n- 第三条内容\n\n售后热线 400-886-8888\n官网 www.example.com\n首次使用前请先充满电再开机使用。首次使用时请撕掉保护膜后再放置。"
-    docs = spark.createDataFrame([(1, "m.pdf", body)], "doc_id long, filename string, text string")
-    assert documents.bullet_summary(docs).first().text == "【要点清单】《m.pdf》第一条要求内容；第二条要求续行；第三条内容"
-    assert documents.service_summary(docs).first().text == "【售后服务】《m.pdf》售后热线：400-886-8888；官网：www.example.com"
-    assert documents.first_use_summary(docs).first().text.count("首次使用") == 3
+    body = "• 第一条要求内容请务必遵守到底。\n• 第二条要求内容请\n务必遵守到底。\n\n\n\n售后服务中心： 400-886-8888，谢谢。\n更多详情请至官网： www.example.com.\n请用微信扫描，联系在线客服。\n首次使用前请先充满电再开机使用；首次使用时请撕掉 保护膜后再放置。"
+    docs = spark.createDataFrame([(1, "m.pdf", body), (2, "n.pdf", "产品型号 DDX19\n400-886-8888 www.example.com 微信"), (3, "o.pdf", None)], "doc_id long, filename string, text string")
+    assert [r.text for r in documents.bullet_summary(docs).collect()] == ["【要点清单】《m.pdf》第一条要求内容请务必遵守到底。；第二条要求内容请务必遵守到底。"]
+    assert [r.text for r in documents.service_summary(docs).collect()] == ["【售后服务】《m.pdf》售后服务中心：400-886-8888；官网：www.example.com；请用微信扫描，联系在线客服。"]
+    assert [r.text for r in documents.first_use_summary(docs).collect()] == ["【首次使用要点】《m.pdf》首次使用前请先充满电再开机使用；；首次使用时请撕掉保护膜后再放置。"]
     blocks = spark.createDataFrame([(1, 0, body)], "doc_id long, seq int, text string")
-    assert [r.text[:5] for r in documents.prepare_document(docs.select("doc_id", "filename"), blocks).orderBy("seq").collect()][:1] == ["【要点清单"[:5]]
+    got = [r.text[:6] for r in documents.prepare_document(docs.select("doc_id", "filename"), blocks).orderBy("seq").collect()]
+    assert got == ["【要点清单】", "【售后服务】", "【首次使用要", "• 第一条要"]
 
 
 def test_images(spark):
@@ -257,7 +281,7 @@ def test_no_row_crosses_tenants(spark, sf_dir):
     hits = vectors.block_similarity_join(queries, chunks, 5, -1.0)
     crossed = hits.join(queries.select("query_id", "tenant_id").distinct(), "query_id").join(chunks.select("chunk_id", F.col("tenant_id").alias("t")), "chunk_id").filter("t <> tenant_id")
     assert crossed.count() == 0
-    again = vectors.block_similarity_join(queries, chunks, 5, -1.0, salts=1)
+    again = vectors.block_similarity_join(queries, chunks, 5, -1.0, chunk_block=7, query_block=1)
     key = lambda df: sorted((r.query_id, r.chunk_id, r.place) for r in df.collect())
     assert key(hits) == key(again) == key(vectors.similarity_join(queries, chunks, 5, -1.0))
 
@@ -368,6 +392,25 @@ def test_session_state(spark, tmp_path):
     assert (got[-1].ai, got[-1].visitor, got[2].streak, got[5].streak) == (1, 1, 2, 0)
 
 
+def test_quota_share_is_that_of_the_double(spark):
+    used = spark.createDataFrame([(1, "2024-01-18", 3630), (2, "2024-01-18", 1)], "tenant_id long, created_at string, total_tokens long")
+    tenants = spark.createDataFrame([(1, 40000), (2, 0)], "tenant_id long, daily_token_quota long")
+    assert {r.tenant_id: r.used_percent for r in usage.quota_status(used, tenants).collect()} == {1: round(3630 * 100.0 / 40000, 2), 2: None}
+
+
+def test_memory_counts_empty_notes(spark):
+    notes = spark.createDataFrame([(1, 1, i, "" if i in (11, 12) else f"n{i}", f"2024-01-{i:02}") for i in range(1, 13)], "tenant_id long, visitor_id long, note_id long, content string, updated_at string")
+    assert sorted(r.note_id for r in sessions.visitor_memory(notes).collect()) == list(range(3, 11))
+
+
+def test_ids_inside_longer_runs(spark):
+    chunks = spark.createDataFrame([(1, 1, 1, 1, "see AB-1234567890-x and AB-1234567890", True), (2, 1, 1, 1, "no12345678yes", True), (3, 1, 1, 1, "1234567", True), (4, 2, 1, 1, "12345678", True)], "chunk_id long, tenant_id long, kb_id long, doc_id long, text string, enabled boolean")
+    queries = spark.createDataFrame([(1, "where is AB-1234567890"), (2, "and 12345678?"), (3, "nothing")], "query_id long, text string")
+    where = spark.createDataFrame([(i, 1, 1) for i in (1, 2, 3)], "query_id long, tenant_id long, kb_id long")
+    got = {(r.query_id, r.chunk_id) for r in retrieval.pin_exact_ids(queries, where, chunks).collect()}
+    assert got == {(1, 1), (2, 1), (2, 2)}
+
+
 def test_rate_limit_edges(spark):
     from datetime import datetime, timedelta
 
@@ -461,15 +504,18 @@ def test_ingest(spark, tmp_path):
     jobs.ingest_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     status = {r.doc_id: r.status for r in spark.read.parquet(str(tmp_path / "out/status")).collect()}
     assert status == {1: "success", 2: "failed"} and spark.read.parquet(str(tmp_path / "out/chunks")).count() == 1
+    vectors = jobs.ingested(spark, str(tmp_path / "out"), "vectors").collect()
+    assert [(r.doc_id, len(r.embedding)) for r in vectors] == [(1, 64)]
 
 
-def test_late_rows_are_counted(spark):
+def test_late_rows_are_counted(spark, tmp_path):
     kept = []
-    step, counters = jobs.late_policy(60, lambda df, n: kept.append(df.count()))
-    rows = lambda *s: spark.createDataFrame([(x,) for x in s], "created_at string")
-    step(rows("2024-01-01 00:10:00", "2024-01-01 00:01:00"), 0)
-    step(rows("2024-01-01 00:09:30", "2024-01-01 00:08:00"), 1)
-    assert (counters["rows"], counters["late"], kept) == (4, 1, [2, 1])
+    for n, times in enumerate((["2024-01-01 00:10:00", "2024-01-01 00:01:00"], ["2024-01-01 00:09:30", "2024-01-01 00:08:00"])):
+        rows = spark.createDataFrame([(x,) for x in times], "created_at string").coalesce(1)
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        jobs.count_late(stream, str(tmp_path / "counts"), str(tmp_path / "state"), 60, lambda df, n: kept.append(df.count()))  # a restart each
+    assert tuple(jobs.late_counts(spark, str(tmp_path / "counts")).first()) == (4, 1) and kept == [2, 1]
 
 
 def test_stream_equals_batch(spark, sf_dir):

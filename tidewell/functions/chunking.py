@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Marks to cut after, and a path in front of a piece.
 HARD, SOFT = "。！？!?；;\n", "，、,)）」】；; "
 PATH = re.compile(r"【[^】]{1,200}】\n")
 

@@ -135,11 +135,9 @@ def is_real_answer(c: Column | str) -> Column:
 def embed_tokens(c: Column | str) -> Column:
     """Single CJK characters and runs of ASCII letters and digits, lower case; after a CJK character that
     is followed by another also the pair."""
-    raw = F.regexp_extract_all(F.lower(F.coalesce(_c(c), F.lit(""))), F.lit("([一-鿿]|[a-z0-9]+)"), F.lit(1))
-    after = F.concat(F.slice(raw, 2, F.greatest(F.size(raw), F.lit(1))), F.array(F.lit("")))
-    cjk = lambda x: x.rlike("^[一-鿿]$")
-    pairs = F.zip_with(raw, after, lambda a, b: F.when(cjk(a) & cjk(b), F.array(a, F.concat(a, b))).otherwise(F.array(a)))
-    return F.when(F.size(raw) > 0, F.filter(F.flatten(pairs), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    # Each character that another follows is written out as itself and its pair, apart: one pattern finds all.
+    apart = F.regexp_replace(F.lower(F.coalesce(_c(c), F.lit(""))), "([一-鿿])(?=([一-鿿]))", "$1 $1$2 ")
+    return F.regexp_extract_all(apart, F.lit("([一-鿿]{1,2}|[a-z0-9]+)"), F.lit(1))
 
 
 def estimate_tokens(c: Column | str) -> Column:
@@ -148,6 +146,7 @@ def estimate_tokens(c: Column | str) -> Column:
     return F.when(text == "", 0).otherwise(cjk + F.greatest(F.lit(1), F.floor((F.length(text) - cjk) / 4).cast("int"))).cast("int")
 
 
+# The variables of a template and how one is written.
 VARIABLES = ("tenant.name", "visitor.id", "visitor.language", "channel", "now", "employee.name")
 _VARIABLE = r"\{\{\s*([a-zA-Z0-9_\.]+)\s*\}\}"
 
@@ -240,6 +239,7 @@ def document_status(warnings: Column | str) -> Column:
     return F.when(F.exists(F.coalesce(_c(warnings), F.array().cast("array<string>")), lambda w: ~w.rlike(informs)), "partial").otherwise("success")
 
 
+#: Cell values that stand for nothing (fixed values).
 BLANKS = ("", "-", "--", "/", "\\", "N/A", "NA", "—", "－", "无")
 
 
@@ -248,7 +248,7 @@ def is_blank(c: Column | str) -> Column:
 
 
 def cell_type(c: Column | str) -> Column:
-    """date, num, measure, code or text; null for a blank cell."""
+    """date, num, measure, code or text (patterns and limits are fixed values); null for a blank cell."""
     s = strip(_c(c).cast("string"))
     number = F.replace(F.regexp_replace(s, "^[¥￥$€£]+", ""), F.lit(","), F.lit(""))
     return (

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.bullets import bullet_texts_of
 from tidewell.functions.chunking import merge_udf, pack_udf
 from tidewell.functions.text import caption_or_placeholder, normalize_text, strip
 
+# What bullets, plain headings, ends of sentences and fences look like.
 BULLET = r"^\s*(?:[-*+•·]|[0-9]+[.)、]|[（(][0-9]+[)）])\s+"
 PLAIN_HEADING = r"^\s*(?:第\s*[0-9一二三四五六七八九十百千]+\s*[章节条篇部分]|[0-9]+(?:\.[0-9]+){1,3}(?=[\s、．.]|$)|[一二三四五六七八九十]+\s*[、．.])"
 STOPS = "。！？!?；;：:”」』）)"
@@ -140,6 +142,7 @@ def render_blocks(blocks: DataFrame, max_chars: int = 600, min_merge: int = 120,
     return own.select("doc_id", F.posexplode(merge_udf(max_chars, min_merge, depth)("blocks")).alias("seq", "text"))
 
 
+#: Letters of a key (fixed value).
 KEY_CHARS = r"^[一-鿿A-Za-z0-9（）()\-－/／·～~．.]+$"
 
 
@@ -183,56 +186,63 @@ def kv_param_summary(documents: DataFrame, size: int = 600, least: int = 5) -> D
     return own.select("doc_id", "segment", F.explode(pack_udf(size)(header, F.transform("items", lambda x: x["item"]))).alias("text"))
 
 
+#: A hotline with its label, a website, words and limits of first use.
+HOTLINE = r"((?:售后|服务|客服)(?:服务)?(?:热线|电话|中心))[：:]?\s*(4\d{2}[-\s]?\d{3}[-\s]?\d{4}|\d{3,4}[-\s]?\d{7,8})"
+WEBSITE = r"(www\.[A-Za-z0-9.\-]+)"
+FIRST_USE = r"首次使用|使用前|防护栏|流苏边|收纳好|整理出[^。]*清扫空间"
+FIRST_USE_TRIM = r"使用前|首次使用|收纳好|整理出"
+
+
+def _blocks(documents: DataFrame) -> DataFrame:
+    """Documents are blocks (doc_id, seq, text) of one name; without ``seq`` each is one block."""
+    return documents if "seq" in documents.columns else documents.withColumn("seq", F.lit(0))
+
+
 def service_summary(documents: DataFrame) -> DataFrame:
-    """(doc_id, text): the first hotline, website and chat line of each document as one block."""
-    lines = lines_of(documents)
-    phone = F.regexp_extract("line", r"((?:400|800)[- ]?\d{3,4}[- ]?\d{3,4})", 1)
-    site = F.when(F.col("line").rlike("官网|网址|(?i:website)"), F.regexp_extract("line", r"((?:https?://|www\.)[A-Za-z0-9./_-]+)", 1))
-    chat = F.when(F.col("line").rlike("微信|公众号|在线客服"), strip("line"))
-    first = lambda c: F.min(F.when(c != "", F.struct(F.col("line_no"), c.alias("t"))))["t"]
-    found = lines.groupBy("doc_id").agg(first(phone).alias("phone"), first(site).alias("site"), first(chat).alias("chat"))
-    found = found.filter(F.coalesce("phone", "site", "chat").isNotNull()).join(documents.select("doc_id", "filename"), "doc_id")
-    parts = F.concat_ws("；", F.concat(F.lit("售后热线："), "phone"), F.concat(F.lit("官网："), "site"), F.col("chat"))
+    """(doc_id, text): the first hotline (with its label), website (on a line that says so) and line about the
+    online service of each document (doc_id, filename, text, perhaps seq) as one block."""
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n|\r", "\n"), "\n")
+    rows = _blocks(documents).select("doc_id", "seq", F.posexplode(lines).alias("line_no", "line")).withColumn("line", strip("line"))
+    label, number = F.regexp_extract("line", HOTLINE, 1), F.regexp_replace(F.regexp_extract("line", HOTLINE, 2), r"\s+", "")
+    phone = F.when(number != "", F.concat(label, F.lit("："), number))
+    site = F.when(F.col("line").contains("官网"), F.regexp_replace(F.regexp_extract("line", WEBSITE, 1), r"\.+$", ""))
+    chat = F.when(F.col("line").contains("微信") & F.col("line").contains("在线客服"), F.col("line"))
+    first = lambda c: F.min(F.when(c != "", F.struct("seq", "line_no", c.alias("t"))))["t"]
+    found = rows.groupBy("doc_id").agg(first(phone).alias("phone"), first(site).alias("site"), first(chat).alias("chat"))
+    found = found.filter(F.coalesce("phone", "site", "chat").isNotNull()).join(documents.select("doc_id", "filename").distinct(), "doc_id")
+    parts = F.concat_ws("；", F.col("phone"), F.concat(F.lit("官网："), "site"), F.col("chat"))
     return found.select("doc_id", F.concat(F.lit("【售后服务】《"), "filename", F.lit("》"), parts).alias("text"))
 
 
-def first_use_summary(documents: DataFrame, hints: str = "首次使用|第一次使用|初次使用|使用前|first use", least: int = 2, limit: int = 8) -> DataFrame:
-    """(doc_id, text): sentences of 12 to 120 characters about first use, from the hint on, repeats once."""
-    parts = F.split(F.coalesce(F.col("text"), F.lit("")), "(?<=[。！？!?；;])|\n")
-    rows = documents.select("doc_id", "filename", F.posexplode(parts).alias("n", "sentence")).withColumn("sentence", strip("sentence"))
-    rows = rows.filter(F.length("sentence").between(12, 120) & F.col("sentence").rlike(hints) & ~F.col("sentence").startswith("【"))
-    rows = rows.withColumn("sentence", F.regexp_extract("sentence", f"((?:{hints}).*)", 1))
-    same = Window.partitionBy("doc_id", F.regexp_replace("sentence", r"(?U)\s+", "")).orderBy("n")
-    rows = rows.withColumn("k", F.row_number().over(same)).filter("k = 1")
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))).filter(F.col("k") <= limit)
-    own = rows.groupBy("doc_id", "filename").agg(F.count("*").alias("size"), F.array_sort(F.collect_list(F.struct("n", "sentence"))).alias("s")).filter(F.col("size") >= least)
-    return own.select("doc_id", F.concat(F.lit("【首次使用】《"), "filename", F.lit("》"), F.array_join(F.transform("s", lambda x: x["sentence"]), "")).alias("text"))
+def first_use_summary(documents: DataFrame, least: int = 2, limit: int = 8) -> DataFrame:
+    """(doc_id, text): sentences about first use, of 12 to 120 characters without blanks, from the word on that
+    says so, the first eight; summary blocks are skipped, all repeats dropped."""
+    parts = F.split(F.coalesce(F.col("text"), F.lit("")), "(?<=[。；])")
+    rows = _blocks(documents).filter(~F.col("text").startswith("【")).select("doc_id", "filename", "seq", F.posexplode(parts).alias("n", "sentence"))
+    rows = rows.withColumn("sentence", F.regexp_replace("sentence", r"(?U)\s+", ""))
+    rows = rows.filter(F.length("sentence").between(12, 120) & F.col("sentence").rlike(FIRST_USE))
+    trimmed = F.regexp_extract("sentence", f"((?:{FIRST_USE_TRIM}).*)$", 1)
+    rows = rows.withColumn("sentence", F.when(trimmed != "", trimmed).otherwise(F.col("sentence"))).filter(F.length("sentence") >= 12)
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "sentence").orderBy("seq", "n"))).filter("k = 1")
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "n"))).filter(F.col("k") <= limit)
+    own = rows.groupBy("doc_id", "filename").agg(F.array_sort(F.collect_list(F.struct("k", "sentence"))).alias("s")).filter(F.size("s") >= least)
+    return own.select("doc_id", F.concat(F.lit("【首次使用要点】《"), "filename", F.lit("》"), F.array_join(F.transform("s", lambda x: x["sentence"]), "；")).alias("text"))
 
 
-def bullet_summary(documents: DataFrame, least: int = 3, joined: int = 3) -> DataFrame:
-    """(doc_id, text): runs of bullet lines (each with at most ``joined`` - 1 wrapped lines after it) as one
-    block; an item that another one contains is left out."""
-    lines = lines_of(documents)
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = lines.withColumn("item", F.col("line").rlike(BULLET)).withColumn("blank", strip("line") == "")
-    rows = rows.withColumn("item_no", F.sum((F.col("item") | F.col("blank")).cast("int")).over(order))
-    within = Window.partitionBy("doc_id", "item_no").orderBy("line_no")
-    rows = rows.withColumns({"starts": F.first("item").over(within), "k": F.row_number().over(within)}).filter(F.col("starts") & (F.col("k") <= joined))
-    items = rows.groupBy("doc_id", "item_no").agg(F.min("line_no").alias("line_no"), F.max("line_no").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: strip(F.regexp_replace(x["line"], BULLET, ""))), "").alias("item"))
-    opens = F.coalesce(F.col("line_no") - F.lag("last").over(order) > 2, F.lit(True))
-    items = items.withColumn("run", F.sum(opens.cast("int")).over(order))
-    runs = items.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("line_no", "item"))).alias("items")).filter(F.size("items") >= least)
-    texts = F.array_distinct(F.transform("items", lambda x: x["item"]))
-    kept = F.filter(texts, lambda t: ~F.exists(texts, lambda o: (o != t) & F.contains(o, t)))
-    rows = runs.withColumn("kept", kept).join(documents.select("doc_id", "filename"), "doc_id")
-    return rows.select("doc_id", "run", F.concat(F.lit("【要点清单】《"), "filename", F.lit("》"), F.array_join("kept", "；")).alias("text"))
+def bullet_summary(documents: DataFrame) -> DataFrame:
+    """(doc_id, run, text): runs of bullets with the requirements around them, and sentences that stand for
+    themselves (see ``functions.bullets``), each one document's work."""
+    own = _blocks(documents).groupBy("doc_id", "filename").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("blocks"))
+    rows = own.select("doc_id", "filename", F.posexplode(bullet_texts_of(F.col("blocks"))).alias("run", "body"))
+    return rows.select("doc_id", "run", F.concat(F.lit("【要点清单】《"), "filename", F.lit("》"), "body").alias("text"))
 
 
 def prepare_document(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     """(doc_id, seq, text): derived blocks (parameters, bullets, service, first use) before the document's
     own blocks (doc_id, seq, text), all normalised."""
-    texts = blocks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text")).join(documents.select("doc_id", "filename"), "doc_id")
-    parts = [(kv_param_summary(texts), "segment", 2), (bullet_summary(texts), "run", 3), (service_summary(texts), None, 4), (first_use_summary(texts), None, 5)]
+    named = blocks.join(documents.select("doc_id", "filename"), "doc_id")
+    whole = named.groupBy("doc_id", "filename").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    parts = [(kv_param_summary(whole), "segment", 2), (bullet_summary(named), "run", 3), (service_summary(named), None, 4), (first_use_summary(named), None, 5)]
     rows = blocks.select("doc_id", F.lit(9).alias("part"), F.col("seq").cast("long").alias("at"), normalize_text("text").alias("text"))
     for frame, at, part in parts:
         rows = rows.union(frame.select("doc_id", F.lit(part), (F.col(at) if at else F.lit(0)).cast("long"), "text"))

@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import embed_tokens, is_identifier_row, strip, strip_meta
+from tidewell.operators.folds import small_side
+from tidewell.sources.shared import stored
 
+#: What an id in a question looks like (fixed value).
 KEY = r"(\d{8,}|[A-Za-z]{2,}[-_]?\d{6,}|[A-Za-z0-9]{14,})"
 #: Words of questions about service (fixed value).
 SERVICE_QUESTION = "售后|维修|修理|故障|坏了|不能用|无法使用|客服|人工|热线|电话|报修|联系|修吗|怎么办"
@@ -27,13 +30,26 @@ def key_tokens(query):
     return F.slice(F.filter(F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(KEY), F.lit(1)), lambda t: F.length(t) >= 8), 1, 3)
 
 
+GRAM = 8
+
+
+def _id_grams(chunks: DataFrame) -> DataFrame:
+    """(tenant_id, kb_id, chunk_id, gram): the strings of eight characters inside a chunk's id-like runs. Every id
+    of a question has eight characters at least and stands inside such a run wherever it stands in a text."""
+    runs = F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_-]{8,})"), F.lit(1))
+    grams = F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - (GRAM - 1)), lambda i: F.substring(r, i, F.lit(GRAM))))
+    return chunks.select("tenant_id", "kb_id", "chunk_id", F.explode(F.array_distinct(F.flatten(grams))).alias("gram"))
+
+
 def pin_exact_ids(queries: DataFrame, scope: DataFrame, chunks: DataFrame, limit: int = 3) -> DataFrame:
     """Chunks of a query's scope (query_id, tenant_id, kb_id) whose text contains one of its ids, those
-    that name it most often first, score 1. Only queries with an id take part; scope is an equi-join, so
-    texts are searched once per query of their own base."""
-    asked = queries.select("query_id", F.posexplode(key_tokens(F.col("text"))).alias("n", "token"))
-    rows = asked.join(scope, "query_id").join(chunks.filter("enabled").select("chunk_id", "tenant_id", "kb_id", "doc_id", "text"), ["tenant_id", "kb_id"])
-    rows = rows.filter(F.contains("text", "token"))
+    that name it most often first, score 1. Questions' ids meet the chunks on base and first eight characters;
+    only texts that share them are searched."""
+    asked = queries.select("query_id", F.posexplode(key_tokens(F.col("text"))).alias("n", "token")).join(scope, "query_id")
+    asked = asked.withColumn("gram", F.substring("token", 1, GRAM))
+    own = chunks.filter("enabled").select("chunk_id", "tenant_id", "kb_id", "doc_id", "text")
+    met = small_side(asked).join(_id_grams(own), ["tenant_id", "kb_id", "gram"]).select("query_id", "n", "token", "tenant_id", "kb_id", "chunk_id")
+    rows = met.join(own, ["tenant_id", "kb_id", "chunk_id"]).filter(F.contains("text", "token"))
     count = lambda what: ((F.length("text") - F.length(F.replace(F.col("text"), what, F.lit("")))) / F.length(what)).cast("int")
     first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("n"))).filter("nth = 1")
     ranked = first.withColumn("place", F.row_number().over(_best(F.desc(count(F.col("token"))), F.desc(count(F.lit("；"))), "chunk_id")))
@@ -120,33 +136,47 @@ def overview_fallback_hits(hits: DataFrame, scope: DataFrame, chunks: DataFrame,
     return once.select("query_id", "chunk_id", "score", F.row_number().over(_best("part", "place")).alias("place"))
 
 
-def bm25_postings(chunks: DataFrame) -> DataFrame:
-    """(tenant_id, kb_id, chunk_id, term, tf, length) of enabled chunks that are no identifier rows."""
-    rows = chunks.filter(F.col("enabled") & ~is_identifier_row("text")).select("tenant_id", "kb_id", "chunk_id", embed_tokens(strip_meta("text")).alias("tokens"))
-    rows = rows.withColumn("length", F.size("tokens"))
-    return rows.select("tenant_id", "kb_id", "chunk_id", "length", F.explode("tokens").alias("term")).groupBy("tenant_id", "kb_id", "chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+def bm25_tokens(chunks: DataFrame) -> DataFrame:
+    """(tenant_id, kb_id, chunk_id, tokens) of enabled chunks that are no identifier rows."""
+    return chunks.filter(F.col("enabled") & ~is_identifier_row("text")).select("tenant_id", "kb_id", "chunk_id", embed_tokens(strip_meta("text")).alias("tokens"))
+
+
+def bm25_sizes(tokens: DataFrame) -> DataFrame:
+    """Per base: chunks and tokens. A query over several bases sums them."""
+    return tokens.groupBy("tenant_id", "kb_id").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("tokens"))
+
+
+def bm25_postings(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(tenant_id, kb_id, chunk_id, term, tf, length); with ``terms`` (term) only theirs, kept before anything is
+    aggregated or shuffled."""
+    rows = tokens.select("tenant_id", "kb_id", "chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    if terms is not None:
+        rows = rows.join(small_side(terms), "term", "left_semi")
+    return rows.groupBy("tenant_id", "kb_id", "chunk_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25_stats(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per base: chunks and tokens; per base and term: document frequency). A query over several bases
-    sums them."""
-    postings = bm25_postings(chunks)
-    sizes = chunks.filter(F.col("enabled") & ~is_identifier_row("text")).select("tenant_id", "kb_id", F.size(embed_tokens(strip_meta("text"))).alias("length"))
-    return sizes.groupBy("tenant_id", "kb_id").agg(F.count("*").alias("n"), F.sum("length").alias("tokens")), postings.groupBy("tenant_id", "kb_id", "term").agg(F.count("*").alias("df"))
-
-
-def bm25_retrieve(queries: DataFrame, scope: DataFrame, chunks: DataFrame, top_k: int, k1: float = 1.5, b: float = 0.75, postings: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score): word scores over the query's scope. Query terms are few, so they meet the
-    postings on (tenant, base, term) and only matches are scored."""
-    own = bm25_postings(chunks) if postings is None else postings
-    sizes, frequency = bm25_stats(chunks)
+    """(per base: chunks and tokens; per base and term: document frequency)."""
+    tokens = bm25_tokens(chunks)
+    return bm25_sizes(tokens), bm25_postings(tokens).groupBy("tenant_id", "kb_id", "term").agg(F.count("*").alias("df"))
+
+
+def bm25_retrieve(queries: DataFrame, scope: DataFrame, chunks: DataFrame, top_k: int, k1: float = 1.5, b: float = 0.75, tokens: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score): word scores over the query's scope. Chunks are tokenised once, into a written
+    table (``tokens``: one that is there already); of it the sizes of bases are counted, and only terms that some
+    question asks are posted. The posted terms meet the questions on (tenant, base, term) by a broadcast of the
+    questions where they are few, else by a join that adaptive execution splits where a term is frequent."""
+    own = stored(bm25_tokens(chunks), "tokens") if tokens is None else tokens
+    sizes = bm25_sizes(own)
     terms = queries.select("query_id", F.explode(F.array_distinct(embed_tokens("text"))).alias("term"))
+    postings = stored(bm25_postings(own, terms.select("term").distinct()), "postings")
     asked = terms.join(scope, "query_id")
     whole = scope.join(sizes, ["tenant_id", "kb_id"]).groupBy("query_id").agg(F.sum("n").alias("n"), (F.sum("tokens") / F.sum("n")).alias("mean_length"))
+    frequency = postings.groupBy("tenant_id", "kb_id", "term").agg(F.count("*").alias("df"))
     df = asked.join(frequency, ["tenant_id", "kb_id", "term"]).groupBy("query_id", "term").agg(F.sum("df").alias("df"))
-    met = asked.join(own, ["tenant_id", "kb_id", "term"]).join(df, ["query_id", "term"]).join(whole, "query_id")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+    weights = df.join(whole, "query_id").select("query_id", "term", "mean_length", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    met = postings.join(small_side(asked.join(weights, ["query_id", "term"])), ["tenant_id", "kb_id", "term"])
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     scored = met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     return scored.withColumn("place", F.row_number().over(_best(F.desc(F.round("score", 9)), "chunk_id"))).filter(F.col("place") <= top_k)
 

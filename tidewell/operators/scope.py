@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.folds import fold_in_order
+
 #: Limits of one knowledge base (fixed values).
 MAX_FILE_BYTES, MAX_DOCS, MAX_KB_BYTES = 20 * 1024 * 1024, 500, 1024**3
 EXTENSIONS = ("txt", "md", "csv", "json", "pdf", "docx", "xlsx", "xls")
@@ -50,23 +51,19 @@ def admit_uploads(uploads: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFr
 
 def admit_with_caps(uploads: DataFrame, max_bytes: int = MAX_FILE_BYTES, max_docs: int = MAX_DOCS, max_kb_bytes: int = MAX_KB_BYTES) -> DataFrame:
     """``admit_uploads`` plus the caps of a base on documents and bytes. A refused file leaves the state as
-    it was, so the caps are folded in arrival order, one base a task, over three numbers a file."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["created_at", "doc_id"])
-        docs = size = 0
-        out = []
-        for reason, n in zip(pdf["reason"], pdf["size_bytes"]):
-            if reason is None or pd.isna(reason):
-                reason = "documents" if docs >= max_docs else "bytes" if size + n > max_kb_bytes else None
-                if reason is None:
-                    docs, size = docs + 1, size + n
-            out.append(reason)
-        return pdf.assign(reason=out)[["doc_id", "reason"]]
-
-    rows = admit_uploads(uploads, max_bytes)
-    decided = rows.select("tenant_id", "kb_id", "doc_id", "size_bytes", "created_at", "reason").groupBy("tenant_id", "kb_id").applyInPandas(fold, "doc_id long, reason string")
-    return uploads.join(decided, "doc_id")
+    it was, so the caps are folded in arrival order: a base is one task that streams its files and holds two sums."""
+
+    def decide(state: dict, reason: str | None, size: int) -> str | None:
+        if reason is None:
+            reason = "documents" if state["docs"] >= max_docs else "bytes" if state["bytes"] + size > max_kb_bytes else None
+            if reason is None:
+                state["docs"] += 1
+                state["bytes"] += size
+        return reason
+
+    rows = admit_uploads(uploads, max_bytes).select("tenant_id", "kb_id", "doc_id", "size_bytes", "created_at", F.col("reason").alias("refused"))
+    decided = fold_in_order(rows, ["tenant_id", "kb_id"], ["created_at", "doc_id"], ["refused", "size_bytes"], lambda: {"docs": 0, "bytes": 0}, decide, "reason", "string")
+    return uploads.join(decided.select("doc_id", "reason"), "doc_id")
 
 
 def first_document_wins(uploads: DataFrame) -> DataFrame:

@@ -137,6 +137,14 @@ def cross_session_history(messages: DataFrame, sessions: DataFrame, n_sessions:
     return top.withColumn("spent", spent).filter(F.col("spent") <= budget).select("tenant_id", "visitor_id", "session_id", "seq", "role", "line", "spent")
 
 
+def visitor_memory(notes: DataFrame, n: int = 10) -> DataFrame:
+    """The newest n notes (tenant_id, visitor_id, note_id, content, updated_at) of each visitor, those without
+    content dropped afterwards: an empty note uses up a place. Equal times go to the larger id."""
+    newest = Window.partitionBy("tenant_id", "visitor_id").orderBy(F.desc("updated_at"), F.desc("note_id"))
+    rows = notes.withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= n)
+    return rows.filter(F.coalesce("content", F.lit("")) != "").select("tenant_id", "visitor_id", "note_id", "content", "back")
+
+
 def current_session(sessions: DataFrame) -> DataFrame:
     """The newest open session per tenant, visitor and employee."""
     newest = Window.partitionBy("tenant_id", "visitor_id", "employee_id").orderBy(F.desc("last_active_at"), F.desc("session_id"))

@@ -10,10 +10,12 @@ from tidewell.functions.text import cell_type, field_alias, is_blank, strip
 
 #: Words of field names and the look of entity names (fixed values).
 FIELD_WORDS = (
-    "model 型号 chipset 芯片 flash ram 内存 存储 weight 重量 毛重 净重 size 尺寸 长度 宽度 高度 price 价格 单价 金额 总价 成本 ports 端口 frequency 频率 power 功率 poe 电压 "
-    "rate 速率 distance 距离 antenna 天线 packing 包装 accessory 配件 ctn net gross display led switch 材质 颜色 品牌 日期 时间 状态 备注 说明 名称 编号 货号 订单 类型 简介 数量 "
-    "库存 单位 规格 适用范围 参数 地址 电话 客户 城市 区域 省份 负责人 sku ean barcode stock qty unit color brand type name date status remark note desc"
-).split()
+    "model", "型号", "chipset", "芯片", "flash", "ram", "内存", "存储", "weight", "重量", "毛重", "净重", "size", "尺寸", "长度", "宽度", "高度", "price", "价格", "单价", "金额",
+    "总价", "成本", "ports", "端口", "frequency", "频率", "power", "功率", "poe", "电压", "rate", "速率", "distance", "距离", "antenna", "天线", "packing", "包装",
+    "accessory", "配件", "ctn", "net", "gross", "display", "led", "switch", "材质", "颜色", "品牌", "日期", "时间", "状态", "备注", "说明", "名称", "编号", "货号", "订单",
+    "类型", "简介", "数量", "库存", "单位", "规格", "适用范围", "参数", "地址", "电话", "客户", "城市", "区域", "省份", "负责人", "sku", "ean", "barcode", "stock", "qty", "unit",
+    "color", "brand", "type", "name", "date", "status", "remark", "note", "desc",
+)
 MODEL = r"^[A-Za-z]{1,8}[-_ ]?\d{1,}[A-Za-z0-9]*$"
 
 

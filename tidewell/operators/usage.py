@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.folds import fold_in_order
+
 
 def usage_report(usage: DataFrame) -> DataFrame:
     """Tokens and calls by tenant and kind, and by tenant and employee (rows without one left out there),
     in one pass over grouping sets."""
-    usage.createOrReplaceTempView("tidewell_usage")
     sets = usage.sparkSession.sql("""
         SELECT tenant_id, kind, employee_id, grouping(kind) AS by_employee, sum(prompt_tokens) AS prompt_tokens,
                sum(completion_tokens) AS completion_tokens, sum(total_tokens) AS total_tokens, count(*) AS calls
-        FROM tidewell_usage GROUP BY GROUPING SETS ((tenant_id, kind), (tenant_id, employee_id))""")
+        FROM {usage} GROUP BY GROUPING SETS ((tenant_id, kind), (tenant_id, employee_id))""", usage=usage)
     return sets.filter((F.col("by_employee") == 0) | F.col("employee_id").isNotNull()).select(
         "tenant_id", F.when(F.col("by_employee") == 1, "employee").otherwise("kind").alias("section"), "kind", "employee_id", "prompt_tokens", "completion_tokens", "total_tokens", "calls"
     )
@@ -25,11 +28,13 @@ def tokens_by_day(usage: DataFrame) -> DataFrame:
 
 
 def quota_status(usage: DataFrame, tenants: DataFrame, estimated: int = 0) -> DataFrame:
-    """Tokens of each tenant and day against its quota; the share is null where there is no quota."""
+    """Tokens of each tenant and day against its quota; the share is null where there is no quota. It is rounded as
+    the double it is, not by its decimal text: 3630 of 40000 is a little less than 9.075 percent."""
+    percent = F.col("tokens") * 100.0 / F.nullif("daily_token_quota", F.lit(0))
     rows = tokens_by_day(usage).join(tenants.select("tenant_id", "daily_token_quota"), "tenant_id")
     return rows.select(
         "tenant_id", "day", "tokens", "daily_token_quota",
-        F.round(F.col("tokens") * 100.0 / F.nullif("daily_token_quota", F.lit(0)), 2).alias("used_percent"),
+        (F.floor(percent * 100 + 0.5) / 100).alias("used_percent"),
         (F.col("tokens") + estimated > F.col("daily_token_quota")).alias("exceeded"),
     )
 
@@ -101,9 +106,15 @@ def running_quota(usage: DataFrame, tenants: DataFrame) -> DataFrame:
 
 
 def request_rate(usage: DataFrame, seconds: int = 60) -> DataFrame:
-    """Requests of the tenant in the trailing window at each request, by microseconds."""
-    back = Window.partitionBy("tenant_id").orderBy(F.unix_micros(F.col("created_at").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return usage.select("usage_id", "tenant_id", F.count("*").over(back).alias("in_window"))
+    """Requests of the tenant in the trailing window at each request, by microseconds. Time is cut into pieces of
+    the window's length; a piece and the one before it hold all that its requests see, so that a tenant's requests
+    are as many groups of work as it has pieces."""
+    width = seconds * 1_000_000
+    rows = usage.select("usage_id", "tenant_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"))
+    rows = rows.withColumn("own", F.floor(F.col("at") / width))
+    seen = rows.withColumn("piece", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    back = Window.partitionBy("tenant_id", "piece").orderBy("at").rangeBetween(-width, 0)
+    return seen.withColumn("in_window", F.count("*").over(back)).filter(F.col("piece") == F.col("own")).select("usage_id", "tenant_id", "in_window")
 
 
 def retention_split(rows: DataFrame, keep_days: int, now: str) -> tuple[DataFrame, DataFrame]:
@@ -115,23 +126,16 @@ def retention_split(rows: DataFrame, keep_days: int, now: str) -> tuple[DataFram
 def rate_limit_decisions(hits: DataFrame, rpm: int = 120, window_s: float = 60.0) -> DataFrame:
     """(tenant_id, usage_id, accepted): a hit passes iff fewer than max(1, rpm) accepted hits are at most
     ``window_s`` old; refused hits don't count. Each decision needs the earlier ones, so a tenant is one
-    sequential task that streams its hits in time order; offered load (``request_rate``) scales freely."""
-    import pandas as pd
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        from collections import deque
-
-        pdf = pdf.sort_values(["at", "usage_id"])
-        held: deque[int] = deque()
-        out = []
-        for at in pdf["at"]:
-            while held and at - held[0] > window_s * 1_000_000:
-                held.popleft()
-            ok = len(held) < max(1, rpm)
-            if ok:
-                held.append(at)
-            out.append(ok)
-        return pdf.assign(accepted=out)[["tenant_id", "usage_id", "accepted"]]
+    sequential task, which streams its hits in time order and holds the accepted times still in the window;
+    offered load (``request_rate``) scales freely."""
+
+    def decide(held: deque, at: int) -> bool:
+        while held and at - held[0] > window_s * 1_000_000:
+            held.popleft()
+        if len(held) >= max(1, rpm):
+            return False
+        held.append(at)
+        return True
 
     rows = hits.select("tenant_id", "usage_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"))
-    return rows.groupBy("tenant_id").applyInPandas(decide, "tenant_id long, usage_id long, accepted boolean")
+    return fold_in_order(rows, ["tenant_id"], ["at", "usage_id"], ["at"], deque, decide, "accepted", "boolean").drop("at")

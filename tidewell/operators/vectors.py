@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import embed_tokens, is_identifier_row, strip_meta
+from tidewell.operators.folds import small_side
+from tidewell.sources.shared import stored
 
 
 def _double(c: Column | str) -> Column:
@@ -40,9 +42,12 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 def similarity_join(queries: DataFrame, chunks: DataFrame, top_k: int, min_score: float = 0.0) -> DataFrame:
     """(query_id, chunk_id, kb_id, doc_id, score): the best ``top_k`` enabled chunks of each query's scope
-    (tenant_id, kb_id), as plain expressions. Ties go to the smaller chunk id."""
-    scoped = queries.select("query_id", "tenant_id", "kb_id", F.col("embedding").alias("q"))
-    rows = scoped.join(chunks.filter("enabled"), ["tenant_id", "kb_id"]).withColumn("score", cosine("q", "embedding")).filter(F.col("score") >= min_score)
+    (tenant_id, kb_id), as plain expressions over vectors that are brought to unit length once. Ties go to the
+    smaller chunk id. Every pair of a scope is a row on the way: ``block_similarity_join`` is the form for large ones."""
+    scoped = queries.select("query_id", "tenant_id", "kb_id", l2_normalize("embedding").alias("q"))
+    own = chunks.filter("enabled").select("chunk_id", "tenant_id", "kb_id", "doc_id", l2_normalize("embedding").alias("c"))
+    score = F.when(F.size("q") == F.size("c"), dot("q", "c")).otherwise(0.0)
+    rows = scoped.join(own, ["tenant_id", "kb_id"]).withColumn("score", score).filter(F.col("score") >= min_score)
     return _top(rows.select("query_id", "chunk_id", "kb_id", "doc_id", "score"), top_k)
 
 
@@ -51,34 +56,50 @@ def _top(rows: DataFrame, top_k: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= max(1, top_k)).withColumn("score", F.round("score", 6))
 
 
-def block_similarity_join(queries: DataFrame, chunks: DataFrame, top_k: int, min_score: float = 0.0, salts: int = 8) -> DataFrame:
-    """The same by matrix products: chunks of a scope are dealt over ``salts`` tasks (one base may own most
-    of them), each keeps its best ``top_k`` per query, and only those meet."""
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "kb_id": pd.Series(dtype="int64"), "doc_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if left.empty or right.empty:
-            return out
-        width = len(left["q"].iloc[0])
-        right = right[right["embedding"].map(len) == width]
-        if right.empty:
-            return out
-        q, c = np.stack(left["q"].tolist()).astype(float), np.stack(right["embedding"].tolist()).astype(float)
-        qn, cn = np.linalg.norm(q, axis=1, keepdims=True), np.linalg.norm(c, axis=1, keepdims=True)
-        scores = np.divide(q @ c.T, qn @ cn.T, out=np.zeros((len(q), len(c))), where=(qn @ cn.T) > 0)
-        ids, kbs, docs = (right[n].to_numpy() for n in ("chunk_id", "kb_id", "doc_id"))
-        parts = []
-        for i, query_id in enumerate(left["query_id"]):
-            kept = np.flatnonzero(scores[i] >= min_score)
-            kept = kept[np.lexsort((ids[kept], -scores[i][kept]))][:top_k]
-            parts.append(pd.DataFrame({"query_id": query_id, "chunk_id": ids[kept], "kb_id": kbs[kept], "doc_id": docs[kept], "score": scores[i][kept]}))
-        return pd.concat(parts) if parts else out
-
-    asked = queries.select("query_id", "tenant_id", "kb_id", F.col("embedding").alias("q")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    own = chunks.filter("enabled").select(*[F.col(c).alias(c) for c in ("chunk_id", "tenant_id", "kb_id", "doc_id", "embedding")])
-    dealt = own.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-    keys = ["tenant_id", "kb_id", "salt"]
-    rows = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(best, "query_id long, chunk_id long, kb_id long, doc_id long, score double")
+def _matrix(rows: pd.DataFrame, column: str) -> np.ndarray:
+    """Vectors as rows of unit length; a zero vector stays."""
+    out = np.stack(rows[column].tolist()).astype(float)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+
+def _best_of_block(left: pd.DataFrame, right: pd.DataFrame, top_k: int, min_score: float) -> pd.DataFrame:
+    """The best ``top_k`` of a block of chunks for each of a block of queries, by one matrix product a vector width."""
+    names = ["query_id", "chunk_id", "kb_id", "doc_id", "score"]
+    parts = []
+    for width, asked in left.groupby(left["q"].map(len)):
+        score = np.zeros((len(asked), len(right)))  # vectors of another width are not alike at all
+        fits = (right["embedding"].map(len) == width).to_numpy()
+        if width and fits.any():
+            score[:, fits] = _matrix(asked, "q") @ _matrix(right[fits], "embedding").T
+        ids = right["chunk_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        place = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :top_k]]
+        row = np.repeat(np.arange(len(asked)), place.shape[1])
+        place = place.ravel()
+        kept = score[row, place] >= min_score
+        row, place = row[kept], place[kept]
+        parts.append(pd.DataFrame(dict(zip(names, (asked["query_id"].to_numpy()[row], ids[place], right["kb_id"].to_numpy()[place], right["doc_id"].to_numpy()[place], score[row, place])))))
+    return pd.concat(parts) if parts else pd.DataFrame({n: [] for n in names})
+
+
+def block_similarity_join(queries: DataFrame, chunks: DataFrame, top_k: int, min_score: float = 0.0, chunk_block: int = 4_000, query_block: int = 1_000) -> DataFrame:
+    """The same by matrix products: queries and chunks of a scope are counted and dealt into blocks by hash (one
+    base may own most of them); each pair of blocks is a group that keeps its best ``top_k`` per query, and only
+    those meet."""
+    keys = ["tenant_id", "kb_id"]
+    asked = queries.select("query_id", *keys, F.col("embedding").alias("q"))
+    own = chunks.filter("enabled").select(*[F.col(c).alias(c) for c in ("chunk_id", *keys, "doc_id", "embedding")])  # often of the same table
+    blocks = lambda n, size: F.ceil(F.coalesce(F.sum(n), F.lit(0)) / size)
+    counted = asked.select(*keys, F.lit(1).alias("n"), F.lit(0).alias("m")).union(own.select(*keys, F.lit(0), F.lit(1)))
+    scopes = counted.groupBy(*keys).agg(blocks("n", query_block).alias("query_blocks"), blocks("m", chunk_block).alias("chunk_blocks"))
+    scopes = stored(scopes.filter("query_blocks > 0 AND chunk_blocks > 0"), "scopes")
+    block = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).alias(f"{column}_block")
+    every = lambda column, n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(f"{column}_block")
+    left = asked.join(small_side(scopes), keys).select("query_id", *keys, "q", block("query_id", "query_blocks"), every("chunk_id", "chunk_blocks"))
+    right = own.join(small_side(scopes.select("*")), keys).select("chunk_id", *keys, "doc_id", "embedding", block("chunk_id", "chunk_blocks"), every("query_id", "query_blocks"))
+    group = [*keys, "query_id_block", "chunk_id_block"]
+    best = lambda one, two: _best_of_block(one, two, max(1, top_k), min_score)
+    rows = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(best, "query_id long, chunk_id long, kb_id long, doc_id long, score double")
     return _top(rows, top_k)
 
 

@@ -25,7 +25,7 @@ def cells(spark, sf):
 
 
 def _pages(spark, sf):
-    return D.lines_of(frame(spark, sf, "documents")).withColumn("page", F.expr("CAST(floor(line_no / 3) AS INT)")).withColumn("line", F.substring("line", 1, 90))
+    return D.lines_of(frame(spark, sf, "documents")).withColumn("page", F.expr("CAST(floor(line_no / 3) AS INT)"))
 
 
 def _boiler(spark, sf):
@@ -92,7 +92,7 @@ def _allowed(spark, sf):
 
 
 def _note(spark, sf):
-    rows = P.html_to_text(frame(spark, sf, "pages"), limit=300)
+    rows = P.html_to_text(frame(spark, sf, "pages"))
     rows = rows.select(F.expr("CAST(floor(page_id / 3) AS BIGINT) AS message_id"), F.expr("page_id % 3 AS pos"), "url", "title", "text", F.expr("CASE WHEN page_id % 4 = 0 THEN 'status 404' ELSE '' END AS error"))
     return P.page_note(rows).select("message_id", F.length("note").alias("note_chars"), F.length("extra").alias("extra_chars"))
 
@@ -116,11 +116,44 @@ QUERIES = {
 }
 
 _LINES = """lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-    pages3 AS (SELECT doc_id, line_no // 3 AS page, line_no, trim(substr(line, 1, 90)) AS line FROM lines WHERE trim(substr(line, 1, 90)) <> '')"""
+    pages3 AS (SELECT doc_id, line_no // 3 AS page, line_no, trim(line) AS line FROM lines WHERE trim(line) <> '')"""
 _BULLET = r"^\s*([-*+•·]|[0-9]+[.)、]|[（(][0-9]+[)）])\s+"
 _HEAD = r"^\s*([0-9]+(\.[0-9]+){1,3}([\s、．.]|$))"
 
+_BLANK = "coalesce(trim(value), '') IN ('', '-', '--', '/', '\\', 'N/A', 'NA', '—', '－', '无')"
+_TYPE = f"""CASE WHEN {_BLANK} THEN NULL WHEN regexp_matches(trim(value), '^([0-9]{{4}}[-/年][0-9]{{1,2}}[-/月][0-9]{{1,2}}日?|[0-9]{{1,2}}[-/][0-9]{{1,2}}[-/][0-9]{{2,4}})$') THEN 'date'
+    WHEN regexp_matches(replace(regexp_replace(trim(value), '^[¥￥$€£]+', ''), ',', ''), '^[+-]?[0-9]+([.][0-9]+)?%?$') THEN 'num' WHEN regexp_matches(trim(value), '^[0-9]') THEN 'measure'
+    WHEN length(trim(value)) <= 24 AND length(trim(value)) - length(replace(trim(value), ' ', '')) <= 3 AND NOT contains(value, '，') AND NOT contains(value, '。') THEN 'code' ELSE 'text' END"""
+
+
+def _names_like(part: str, where: str) -> str:
+    """How much some values of each sheet look like field names."""
+    words = " OR ".join(f"contains(lower(trim(value)), '{w}')" for w in S.FIELD_WORDS)
+    return f"""{part} AS (SELECT sheet_id, greatest(0, least(1, 1.2 * avg(CASE WHEN {words} THEN 1.0 ELSE 0.0 END) + 0.5 * avg(CASE WHEN length(trim(value)) <= 10 THEN 1.0 ELSE 0.0 END)
+        + 0.3 * count(DISTINCT trim(value)) / count(*) - 0.8 * avg(CASE WHEN regexp_matches(trim(value), '{S.MODEL}') THEN 1.0 ELSE 0.0 END))) AS f FROM t WHERE {where} AND NOT {_BLANK} GROUP BY 1)"""
+
+
+def _purity_sql(part: str, key: str) -> str:
+    return f"""{part} AS (SELECT sheet_id, avg(purity) AS purity FROM (SELECT sheet_id, {key}, coalesce(max(n) FILTER (WHERE type IS NOT NULL) * 1.0 / sum(n) FILTER (WHERE type IS NOT NULL), 0) AS purity
+        FROM (SELECT sheet_id, {key}, type, count(*) AS n FROM t WHERE row_no > head AND col_no > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1)"""
+
+
 ORACLE_SQL = {
+    "split_grids": f"""WITH cells AS ({CELLS}), f AS (SELECT * FROM cells WHERE row_no % 20 <> 7 AND NOT (col_no = 2 AND sheet_id % 2 = 0) AND NOT {_BLANK}),
+        b AS (SELECT sheet_id, row_no, sum(CASE WHEN row_no - p > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY sheet_id ORDER BY row_no) AS band FROM (SELECT DISTINCT sheet_id, row_no, lag(row_no) OVER (PARTITION BY sheet_id ORDER BY row_no) AS p FROM (SELECT DISTINCT sheet_id, row_no FROM f))),
+        r AS (SELECT * FROM f JOIN b USING (sheet_id, row_no)), k AS (SELECT DISTINCT sheet_id, band, col_no FROM r),
+        p AS (SELECT sheet_id, band, col_no, sum(CASE WHEN col_no - p > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY sheet_id, band ORDER BY col_no) AS part FROM (SELECT *, lag(col_no) OVER (PARTITION BY sheet_id, band ORDER BY col_no) AS p FROM k)),
+        c AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY sheet_id, band, part, row_no) AS n FROM r JOIN p USING (sheet_id, band, col_no)) WHERE n >= 2),
+        g AS (SELECT sheet_id, band, part, count(*) AS cells, min(row_no) AS top, min(col_no) AS "left" FROM c GROUP BY 1, 2, 3 HAVING count(DISTINCT row_no) >= 2 AND count(DISTINCT col_no) >= 2)
+        SELECT sheet_id, CAST(row_number() OVER (PARTITION BY sheet_id ORDER BY band, part) AS INT) AS grid_no, cells, CAST(top AS BIGINT) AS top, CAST("left" AS INT) AS "left" FROM g""",
+    "table_profile": f"""WITH cells AS ({CELLS}), fill AS (SELECT sheet_id, row_no, count(*) FILTER (WHERE NOT {_BLANK}) AS fill FROM cells GROUP BY 1, 2),
+        h AS (SELECT sheet_id, coalesce(min(row_no) FILTER (WHERE nth <= 4 AND fill >= 0.8 * most), min(row_no)) AS head FROM (SELECT *, max(fill) OVER (PARTITION BY sheet_id) AS most, row_number() OVER (PARTITION BY sheet_id ORDER BY row_no) AS nth FROM fill) GROUP BY 1),
+        t AS (SELECT *, {_TYPE} AS type FROM cells JOIN h USING (sheet_id)), {_purity_sql("rh", "row_no")}, {_purity_sql("ch", "col_no")}, {_names_like("fh", "row_no = head AND col_no > 0")}, {_names_like("fc", "row_no > head AND col_no = 0")},
+        z AS (SELECT sheet_id, count(DISTINCT row_no) AS rows, count(DISTINCT col_no) AS cols FROM cells GROUP BY 1),
+        o AS (SELECT sheet_id, rows, cols, coalesce(rh.purity, 0) AS row_h, coalesce(ch.purity, 0) AS col_h, coalesce(fh.f, 0) AS f_header, coalesce(fc.f, 0) AS f_col0 FROM z LEFT JOIN rh USING (sheet_id) LEFT JOIN ch USING (sheet_id) LEFT JOIN fh USING (sheet_id) LEFT JOIN fc USING (sheet_id)),
+        s AS (SELECT *, 1.5 * (f_col0 - f_header) + 0.4 * greatest(-1, least(1, (row_h - col_h) / 0.4)) AS score FROM o)
+        SELECT sheet_id, round(row_h, 3) AS row_h, round(col_h, 3) AS col_h, round(f_header, 3) AS f_header, round(f_col0, 3) AS f_col0, round(score, 3) AS score,
+        CASE WHEN rows < 2 OR cols < 2 THEN 'flat' WHEN score >= 0.5 THEN 'transposed' WHEN score <= -0.5 THEN 'row_wise' ELSE 'unknown' END AS kind FROM s""",
     "page_boilerplate": f"""WITH {_LINES},
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1 AS n, count(*) OVER (PARTITION BY doc_id, page) AS size,
               regexp_replace(regexp_replace(line, '\\s+', '', 'g'), '\\d+', '#', 'g') AS norm FROM pages3),

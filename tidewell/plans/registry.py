@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of query groups; each has QUERIES (name -> callable) and ORACLE_SQL (name -> text).
-GROUPS = ("sessions", "usage", "scope", "text", "retrieval", "documents", "streams", "rules")
+GROUPS = ("sessions", "usage", "scope", "text", "retrieval", "documents", "streams", "rules", "sources")
 
 
 def _merged(attribute: str) -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.functions import text as X
 from tidewell.operators import retrieval as R
 from tidewell.operators import vectors as V
 from tidewell.sources.derived import frame, with_views
@@ -68,18 +69,26 @@ def _hash_embed(spark, sf):
     return rows.select("doc_id", F.round(V.norm("embedding"), 4).alias("length"))
 
 
+def _questions(spark, sf):
+    """Every fiftieth document as a question, under its own number."""
+    return frame(spark, sf, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+
+
+def _scope(queries, chunks):
+    return queries.select("query_id", F.expr("query_id % 4 AS tenant_id")).join(chunks.select("tenant_id", "kb_id").distinct(), "tenant_id")
+
+
 def _pins(spark, sf):
     chunks = frame(spark, sf, "chunks").withColumn("text", F.concat("text", F.lit(" ref "), F.expr("chunk_id % 40 + 12345600"), F.expr("CASE WHEN chunk_id % 3 = 0 THEN concat('；again ', chunk_id % 40 + 12345600) ELSE '' END")))
-    queries = spark.range(60).select(F.col("id").alias("query_id"), F.concat(F.lit("where is "), F.col("id") + 12345600).alias("text"))
-    scope = queries.select("query_id", F.expr("query_id % 4 AS tenant_id")).join(frame(spark, sf, "chunks").select("tenant_id", "kb_id").distinct(), "tenant_id")
-    return R.pin_exact_ids(queries, scope, chunks).select("query_id", "chunk_id", "place")
+    queries = _questions(spark, sf).withColumn("text", F.concat(F.lit("where is "), F.expr("query_id % 40 + 12345600"), F.lit(" "), F.col("text")))
+    return R.pin_exact_ids(queries, _scope(queries, chunks), chunks).select("query_id", "chunk_id", "place")
 
 
 def _hits(spark, sf):
     """Hits of every query vector over all chunks of its tenant, scores of four digits."""
     queries, chunks = _vectors(spark, sf)
     rows = V.similarity_join(queries, chunks, top_k=60, min_score=-1.0)
-    return rows.select("query_id", "chunk_id", "kb_id", "doc_id", F.round("score", 4).alias("score"), F.concat(F.lit("text "), F.col("chunk_id") % 45).alias("text")).cache()
+    return rows.select("query_id", "chunk_id", "kb_id", "doc_id", F.round("score", 4).alias("score"), F.concat(F.lit("text "), F.col("chunk_id") % 45).alias("text"))
 
 
 _HITS = """hits AS (SELECT query_id, chunk_id, kb_id, doc_id, round(round(s, 6), 4) AS score, concat('text ', chunk_id % 45) AS text FROM (
@@ -103,8 +112,8 @@ def _rrf(spark, sf):
 
 
 def _noise(spark, sf):
-    rows = frame(spark, sf, "chunks").select(F.expr("chunk_id % 50 AS query_id"), "chunk_id", F.expr("CASE WHEN chunk_id % 3 = 0 THEN 'SKU ID: 1234567' ELSE text END AS text"))
-    queries = spark.range(50).select(F.col("id").alias("query_id"), F.expr("CASE WHEN id % 2 = 0 THEN 'order 123456' ELSE 'order 12345' END AS text"))
+    rows = frame(spark, sf, "chunks").select(F.expr("chunk_id - chunk_id % 50 AS query_id"), "chunk_id", F.expr("CASE WHEN chunk_id % 3 = 0 THEN concat(text, ' SKU ID: 1234567') ELSE text END AS text"))
+    queries = _questions(spark, sf).withColumn("text", F.expr("concat(text, CASE WHEN query_id % 100 = 0 THEN ' order 123456' ELSE ' order 12345' END)"))
     return R.drop_noise_hits(rows, queries).select("query_id", "chunk_id")
 
 
@@ -122,9 +131,8 @@ def _final(spark, sf):
 
 def _bm25(spark, sf):
     chunks = frame(spark, sf, "chunks")
-    queries = frame(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.expr("substr(text, 1, 60) AS text"))
-    scope = queries.select("query_id", F.expr("query_id % 4 AS tenant_id")).join(chunks.select("tenant_id", "kb_id").distinct(), "tenant_id")
-    return R.bm25_retrieve(queries, scope, chunks, 5).select("query_id", "chunk_id", "place", F.round("score", 6).alias("score"))
+    queries = frame(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return R.bm25_retrieve(queries, _scope(queries, chunks), chunks, 5).select("query_id", "chunk_id", "place", F.round("score", 6).alias("score"))
 
 
 _POSTINGS = """tok AS (SELECT chunk_id, tenant_id, kb_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM chunks WHERE enabled),
@@ -139,20 +147,23 @@ def _stats(spark, sf):
 
 def _batch(spark, sf):
     rows = frame(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.expr("item_id % 2 AS batch_id"), F.expr("CASE WHEN item_id % 5 = 0 THEN '  ' ELSE concat(' ', text) END AS text"))
-    return R.batch_questions(rows, limit=10, length=50)
+    return R.batch_questions(rows)
 
 
 def _recall(spark, sf):
     hits = _hits(spark, sf).withColumn("place", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)"))
-    gold = frame(spark, sf, "query_vectors").select("query_id", F.expr("50 + query_id * 7 % 400 AS chunk_id"))
+    gold = frame(spark, sf, "query_vectors").select("query_id", F.expr("(query_id * 7 + 13) % 400 AS chunk_id"))
     return R.recall_at_k(hits, gold, (1, 5, 50))
 
 
 def _whole(function, **parameters):
+    """Vectors with the texts of the documents of the same number, every fiftieth of them a question."""
+
     def run(spark, sf):
         queries, chunks = _vectors(spark, sf)
-        chunks = chunks.withColumns({"text": F.concat(F.lit("text number "), F.col("chunk_id") % 45, F.lit(" of base "), F.col("kb_id")), "seq": F.lit(0)})
-        asked = queries.select("query_id", F.concat(F.lit("text number "), F.col("query_id") % 45).alias("text")).distinct()
+        texts = frame(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+        chunks = chunks.join(texts, "chunk_id").withColumn("seq", F.lit(0))
+        asked = queries.select("query_id").distinct().join(texts.withColumnRenamed("chunk_id", "query_id"), "query_id")
         scope = queries.select("query_id", "tenant_id", "kb_id").distinct()
         candidates = V.block_similarity_join(queries, chunks, 100, -1.0).select("query_id", "chunk_id", "kb_id", "doc_id", F.round("score", 4).alias("score"))
         return function(asked, scope, chunks, candidates, **parameters).select("query_id", "chunk_id", "place", F.round("score", 4).alias("score"))
@@ -195,11 +206,47 @@ _SIMILAR = with_views("""SELECT query_id, chunk_id, kb_id, CAST(n AS INT) AS pla
 _CUT = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)"
 
 
-def _hit_sql(text: str) -> str:
-    return with_views(f"WITH {_HITS}, {text}", "query_vectors", "chunk_vectors")
+def _hit_sql(text: str, *views: str) -> str:
+    return with_views(f"WITH {_HITS}, {text}", "query_vectors", "chunk_vectors", *views)
+
+
+_ASKED = f"""c AS (SELECT v.chunk_id, v.kb_id, v.tenant_id, v.doc_id, text FROM chunk_vectors v JOIN documents d ON d.doc_id = v.chunk_id WHERE enabled),
+    q AS (SELECT query_id, tenant_id, v.embedding, text, regexp_matches(text, '[0-9]{{6,}}') AS asks FROM query_vectors v JOIN documents d ON d.doc_id = v.query_id),
+    s AS (SELECT query_id, chunk_id, v.kb_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s FROM q JOIN chunk_vectors v USING (tenant_id) WHERE enabled AND chunk_id IN (SELECT chunk_id FROM c)),
+    cand AS (SELECT query_id, chunk_id, kb_id, round(round(s, 6), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS n FROM s) WHERE n <= 100),
+    tok AS (SELECT query_id, tenant_id, unnest(t) AS token, generate_subscripts(t, 1) AS n FROM (SELECT query_id, tenant_id, list_filter(regexp_extract_all(text, '{R.KEY}'), lambda x: length(x) >= 8)[1:3] AS t FROM q)),
+    met AS (SELECT query_id, chunk_id, text, token, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY n) AS nth FROM tok JOIN c USING (tenant_id) WHERE contains(text, token)),
+    pin AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY (length(text) - length(replace(text, token, ''))) // length(token) DESC, length(text) - length(replace(text, '；', '')) DESC, chunk_id) AS place FROM met WHERE nth = 1) WHERE place <= 3)"""
+_SHOWN = """rest AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS place FROM ranked),
+    u AS (SELECT query_id, chunk_id, CAST(1 AS DOUBLE) AS score, 0 AS part, place FROM pin UNION ALL SELECT query_id, chunk_id, score, 1, place FROM rest WHERE place <= 5 AND (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM pin)),
+    f AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY part, place) AS n FROM u)
+    SELECT query_id, chunk_id, CAST(n AS INT) AS place, round(score, 4) AS score FROM f WHERE n <= 5"""
+_QUIET = f"(asks OR NOT regexp_matches(c.text, '{X.ID_ROW}'))"
+
+
+def _vector_sql(least: float, lowest: float) -> str:
+    return with_views(f"""WITH {_ASKED}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY score DESC, chunk_id) AS nth FROM cand WHERE score >= {least}),
+    b AS (SELECT query_id, count(DISTINCT kb_id) AS k FROM g GROUP BY 1),
+    fl AS (SELECT query_id, chunk_id, score FROM g JOIN b USING (query_id) WHERE nth <= 3 * CASE WHEN k <= 1 THEN 20 ELSE greatest(2, CAST(ceil(20.0 / k) AS INT)) END),
+    cl AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM fl JOIN q USING (query_id) JOIN c USING (chunk_id) WHERE {_QUIET}),
+    ranked AS (SELECT * FROM cl WHERE place <= 20 AND score >= {lowest}), {_SHOWN}""", "query_vectors", "chunk_vectors")
+
 
+_HYBRID = with_views(f"""WITH {_ASKED}, w AS (SELECT chunk_id, tenant_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM c WHERE NOT regexp_matches(text, '{X.ID_ROW}')),
+    tf AS (SELECT tenant_id, chunk_id, length, term, count(*) AS tf FROM (SELECT chunk_id, tenant_id, len(t) AS length, unnest(t) AS term FROM w) GROUP BY ALL),
+    d AS (SELECT tenant_id, term, count(*) AS df FROM tf GROUP BY 1, 2), z AS (SELECT tenant_id, count(*) AS n, sum(len(t)) * 1.0 / count(*) AS mean FROM w GROUP BY 1),
+    a AS (SELECT DISTINCT query_id, tenant_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM q),
+    r AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS score FROM a JOIN tf USING (tenant_id, term) JOIN d USING (tenant_id, term) JOIN z USING (tenant_id) GROUP BY 1, 2),
+    l AS (SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS n FROM r) WHERE n <= 20
+          UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) FROM cand WHERE score >= 0.05),
+    fu AS (SELECT query_id, chunk_id, CAST(sum(1.0 / (59 + n)) AS DOUBLE) AS score FROM l GROUP BY 1, 2),
+    pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM fu),
+    ranked AS (SELECT query_id, chunk_id, score, place FROM pl JOIN q USING (query_id) JOIN c USING (chunk_id) WHERE place <= 20 AND {_QUIET}), {_SHOWN}""", "query_vectors", "chunk_vectors")
 
 ORACLE_SQL = {
+    "vector_retrieve": _vector_sql(0.05, 0.05),
+    "search_test": _vector_sql(-1.0, 0.0),
+    "hybrid_retrieve": _HYBRID,
     "similarity_join": _SIMILAR,
     "block_similarity_join": _SIMILAR,
     "l2_normalize": """WITH d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
@@ -216,8 +263,12 @@ ORACLE_SQL = {
     "rebuild_vectors": with_views("""WITH e AS (SELECT *, chunk_id % 10 = 1 AS noise, chunk_id % 4 = 0 AS there, regexp_matches(text, '[A-Za-z0-9]') AS words FROM chunks WHERE enabled)
         SELECT 'ok' AS counter, count(*) AS n FROM e WHERE NOT noise AND NOT there AND words UNION ALL SELECT 'fail', count(*) FROM e WHERE NOT noise AND NOT there AND NOT words
         UNION ALL SELECT 'existing', count(*) FROM e WHERE there AND NOT noise UNION ALL SELECT 'noise', count(*) FROM e WHERE noise""", "chunks"),
-    "pin_exact_ids": with_views("""WITH h AS (SELECT q.range AS query_id, chunk_id, CASE WHEN chunk_id % 3 = 0 THEN 1 ELSE 0 END AS twice FROM range(60) q JOIN chunks ON tenant_id = q.range % 4 AND chunk_id % 40 = q.range WHERE enabled)
-        SELECT query_id, chunk_id, CAST(n AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY twice DESC, chunk_id) AS n FROM h) WHERE n <= 3""", "chunks"),
+    "pin_exact_ids": with_views(f"""WITH c AS (SELECT chunk_id, tenant_id, concat(text, ' ref ', chunk_id % 40 + 12345600, CASE WHEN chunk_id % 3 = 0 THEN concat('；again ', chunk_id % 40 + 12345600) ELSE '' END) AS text FROM chunks WHERE enabled),
+        q AS (SELECT doc_id AS query_id, doc_id % 4 AS tenant_id, list_filter(regexp_extract_all(concat('where is ', doc_id % 40 + 12345600, ' ', text), '{R.KEY}'), lambda t: length(t) >= 8)[1:3] AS tokens FROM documents WHERE doc_id % 50 = 0),
+        t AS (SELECT query_id, tenant_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS n FROM q),
+        h AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY n) AS nth FROM t JOIN c USING (tenant_id) WHERE contains(text, token)),
+        p AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY (length(text) - length(replace(text, token, ''))) // length(token) DESC, length(text) - length(replace(text, '；', '')) DESC, chunk_id) AS place FROM h WHERE nth = 1)
+        SELECT query_id, chunk_id, CAST(place AS INT) AS place FROM p WHERE place <= 3""", "chunks"),
     "per_kb_floor": _hit_sql(f"""b AS (SELECT query_id, count(DISTINCT kb_id) AS k FROM hits GROUP BY 1),
         f AS (SELECT h.*, k, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY score DESC, chunk_id) AS nth FROM hits h JOIN b USING (query_id)),
         g AS (SELECT * FROM f WHERE nth <= 3 * CASE WHEN k <= 1 THEN 8 ELSE greatest(2, CAST(ceil(8.0 / k) AS INT)) END)
@@ -229,7 +280,8 @@ ORACLE_SQL = {
         b AS (SELECT query_id, chunk_id, 1.0 / (59 + {_CUT}) AS part FROM s2),
         f AS (SELECT query_id, chunk_id, CAST(sum(part) AS DOUBLE) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2),
         g AS (SELECT *, {_CUT} AS place FROM f) SELECT query_id, chunk_id, CAST(place AS INT) AS place, round(score, 8) AS score FROM g WHERE place <= 10"""),
-    "drop_noise_hits": with_views("SELECT chunk_id % 50 AS query_id, chunk_id FROM chunks WHERE chunk_id % 50 % 2 = 0 OR chunk_id % 3 <> 0", "chunks"),
+    "drop_noise_hits": with_views(f"""WITH q AS (SELECT doc_id AS query_id, regexp_matches(concat(text, CASE WHEN doc_id % 100 = 0 THEN ' order 123456' ELSE ' order 12345' END), '[0-9]{{6,}}') AS asks FROM documents WHERE doc_id % 50 = 0)
+        SELECT query_id, chunk_id FROM chunks JOIN q ON query_id = chunk_id - chunk_id % 50 WHERE asks OR NOT (chunk_id % 3 = 0 OR regexp_matches(text, '{X.ID_ROW}'))""", "chunks"),
     "apply_rerank": _hit_sql("""r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS p, query_id % 3 <> 0 AS scored FROM hits),
         s AS (SELECT query_id, chunk_id, p, scored, CASE WHEN scored THEN CAST(chunk_id * 13 % 100 AS DOUBLE) / 100 ELSE score END AS score FROM r),
         t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p) AS place FROM s WHERE score >= CASE WHEN scored THEN 0.3 ELSE 0.1 END)
@@ -240,15 +292,15 @@ ORACLE_SQL = {
         n AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY part, place) AS place FROM u) SELECT query_id, chunk_id, CAST(place AS INT) AS place FROM n WHERE place <= 6"""),
     "bm25_stats": with_views(f"""WITH {_POSTINGS}, d AS (SELECT tenant_id, kb_id, term, count(*) AS df FROM tfs GROUP BY ALL), s AS (SELECT tenant_id, kb_id, count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS tokens FROM tok GROUP BY ALL)
         SELECT tenant_id, kb_id, term, df, n, tokens FROM d JOIN s USING (tenant_id, kb_id) WHERE df > 2""", "chunks"),
-    "bm25_retrieve": with_views(f"""WITH {_POSTINGS}, q AS (SELECT DISTINCT item_id AS query_id, item_id % 4 AS tenant_id, unnest(regexp_extract_all(lower(substr(text, 1, 60)), '[a-z0-9]+')) AS term FROM benchmark),
+    "bm25_retrieve": with_views(f"""WITH {_POSTINGS}, q AS (SELECT DISTINCT item_id AS query_id, item_id % 4 AS tenant_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
         s AS (SELECT tenant_id, count(*) AS n, sum(len(t)) * 1.0 / count(*) AS mean FROM tok GROUP BY 1), d AS (SELECT tenant_id, term, count(*) AS df FROM tfs GROUP BY 1, 2),
         r AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS score
               FROM q JOIN tfs USING (tenant_id, term) JOIN d USING (tenant_id, term) JOIN s USING (tenant_id) GROUP BY 1, 2),
         p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM r)
         SELECT query_id, chunk_id, CAST(place AS INT) AS place, round(score, 6) AS score FROM p WHERE place <= 5""", "chunks"),
-    "batch_questions": """WITH b AS (SELECT item_id AS question_id, item_id % 2 AS batch_id, substr(trim(CASE WHEN item_id % 5 = 0 THEN '  ' ELSE concat(' ', text) END, ' ' || chr(10)), 1, 50) AS text FROM benchmark),
-        p AS (SELECT *, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY question_id) AS INT) AS place FROM b WHERE text <> '') SELECT *, place <= 10 AS runs FROM p""",
-    "recall_at_k": _hit_sql(f"""r AS (SELECT *, {_CUT} AS place FROM hits), g AS (SELECT query_id, 50 + query_id * 7 % 400 AS chunk_id FROM query_vectors),
+    "batch_questions": """WITH b AS (SELECT item_id AS question_id, item_id % 2 AS batch_id, substr(trim(CASE WHEN item_id % 5 = 0 THEN '  ' ELSE concat(' ', text) END, ' ' || chr(10)), 1, 2000) AS text FROM benchmark),
+        p AS (SELECT *, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY question_id) AS INT) AS place FROM b WHERE text <> '') SELECT *, place <= 50 AS runs FROM p""",
+    "recall_at_k": _hit_sql(f"""r AS (SELECT *, {_CUT} AS place FROM hits), g AS (SELECT query_id, (query_id * 7 + 13) % 400 AS chunk_id FROM query_vectors),
         b AS (SELECT g.query_id, min(place) AS place FROM g LEFT JOIN r USING (query_id, chunk_id) GROUP BY 1)
         SELECT count(*) AS questions, round(avg(CASE WHEN place <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN place <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5,
         round(avg(CASE WHEN place <= 50 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_50 FROM b"""),

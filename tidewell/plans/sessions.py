@@ -25,6 +25,7 @@ QUERIES = {
     "unresolved_questions": _(S.unresolved_questions, "messages", "sessions", days=DAYS, now=NOW, limit=50),
     "recent_history": _(S.recent_history, "messages", n=3),
     "cross_session_history": _(S.cross_session_history, "messages", "sessions", budget=900),
+    "visitor_memory": lambda s, d: S.visitor_memory(frame(s, d, "visitor_notes")),
     "current_session": _(S.current_session, "sessions"),
     "running_counts": _(S.running_counts, "messages"),
     "stop_trigger": _(S.stop_trigger, "messages", groups=GROUPS),
@@ -85,6 +86,8 @@ ORACLE_SQL = {
                  FROM messages m JOIN chosen USING (session_id) WHERE b BETWEEN 2 AND 4 AND role IN ('visitor', 'ai') AND trim(content) <> ''),
         spent AS (SELECT *, CAST(sum(length(line)) OVER (PARTITION BY tenant_id, visitor_id ORDER BY created_at DESC, session_id DESC, seq DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM said WHERE back <= 80)
         SELECT tenant_id, visitor_id, session_id, seq, role, line, spent FROM spent WHERE spent <= 900""", "sessions"),
+    "visitor_memory": with_views("""SELECT tenant_id, visitor_id, note_id, content, CAST(back AS INT) AS back FROM (
+        SELECT *, row_number() OVER (PARTITION BY tenant_id, visitor_id ORDER BY updated_at DESC, note_id DESC) AS back FROM visitor_notes) WHERE back <= 10 AND content <> ''""", "visitor_notes"),
     "current_session": with_views("""SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, visitor_id, employee_id ORDER BY last_active_at DESC, session_id DESC) AS n
         FROM sessions WHERE status IN ('ai', 'queued', 'human')) WHERE n = 1""", "sessions"),
     "running_counts": with_views("""SELECT tenant_id, session_id, seq, CAST(ai AS BIGINT) AS ai_replies, CAST(vi AS BIGINT) AS visitor_messages FROM (

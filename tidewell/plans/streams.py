@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from tidewell.operators import sessions as S
 from tidewell.operators import usage as U
 from tidewell.sources.derived import VIEWS, _named, frame, with_views
+from tidewell.sources.shared import shared_folder
 from tidewell.streaming import jobs as J
 
 
 def stream(spark, sf, name):
-    """A view over one table, as a stream."""
-    (table,), text = VIEWS[name]
-    return spark.sql(_named(text, (table,)), **{table: J.read_stream(spark, sf, table)})
+    """A view as a stream: its one table, perhaps through another view."""
+    (need,), text = VIEWS[name]
+    below = stream(spark, sf, need) if need in VIEWS else J.read_stream(spark, sf, need)
+    return spark.sql(_named(text, (need,)), **{need: below})
 
 
 def _zoned(rows):
@@ -29,11 +31,31 @@ def _stages(rows):
 
 
 def _timing(rows):
-    return J.timing_windows(_stages(rows), "1 day").select("start", "stage", "calls", "max_ms")
+    return J.timing_windows(_stages(rows), "1 day")
+
+
+def _ingest(spark, sf):
+    """Documents as a stream of files into chunk, vector and status tables, read back as each batch left them."""
+    path, state = shared_folder(spark, "ingest"), shared_folder(spark, "ingest-state")
+    files = J.read_stream(spark, sf, "documents").select("doc_id", F.expr("CAST(substr(source, 4) AS INT) % 4 AS tenant_id"), F.col("source").alias("kb_id"), F.expr("concat('d', doc_id, '.txt') AS filename"), "text")
+    J.ingest_stream(files, path, state)
+    vectors = J.ingested(spark, path, "vectors").groupBy("doc_id").agg(F.count("*").alias("vectors"))
+    return J.ingested(spark, path, "status").join(vectors, "doc_id", "left").select("doc_id", "status", F.col("chunk_count").cast("long").alias("chunk_count"), F.coalesce("vectors", F.lit(0)).alias("vectors"))
+
+
+def _late(spark, sf):
+    path, state = shared_folder(spark, "late"), shared_folder(spark, "late-state")
+    J.count_late(_zoned(stream(spark, sf, "usage_records")), path, state, 3600)
+    return J.late_counts(spark, path)
 
 
 QUERIES = {
     "debounce_messages": lambda s, d: _debounce(frame(s, d, "messages")),
+    "debounce_messages_stream": lambda s, d: J.run_once(_debounce(stream(s, d, "messages")), "debounce", "complete"),
+    "dedupe_uploads_stream": lambda s, d: J.run_once(J.dedupe_stream(_zoned(stream(s, d, "kb_documents")).select("tenant_id", "kb_id", "filename", "size_bytes", "created_at")), "dedupe").drop("created_at"),
+    "timing_windows_stream": lambda s, d: J.run_once(_timing(J.read_stream(s, d, "events")), "timing", "complete"),
+    "ingest_stream": _ingest,
+    "late_counts": _late,
     "usage_windows": lambda s, d: J.usage_windows(_zoned(frame(s, d, "usage_records"))),
     "usage_windows_stream": lambda s, d: J.run_once(J.usage_windows(_zoned(stream(s, d, "usage_records"))), "usage", "complete"),
     "rate_windows": lambda s, d: J.rate_windows(_zoned(frame(s, d, "usage_records")), "1 hour", "20 minutes"),
@@ -56,15 +78,22 @@ _CYCLES = with_views("""WITH c AS (SELECT tenant_id, session_id, cycle, min(CASE
             FROM messages WHERE role IN ('visitor', 'ai', 'agent')) GROUP BY 1, 2, 3)
     SELECT tenant_id, session_id, CAST(epoch(answered) - epoch(asked) AS BIGINT) AS wait_s FROM c WHERE asked IS NOT NULL AND answered IS NOT NULL""", "messages")
 
-ORACLE_SQL = {
-    "debounce_messages": with_views("""WITH v AS (SELECT *, epoch(created_at) - epoch(lag(created_at) OVER (PARTITION BY session_id ORDER BY created_at, seq)) AS gap FROM messages WHERE role = 'visitor'),
+_DEBOUNCE = with_views("""WITH v AS (SELECT *, epoch(created_at) - epoch(lag(created_at) OVER (PARTITION BY session_id ORDER BY created_at, seq)) AS gap FROM messages WHERE role = 'visitor'),
         i AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 130 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY created_at, seq) AS island FROM v)
-        SELECT session_id, min(created_at) AS first_at, count(*) AS n, md5(string_agg(content, chr(10) ORDER BY created_at, seq)) AS content FROM i GROUP BY session_id, island""", "messages"),
+        SELECT session_id, min(created_at) AS first_at, count(*) AS n, md5(string_agg(content, chr(10) ORDER BY created_at, seq)) AS content FROM i GROUP BY session_id, island""", "messages")
+_TIMING = """SELECT date_trunc('day', ts) AS start, event_type AS stage, count(*) AS calls, quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms, max(value) AS max_ms FROM events GROUP BY 1, 2"""
+
+ORACLE_SQL = {
+    "debounce_messages": _DEBOUNCE,
+    "debounce_messages_stream": _DEBOUNCE,
+    "dedupe_uploads_stream": with_views("SELECT DISTINCT tenant_id, kb_id, filename, size_bytes FROM kb_documents", "kb_documents"),
+    "timing_windows_stream": _TIMING,
+    "late_counts": "SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS late FROM events",
     "usage_windows": _USAGE,
     "usage_windows_stream": _USAGE,
     "rate_windows": _RATE,
     "rate_windows_stream": _RATE,
-    "timing_windows": "SELECT date_trunc('day', ts) AS start, event_type AS stage, count(*) AS calls, max(value) AS max_ms FROM events GROUP BY 1, 2",
+    "timing_windows": _TIMING,
     "response_time_stream": _CYCLES,
     "response_cycles": _CYCLES,
     "dedupe_uploads": with_views("SELECT DISTINCT tenant_id, kb_id, filename, size_bytes FROM uploads", "uploads"),

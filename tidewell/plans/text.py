@@ -39,7 +39,7 @@ def _route(spark, sf):
 
 
 def _persona(spark, sf):
-    template = F.concat(F.lit("Hi {{ visitor.id }}, {{tenant.name}}: "), F.substring("text", 1, 20), F.lit(" {{other.x}} {{ visitor.id}}"))
+    template = F.concat(F.lit("Hi {{ visitor.id }}, {{tenant.name}}: "), F.col("text"), F.lit(" {{other.x}} {{ visitor.id}}"))
     rows = frame(spark, sf, "documents").withColumn("template", template)
     values = {"visitor.id": F.concat(F.lit("v$"), F.col("doc_id")), "tenant.name": F.repeat(F.col("source"), 60)}
     return rows.select("doc_id", X.render_persona("template", values).alias("shown"), F.array_join(X.extract_variables("template"), ",").alias("names"), F.array_join(X.unknown_variables("template"), ",").alias("unknown"))
@@ -57,11 +57,11 @@ def _intents(spark, sf):
 
 QUERIES = {
     "normalize_text": _docs(lambda: dict(out=F.md5(X.normalize_text(F.concat(F.lit("  "), F.regexp_replace("text", "\\. ", ".   \r\n")))))),
-    "text_helpers": _docs(lambda: dict(ws=X.normalize_ws(F.substring("text", 1, 50)), short=X.truncate("text", 30), slug=X.slugify(F.substring("text", 1, 24)), masked=X.mask_secret(F.substring("text", 1, 20)), chars=X.count_chars("text"))),
+    "text_helpers": _docs(lambda: dict(ws=F.md5(X.normalize_ws("text")), short=X.truncate("text", 30), slug=F.md5(X.slugify("text")), masked=X.mask_secret("text"), chars=X.count_chars("text"))),
     "strip_control_chars": _docs(lambda: dict(out=F.md5(X.strip_control_chars(F.concat(F.lit("a\x01b\x7f\t"), "text"))))),
     "detect_language": lambda s, d: frame(s, d, "conversations").select("conv_id", "turn", X.detect_language("text").alias("language")),
     "split_sub_intents": lambda s, d: frame(s, d, "conversations").select("conv_id", "turn", F.array_join(X.split_sub_intents("text"), "|").alias("parts")),
-    "is_meaningless": lambda s, d: frame(s, d, "conversations").select("conv_id", "turn", I.is_meaningless(F.expr("substr(text, 1, 2)")).alias("flag")),
+    "is_meaningless": lambda s, d: frame(s, d, "conversations").select("conv_id", "turn", I.is_meaningless(F.col("text")).alias("flag")),
     "detect_intent": _intents,
     "confidence": lambda s, d: frame(s, d, "events").select("event_id", X.confidence(F.col("value") / 500 - 0.02).alias("confidence")),
     "embed_tokens": _docs(lambda: dict(n=F.size(X.embed_tokens("text")).cast("long"), tokens=F.md5(F.array_join(X.embed_tokens("text"), " ")))),
@@ -70,7 +70,7 @@ QUERIES = {
     "refuse_stats": _refuse,
     "in_stop_window": _stop_window,
     "turn_route": _route,
-    "split_reply": _docs(lambda: dict(parts=F.array_join(X.split_reply(F.substring("text", 1, 400), 3), "|"))),
+    "split_reply": _docs(lambda: dict(parts=F.array_join(X.split_reply("text", 3), "|"))),
     "cell_type": lambda s, d: frame(s, d, "part").select("p_partkey", X.cell_type("p_name").alias("name"), X.cell_type("p_size").alias("size"), X.cell_type(F.concat(F.col("p_size"), F.lit("KG"))).alias("weight"), X.cell_type(F.concat(F.lit("$1,"), F.col("p_partkey"))).alias("price")),
 }
 
@@ -89,15 +89,15 @@ _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 ORACLE_SQL = {
     "normalize_text": "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(concat('  ', regexp_replace(text, '\\. ', '.   ' || chr(13) || chr(10), 'g')), '\\r\\n|\\r', chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))) AS out FROM documents",
-    "text_helpers": """SELECT doc_id, trim(regexp_replace(substr(text, 1, 50), '[ \\t]+', ' ', 'g'), ' ' || chr(10)) AS ws, CASE WHEN length(text) <= 30 THEN text ELSE concat(substr(text, 1, 29), '…') END AS short,
-        trim(regexp_replace(lower(trim(substr(text, 1, 24), ' ' || chr(10))), '[^a-zA-Z0-9一-鿿]+', '-', 'g'), '-') AS slug,
-        CASE WHEN length(substr(text, 1, 20)) <= 8 THEN repeat('*', length(substr(text, 1, 20))) ELSE concat(substr(text, 1, 4), '********', right(substr(text, 1, 20), 4)) END AS masked, CAST(length(text) AS INT) AS chars FROM documents""",
+    "text_helpers": """SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' ' || chr(10))) AS ws, CASE WHEN length(text) <= 30 THEN text ELSE concat(substr(text, 1, 29), '…') END AS short,
+        md5(CASE WHEN trim(regexp_replace(lower(text), '[^a-zA-Z0-9一-鿿]+', '-', 'g'), '-') = '' THEN substr(md5(text), 1, 8) ELSE trim(regexp_replace(lower(text), '[^a-zA-Z0-9一-鿿]+', '-', 'g'), '-') END) AS slug,
+        CASE WHEN length(text) <= 8 THEN repeat('*', length(text)) ELSE concat(substr(text, 1, 4), '********', right(text, 4)) END AS masked, CAST(length(text) AS INT) AS chars FROM documents""",
     "strip_control_chars": "SELECT doc_id, md5(regexp_replace(concat('a', chr(1), 'b', chr(127), chr(9), text), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) AS out FROM documents",
     "detect_language": """SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(text, '[a-zA-Z]')) = 0 THEN '' ELSE 'en' END AS language FROM conversations""",
     "split_sub_intents": """WITH p AS (SELECT conv_id, turn, trim(text, ' ' || chr(10)) AS whole, list_filter(list_transform(regexp_split_to_array(text, '[!?;\\n]+'), lambda x: trim(x)), lambda x: length(x) >= 2) AS parts FROM conversations),
         d AS (SELECT *, list_filter(parts, lambda x, i: list_position(parts, x) = i) AS u FROM p)
         SELECT conv_id, turn, CASE WHEN len(u) = 0 THEN whole ELSE array_to_string(u[1:4], '|') END AS parts FROM d""",
-    "is_meaningless": "SELECT conv_id, turn, lower(trim(substr(text, 1, 2))) IN ('hi', 'yo', 'ok', '11', '1', '.', '?') OR length(trim(substr(text, 1, 2))) <= 1 AS flag FROM conversations",
+    "is_meaningless": "WITH t AS (SELECT conv_id, turn, lower(trim(text, ' ' || chr(10))) AS t FROM conversations) SELECT conv_id, turn, t IN ('hi', 'hello', 'test', 'hey', 'hey?', 'hi?', 'yo', 'ok', '11', '1', '.', '?') OR length(t) <= 1 AS flag FROM t",
     "detect_intent": f"""WITH t AS (SELECT conv_id, turn, {_TURN} AS text FROM conversations),
         r AS (SELECT *, CASE WHEN {_any('text', I.HANDOFF)} THEN 'asked for a person' WHEN {_any('text', I.RISK)} THEN concat('risk: ', {_first('text', I.RISK)})
             WHEN {_any('text', I.REFUND)} AND {_any('text', I.NEGATIVE)} THEN concat('refund with anger: ', {_first('text', I.REFUND)}) ELSE '' END AS reason FROM t)
@@ -106,7 +106,7 @@ ORACLE_SQL = {
     "confidence": """SELECT event_id, CAST(CASE WHEN value / 500 - 0.02 <= 0 THEN 0 WHEN value / 500 - 0.02 >= 0.95 THEN 99 ELSE least(99, greatest(0, round_even((value / 500 - 0.02) * 100, 0))) END AS INT) AS confidence FROM events""",
     "embed_tokens": f"SELECT doc_id, len({_TOKENS}) AS n, md5(array_to_string({_TOKENS}, ' ')) AS tokens FROM documents",
     "estimate_tokens": "SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE greatest(1, length(text) // 4) END AS INT) AS tokens FROM documents",
-    "persona": """SELECT doc_id, concat('Hi v$', doc_id, ', ', CASE WHEN length(repeat(source, 60)) <= 200 THEN repeat(source, 60) ELSE concat(substr(repeat(source, 60), 1, 199), '…') END, ': ', substr(text, 1, 20), ' {{other.x}} v$', doc_id) AS shown,
+    "persona": """SELECT doc_id, concat('Hi v$', doc_id, ', ', CASE WHEN length(repeat(source, 60)) <= 200 THEN repeat(source, 60) ELSE concat(substr(repeat(source, 60), 1, 199), '…') END, ': ', text, ' {{other.x}} v$', doc_id) AS shown,
         'other.x,tenant.name,visitor.id' AS names, 'other.x' AS unknown FROM documents""",
     "refuse_stats": with_views("SELECT tenant_id, count(*) AS replies, round(avg(CASE WHEN seq % 5 = 1 OR content = '' THEN 1.0 ELSE 0.0 END), 6) AS refuse_rate FROM messages WHERE role = 'ai' GROUP BY 1", "messages"),
     "in_stop_window": """WITH l AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN ts + INTERVAL '8' HOUR ELSE ts END AS t FROM events),

@@ -58,8 +58,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT doc_id + 1000000, kb_id, tenant_id, filename, size_bytes, created_at + INTERVAL '30' DAY FROM kb_documents WHERE doc_id % 5 = 0"""),
     "chunk_vectors": (("embeddings",), """
         SELECT vec_id AS chunk_id, label AS kb_id, label % 4 AS tenant_id, vec_id % 37 AS doc_id, vec_id % 9 <> 0 AS enabled, embedding
-        FROM embeddings WHERE vec_id >= 50"""),
-    "query_vectors": (("embeddings",), "SELECT vec_id AS query_id, label AS gold_kb, label % 4 AS tenant_id, embedding FROM embeddings WHERE vec_id < 50"),
+        FROM embeddings"""),
+    "query_vectors": (("embeddings",), "SELECT vec_id AS query_id, label AS gold_kb, label % 4 AS tenant_id, embedding FROM embeddings WHERE vec_id % 50 = 0"),
+    "visitor_notes": (("events",), """
+        SELECT event_id AS note_id, user_id % 4 AS tenant_id, user_id AS visitor_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE props END AS content, ts AS updated_at
+        FROM events"""),
     "chunks": (("documents",), """
         SELECT doc_id AS chunk_id, doc_id % 97 AS doc_id, source AS kb_id, CAST(substr(source, 4) AS INT) % 4 AS tenant_id,
                0 AS seq, text, doc_id % 6 <> 0 AS enabled

@@ -3,7 +3,6 @@ on tables alike. Event-time jobs state their watermark; ``run_once`` drains what
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,15 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        import tempfile
-
-        top = tempfile.mkdtemp(prefix="tidewell-stream-")
-    return os.path.join(top, f"tidewell-{name}-{os.urandom(8).hex()}")
+from tidewell.sources.shared import shared_folder
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,19 +166,27 @@ def session_state_stream(messages: DataFrame, stop_after: int = 0, escalate_afte
     return rows.groupBy("session_id").applyInPandasWithState(follow, f"session_id long, seq long, {STATE}", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def ingest_stream(files: DataFrame, path: str, state: str, size: int = 600, overlap: int = 100) -> None:
-    """Documents (doc_id, tenant_id, kb_id, filename, text) to chunk and status tables under ``path``, one
-    folder a batch, so that a repeated batch overwrites itself. A document without chunks is 'failed'; no
-    fault of one stops the others."""
+def ingest_stream(files: DataFrame, path: str, state: str, size: int = 600, overlap: int = 100, dim: int = 64) -> None:
+    """Documents (doc_id, tenant_id, kb_id, filename, text) to chunk, vector and status tables under ``path``, one
+    folder a batch, so that a repeated batch overwrites itself; ``ingested`` reads the newest state of each
+    document. A document without chunks is 'failed'; no fault of one stops the others. Chunks that are no
+    identifier rows get a hashed vector of their bare text."""
     from tidewell.functions.chunking import chunk_udf
+    from tidewell.functions.text import is_identifier_row, strip_meta
+    from tidewell.operators.vectors import hash_embed
 
     def write(batch: DataFrame, number: int) -> None:
-        own = batch.withColumn("pieces", chunk_udf(size, overlap)("text")).persist()
+        spark = batch.sparkSession
+        own = batch.withColumn("pieces", chunk_udf(size, overlap)("text"))
+        own.select("doc_id", "tenant_id", "kb_id", "pieces").write.mode("overwrite").parquet(f"{path}/pieces/batch={number}")
+        own = spark.read.parquet(f"{path}/pieces/batch={number}")
         chunks = own.select("doc_id", "tenant_id", "kb_id", F.posexplode("pieces").alias("seq", "text"))
-        chunks.select(F.sha2(F.concat_ws("|", "tenant_id", "kb_id", "doc_id", "seq"), 256).alias("chunk_id"), "*").write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
+        chunks = chunks.select(F.sha2(F.concat_ws("|", "tenant_id", "kb_id", "doc_id", "seq"), 256).alias("chunk_id"), "*")
+        chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
+        vectors = hash_embed(chunks.filter(~is_identifier_row("text")).withColumn("bare", strip_meta("text")), "bare", dim)
+        vectors.select("chunk_id", "doc_id", "tenant_id", "kb_id", "embedding").write.mode("overwrite").parquet(f"{path}/vectors/batch={number}")
         status = F.when(F.size("pieces") > 0, "success").otherwise("failed")
         own.select("doc_id", status.alias("status"), F.size("pieces").alias("chunk_count")).write.mode("overwrite").parquet(f"{path}/status/batch={number}")
-        own.unpersist()
 
     query = files.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -195,19 +194,34 @@ def ingest_stream(files: DataFrame, path: str, state: str, size: int = 600, over
         raise query.exception()
 
 
-def late_policy(watermark_s: int, then: Callable[[DataFrame, int], None], column: str = "created_at") -> tuple[Callable[[DataFrame, int], None], dict[str, int]]:
-    """A ``foreachBatch`` function that counts rows older than the watermark before it hands the others on,
-    and the counters (rows, late, newest) it keeps."""
-    counters = {"rows": 0, "late": 0, "newest": -(1 << 62)}
+def ingested(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """``chunks``, ``vectors`` or ``status`` of ``ingest_stream``, each document as its newest batch left it."""
+    newest = spark.read.parquet(f"{path}/status").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{path}/{table}").join(newest, ["doc_id", "batch"]).drop("batch")
+
+
+def count_late(rows: DataFrame, path: str, state: str, watermark_s: int, then: Callable[[DataFrame, int], None] = lambda rows, number: None, column: str = "created_at") -> None:
+    """Drain a stream: rows older than the watermark are counted before the others go to ``then``. Counters
+    (n, late, newest) are written per batch under ``path``, from which a restarted job takes the watermark."""
+    schema = "n long, late long, newest long"
 
     def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         at = F.unix_timestamp(F.col(column).cast("timestamp"))
-        border = counters["newest"] - watermark_s
-        n, late, newest = batch.agg(F.count("*"), F.count_if(at < border), F.max(at)).first()
-        counters["rows"] += n
-        counters["late"] += late
-        then(batch.filter(at >= border), number)
-        if newest is not None:
-            counters["newest"] = max(counters["newest"], newest)
-
-    return step, counters
+        before = None
+        if number:
+            before = spark.read.schema(f"{schema}, batch int").parquet(path).filter(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        late = at < F.lit(before - watermark_s) if before is not None else F.lit(False)
+        counted = batch.agg(F.count("*").alias("n"), F.count_if(late).alias("late"), F.max(at).alias("newest"))
+        counted.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        then(batch.filter(~late), number)
+
+    query = rows.writeStream.foreachBatch(step).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
+def late_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(n, late) over all batches of ``count_late``."""
+    return spark.read.parquet(path).agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
