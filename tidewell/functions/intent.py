@@ -45,7 +45,7 @@ MEANINGLESS = (
 
 def first_hit(text: Column, phrases: tuple[str, ...]) -> Column:
     """The first phrase of the list (in list order) that the lower-cased text contains, or null."""
-    return F.coalesce(*[F.when(F.contains(F.lower(text), F.lit(p.lower())), p) for p in phrases])
+    return F.when(any_hit(text, phrases), F.coalesce(*[F.when(F.contains(F.lower(text), F.lit(p.lower())), p) for p in phrases]))
 
 
 def any_hit(text: Column, phrases: tuple[str, ...]) -> Column:

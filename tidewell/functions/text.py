@@ -5,6 +5,7 @@ Patterns carry ``(?U)`` where Unicode classes are meant, since Java's default on
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -173,21 +174,35 @@ def split_reply(c: Column | str, max_segments: int, least: int = 80) -> Column:
     """A long reply as several messages: by paragraphs, else by sentences in even groups; what exceeds the
     number of segments is joined to the last."""
     n = max(2, min(8, int(max_segments or 2)))
-    text = strip(F.coalesce(_c(c), F.lit("")))
     kept = lambda parts: F.filter(F.transform(parts, strip), lambda x: x != "")
-    paragraphs = kept(F.split(text, r"\n\s*\n"))
-    sentences = kept(F.regexp_extract_all(text, F.lit("([^。！？!?；;\n]+[。！？!?；;]?)"), F.lit(1)))
-    count = F.size(sentences)
-    groups = F.greatest(F.lit(2), F.least(F.when(count <= 2 * n, F.least(F.lit(n), count - 1)).otherwise(n), count))
-    base, extra = F.floor(count / groups).cast("int"), (count % groups).cast("int")
-    even = F.transform(
-        F.sequence(F.lit(0), groups - 1),
-        lambda g: strip(F.array_join(F.slice(sentences, g * base + F.least(g, extra) + 1, base + F.when(g < extra, 1).otherwise(0)), "")),
-    )
-    parts = F.when(F.size(paragraphs) >= 2, paragraphs).when(count < 2, F.array(text)).otherwise(even)
-    joined = F.concat(F.slice(parts, 1, n - 1), F.array(F.array_join(F.slice(parts, n, F.greatest(F.size(parts), F.lit(1))), "\n")))
-    short = F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= least, F.array(text))
-    return short.otherwise(F.when(F.size(parts) <= n, parts).otherwise(joined))
+
+    def even(sentences: Column) -> Column:
+        count = F.size(sentences)
+        groups = F.greatest(F.lit(2), F.least(F.when(count <= 2 * n, F.least(F.lit(n), count - 1)).otherwise(n), count))
+        base, extra = F.floor(count / groups).cast("int"), (count % groups).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), groups - 1),
+            lambda g: strip(F.array_join(F.slice(sentences, g * base + F.least(g, extra) + 1, base + F.when(g < extra, 1).otherwise(0)), "")),
+        )
+
+    def parts(text: Column) -> Column:
+        by_sentence = _let(kept(F.regexp_extract_all(text, F.lit("([^。！？!?；;\n]+[。！？!?；;]?)"), F.lit(1))), lambda s: F.when(F.size(s) < 2, F.array(text)).otherwise(even(s)))
+        return _let(kept(F.split(text, r"\n\s*\n")), lambda p: F.when(F.size(p) >= 2, p).otherwise(by_sentence))
+
+    def at_most(parts: Column) -> Column:
+        joined = F.concat(F.slice(parts, 1, n - 1), F.array(F.array_join(F.slice(parts, n, F.greatest(F.size(parts), F.lit(1))), "\n")))
+        return F.when(F.size(parts) <= n, parts).otherwise(joined)
+
+    def reply(text: Column) -> Column:
+        short = F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= least, F.array(text))
+        return short.otherwise(_let(parts(text), at_most))
+
+    return _let(strip(F.coalesce(_c(c), F.lit(""))), reply)
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def split_turns(c: Column | str) -> Column:

@@ -139,6 +139,8 @@ def _purity_sql(part: str, key: str) -> str:
 
 
 ORACLE_SQL = {
+    "page_outcome": """SELECT page_id, md5(trim(regexp_replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g'))) AS title,
+        CASE WHEN page_id % 9 = 0 THEN 'status 404' WHEN page_id % 7 = 0 THEN 'no text' ELSE '' END AS outcome FROM pages""",
     "split_grids": f"""WITH cells AS ({CELLS}), f AS (SELECT * FROM cells WHERE row_no % 20 <> 7 AND NOT (col_no = 2 AND sheet_id % 2 = 0) AND NOT {_BLANK}),
         b AS (SELECT sheet_id, row_no, sum(CASE WHEN row_no - p > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY sheet_id ORDER BY row_no) AS band FROM (SELECT DISTINCT sheet_id, row_no, lag(row_no) OVER (PARTITION BY sheet_id ORDER BY row_no) AS p FROM (SELECT DISTINCT sheet_id, row_no FROM f))),
         r AS (SELECT * FROM f JOIN b USING (sheet_id, row_no)), k AS (SELECT DISTINCT sheet_id, band, col_no FROM r),

@@ -195,9 +195,12 @@ ORACLE_SQL = {
         SELECT doc_id, CASE WHEN bare = '' THEN whole ELSE bare END AS bare FROM d""",
     "document_status": "SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'partial' ELSE 'success' END AS status FROM documents",
     "kv_dense_segments": f"WITH {_PAIRS} SELECT doc_id, CAST(line_no AS INT) AS line_no, key, value FROM seg",
-    "kv_param_summary": f"""WITH {_PAIRS}, f AS (SELECT *, min(segment) OVER (PARTITION BY doc_id, key) AS first FROM seg),
-        o AS (SELECT doc_id, segment, count(*) AS n, string_agg(concat(key, '：', value), '；' ORDER BY line_no) AS body FROM f WHERE segment = first GROUP BY 1, 2)
-        SELECT doc_id, concat('【参数对照】《', filename, '》', body) AS text FROM o JOIN docs USING (doc_id) WHERE n >= 5""",
+    "kv_param_summary": f"""WITH RECURSIVE {_PAIRS}, f AS (SELECT *, min(segment) OVER (PARTITION BY doc_id, key) AS first FROM seg),
+        o AS (SELECT doc_id, segment, concat('【参数对照】《', filename, '》') AS head, concat(key, '：', value, '；') AS item, row_number() OVER (PARTITION BY doc_id, segment ORDER BY line_no) AS n, count(*) OVER (PARTITION BY doc_id, segment) AS m FROM f JOIN docs USING (doc_id) WHERE segment = first),
+        r AS (SELECT doc_id, segment, head, item, n, 1 AS piece, 600 - length(head) - length(item) AS room FROM o WHERE n = 1 AND m >= 5
+          UNION ALL SELECT o.doc_id, o.segment, o.head, o.item, o.n, piece + CASE WHEN room < length(o.item) THEN 1 ELSE 0 END, CASE WHEN room < length(o.item) THEN 600 - length(o.head) ELSE room END - length(o.item)
+          FROM r JOIN o ON o.doc_id = r.doc_id AND o.segment = r.segment AND o.n = r.n + 1)
+        SELECT doc_id, concat(head, rtrim(string_agg(item, '' ORDER BY n), '；')) AS text FROM r GROUP BY doc_id, segment, head, piece""",
     "service_summary": """WITH l AS (SELECT doc_id, string_split(concat(text, chr(10), 'first', chr(10), CASE WHEN doc_id % 2 = 0 THEN concat('请联系售后服务中心： 400-', 100 + doc_id % 900, '-8888，谢谢', chr(10)) ELSE '' END,
           CASE WHEN doc_id % 3 = 0 THEN '官网： www.example.com.' ELSE 'www.other.example' END, chr(10), CASE WHEN doc_id % 5 = 0 THEN '请用微信扫描，联系在线客服。' ELSE '微信' END, chr(10), '400-999-9999'), chr(10)) AS l FROM documents),
         s AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM l),

@@ -185,6 +185,14 @@ ORACLE_SQL = {
     "set_document_enabled": with_views("SELECT chunk_id, doc_id, CASE WHEN doc_id % 10 = 3 THEN doc_id % 20 = 3 ELSE enabled END AS enabled FROM chunks", "chunks"),
     "admit_uploads": with_views("""SELECT doc_id, CASE WHEN size_bytes > 9000 THEN 'size' WHEN size_bytes <= 0 THEN 'empty'
         WHEN row_number() OVER (PARTITION BY tenant_id, kb_id, filename, size_bytes ORDER BY created_at, doc_id) > 1 THEN 'duplicate' END AS reason FROM uploads""", "uploads"),
+    "admit_with_caps": with_views("""WITH RECURSIVE a AS (SELECT doc_id, tenant_id, kb_id, size_bytes, created_at, CASE WHEN size_bytes > 20971520 THEN 'size' WHEN size_bytes <= 0 THEN 'empty'
+          WHEN row_number() OVER (PARTITION BY tenant_id, kb_id, filename, size_bytes, size_bytes > 20971520 OR size_bytes <= 0 ORDER BY created_at, doc_id) > 1 THEN 'duplicate' END AS reason FROM uploads),
+        x AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, kb_id ORDER BY created_at, doc_id) AS n FROM a),
+        r AS (SELECT CAST(NULL AS BIGINT) AS doc_id, tenant_id, kb_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS docs, CAST(0 AS BIGINT) AS bytes, CAST(NULL AS VARCHAR) AS reason FROM (SELECT DISTINCT tenant_id, kb_id FROM x)
+          UNION ALL SELECT doc_id, tenant_id, kb_id, n, docs + CASE WHEN why IS NULL THEN 1 ELSE 0 END, bytes + CASE WHEN why IS NULL THEN size_bytes ELSE 0 END, why
+          FROM (SELECT x.doc_id, x.tenant_id, x.kb_id, x.n, r.docs, r.bytes, x.size_bytes, coalesce(x.reason, CASE WHEN r.docs >= 40 THEN 'documents' WHEN r.bytes + x.size_bytes > 60000 THEN 'bytes' END) AS why
+                FROM r JOIN x ON x.tenant_id = r.tenant_id AND x.kb_id = r.kb_id AND x.n = r.n + 1))
+        SELECT doc_id, reason FROM r WHERE n > 0""", "uploads"),
     "first_document_wins": with_views("SELECT doc_id, kb_id, filename, size_bytes FROM (SELECT *, row_number() OVER (PARTITION BY kb_id, filename, size_bytes ORDER BY created_at, doc_id) AS n FROM uploads) WHERE n = 1", "uploads"),
     "chunks_with_filename": with_views("SELECT c.* EXCLUDE (text), coalesce(filename, '') AS filename FROM chunks c LEFT JOIN (SELECT doc_id, filename FROM kb_documents WHERE doc_id % 5 <> 0) USING (doc_id)", "chunks", "kb_documents"),
     "verify_hits": with_views("""WITH hits AS (SELECT chunk_id, CASE WHEN chunk_id % 13 = 0 THEN (tenant_id + 1) % 4 ELSE tenant_id END AS tenant_id FROM chunk_vectors

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import sessions as S
 from tidewell.operators import usage as U
+from tidewell.plans.usage import RATE_LIMIT_SQL
 from tidewell.sources.derived import VIEWS, _named, frame, with_views
 from tidewell.sources.shared import shared_folder
 from tidewell.streaming import jobs as J
@@ -94,6 +95,13 @@ ORACLE_SQL = {
     "rate_windows": _RATE,
     "rate_windows_stream": _RATE,
     "timing_windows": _TIMING,
+    "rate_limit_stream": RATE_LIMIT_SQL,
+    "session_state_stream": with_views("""WITH RECURSIVE x AS (SELECT session_id, seq, role, contains(content, '低置信') AS note, row_number() OVER (PARTITION BY session_id ORDER BY created_at, seq) AS n FROM messages),
+        r AS (SELECT session_id, CAST(-1 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ai, CAST(0 AS BIGINT) AS visitor, CAST(0 AS BIGINT) AS clarify, CAST(0 AS BIGINT) AS streak, 'ai' AS status FROM (SELECT DISTINCT session_id FROM x)
+          UNION ALL SELECT x.session_id, x.seq, x.n, ai + CASE WHEN role = 'ai' AND status = 'ai' THEN 1 ELSE 0 END, visitor + CASE WHEN role = 'visitor' THEN 1 ELSE 0 END,
+          CASE WHEN role = 'ai' AND status = 'ai' THEN 0 WHEN role = 'system' AND note AND status = 'ai' THEN clarify + 1 ELSE clarify END, CASE WHEN role = 'ai' AND status = 'ai' THEN 0 WHEN role = 'system' AND note AND status = 'ai' THEN streak + 1 ELSE streak END,
+          CASE WHEN role = 'system' AND note AND status = 'ai' AND streak + 1 >= 2 THEN 'queued' ELSE status END FROM r JOIN x ON x.session_id = r.session_id AND x.n = r.n + 1)
+        SELECT session_id, seq, ai, visitor, clarify, streak, status FROM r WHERE n > 0""", "messages"),
     "response_time_stream": _CYCLES,
     "response_cycles": _CYCLES,
     "dedupe_uploads": with_views("SELECT DISTINCT tenant_id, kb_id, filename, size_bytes FROM uploads", "uploads"),

@@ -123,5 +123,9 @@ ORACLE_SQL = {
           WHEN n % 3 = 0 AND n % 15 <> 0 AND n % 2 <> 0 AND n % 7 = 0 THEN 'ctx_fallback' WHEN n % 3 = 0 AND n % 15 <> 0 AND n % 2 <> 0 AND n % 11 = 0 THEN 'overview_fallback'
           WHEN n % 3 = 0 AND n % 15 <> 0 AND p = 0 AND seq < 3 THEN 'lowconf_clarify' WHEN n % 3 = 0 AND n % 15 <> 0 AND p = 1 AND n % 2 = 0 THEN 'lowconf_fallback'
           WHEN n % 3 = 0 AND n % 15 <> 0 THEN 'handoff_lowconf' WHEN n % 13 = 0 THEN 'llm_unavailable' ELSE 'normal' END AS path FROM x""", "messages", "sessions"),
+    "split_reply": """WITH s AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents),
+        l AS (SELECT doc_id, t, list_filter(list_transform(regexp_extract_all(t, '[^。！？!?；;\n]+[。！？!?；;]?'), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS l FROM s),
+        n AS (SELECT *, len(l) AS n, greatest(2, least(CASE WHEN len(l) <= 6 THEN least(3, len(l) - 1) ELSE 3 END, len(l))) AS g FROM l)
+        SELECT doc_id, CASE WHEN length(t) <= 80 OR n < 2 THEN t ELSE array_to_string(list_transform(range(g), lambda k: trim(array_to_string(l[k * (n // g) + least(k, n % g) + 1 : k * (n // g) + least(k, n % g) + n // g + CASE WHEN k < n % g THEN 1 ELSE 0 END], ''))), '|') END AS parts FROM n""",
     "cell_type": """SELECT p_partkey, CASE WHEN length(trim(p_name)) <= 24 AND length(p_name) - length(replace(p_name, ' ', '')) <= 3 THEN 'code' ELSE 'text' END AS name, 'num' AS size, 'measure' AS weight, 'num' AS price FROM part""",
 }

@@ -52,7 +52,15 @@ QUERIES = {
     "rate_limit_decisions": _(U.rate_limit_decisions, "usage_records", rpm=3, window_s=3600.0),
 }
 
+#: A step a request: the accepted times that are still in the window are carried along.
+RATE_LIMIT_SQL = with_views("""WITH RECURSIVE x AS (SELECT tenant_id, usage_id, epoch_us(created_at) AS us, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at, usage_id) AS n FROM usage_records),
+    r AS (SELECT tenant_id, usage_id, n, [us] AS held, TRUE AS accepted FROM x WHERE n = 1
+      UNION ALL SELECT tenant_id, usage_id, n, CASE WHEN len(h) < 3 THEN list_append(h, us) ELSE h END, len(h) < 3
+      FROM (SELECT x.tenant_id, x.usage_id, x.n, x.us, list_filter(r.held, lambda t: x.us - t <= 3600000000) AS h FROM r JOIN x ON x.tenant_id = r.tenant_id AND x.n = r.n + 1))
+    SELECT tenant_id, usage_id, accepted FROM r""", "usage_records")
+
 ORACLE_SQL = {
+    "rate_limit_decisions": RATE_LIMIT_SQL,
     "usage_report": with_views("""SELECT * FROM (SELECT tenant_id, CASE WHEN grouping(kind) = 1 THEN 'employee' ELSE 'kind' END AS section, kind, employee_id,
         CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, count(*) AS calls
         FROM usage_records GROUP BY GROUPING SETS ((tenant_id, kind), (tenant_id, employee_id))) WHERE section = 'kind' OR employee_id IS NOT NULL""", "usage_records"),

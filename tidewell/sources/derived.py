@@ -97,6 +97,7 @@ def with_views(sql: str, *names: str) -> str:
     """``sql`` with the named views (and those they need) as common table expressions."""
     parts = [f"{n} AS ({VIEWS[n][1]})" for n in _order(names, [])]
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {', '.join(parts)}, {body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{', '.join(parts)}, {body[len(start):]}"
     return f"WITH {', '.join(parts)} {body}"

@@ -39,7 +39,8 @@ def _decoded(raw: bytes) -> tuple[str, str]:
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size_bytes, text, encoding, status, error): a row per file; an empty file failed."""
+    """(path, size_bytes, text, encoding, status, error): a row per file; an empty file failed. File names pass
+    through the driver, as they do in the listing of any of Spark's file sources; contents don't."""
 
     @F.pandas_udf("text string, encoding string")
     def decode(content: pd.Series) -> pd.DataFrame:
