@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tidewell.llm._common import fold, map_batches, pack_text, store_rows, unpack_text
 
+#: Ranges at most: from there on they grow instead, so that the sample on the driver (24 keys a range) doesn't.
+MOST_RANGES = 40_000
 ORDER = ("doc_id", "text_crc32", "size", "uid")
 
 
@@ -58,9 +60,10 @@ def shard_documents(
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, record) for every record; ``record`` is a
     struct of all columns of ``documents`` as they were. Rows of a partition stand in the order of their slots.
 
-    ``law``: ``bytes`` makes shard sizes near equal (apart by less than one record), ``rows`` the counts.
+    ``law``: ``bytes`` makes shard sizes near equal (apart by less than two records), ``rows`` the counts.
     Size is the text's UTF-8 bytes plus 8, null text as empty. Records are ordered by doc_id (null first),
     checksum, size and a record number, so equal records, equal ids and null ids are split like any others.
+    Empty and very long texts are records like any other; one long record may fill a shard.
     Slots run from 0 without gaps in each shard. An empty table gives no rows. Extra columns take no part in the order.
     """
     if law not in ("bytes", "rows"):
@@ -79,7 +82,7 @@ def shard_documents(
     rows = records.select(*ORDER, "weight")
 
     total, count = rows.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.count("*")).first()
-    n_ranges = max(8 * n_shards, -(-count // rows_per_range))
+    n_ranges = max(8 * n_shards, min(-(-count // rows_per_range), MOST_RANGES))
     fair = max(1, total // n_ranges)
     draws = n_ranges * draws_per_range
     sample = _draw(rows, F.col("weight") * draws / F.lit(float(max(total, 1))), seed)
