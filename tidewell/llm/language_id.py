@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tidewell.llm._common import column_bytes, is_training_row, map_batches, stable_columns, text_slices
 
 BUCKETS = 2048
-#: Training rows per language; the bound of the sample that classifiers are fitted on.
-ROWS_PER_LANGUAGE = 1500
+#: Training rows per language and in all (4 KB each on the driver): the bounds of the sample that is fitted on.
+ROWS_PER_LANGUAGE, ROWS = 1500, 24_000
 _LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint8)
 
 
@@ -112,6 +112,7 @@ def train(documents: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> C
     if not counts:
         return None
     languages = sorted(counts)
+    rows_per_language = min(rows_per_language, max(1, ROWS // len(languages)))
     u = F.pmod(F.xxhash64(F.lit(77), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chance = F.lit(0.0)
     for lang, n in counts.items():
