@@ -25,7 +25,7 @@ from tidewell.llm._common import byte_codes, column_bytes, map_batches, mix64, o
 # The marks that end a piece, and the blanks between words.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bytes of text whose phrases a task numbers at once.
-SLICE = 6 << 20
+SLICE = 2 << 20
 #: Bits of a proposal's bitmap: this many for each phrase, up to the limit (8 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 26
 OUT_ROWS = 1 << 17
@@ -220,18 +220,21 @@ def _with_hash(phrases: DataFrame) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, out = [], []
+            by_lang: dict[str, list[tuple[bytes, int]]] = {}
             for lang, phrase in zip(batch.column(0).to_pylist(), column_bytes(batch, "phrase")):
-                tokens = tokens_of([(phrase, 0)], _lang_seed(lang))
-                own = tokens.hashes[tokens.ids]
-                value = own[:1]
-                for k in range(1, len(own)):
-                    value = _joined(value, own[k : k + 1])
-                n_words.append(len(own))
-                out.append(value.view(np.int64)[0])
-            yield pa.RecordBatch.from_arrays([pa.array(n_words, pa.int32()), pa.array(out, pa.int64())], ["n_words", "hash"])
-
-    return map_batches(phrases.select("lang", "phrase"), step, "n_words int, hash long")
+                by_lang.setdefault(lang, []).append((phrase, 0))
+            for lang, own in by_lang.items():
+                tokens = tokens_of(own, _lang_seed(lang))  # a piece for each phrase
+                first = np.searchsorted(tokens.piece, np.arange(len(own)))
+                n_words = np.diff(first, append=len(tokens.ids))
+                words = tokens.hashes[tokens.ids]
+                out = words[first]
+                for k in range(1, n_words.max()):
+                    longer = n_words > k
+                    out[longer] = _joined(out[longer], words[first[longer] + k])
+                yield pa.RecordBatch.from_arrays([pa.array(n_words, pa.int32()), pa.array(out.view(np.int64))], ["n_words", "hash"])
+
+    return map_batches(phrases.select("lang", "phrase"), step, "n_words int, hash long", rows=1 << 14)
 
 
 def gate_of(phrases: DataFrame, longest: int) -> Gate:
