@@ -10,6 +10,7 @@ packed greedily. Pieces then take their places by rank within their length, with
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,41 +32,55 @@ BUCKET_PIECES = 20_000
 MOST_BUCKETS = 200_000
 
 
+#: Characters of a run (of blanks or of others) from which on a text is encoded from the JSON form.
+LONG_RUN = 20_000
+_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
+
+
 class Encoder:
     """Ids of the byte-level BPE vocabulary file, end-of-text marker in a text included.
 
     The rank form of the same vocabulary is read and encoded several times faster than the JSON form; a
-    test holds the two equal.
+    test holds the two equal. Texts with a very long run, on which the rank form's pattern overflows its stack,
+    take the JSON form.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, end_of_text: int = 50256):
+    def __init__(self, ranks_path: str, pattern: str, json_path: str, end_of_text: int = 50256):
         import tiktoken
 
+        self._json_path, self._json = json_path, None
+
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": end_of_text})
 
     def ids(self, text: str) -> np.ndarray:
+        if len(text) >= LONG_RUN and _LONG_RUN.search(text):
+            if self._json is None:
+                from tokenizers import Tokenizer
+
+                self._json = Tokenizer.from_file(self._json_path)
+            return np.asarray(self._json.encode(text, add_special_tokens=False).ids, dtype="<u4")
         if "<|endoftext|>" in text:
             return np.asarray(self._own.encode(text, allowed_special="all"), dtype="<u4")
         return np.asarray(self._own.encode_ordinary(text), dtype="<u4")
 
 
-def _default_tokenizer() -> tuple[str, str]:
+def _default_tokenizer() -> tuple[str, str, str]:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
 
 
-def cut_pieces(documents: DataFrame, window: int = WINDOW, end_id: int = 0, tokenizer: tuple[str, str] | None = None) -> DataFrame:
+def cut_pieces(documents: DataFrame, window: int = WINDOW, end_id: int = 0, tokenizer: tuple[str, str, str] | None = None) -> DataFrame:
     """Pieces of at most ``window`` ids: each document's ids and ``end_id``, cut at multiples of ``window``.
     ``packed_ids`` are the piece's ids as little-endian 32-bit numbers in a Zstandard frame."""
-    path, pattern = tokenizer or _default_tokenizer()
+    vocabulary = tokenizer or _default_tokenizer()
     names = ["doc_id", "start", "length", "packed_ids", "doc_tokens"]
     types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, press = Encoder(path, pattern), zstandard.ZstdCompressor(level=1)
+        own, press = Encoder(*vocabulary), zstandard.ZstdCompressor(level=1)
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -169,7 +184,7 @@ def _places(plan: list[tuple[tuple[int, ...], int]], window: int) -> dict[str, n
     return {"key": (a[:, 0] << 40) + a[:, 1], "rank": a[:, 1], "sequence": a[:, 2], "offset": a[:, 3]}
 
 
-def pack_documents(documents: DataFrame, window: int = WINDOW, tokenizer: tuple[str, str] | None = None) -> DataFrame:
+def pack_documents(documents: DataFrame, window: int = WINDOW, tokenizer: tuple[str, str, str] | None = None) -> DataFrame:
     """A row per piece: doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``ids`` (array<int>) are the piece's token ids; a sequence is the ids of its pieces by offset (see
