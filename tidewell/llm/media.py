@@ -32,19 +32,25 @@ _MEDIA = {"img", "video", "audio", "source", "embed"}
 
 
 class _Parts(HTMLParser):
+    """Collects parts. A figure's captions are held until it ends, then given to its media, wherever those stood in it;
+    without media the caption is a text part in its place."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[dict] = []
         self.words: list[str] = []
         self.skip = 0
-        self.figure: int | None = None
-        self.caption: list[str] | None = None
+        self.figure: int | None = None  # parts before the open figure
+        self.captions: list[tuple[int, str]] = []  # of the open figure: parts before it, text
+        self.in_caption = False
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
         self.words = []
-        if text:
-            self.parts.append({"pos": len(self.parts), "kind": "text", "text": text, "ref": None, "caption": None})
+        if text and self.in_caption:
+            self.captions.append((len(self.parts), text))
+        elif text:
+            self.parts.append({"kind": "text", "text": text, "ref": None, "caption": None})
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _SKIP:
@@ -54,55 +60,60 @@ class _Parts(HTMLParser):
         if tag in _BREAK:
             self.flush()
         if tag == "figure":
-            self._end_caption()
+            self.end_figure()
             self.figure = len(self.parts)
         elif tag == "figcaption":
             self.flush()
-            self.caption = [] if self.figure is not None else None  # outside a figure it is plain text
+            self.in_caption = self.figure is not None  # outside a figure it is plain text
         elif tag in _MEDIA and (ref := dict(attrs).get("src")):
             self.flush()
             alt = dict(attrs).get("alt")
-            self.parts.append({"pos": len(self.parts), "kind": "media", "text": None, "ref": ref, "caption": alt or None})
+            self.parts.append({"kind": "media", "text": None, "ref": ref, "caption": alt or None})
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SKIP:
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption":
-            self._end_caption()
-            if not self.skip:
-                self.flush()
-        elif tag == "figure":
-            self._end_caption()
-            self.figure = None
+        elif tag == "figcaption" and not self.skip:
+            self.flush()
+            self.in_caption = False
+        elif tag == "figure" and not self.skip:
+            self.end_figure()
         if tag in _BREAK and not self.skip:
             self.flush()
 
-    def _end_caption(self) -> None:
-        if self.caption is None:
-            return
-        caption = " ".join("".join(self.caption).split()) or None
-        self.caption = None
-        for part in self.parts[self.figure :]:
-            if part["kind"] == "media" and caption:
+    def end_figure(self) -> None:
+        self.flush()
+        self.in_caption = False
+        media = [p for p in self.parts[self.figure :] if p["kind"] == "media"] if self.figure is not None else []
+        if media and self.captions:
+            caption = " ".join(text for _, text in self.captions)
+            for part in media:
                 part["caption"] = caption
+        else:
+            for at, text in reversed(self.captions):
+                self.parts.insert(at, {"kind": "text", "text": text, "ref": None, "caption": None})
+        self.figure, self.captions = None, []
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
-            (self.words if self.caption is None else self.caption).append(data)
+            self.words.append(data)
 
 
 def parse_parts(html: str) -> list[dict]:
-    """Ordered parts of a page; what a broken page holds before its end is kept."""
+    """Ordered parts of a page, numbered from 0; what a broken page holds before its end is kept. All text outside scripts,
+    styles, templates and noscript stands in a text part or a caption; a caption takes the place of media's alternative text."""
     own = _Parts()
     own.feed(html)
     own.close()
-    own._end_caption()
-    own.flush()
-    return own.parts
+    own.end_figure()
+    return [{"pos": pos, **part} for pos, part in enumerate(own.parts)]
 
 
 def interleave(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with ``parts``: text and media references in document order (null html: no parts)."""
+    """``pages`` with ``parts``: text and media references in document order.
+
+    Null and empty html have no parts; truncated, deeply nested and very long pages are read to their end; repeated rows
+    stay; an empty table gives no rows. Other columns pass as they are (none may be called ``parts``)."""
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields] + [f"parts {PARTS}"])
     names = pages.columns
 
