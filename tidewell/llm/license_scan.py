@@ -47,7 +47,28 @@ TEMPLATES = {
         "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
         "later version."
     ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version."
+    ),
+    "AGPL-3.0-statement": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version."
+    ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+        "any later version."
+    ),
+    "LGPL-3.0-statement": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "CC-BY-NC-4.0-statement": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "BSD": (
@@ -64,6 +85,35 @@ TEMPLATES = {
     ),
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Phrases that tell a licence from its relatives. A notice in which one of them is broken up or missing is a
+#: variant, of a licence that may be another one.
+NAMES = {
+    "MIT-statement": ("mit license",),
+    "Apache-2.0-statement": ("apache license version 2.0",),
+    "Apache-2.0": ("apache license version 2.0",),
+    "GPL-3.0-statement": ("gnu general public license", "version 3"),
+    "GPL-3.0": ("gnu general public license", "version 3"),
+    "GPL-2.0": ("gnu general public license", "version 2"),
+    "AGPL-3.0": ("gnu affero general public license", "version 3"),
+    "AGPL-3.0-statement": ("gnu affero general public license", "version 3"),
+    "LGPL-3.0": ("gnu lesser general public license", "version 3"),
+    "LGPL-2.1": ("gnu lesser general public license", "version 2.1"),
+    "LGPL-3.0-statement": ("gnu lesser general public license", "version 3"),
+    "CC-BY-NC-4.0-statement": ("cc by-nc 4.0",),
+    "CC-BY-NC-4.0": ("attribution-noncommercial 4.0",),
+    "CC-BY-ND-4.0": ("attribution-noderivatives 4.0",),
+    "CC-BY-NC-SA-4.0": ("attribution-noncommercial-sharealike 4.0",),
+    "CC-BY-NC-ND-4.0": ("attribution-noncommercial-noderivatives 4.0",),
+    "CC-BY-4.0": ("attribution 4.0",),
+    "CC-BY-SA-4.0": ("attribution-sharealike 4.0",),
+    "ISC": ("or without fee",),
+    "MIT": ("free of charge",),
+    "MPL-2.0": ("mozilla public license v 2.0",),
+    "BSD": ("source and binary forms",),
+    "Unlicense": ("public domain",),
+}
+#: A licence named by its tag, alone or as an expression.
+TAG = re.compile(rb"SPDX-License-Identifier:[ \t]*(\(?[0-9A-Za-z.+-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(?[0-9A-Za-z.+-]+\)?)*)")
 #: Words of which a text must hold one before its lines are looked at.
 CUE = re.compile(rb"licen[cs]|permi(?:ssion|tted)|redistribut|public domain|copyright|creative commons", re.I)
 WORD = re.compile(rb"[0-9A-Za-z]+(?:[.-][0-9A-Za-z]+)*")
@@ -78,6 +128,7 @@ COLUMNS = (
     ("n_added", pa.int32(), "int"),
     ("exact", pa.bool_(), "boolean"),
     ("differences", pa.list_(pa.string()), "array<string>"),
+    ("variant", pa.bool_(), "boolean"),
 )
 
 
@@ -104,7 +155,7 @@ class Scanner:
             self.given[n] = zstandard.ZstdCompressor(level=3, dict_data=block, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def scan(self, raw: bytes) -> list[tuple]:
-        """(first line, lines, licence, saving, coverage, missing, added, exact, differences) of every notice."""
+        """(first line, lines, licence, saving, coverage, missing, added, exact, differences, variant) of every notice."""
         if not CUE.search(raw):
             return []
         lower = raw.lower()
@@ -122,6 +173,9 @@ class Scanner:
         found = [x for a, b in regions for x in self._matches(lower, words, spans, a, b)]
         taken: list[tuple[int, int]] = []
         kept = []
+        for m in TAG.finditer(raw):
+            at, line = bisect_right(ends, m.start()), lower.count(b"\n", 0, m.start())
+            kept.append((at, line, 1, m[1].decode(), None, 1.0, 0, 0, True, [], False))
         for _, _, name, c, d, *rest in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
             k = bisect_left(taken, (c, d))
             if (k == 0 or taken[k - 1][1] <= c) and (k == len(taken) or d <= taken[k][0]):
@@ -179,14 +233,18 @@ class Scanner:
         if saving < self.least_saving:
             return None
         coverage = 1 - missing / len(want)
-        return len(want) - 2 * missing - added, saving, first, end, coverage, missing, added, missing == added == 0, shown
+        inside = b" " + b" ".join(own[first:end]) + b" "
+        variant = any(b" %b " % n.encode() not in inside for n in NAMES.get(name, ()))
+        return len(want) - 2 * missing - added, saving, first, end, coverage, missing, added, missing == added == 0, shown, variant
 
 
 def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None, least_saving: float = 0.25, least_coverage: float = 0.7) -> DataFrame:
     """A row per licence notice, in lines of any length and next to others: where it stands, its licence, the share of bytes that the template saves,
-    the share of the template's words found, and the wording differences.
+    the share of the template's words found, and the wording differences. ``variant``: the nearest wording is ``license``, but
+    the words that name it differ, so it is another or an unknown licence. A tag (``SPDX-License-Identifier``) is a
+    notice too, with its expression as licence and a null saving.
 
-    Null and empty texts, and texts without a cue word, have none. Ties are broken by
+    Texts of any length are read whole, only around cue words closely; an empty table gives no rows. Null and empty texts, and texts without a cue word, have none. Ties are broken by
     template name; repeated rows and null ids are reported each. Extra columns are ignored. Documents are
     read once and not shuffled; templates are a parameter of fixed size.
     """
@@ -209,5 +267,5 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None,
 
 
 def license_summary(found: DataFrame) -> DataFrame:
-    """Documents and blocks per licence."""
-    return found.groupBy("license").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_blocks"), F.count_if("exact").alias("n_exact"))
+    """Documents and blocks per licence; variants apart."""
+    return found.groupBy("license", "variant").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_blocks"), F.count_if("exact").alias("n_exact"))
