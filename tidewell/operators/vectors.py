@@ -82,11 +82,11 @@ def _best_of_block(left: pd.DataFrame, right: pd.DataFrame, top_k: int, min_scor
     return pd.concat(parts) if parts else pd.DataFrame({n: [] for n in names})
 
 
-def block_similarity_join(queries: DataFrame, chunks: DataFrame, top_k: int, min_score: float = 0.0, chunk_block: int = 4_000, query_block: int = 1_000) -> DataFrame:
+def block_similarity_join(queries: DataFrame, chunks: DataFrame, top_k: int, min_score: float = 0.0, chunk_block: int = 4_000, query_block: int = 1_000, keys: tuple[str, ...] = ("tenant_id", "kb_id")) -> DataFrame:
     """The same by matrix products: queries and chunks of a scope are counted and dealt into blocks by hash (one
     base may own most of them); each pair of blocks is a group that keeps its best ``top_k`` per query, and only
-    those meet."""
-    keys = ["tenant_id", "kb_id"]
+    those meet. ``keys``: columns of a scope, kb_id among them."""
+    keys = list(keys)
     asked = queries.select("query_id", *keys, F.col("embedding").alias("q"))
     own = chunks.filter("enabled").select(*[F.col(c).alias(c) for c in ("chunk_id", *keys, "doc_id", "embedding")])  # often of the same table
     blocks = lambda n, size: F.ceil(F.coalesce(F.sum(n), F.lit(0)) / size)

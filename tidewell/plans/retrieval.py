@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
 from tidewell.operators import retrieval as R
+from tidewell.operators import vector_index as I
 from tidewell.operators import vectors as V
+from tidewell.operators import word_index as W
 from tidewell.sources.derived import frame, with_views
+from tidewell.sources.shared import shared_folder
 
 
 def _vectors(spark, sf):
@@ -26,6 +29,26 @@ def _join(function, **parameters):
     return run
 
 
+def _index(queries, chunks, top_k, min_score, **parameters):
+    """An index built over all chunks but every fifth, to which those are added; all cells are opened."""
+    path = shared_folder(queries.sparkSession, "vectors")
+    I.build_index(chunks.filter("chunk_id % 5 <> 0"), path, cell_rows=16, part_rows=300)
+    I.add_vectors(chunks.filter("chunk_id % 5 = 0"), path)
+    return I.search_index(queries, path, top_k, min_score, probes=None)
+
+
+def _index_recall(spark, sf):
+    """How many rows the probes that calibration chose find of the exact ten best, at least nine in ten of them."""
+    queries, chunks = _vectors(spark, sf)
+    path = shared_folder(spark, "vectors")
+    I.build_index(chunks, path, cell_rows=64, part_rows=300)
+    probes, _ = I.calibrate_probes(queries, path, 10, 0.9)
+    found = I.search_index(queries, path, 10, -2.0, probes).select("query_id", "chunk_id")
+    exact = V.block_similarity_join(queries, chunks, 10, -2.0).select("query_id", "chunk_id", F.lit(1).alias("one"))
+    met = exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "chunk_id"], "left")
+    return met.agg(F.count("*").alias("wanted"), (10 * F.sum(F.coalesce("hit", F.lit(0))) >= 9 * F.count("*")).alias("nine_in_ten"))
+
+
 def _normalize(spark, sf):
     rows = frame(spark, sf, "embeddings").withColumn("v", V.l2_normalize("embedding"))
     return rows.select("vec_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(V.norm("v"), 6).alias("length"), F.round(V.cosine("embedding", F.reverse("embedding")), 6).alias("mirror"))
@@ -135,6 +158,19 @@ def _bm25(spark, sf):
     return R.bm25_retrieve(queries, _scope(queries, chunks), chunks, 5).select("query_id", "chunk_id", "place", F.round("score", 6).alias("score"))
 
 
+def _word_index(spark, sf):
+    """The same rows from a stored index after three rounds: all chunks in an old state, then every third and every
+    fifth as they are now, then the rest; some leave for good with the first."""
+    chunks = frame(spark, sf, "chunks")
+    queries = frame(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    path = shared_folder(spark, "words")
+    W.create_word_index(spark, path)
+    W.change_chunks(chunks.withColumn("text", F.concat(F.reverse("text"), F.lit(" old"))).withColumn("enabled", F.lit(True)), path)
+    W.change_chunks(chunks.filter("chunk_id % 3 = 0 OR chunk_id % 5 = 0"), path)
+    W.change_chunks(chunks.filter("chunk_id % 3 <> 0 AND chunk_id % 5 <> 0"), path)
+    return W.search_words(queries, _scope(queries, chunks), path, 5).select("query_id", "chunk_id", "place", F.round("score", 6).alias("score"))
+
+
 _POSTINGS = """tok AS (SELECT chunk_id, tenant_id, kb_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM chunks WHERE enabled),
     post AS (SELECT chunk_id, tenant_id, kb_id, len(t) AS length, unnest(t) AS term FROM tok),
     tfs AS (SELECT tenant_id, kb_id, chunk_id, length, term, count(*) AS tf FROM post GROUP BY ALL)"""
@@ -152,7 +188,8 @@ def _batch(spark, sf):
 
 def _recall(spark, sf):
     hits = _hits(spark, sf).withColumn("place", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)"))
-    gold = frame(spark, sf, "query_vectors").select("query_id", F.expr("(query_id * 7 + 13) % 400 AS chunk_id"))
+    every = frame(spark, sf, "chunk_vectors").agg((F.max("chunk_id") + 1).alias("n"))  # one row
+    gold = frame(spark, sf, "query_vectors").crossJoin(every).select("query_id", F.expr("(query_id * 7 + 13) % n AS chunk_id"))
     return R.recall_at_k(hits, gold, (1, 5, 50))
 
 
@@ -174,6 +211,8 @@ def _whole(function, **parameters):
 QUERIES = {
     "similarity_join": _join(V.similarity_join),
     "block_similarity_join": _join(V.block_similarity_join),
+    "search_index": _join(_index),
+    "index_recall": _index_recall,
     "l2_normalize": _normalize,
     "hash_embed": _hash_embed,
     "vector_plan": _plan,
@@ -191,6 +230,7 @@ QUERIES = {
     "final_hits": _final,
     "bm25_stats": _stats,
     "bm25_retrieve": _bm25,
+    "search_words": _word_index,
     "batch_questions": _batch,
     "recall_at_k": _recall,
     "vector_retrieve": _whole(R.vector_retrieve, top_k=5, min_score=0.05),
@@ -249,6 +289,8 @@ ORACLE_SQL = {
     "hybrid_retrieve": _HYBRID,
     "similarity_join": _SIMILAR,
     "block_similarity_join": _SIMILAR,
+    "search_index": _SIMILAR,
+    "index_recall": with_views("SELECT CAST(sum(least(10, n)) AS BIGINT) AS wanted, true AS nine_in_ten FROM query_vectors JOIN (SELECT tenant_id, count(*) AS n FROM chunk_vectors WHERE enabled GROUP BY 1) USING (tenant_id)", "query_vectors", "chunk_vectors"),
     "l2_normalize": """WITH d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
         SELECT vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first, CAST(1 AS DOUBLE) AS length, round(list_cosine_similarity(e, list_reverse(e)), 6) AS mirror FROM d""",
     "hash_embed": "SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z0-9]') THEN CAST(1 AS DOUBLE) ELSE 0 END AS length FROM documents",
@@ -300,8 +342,9 @@ ORACLE_SQL = {
         SELECT query_id, chunk_id, CAST(place AS INT) AS place, round(score, 6) AS score FROM p WHERE place <= 5""", "chunks"),
     "batch_questions": """WITH b AS (SELECT item_id AS question_id, item_id % 2 AS batch_id, substr(trim(CASE WHEN item_id % 5 = 0 THEN '  ' ELSE concat(' ', text) END, ' ' || chr(10)), 1, 2000) AS text FROM benchmark),
         p AS (SELECT *, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY question_id) AS INT) AS place FROM b WHERE text <> '') SELECT *, place <= 50 AS runs FROM p""",
-    "recall_at_k": _hit_sql(f"""r AS (SELECT *, {_CUT} AS place FROM hits), g AS (SELECT query_id, (query_id * 7 + 13) % 400 AS chunk_id FROM query_vectors),
+    "recall_at_k": _hit_sql(f"""r AS (SELECT *, {_CUT} AS place FROM hits), g AS (SELECT query_id, (query_id * 7 + 13) % n AS chunk_id FROM query_vectors, (SELECT max(chunk_id) + 1 AS n FROM chunk_vectors)),
         b AS (SELECT g.query_id, min(place) AS place FROM g LEFT JOIN r USING (query_id, chunk_id) GROUP BY 1)
         SELECT count(*) AS questions, round(avg(CASE WHEN place <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN place <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5,
         round(avg(CASE WHEN place <= 50 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_50 FROM b"""),
 }
+ORACLE_SQL["search_words"] = ORACLE_SQL["bm25_retrieve"]
