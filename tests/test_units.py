@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions import bullets, chunking, intent, pages, text
-from tidewell.operators import documents, lifecycle, retrieval, scope, sessions, sheets, usage, vectors
+from tidewell.functions import chunking, intent, pages, text
+from tidewell.operators import bullets, documents, lifecycle, retrieval, scope, sessions, sheets, usage, vectors
 from tidewell.sources import files
 from tidewell.streaming import jobs
 
@@ -183,13 +183,17 @@ MANUAL = """1. 连接电源线
 3. 使用水箱"""
 
 
-def test_bullets():
-    out = bullets.bullet_texts([MANUAL])
+def test_bullets(spark):
+    def texts(blocks):
+        rows = spark.createDataFrame([(1, k, b) for k, b in enumerate(blocks)], "doc_id long, seq int, text string")
+        return [r.body for r in bullets.bullet_bodies(rows).orderBy("run").collect()]
+
+    out = texts([MANUAL])
     assert out == ["基站附近若有镜子、 反光的踢脚线等物体， 需遮挡其底部 14cm 的部分。；请勿将基站放在阳光直射的地方。；建议放置在信号强的位置，以便获得更好的使用体验。；寻找合适的位置放置基站基站靠墙放置在平坦的硬质地面，左右0.1m和前方0.8m范围内不要放置物品。"]
-    assert bullets.bullet_texts(["正文一句话。\n• 孤立的一条要求请不要忽视它。\n正文一句话。\n正文一句话。"]) == []
+    assert texts(["正文一句话。\n• 孤立的一条要求请不要忽视它。\n正文一句话。\n正文一句话。"]) == []
     care = "• 主机长时间不用时请先充满电，\n每 3 个月补充电一次。\n5. 返回基站后主机待机约5小时进入深度休眠。\n• 短句"
-    assert bullets.bullet_texts([care]) == ["主机长时间不用时请先充满电，每 3 个月补充电一次。；返回基站后主机待机约5小时进入深度休眠。", "返回基站后主机待机约5小时进入深度休眠。"]
-    assert bullets.bullet_texts([MANUAL, MANUAL]) == out and bullets.bullet_texts(["", "\n"]) == []
+    assert texts([care]) == ["主机长时间不用时请先充满电，每 3 个月补充电一次。；返回基站后主机待机约5小时进入深度休眠。", "返回基站后主机待机约5小时进入深度休眠。"]
+    assert texts([MANUAL, MANUAL]) == out and texts(["", "\n"]) == []
 
 
 def test_summaries(spark):

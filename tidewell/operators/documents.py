@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.bullets import bullet_texts_of
 from tidewell.functions.chunking import merge_udf, pack_udf
 from tidewell.functions.text import caption_or_placeholder, normalize_text, strip
+from tidewell.operators.bullets import bullet_summary
 
 # What bullets, plain headings, ends of sentences and fences look like.
 BULLET = r"^\s*(?:[-*+•·]|[0-9]+[.)、]|[（(][0-9]+[)）])\s+"
@@ -229,14 +229,6 @@ def first_use_summary(documents: DataFrame, least: int = 2, limit: int = 8) -> D
     return own.select("doc_id", F.concat(F.lit("【首次使用要点】《"), "filename", F.lit("》"), F.array_join(F.transform("s", lambda x: x["sentence"]), "；")).alias("text"))
 
 
-def bullet_summary(documents: DataFrame) -> DataFrame:
-    """(doc_id, run, text): runs of bullets with the requirements around them, and sentences that stand for
-    themselves (see ``functions.bullets``), each one document's work."""
-    own = _blocks(documents).groupBy("doc_id", "filename").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("blocks"))
-    rows = own.select("doc_id", "filename", F.posexplode(bullet_texts_of(F.col("blocks"))).alias("run", "body"))
-    return rows.select("doc_id", "run", F.concat(F.lit("【要点清单】《"), "filename", F.lit("》"), "body").alias("text"))
-
-
 def prepare_document(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     """(doc_id, seq, text): derived blocks (parameters, bullets, service, first use) before the document's
     own blocks (doc_id, seq, text), all normalised."""
