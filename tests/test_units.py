@@ -85,6 +85,61 @@ def test_record_block(spark):
     assert (got.sheet, got.title, [(f.k, f.v) for f in got.fields]) == ("表", "WB730", [("重量", "15KG"), ("价格", "10；20"), ("距离", "5KM")])
 
 
+def test_record_block_with_either_colon(spark):
+    got = one(spark, text.parse_record_block("a"), "【s】M1：size：10；weight: 5", "【s】M1: a: 1；b:2；rest；a: 3；more", "【s】" + "t" * 41 + "：a: 1", "plain：a: 1", "【s】M1：；x", None)
+    assert [g and (g.title, [(f.k, f.v) for f in g.fields]) for g in got] == [("M1", [("size", "10"), ("weight", "5")]), ("M1", [("a", "3；more"), ("b", "2；rest")]), None, None, ("M1", []), None]
+
+
+def test_overview_and_quick_scan(spark):
+    def block(k, fields, name="M"):
+        return (1, k, f"【桥】{name}{k}：{fields}")
+
+    rows = [block(k, f"重量: {k}KG；Frequency：{k}GHz；频率: 其他；Distance: {k}KM；Weight: {'长' * 21}；Data rate: 9M；price: 5") for k in range(5)] + [block(4, "重量: 9KG", "m")]
+    names = spark.createDataFrame([(1, "a.xlsx"), (2, "b.xlsx")], "doc_id long, filename string")
+    few = [(2, k, f"【桥】M{k}：重量: {k}KG") for k in range(4)]
+    got = [r.text for r in sheets.overview_blocks(spark.createDataFrame(rows + few, "doc_id long, seq int, text string"), names).orderBy("n").collect()]
+    assert got == ["【文档概览】《a.xlsx》（工作表「桥」）共包含 5 个条目：M0、M1、M2、M3、M4", "【条目速览】《a.xlsx》各条目关键参数：" + "；".join(f"M{k}: {k}KG/{k}GHz/{k}KM" for k in range(5))]
+    more = spark.createDataFrame([(1, k, f"【{k % 2}】M{k}：x: 1") for k in range(41)], "doc_id long, seq int, text string")
+    got = [r.text for r in sheets.overview_blocks(more, names).collect()]
+    assert len(got) == 1 and got[0].startswith("【文档概览】《a.xlsx》共包含 41 个条目：M0、M1")
+
+
+def test_prepared_records(spark):
+    rows = [(1, k, f"【桥】M{k}：重量: {k}KG；Ports：2；备注: {'很长的说明文字' * 7}{k}") for k in range(6)] + [(1, 6, "售后热线：400-886-8888"), (1, 7, "  ")]
+    docs = spark.createDataFrame([(1, "a.xlsx")], "doc_id long, filename string")
+    got = [r.text for r in documents.prepare_document(docs, spark.createDataFrame(rows, "doc_id long, seq int, text string")).orderBy("seq").collect()]
+    assert [t[:6] for t in got[:4]] == ["【文档概览】", "【条目速览】", "【属性对照】", "【售后服务】"] and got[4:] == [r[2] for r in rows[:7]]
+    assert got[2] == "【属性对照】《a.xlsx》重量：" + "；".join(f"M{k}: {k}KG" for k in range(6))  # ports don't differ, remarks are long
+
+
+def test_round_even(spark):
+    import random
+
+    from tidewell.functions.numbers import round_even
+
+    own = random.Random(1)
+    values = [6.25, 18.75, 9.075, 0.15, 2.675, 0.25, 0.35, 1e-9, 0.0, 99.95, 12345.678, -6.25, -0.05, 0.05, 5e-324] + [100.0 * own.randrange(4000) / own.randrange(1, 4000) for _ in range(3000)] + [own.randrange(2000) / 20 for _ in range(500)] + [own.randrange(10**7) / 2000 for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (1, 2, 6):
+        got = [r[0] for r in rows.select(round_even(F.col("v"), digits)).collect()]
+        assert got == [round(v, digits) for v in values]
+    assert rows.select(round_even(F.lit(None).cast("double"), 1)).first()[0] is None
+
+
+def test_pages_ignore_titles_inside_unread_elements():
+    assert pages.page_text("<title>A</title><p>x</p><svg><title>icon</title><desc>d</desc></svg><p>y</p>") == ("A", "x\ny", False)
+    assert pages.page_text('<meta name="description" content="a   b"><p>a b</p>') == ("", "a b", False)
+    assert pages.page_text('<meta name=Description content="one"><meta name=description content="two"><noscript><meta name=description content="three"></noscript>z') == ("", "two\nz", False)
+    assert pages.page_text("<p>" + "x" * 50, 0) == ("", "x" * 50, False)
+
+
+def test_caps_of_two_tenants_with_one_id(spark):
+    rows = [(1, 1, "k", "a.pdf", 60, "x"), (1, 2, "k", "b.pdf", 60, "y"), (2, 1, "k", "c.pdf", 60, "z")]
+    uploads = spark.createDataFrame([(*r, f"2024-01-0{k + 1}") for k, r in enumerate(rows)], "doc_id long, tenant_id long, kb_id string, filename string, size_bytes long, extra string, created_at string")
+    got = sorted((r.tenant_id, r.doc_id, r.extra, r.reason) for r in scope.admit_with_caps(uploads, max_kb_bytes=100).collect())
+    assert got == [(1, 1, "x", None), (1, 2, "z", "bytes"), (2, 1, "y", None)]
+
+
 def test_identifier_rows(spark):
     assert one(spark, text.is_identifier_row("a"), "SKU ID：1234567", "货号: 12345") == [True, False]
 
@@ -267,7 +322,7 @@ def test_fusion(spark):
 
 
 def test_service_block_and_overview(spark):
-    chunks = spark.createDataFrame([("s1", 1, "k", "d", 0, "【售后服务】《m》热线 400", True), ("o1", 1, "k", "d", 1, "【文档概览】《m》", True), ("x", 1, "k", "d", 2, "text", True)], "chunk_id string, tenant_id long, kb_id string, doc_id string, seq int, text string, enabled boolean")
+    chunks = spark.createDataFrame([("s1", 1, "k", "d", 0, "【售后服务】《m》热线 400", True), ("o1", 1, "k", "d", 1, "【文档概览】《m》", True), ("o2", 1, "k", "d", 1, "【条目速览】《m》", True), ("x", 1, "k", "d", 2, "text", True)], "chunk_id string, tenant_id long, kb_id string, doc_id string, seq int, text string, enabled boolean")
     queries = spark.createDataFrame([(1, "机器坏了怎么办"), (2, "重量多少")], "query_id long, text string")
     where = spark.createDataFrame([(1, 1, "k"), (2, 1, "k")], "query_id long, tenant_id long, kb_id string")
     none = spark.createDataFrame([], HITS + ", place int")
@@ -275,7 +330,7 @@ def test_service_block_and_overview(spark):
     assert [(r.query_id, r.chunk_id, r.score) for r in got] == [(1, "s1", 0.0)]
     near = spark.createDataFrame([(2, "x", 0.1)], "query_id long, chunk_id string, score double")
     over = retrieval.overview_fallback_hits(none, where, chunks, near).filter("query_id = 2").orderBy("place").collect()
-    assert [r.chunk_id for r in over] == ["o1", "x"]
+    assert [r.chunk_id for r in over] == ["o1", "o2", "x"]
 
 
 def test_no_row_crosses_tenants(spark, sf_dir):

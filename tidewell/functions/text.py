@@ -277,23 +277,30 @@ def cell_type(c: Column | str) -> Column:
 
 
 def parse_record_block(c: Column | str) -> Column:
-    """struct(sheet, title, fields array<struct<k,v>>) of '【sheet】title：k: v；k: v'; a piece without a key
-    is glued to the field before it."""
+    """struct(sheet, title, fields array<struct<k,v>>) of '【sheet】title：k: v；k: v', with either colon after title and keys,
+    both of 40 characters at most; a piece without a key is glued to the field before it, a repeated key's last value
+    counts. Null for a text that doesn't begin like that."""
     text = F.coalesce(_c(c), F.lit(""))
-    sheet = F.regexp_extract(text, "^【([^】]*)】", 1)
-    rest = F.regexp_replace(text, "^【[^】]*】", "")
-    title, body = F.regexp_extract(rest, "^([^：]*)：", 1), F.regexp_replace(rest, "^[^：]*：", "")
-    kind = "array<struct<k:string,v:string>>"
-    glued = F.aggregate(
-        F.filter(F.split(body, "；"), lambda p: strip(p) != ""),
-        F.array().cast(kind),
-        lambda acc, p: F.when(
-            p.contains(": "), F.concat(acc, F.array(F.struct(strip(F.substring_index(p, ": ", 1)).alias("k"), strip(F.regexp_replace(p, "^.*?: ", "")).alias("v"))))
-        )
-        .when(F.size(acc) > 0, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["k"].alias("k"), F.concat(F.element_at(acc, -1)["v"], F.lit("；"), strip(p)).alias("v")))))
-        .otherwise(acc),
-    )
-    return F.struct(sheet.alias("sheet"), strip(title).alias("title"), glued.alias("fields"))
+    head = "^【([^】]+)】([^：:]{1,40})[：:]"
+    sheet, title = strip(F.regexp_extract(text, head, 1)), strip(F.regexp_extract(text, head, 2))
+    pieces = F.filter(F.transform(F.split(F.regexp_replace(text, head, ""), "；"), lambda p: strip(p)), lambda p: p != "")
+    pair = r"(?s)^([^：:]{1,40})[：:](?U:\s*)(.*)$"
+    start = F.struct(F.lit("").alias("last"), F.array().cast("array<struct<k:string,v:string>>").alias("fields"))
+
+    def put(state: Column, key: Column, value: Column) -> Column:
+        field = F.struct(key.alias("k"), value.alias("v"))
+        there = F.exists(state["fields"], lambda f: f["k"] == key)
+        fields = F.when(there, F.transform(state["fields"], lambda f: F.when(f["k"] == key, field).otherwise(f))).otherwise(F.concat(state["fields"], F.array(field)))
+        return F.struct(key.alias("last"), fields.alias("fields"))
+
+    def step(state: Column, piece: Column) -> Column:
+        key, value = strip(F.regexp_extract(piece, pair, 1)), strip(F.regexp_extract(piece, pair, 2))
+        before = F.get(F.filter(state["fields"], lambda f: f["k"] == state["last"]), F.lit(0))["v"]
+        glued = put(state, state["last"], F.concat(before, F.lit("；"), piece))
+        return F.when(key != "", put(state, key, value)).when(state["last"] != "", glued).otherwise(state)
+
+    fields = F.aggregate(pieces, start, step, lambda state: state["fields"])
+    return F.when(title != "", F.struct(sheet.alias("sheet"), title.alias("title"), fields.alias("fields")))
 
 
 #: Field words and their aliases, longer ones before what they contain (fixed values).

@@ -230,12 +230,18 @@ def first_use_summary(documents: DataFrame, least: int = 2, limit: int = 8) -> D
 
 
 def prepare_document(documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(doc_id, seq, text): derived blocks (parameters, bullets, service, first use) before the document's
-    own blocks (doc_id, seq, text), all normalised."""
+    """(doc_id, seq, text): derived blocks (overview and quick scan, attributes, parameters, bullets, service, first use)
+    before the document's own blocks (doc_id, seq, text), all normalised."""
+    from tidewell.operators.sheets import attribute_blocks, overview_blocks
+
+    names = documents.select("doc_id", "filename")
+    blocks = blocks.withColumn("text", normalize_text("text")).filter(F.col("text") != "")
     named = blocks.join(documents.select("doc_id", "filename"), "doc_id")
     whole = named.groupBy("doc_id", "filename").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    parts = [(kv_param_summary(whole), "segment", 2), (bullet_summary(named), "run", 3), (service_summary(named), None, 4), (first_use_summary(named), None, 5)]
-    rows = blocks.select("doc_id", F.lit(9).alias("part"), F.col("seq").cast("long").alias("at"), normalize_text("text").alias("text"))
+    order = Window.partitionBy("doc_id").orderBy("pos", "piece")
+    attributes = attribute_blocks(blocks, names).withColumn("at", F.row_number().over(order))
+    parts = [(overview_blocks(blocks, names), "n", 0), (attributes, "at", 1), (kv_param_summary(whole), "segment", 2), (bullet_summary(named), "run", 3), (service_summary(named), None, 4), (first_use_summary(named), None, 5)]
+    rows = blocks.select("doc_id", F.lit(9).alias("part"), F.col("seq").cast("long").alias("at"), "text")
     for frame, at, part in parts:
         rows = rows.union(frame.select("doc_id", F.lit(part), (F.col(at) if at else F.lit(0)).cast("long"), "text"))
     order = Window.partitionBy("doc_id").orderBy("part", "at", "text")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.numbers import round_even
 
 def purge_tenant(tables: dict[str, DataFrame], tenant_id, keep: tuple[str, ...] = ("audit_logs",)) -> dict[str, DataFrame]:
     """All tables without the tenant's rows; audit rows stay."""
@@ -134,4 +135,4 @@ def apply_snapshot(rows: DataFrame, snapshots: DataFrame, schema: str) -> DataFr
 
 def refuse_stats(messages: DataFrame, refuses: Column) -> DataFrame:
     """Share of AI messages that refuse, by tenant."""
-    return messages.filter(F.col("role") == "ai").groupBy("tenant_id").agg(F.count("*").alias("replies"), F.round(F.avg(refuses.cast("double")), 6).alias("refuse_rate"))
+    return messages.filter(F.col("role") == "ai").groupBy("tenant_id").agg(F.count("*").alias("replies"), round_even(F.avg(refuses.cast("double")), 6).alias("refuse_rate"))

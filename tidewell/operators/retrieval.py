@@ -128,7 +128,7 @@ def overview_fallback_hits(hits: DataFrame, scope: DataFrame, chunks: DataFrame,
     """For queries of ``scope`` without a real hit (score over 0): their first overview blocks and the
     nearest chunks whatever their score, each chunk once."""
     bare = scope.join(hits.filter("score > 0").select("query_id").distinct(), "query_id", "left_anti")
-    shown = chunks.filter(F.col("enabled") & F.col("text").rlike("^【(文档概览|快速浏览)】"))
+    shown = chunks.filter(F.col("enabled") & F.col("text").rlike("^【(文档概览|条目速览)】"))
     first = bare.join(shown, ["tenant_id", "kb_id"]).withColumn("place", F.row_number().over(_best("doc_id", "seq", "chunk_id"))).filter(F.col("place") <= blocks)
     close = nearest.join(bare.select("query_id").distinct(), "query_id", "left_semi").withColumn("place", F.row_number().over(_best(F.desc("score"), "chunk_id"))).filter(F.col("place") <= near)
     rows = first.select("query_id", "chunk_id", F.lit(0.0).alias("score"), F.lit(0).alias("part"), "place").union(close.select("query_id", "chunk_id", "score", F.lit(1), "place"))

@@ -61,9 +61,9 @@ def admit_with_caps(uploads: DataFrame, max_bytes: int = MAX_FILE_BYTES, max_doc
                 state["bytes"] += size
         return reason
 
-    rows = admit_uploads(uploads, max_bytes).select("tenant_id", "kb_id", "doc_id", "size_bytes", "created_at", F.col("reason").alias("refused"))
+    rows = admit_uploads(uploads, max_bytes).withColumnRenamed("reason", "refused")
     decided = fold_in_order(rows, ["tenant_id", "kb_id"], ["created_at", "doc_id"], ["refused", "size_bytes"], lambda: {"docs": 0, "bytes": 0}, decide, "reason", "string")
-    return uploads.join(decided.select("doc_id", "reason"), "doc_id")
+    return decided.drop("refused")
 
 
 def first_document_wins(uploads: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.numbers import round_even
 from tidewell.sources.derived import LOW_CONFIDENCE, TEST_CHANNEL
 
 OPEN = ("ai", "queued", "human")
@@ -88,9 +89,9 @@ def session_overview(sessions: DataFrame, messages: DataFrame, days: int, now: s
     )
     return out.select(
         "*",
-        F.round(F.col("sessions_ai_only") * 100.0 / F.col("sessions_total"), 1).alias("intercept_rate"),
-        F.round(F.col("sessions_handoff") * 100.0 / F.col("sessions_total"), 1).alias("handoff_rate"),
-        F.round(F.col("no_hit_count") * 100.0 / F.nullif("ai_replies", F.lit(0)), 1).alias("no_hit_ratio"),
+        round_even(F.col("sessions_ai_only") * F.lit(100.0).cast("double") / F.col("sessions_total"), 1).alias("intercept_rate"),
+        round_even(F.col("sessions_handoff") * F.lit(100.0).cast("double") / F.col("sessions_total"), 1).alias("handoff_rate"),
+        round_even(F.col("no_hit_count") * F.lit(100.0).cast("double") / F.nullif("ai_replies", F.lit(0)), 1).alias("no_hit_ratio"),
         (F.col("sessions_total") >= min_samples).alias("sample_enough"),
         F.lit(None).cast("double").alias("resolve_rate"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.chunking import pack_udf
-from tidewell.functions.text import cell_type, field_alias, is_blank, strip
+from tidewell.functions.text import cell_type, field_alias, is_blank, parse_record_block, strip
 
 #: Words of field names and the look of entity names (fixed values).
 FIELD_WORDS = (
@@ -167,11 +167,62 @@ def attribute_gates(pairs: DataFrame, least: int = 5, average: float = 40.0) ->
 
 
 def attribute_summary(pairs: DataFrame, filenames: DataFrame, size: int = 600) -> DataFrame:
-    """(doc_id, field, text) '【属性对照】' blocks: every title's value of a field, in pieces with one header."""
+    """(doc_id, field, pos, piece, text) '【属性对照】' blocks: every title's value of a field, in pieces with one header;
+    ``pos`` is the field's first place."""
     last = pairs.groupBy("doc_id", "field", "title").agg(F.max_by("value", "pos").alias("value"), F.min("pos").alias("pos"))
     good = attribute_gates(pairs).select("doc_id", "field")
-    own = last.join(good, ["doc_id", "field"]).groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat("title", F.lit(": "), "value", F.lit("；")).alias("item")))).alias("items")).join(filenames, "doc_id")
+    own = last.join(good, ["doc_id", "field"]).groupBy("doc_id", "field").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", F.concat("title", F.lit(": "), "value", F.lit("；")).alias("item")))).alias("items")).join(filenames, "doc_id")
     alias = field_alias("field")
     label = F.when((alias != "") & (alias != F.col("field")), F.concat("field", F.lit("（"), alias, F.lit("）"))).otherwise(F.col("field"))
     header: Column = F.concat(F.lit("【属性对照】《"), "filename", F.lit("》"), label, F.lit("："))
-    return own.select("doc_id", "field", F.posexplode(pack_udf(size)(header, F.transform("items", lambda x: x["item"]))).alias("piece", "text"))
+    return own.select("doc_id", "field", "pos", F.posexplode(pack_udf(size)(header, F.transform("items", lambda x: x["item"]))).alias("piece", "text"))
+
+
+#: Kinds of fields that tell records apart, and limits of the quick scan (fixed values).
+TELLING = ("频率", "距离", "速率", "天线", "重量", "价格")
+QUICK_VALUES, QUICK_LENGTH, QUICK_NAMES, LEAST_NAMES, NAMES_LENGTH = 3, 20, 40, 5, 500
+
+
+def record_rows(blocks: DataFrame) -> DataFrame:
+    """(doc_id, seq, sheet, title, fields) of the blocks (doc_id, seq, text) that are records."""
+    rows = blocks.select("doc_id", "seq", parse_record_block("text").alias("r"))
+    return rows.filter(F.col("r").isNotNull()).select("doc_id", "seq", "r.*")
+
+
+def _quick_values(fields: Column) -> Column:
+    """The first three short values of fields that tell records apart, one for each alias."""
+
+    def step(state: Column, f: Column) -> Column:
+        alias = field_alias(f["k"])
+        telling = F.exists(F.array(*map(F.lit, TELLING)), lambda t: F.contains(alias, t) | F.contains(t, alias))
+        take = (F.size(state["values"]) < QUICK_VALUES) & (F.length(f["v"]) <= QUICK_LENGTH) & (alias != "") & ~F.array_contains(state["used"], alias) & telling
+        return F.when(take, F.struct(F.concat(state["used"], F.array(alias)).alias("used"), F.concat(state["values"], F.array(f["v"])).alias("values"))).otherwise(state)
+
+    none = F.array().cast("array<string>")
+    return F.aggregate(fields, F.struct(none.alias("used"), none.alias("values")), step, lambda state: state["values"])
+
+
+def overview_blocks(blocks: DataFrame, filenames: DataFrame) -> DataFrame:
+    """(doc_id, n, text): '【文档概览】' (n 0) with the names of a document's records, first spellings in order, and for up to
+    40 names '【条目速览】' (n 1) with up to three telling values of each. Fewer than five names give neither."""
+    rows = record_rows(blocks)
+    sheets = rows.groupBy("doc_id").agg(F.countDistinct("sheet").alias("n_sheets"), F.min("sheet").alias("sheet"))
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", F.lower("title")).orderBy("seq"))).filter("k = 1")
+    entry = F.struct("seq", "title", _quick_values(F.col("fields")).alias("values"))
+    own = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("e")).filter(F.size("e") >= LEAST_NAMES).join(sheets, "doc_id").join(filenames, "doc_id")
+    names = F.array_join(F.transform("e", lambda x: x["title"]), "、")
+    names = F.when(F.length(names) > NAMES_LENGTH, F.concat(F.substring(names, 1, NAMES_LENGTH), F.lit("…"))).otherwise(names)
+    note = F.when(F.col("n_sheets") == 1, F.concat(F.lit("（工作表「"), "sheet", F.lit("」）"))).otherwise("")
+    quick = F.array_join(F.transform(F.filter("e", lambda x: F.size(x["values"]) > 0), lambda x: F.concat(x["title"], F.lit(": "), F.array_join(x["values"], "/"))), "；")
+    texts = F.array(
+        F.concat(F.lit("【文档概览】《"), "filename", F.lit("》"), note, F.lit("共包含 "), F.size("e"), F.lit(" 个条目："), names),
+        F.when((F.size("e") <= QUICK_NAMES) & (quick != ""), F.concat(F.lit("【条目速览】《"), "filename", F.lit("》各条目关键参数："), quick)),
+    )
+    return own.select("doc_id", F.posexplode(texts).alias("n", "text")).filter(F.col("text").isNotNull())
+
+
+def attribute_blocks(blocks: DataFrame, filenames: DataFrame, size: int = 600) -> DataFrame:
+    """``attribute_summary`` of the records among a document's blocks; blank values don't count."""
+    pairs = record_rows(blocks).select("doc_id", "seq", "title", F.posexplode("fields").alias("at", "f"))
+    pairs = pairs.select("doc_id", F.col("f.k").alias("field"), "title", (F.col("seq").cast("long") * (1 << 20) + F.col("at")).alias("pos"), F.col("f.v").alias("value"))
+    return attribute_summary(pairs.filter("value <> ''"), filenames, size)

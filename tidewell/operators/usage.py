@@ -7,6 +7,7 @@ from collections import deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.numbers import round_even
 from tidewell.operators.folds import fold_in_order
 
 
@@ -34,7 +35,7 @@ def quota_status(usage: DataFrame, tenants: DataFrame, estimated: int = 0) -> Da
     rows = tokens_by_day(usage).join(tenants.select("tenant_id", "daily_token_quota"), "tenant_id")
     return rows.select(
         "tenant_id", "day", "tokens", "daily_token_quota",
-        (F.floor(percent * 100 + 0.5) / 100).alias("used_percent"),
+        round_even(percent, 2).alias("used_percent"),
         (F.col("tokens") + estimated > F.col("daily_token_quota")).alias("exceeded"),
     )
 
@@ -70,15 +71,15 @@ def audit_cube(audits: DataFrame) -> DataFrame:
 def stage_latency(stages: DataFrame) -> DataFrame:
     """Calls, mean, exact median and p95, maximum per stage. Stages overlap: don't add them up."""
     return stages.groupBy("stage").agg(
-        F.count("*").alias("calls"), F.round(F.avg("ms"), 3).alias("mean_ms"), F.round(F.percentile("ms", F.lit(0.5)), 3).alias("p50_ms"),
-        F.round(F.percentile("ms", F.lit(0.95)), 3).alias("p95_ms"), F.max("ms").alias("max_ms"),
+        F.count("*").alias("calls"), round_even(F.avg("ms"), 3).alias("mean_ms"), round_even(F.percentile("ms", F.lit(0.5)), 3).alias("p50_ms"),
+        round_even(F.percentile("ms", F.lit(0.95)), 3).alias("p95_ms"), F.max("ms").alias("max_ms"),
     )
 
 
 def playground_report(runs: DataFrame) -> DataFrame:
     return runs.groupBy("employee_id").agg(
-        F.count("*").alias("runs"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("ok_rate"), F.round(F.avg("score"), 6).alias("mean_score"),
-        F.round(F.avg("latency_ms"), 4).alias("mean_latency_ms"), F.max("latency_ms").alias("max_latency_ms"), F.sum("tokens").alias("tokens"),
+        F.count("*").alias("runs"), round_even(F.avg(F.col("ok").cast("double")), 6).alias("ok_rate"), round_even(F.avg("score"), 6).alias("mean_score"),
+        round_even(F.avg("latency_ms"), 4).alias("mean_latency_ms"), F.max("latency_ms").alias("max_latency_ms"), F.sum("tokens").alias("tokens"),
     )
 
 

@@ -76,6 +76,22 @@ def _attributes(spark, sf):
     return S.attribute_gates(pairs).select("doc_id", "field", "n_titles", F.round("mean_length", 6).alias("mean_length"), "n_values")
 
 
+def _record_blocks(spark, sf):
+    """Twenty-five parts a document, each a record block."""
+    rows = frame(spark, sf, "part").select(F.expr("p_partkey div 25 AS doc_id"), F.col("p_partkey").alias("seq"), F.expr("concat('【', p_brand, '】', p_name, '：重量：', p_size, 'KG；Unit price: ', CAST(floor(p_retailprice) AS BIGINT), '；Color: ', p_type)").alias("text"))
+    return rows, rows.select("doc_id", F.expr("concat('d', doc_id, '.xlsx')").alias("filename")).distinct()
+
+
+def _overview_blocks(spark, sf):
+    return S.overview_blocks(*_record_blocks(spark, sf)).select("doc_id", F.col("n").cast("long").alias("n"), "text")
+
+
+def _attribute_blocks(spark, sf):
+    rows = S.attribute_blocks(*_record_blocks(spark, sf)).withColumn("head", F.regexp_extract("text", "^【属性对照】《[^》]*》[^：]*：", 0)).withColumn("text", F.expr("substr(text, length(head) + 1)"))
+    own = rows.groupBy("doc_id", "field", "head").agg(F.array_sort(F.collect_list(F.struct("piece", "text"))).alias("p"))
+    return own.select("doc_id", "field", "head", F.array_join(F.transform("p", lambda x: x["text"]), "；").alias("body"))
+
+
 def _page_outcome(spark, sf):
     rows = P.html_to_text(frame(spark, sf, "pages"))
     return rows.select("page_id", F.md5("title").alias("title"), P.page_outcome(F.expr("CASE WHEN page_id % 9 = 0 THEN 404 ELSE 200 END"), F.expr("CASE WHEN page_id % 7 = 0 THEN 'image/png' ELSE 'text/html' END"), F.col("text")).alias("outcome"))
@@ -108,6 +124,8 @@ QUERIES = {
     "table_profile": lambda s, d: S.table_profile(cells(s, d)),
     "sheet_records": _records,
     "document_overview": _overview,
+    "overview_blocks": _overview_blocks,
+    "attribute_blocks": _attribute_blocks,
     "attribute_summary": _attributes,
     "page_outcome": _page_outcome,
     "extract_urls": _urls,
@@ -180,6 +198,15 @@ ORACLE_SQL = {
         a AS (SELECT sheet_id, row_no, col_no, coalesce(up, value) AS value FROM f UNION ALL SELECT * FROM cells WHERE col_no <> 0),
         n AS (SELECT sheet_id, row_no, string_agg(concat(['brand', 'name', 'type', 'weight', 'sku'][col_no + 1], ': ', trim(value)), '；' ORDER BY col_no) AS t, first(trim(value) ORDER BY col_no) AS title FROM a WHERE row_no > 0 AND trim(value) <> '' GROUP BY 1, 2)
         SELECT sheet_id, row_no AS record_no, concat('【', sheet_id, '】', title, '：', t) AS text FROM n""",
+    "overview_blocks": """WITH r AS (SELECT p_partkey // 25 AS doc_id, p_partkey AS seq, p_brand AS sheet, p_name AS title, concat(p_name, ': ', p_size, 'KG/', CAST(floor(p_retailprice) AS BIGINT)) AS quick FROM part),
+        k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, lower(title) ORDER BY seq) = 1), s AS (SELECT doc_id, count(DISTINCT sheet) AS ns, min(sheet) AS sheet FROM r GROUP BY 1),
+        o AS (SELECT doc_id, count(*) AS c, string_agg(title, '、' ORDER BY seq) AS names, string_agg(quick, '；' ORDER BY seq) AS quicks FROM k GROUP BY 1 HAVING count(*) >= 5)
+        SELECT doc_id, CAST(0 AS BIGINT) AS n, concat('【文档概览】《d', doc_id, '.xlsx》', CASE WHEN ns = 1 THEN concat('（工作表「', sheet, '」）') ELSE '' END, '共包含 ', c, ' 个条目：', CASE WHEN length(names) > 500 THEN concat(substr(names, 1, 500), '…') ELSE names END) AS text FROM o JOIN s USING (doc_id)
+        UNION ALL SELECT doc_id, 1, concat('【条目速览】《d', doc_id, '.xlsx》各条目关键参数：', quicks) FROM o WHERE c <= 40""",
+    "attribute_blocks": """WITH u AS (SELECT p_partkey // 25 AS doc_id, '重量' AS field, '重量' AS label, p_name AS title, p_partkey AS pos, concat(p_size, 'KG') AS value FROM part
+        UNION ALL SELECT p_partkey // 25, 'Unit price', 'Unit price（价格）', p_name, p_partkey, CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) FROM part UNION ALL SELECT p_partkey // 25, 'Color', 'Color（颜色）', p_name, p_partkey, p_type FROM part),
+        l AS (SELECT doc_id, field, label, title, arg_max(value, pos) AS value, min(pos) AS pos FROM u GROUP BY 1, 2, 3, 4)
+        SELECT doc_id, field, concat('【属性对照】《d', doc_id, '.xlsx》', label, '：') AS head, string_agg(concat(title, ': ', value), '；' ORDER BY pos) AS body FROM l GROUP BY doc_id, field, label HAVING count(*) >= 5 AND avg(length(value)) <= 40 AND count(DISTINCT value) > 1""",
     "document_overview": """WITH r AS (SELECT p_partkey % 40 AS doc_id, p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN upper(p_type) ELSE p_type END AS title FROM part),
         k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(title) ORDER BY pos) AS n FROM r), o AS (SELECT doc_id, count(*) AS n_titles, string_agg(title, '、' ORDER BY pos) AS names FROM k WHERE n = 1 GROUP BY 1)
         SELECT doc_id, n_titles, CASE WHEN length(names) > 500 THEN concat(substr(names, 1, 500), '…') ELSE names END AS names FROM o WHERE n_titles >= 5""",

@@ -54,7 +54,7 @@ def _bullets(spark, sf):
 
 
 def _record(spark, sf):
-    block = F.expr("concat('【', p_brand, '】', p_name, '：size: ', p_size, '；type: ', p_type, '；', p_partkey)")
+    block = F.expr("concat('【', p_brand, '】', p_name, '：size: ', p_size, '；type: ', p_type, '；', p_partkey, '；kind：', p_brand, '；size:  ', p_size + 1)")
     r = X.parse_record_block(block)
     return frame(spark, sf, "part").select("p_partkey", r["sheet"].alias("sheet"), r["title"].alias("title"), F.array_join(F.transform(r["fields"], lambda f: F.concat(f["k"], F.lit("="), f["v"])), "|").alias("fields"))
 
@@ -122,7 +122,7 @@ def _overview_hits(spark, sf):
     """Questions and nearest chunks are those of the vector join; every third question has a hit."""
     from tidewell.plans.retrieval import _hits
 
-    chunks = frame(spark, sf, "chunks").withColumn("text", F.expr("CASE WHEN chunk_id % 10 = 3 THEN concat('【文档概览】', text) ELSE text END"))
+    chunks = frame(spark, sf, "chunks").withColumn("text", F.expr("CASE chunk_id % 10 WHEN 3 THEN concat('【文档概览】', text) WHEN 7 THEN concat('【条目速览】', text) ELSE text END"))
     where = frame(spark, sf, "query_vectors").select("query_id", "tenant_id").join(chunks.select("tenant_id", "kb_id").distinct(), "tenant_id")
     near = _hits(spark, sf)
     hits = near.filter("query_id % 150 = 0").select("query_id", "score")
@@ -213,7 +213,7 @@ ORACLE_SQL = {
               WHERE length(s) BETWEEN 12 AND 120 AND regexp_matches(s, '首次使用|使用前|防护栏|流苏边|收纳好|整理出[^。]*清扫空间')),
         u AS (SELECT doc_id, s, min(n) AS n FROM h WHERE length(s) >= 12 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM u)
         SELECT doc_id, concat('【首次使用要点】《d', doc_id, '.txt》', string_agg(s, '；' ORDER BY k)) AS text FROM k WHERE k <= 8 GROUP BY 1 HAVING count(*) >= 2""",
-    "parse_record_block": "SELECT p_partkey, p_brand AS sheet, p_name AS title, concat('size=', p_size, '|type=', p_type, '；', p_partkey) AS fields FROM part",
+    "parse_record_block": "SELECT p_partkey, p_brand AS sheet, p_name AS title, concat('size=', p_size + 1, '|type=', p_type, '；', p_partkey, '|kind=', p_brand) AS fields FROM part",
     "split_turns": "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN concat(trim(text, ' ' || chr(10)), '+', item_id, ' b') ELSE concat(trim(text, ' ' || chr(10)), ' only') END AS turns FROM benchmark",
     "parse_verdict": """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'partial' ELSE 'fail' END AS verdict, CASE doc_id % 3 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 2 THEN 'unreadable' END AS diff,
         CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 2 THEN substr(text, 1, 200) END AS reason FROM labels JOIN documents USING (doc_id)""",
@@ -239,7 +239,7 @@ ORACLE_SQL = {
         SELECT query_id, query_id AS chunk_id, CAST(0.5 AS DOUBLE) AS score, 1 AS place FROM q WHERE query_id % 6 = 0
         UNION ALL SELECT query_id, chunk_id, 0, 1 FROM q JOIN b ON tenant_id = query_id % 4 AND n = 1 WHERE query_id % 2 = 0 AND query_id % 6 <> 0""", "chunks"),
     "overview_fallback_hits": _hit_sql("""q AS (SELECT query_id, tenant_id FROM query_vectors WHERE query_id NOT IN (SELECT query_id FROM hits WHERE query_id % 150 = 0 AND score > 0)),
-        o AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id, seq, chunk_id) AS p FROM q JOIN chunks USING (tenant_id) WHERE enabled AND chunk_id % 10 = 3),
+        o AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id, seq, chunk_id) AS p FROM q JOIN chunks USING (tenant_id) WHERE enabled AND chunk_id % 10 IN (3, 7)),
         n AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS p FROM hits JOIN q USING (query_id)),
         u AS (SELECT query_id, chunk_id, CAST(0 AS DOUBLE) AS score, 0 AS part, p FROM o WHERE p <= 4 UNION ALL SELECT query_id, chunk_id, score, 1, p FROM n WHERE p <= 3),
         k AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY part, p) AS k FROM u)

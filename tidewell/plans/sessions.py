@@ -60,9 +60,9 @@ ORACLE_SQL = {
                count(*) FILTER (WHERE status = 'ai') AS status_ai, count(*) FILTER (WHERE status = 'queued') AS status_queued,
                count(*) FILTER (WHERE status = 'human') AS status_human, count(*) FILTER (WHERE status = 'closed') AS status_closed,
                count(*) FILTER (WHERE status = 'stopped') AS status_stopped,
-               round(CAST(count(*) FILTER (WHERE trim(handoff_reason) = '') * 100.0 AS DOUBLE) / count(*), 1) AS intercept_rate,
-               round(CAST(count(*) FILTER (WHERE trim(handoff_reason) <> '') * 100.0 AS DOUBLE) / count(*), 1) AS handoff_rate,
-               round(CAST(coalesce(sum(no_hit), 0) * 100.0 AS DOUBLE) / nullif(coalesce(sum(replies), 0), 0), 1) AS no_hit_ratio,
+               CAST(printf('%.1f', CAST(count(*) FILTER (WHERE trim(handoff_reason) = '') * 100.0 AS DOUBLE) / count(*)) AS DOUBLE) AS intercept_rate,
+               CAST(printf('%.1f', CAST(count(*) FILTER (WHERE trim(handoff_reason) <> '') * 100.0 AS DOUBLE) / count(*)) AS DOUBLE) AS handoff_rate,
+               CAST(printf('%.1f', CAST(coalesce(sum(no_hit), 0) * 100.0 AS DOUBLE) / nullif(coalesce(sum(replies), 0), 0)) AS DOUBLE) AS no_hit_ratio,
                count(*) >= 30 AS sample_enough, CAST(NULL AS DOUBLE) AS resolve_rate
         FROM live LEFT JOIN facts USING (session_id) LEFT JOIN w USING (session_id) GROUP BY tenant_id""", "sessions"),
     "first_response_ms": with_views(f"WITH {_CYCLES} SELECT tenant_id, count(*) AS cycles, CAST(floor(avg(wait_s) * 1000) AS BIGINT) AS avg_first_ms FROM waits GROUP BY 1", "messages"),

@@ -66,7 +66,7 @@ ORACLE_SQL = {
         FROM usage_records GROUP BY GROUPING SETS ((tenant_id, kind), (tenant_id, employee_id))) WHERE section = 'kind' OR employee_id IS NOT NULL""", "usage_records"),
     "tokens_by_day": with_views("SELECT tenant_id, CAST(created_at AS DATE) AS day, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM usage_records GROUP BY 1, 2", "usage_records"),
     "quota_status": with_views("""WITH d AS (SELECT tenant_id, CAST(created_at AS DATE) AS day, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM usage_records GROUP BY 1, 2)
-        SELECT tenant_id, day, tokens, daily_token_quota, round(CAST(tokens * 100.0 AS DOUBLE) / nullif(daily_token_quota, 0), 2) AS used_percent, tokens + 500 > daily_token_quota AS exceeded
+        SELECT tenant_id, day, tokens, daily_token_quota, CAST(printf('%.2f', CAST(tokens * 100.0 AS DOUBLE) / nullif(daily_token_quota, 0)) AS DOUBLE) AS used_percent, tokens + 500 > daily_token_quota AS exceeded
         FROM d JOIN tenants USING (tenant_id)""", "usage_records", "tenants"),
     "platform_overview": """WITH p AS (SELECT c_nationkey AS tenant_id, count(*) AS customers FROM customer GROUP BY 1),
         b AS (SELECT c_nationkey AS tenant_id, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
