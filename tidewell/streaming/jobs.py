@@ -3,14 +3,14 @@ on tables alike. Event-time jobs state their watermark; ``run_once`` drains what
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewell.sources.shared import shared_folder
+from tidewell.streaming.ingest import ingest_stream, ingested  # noqa: F401
+from tidewell.streaming.keyed import rate_limit_stream, response_time_stream, session_state_stream  # noqa: F401
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,122 +84,6 @@ def dedupe_stream(uploads: DataFrame, watermark: str = "7 days") -> DataFrame:
     return uploads.dropDuplicates(keys)
 
 
-def _ordered(parts: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    return pd.concat(list(parts)).sort_values(list(by), kind="stable")
-
-
-def rate_limit_stream(hits: DataFrame, rpm: int = 120, window_s: float = 60.0) -> DataFrame:
-    """(tenant_id, usage_id, accepted), exact: fewer than max(1, rpm) accepted hits of at most ``window_s``
-    before. State: the accepted times still in the window."""
-
-    def decide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        pdf = _ordered(parts, "at", "usage_id")
-        out = []
-        for at in pdf["at"]:
-            held = [t for t in held if at - t <= window_s * 1_000_000]
-            ok = len(held) < max(1, rpm)
-            if ok:
-                held.append(int(at))
-            out.append(ok)
-        state.update((held,))
-        yield pd.DataFrame({"tenant_id": key[0], "usage_id": pdf["usage_id"].to_numpy(), "accepted": out})
-
-    rows = hits.select("tenant_id", "usage_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"))
-    return rows.groupBy("tenant_id").applyInPandasWithState(decide, "tenant_id long, usage_id long, accepted boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
-def response_time_stream(messages: DataFrame) -> DataFrame:
-    """(tenant_id, session_id, wait_s) of every finished cycle. State: when the open question came."""
-
-    def cycles(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        asked = state.get[0] if state.exists else None
-        out = []
-        for role, at in _ordered(parts, "at", "seq")[["role", "at"]].itertuples(index=False):
-            if role == "visitor":
-                asked = int(at) if asked is None else asked
-            elif asked is not None:
-                out.append(int(at) - asked)
-                asked = None
-        state.update((asked,))
-        yield pd.DataFrame({"tenant_id": [key[0]] * len(out), "session_id": [key[1]] * len(out), "wait_s": out})
-
-    rows = messages.filter(F.col("role").isin("visitor", "ai", "agent")).select("tenant_id", "session_id", "seq", "role", F.unix_timestamp(F.col("created_at").cast("timestamp")).alias("at"))
-    return rows.groupBy("tenant_id", "session_id").applyInPandasWithState(cycles, "tenant_id long, session_id long, wait_s long", "asked long", "append", GroupStateTimeout.NoTimeout)
-
-
-STATE = "ai long, visitor long, clarify long, streak long, status string"
-
-
-def session_state_stream(messages: DataFrame, stop_after: int = 0, escalate_after: int = 2) -> DataFrame:
-    """(session_id, seq, ai, visitor, clarify, streak, status) after each message.
-
-    Events beside messages come in ``role``: 'takeover' (a person answers, the AI is silent), 'release' (the
-    AI again, counters at zero), 'close'. A low-confidence note lengthens the streak and queues the session
-    at ``escalate_after``; an AI reply resets it; ``stop_after`` AI replies stop the session (0: never)."""
-
-    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ai, visitor, clarify, streak, status = state.get if state.exists else (0, 0, 0, 0, "ai")
-        out = []
-        for seq, role, note in _ordered(parts, "at", "seq")[["seq", "role", "note"]].itertuples(index=False):
-            if role == "close":
-                status = "closed"
-            elif role == "takeover" and status != "closed":
-                status = "human"
-            elif role == "release" and status != "closed":
-                clarify, streak, status = 0, 0, "ai"
-            elif role == "visitor":
-                visitor += 1
-            elif role == "ai" and status == "ai":
-                ai, streak, clarify = ai + 1, 0, 0
-                status = "stopped" if stop_after and ai >= stop_after else status
-            elif role == "system" and note and status == "ai":
-                streak, clarify = streak + 1, clarify + 1
-                status = "queued" if streak >= max(1, escalate_after) else status
-            out.append((key[0], seq, ai, visitor, clarify, streak, status))
-        state.update((ai, visitor, clarify, streak, status))
-        yield pd.DataFrame(out, columns=["session_id", "seq", "ai", "visitor", "clarify", "streak", "status"])
-
-    from tidewell.sources.derived import LOW_CONFIDENCE
-
-    rows = messages.select("session_id", "seq", "role", F.col("content").contains(LOW_CONFIDENCE).alias("note"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"))
-    return rows.groupBy("session_id").applyInPandasWithState(follow, f"session_id long, seq long, {STATE}", STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def ingest_stream(files: DataFrame, path: str, state: str, size: int = 600, overlap: int = 100, dim: int = 64) -> None:
-    """Documents (doc_id, tenant_id, kb_id, filename, text) to chunk, vector and status tables under ``path``, one
-    folder a batch, so that a repeated batch overwrites itself; ``ingested`` reads the newest state of each
-    document. A document without chunks is 'failed'; no fault of one stops the others. Chunks that are no
-    identifier rows get a hashed vector of their bare text."""
-    from tidewell.functions.chunking import chunk_udf
-    from tidewell.functions.text import is_identifier_row, strip_meta
-    from tidewell.operators.vectors import hash_embed
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        own = batch.withColumn("pieces", chunk_udf(size, overlap)("text"))
-        own.select("doc_id", "tenant_id", "kb_id", "pieces").write.mode("overwrite").parquet(f"{path}/pieces/batch={number}")
-        own = spark.read.parquet(f"{path}/pieces/batch={number}")
-        chunks = own.select("doc_id", "tenant_id", "kb_id", F.posexplode("pieces").alias("seq", "text"))
-        chunks = chunks.select(F.sha2(F.concat_ws("|", "tenant_id", "kb_id", "doc_id", "seq"), 256).alias("chunk_id"), "*")
-        chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
-        vectors = hash_embed(chunks.filter(~is_identifier_row("text")).withColumn("bare", strip_meta("text")), "bare", dim)
-        vectors.select("chunk_id", "doc_id", "tenant_id", "kb_id", "embedding").write.mode("overwrite").parquet(f"{path}/vectors/batch={number}")
-        status = F.when(F.size("pieces") > 0, "success").otherwise("failed")
-        own.select("doc_id", status.alias("status"), F.size("pieces").alias("chunk_count")).write.mode("overwrite").parquet(f"{path}/status/batch={number}")
-
-    query = files.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
-    if query.exception():
-        raise query.exception()
-
-
-def ingested(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """``chunks``, ``vectors`` or ``status`` of ``ingest_stream``, each document as its newest batch left it."""
-    newest = spark.read.parquet(f"{path}/status").groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{path}/{table}").join(newest, ["doc_id", "batch"]).drop("batch")
-
-
 def count_late(rows: DataFrame, path: str, state: str, watermark_s: int, then: Callable[[DataFrame, int], None] = lambda rows, number: None, column: str = "created_at") -> None:
     """Drain a stream: rows older than the watermark are counted before the others go to ``then``. Counters
     (n, late, newest) are written per batch under ``path``, from which a restarted job takes the watermark."""
