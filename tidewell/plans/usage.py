@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.operators import sessions as S
+from tidewell.operators import sketches as K
 from tidewell.operators import usage as U
 from tidewell.sources.derived import frame, with_views
+from tidewell.sources.shared import stored
 
 NOW = "2024-01-31 00:00:00"
 
@@ -32,6 +34,29 @@ def _retention(spark, sf_dir):
     return kept.select("usage_id", F.lit("kept").alias("part")).union(expired.select("usage_id", F.lit("expired")))
 
 
+def _visitors_between(spark, sf):
+    """A period's visitors from stored days, beside the exact number and whether the two are within three percent."""
+    usage = frame(spark, sf, "usage_records")
+    days = stored(K.visitor_sketches(usage), "visitors")
+    near = K.visitors_between(days, "2024-01-05", "2024-01-20").withColumnRenamed("visitors", "near")
+    exact = U.distinct_visitors(usage.filter("created_at >= '2024-01-05' AND created_at < '2024-01-21'"))
+    return exact.join(near, "tenant_id").select("tenant_id", "visitors", (F.abs(F.col("near") - F.col("visitors")) <= F.greatest(F.lit(1.0), 0.03 * F.col("visitors"))).alias("close"))
+
+
+def _latency_between(spark, sf):
+    """A period's latency from stored days: calls, maximum, and whether the exact ranks of its quantiles are within one percent."""
+    stages = frame(spark, sf, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("ms"), F.col("ts").alias("created_at"))
+    days = stored(K.latency_sketches(stages), "latency")
+    got = K.latency_between(days, "2024-01-05", "2024-01-20")
+    rows = stages.filter("created_at >= '2024-01-05' AND created_at < '2024-01-21'").join(F.broadcast(got), "stage")  # a row per stage
+
+    def close(p, rank):  # of equal values any rank will do
+        n = F.count("*")
+        return (F.count_if(F.col("ms") < F.col(p)) <= (rank + 0.01) * n) & (F.count_if(F.col("ms") <= F.col(p)) >= (rank - 0.01) * n)
+
+    return rows.groupBy("stage", "calls", "max_ms").agg((close("p50_ms", 0.5) & close("p95_ms", 0.95)).alias("close")).select("stage", "calls", "max_ms", "close")
+
+
 QUERIES = {
     "usage_report": _(U.usage_report, "usage_records"),
     "tokens_by_day": _(U.tokens_by_day, "usage_records"),
@@ -45,6 +70,8 @@ QUERIES = {
     "newest_runs": _(U.newest_runs, "playground_runs"),
     "distinct_visitors": _(U.distinct_visitors, "usage_records"),
     "approximate_visitors": _approximate,
+    "visitors_between": _visitors_between,
+    "latency_between": _latency_between,
     "running_quota": _(U.running_quota, "usage_records", "tenants"),
     "request_rate": _(U.request_rate, "usage_records", seconds=3600),
     "retention_split": _retention,
@@ -82,6 +109,8 @@ ORACLE_SQL = {
         round(avg(latency_ms), 4) AS mean_latency_ms, max(latency_ms) AS max_latency_ms, CAST(sum(tokens) AS BIGINT) AS tokens FROM playground_runs GROUP BY 1""", "playground_runs"),
     "newest_runs": with_views("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY employee_id ORDER BY created_at DESC, run_id DESC) AS place FROM playground_runs) WHERE place <= 200", "playground_runs"),
     "distinct_visitors": with_views("SELECT tenant_id, count(DISTINCT visitor_id) AS visitors FROM usage_records GROUP BY 1", "usage_records"),
+    "visitors_between": with_views("SELECT tenant_id, count(DISTINCT visitor_id) AS visitors, TRUE AS close FROM usage_records WHERE created_at >= '2024-01-05' AND created_at < '2024-01-21' GROUP BY 1", "usage_records"),
+    "latency_between": "SELECT event_type AS stage, count(*) AS calls, max(value) AS max_ms, TRUE AS close FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-21' GROUP BY 1",
     "approximate_visitors": with_views("SELECT tenant_id, count(DISTINCT visitor_id) AS visitors, TRUE AS close FROM usage_records GROUP BY 1", "usage_records"),
     "running_quota": with_views("""WITH r AS (SELECT *, CAST(created_at AS DATE) AS day, CAST(sum(total_tokens) OVER (PARTITION BY tenant_id, CAST(created_at AS DATE) ORDER BY created_at, usage_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM usage_records),
         o AS (SELECT r.*, row_number() OVER (PARTITION BY r.tenant_id, day ORDER BY created_at, usage_id) AS n FROM r JOIN tenants USING (tenant_id) WHERE running > daily_token_quota)
