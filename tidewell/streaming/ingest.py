@@ -19,6 +19,8 @@ from tidewell.sources.shared import drop_folder
 
 FILE = ["tenant_id", "kb_id", "filename"]
 TABLES = ("chunks", "vectors", "status")
+#: How a record block begins (fixed value).
+RECORD = "^【[^】]+】[^：:]{1,40}[：:]"
 
 
 def _there(spark: SparkSession, path: str) -> bool:
@@ -56,7 +58,9 @@ def ingest_batch(files: DataFrame, number: int, path: str, size: int = 600, over
     own = files.withColumn("nth", newest).filter("nth = 1").select("doc_id", *[F.col(c).cast("long" if c == "tenant_id" else "string").alias(c) for c in FILE], "text")
     own = own.withColumn("file_id", F.sha2(F.to_json(F.struct(*FILE)), 256))
     work = f"{path}/work-{number}"
-    blocks = own.select(F.col("file_id").alias("doc_id"), F.posexplode(F.split("text", r"\n\s*\n")).alias("seq", "text"))
+    parts = F.split("text", r"\n\s*\n")  # records are blocks of their own, running text is cut by size
+    parts = F.when(F.exists(parts, lambda p: p.rlike(RECORD)), parts).otherwise(F.array("text"))
+    blocks = own.select(F.col("file_id").alias("doc_id"), F.posexplode(parts).alias("seq", "text")).filter(F.col("text").isNotNull())
     prepared = prepare_document(own.select(F.col("file_id").alias("doc_id"), "filename"), blocks).groupBy("doc_id")
     prepared = prepared.agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("blocks"))
     pieces = prepared.select(F.col("doc_id").alias("file_id"), chunk_blocks_udf(size, overlap)("blocks").alias("pieces"))
