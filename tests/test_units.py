@@ -287,6 +287,26 @@ def test_layouts(spark):
     assert got["WB730"][:2] == [("重量", "15KG"), ("距离", "5KM")]
 
 
+def test_each_sheet_is_read_by_its_own_layout(spark):
+    grids = {
+        1: [["", "Outdoor Series", "Outdoor Series", "Outdoor Series"], ["型号", "WB730", "WB620", "WB510"], ["重量", "15.5KG", "13KG", "12KG"], ["传输距离", "5KM", "4KM", "3KM"], ["价格", "￥165", "￥120", "￥90"]],
+        2: [["订单号", "日期", "金额", "状态"], ["A001", "2026-03-01", "¥120", "已发货"], ["A002", "2026-03-02", "¥80", "待发货"], ["A003", "2026-03-03", "¥240", "已发货"]],
+        3: [["参数", "X1", "X2"], ["重量", "1KG", "2KG"], [None, "5KM", "10KM"], ["价格", "￥10", "￥20"]],
+        4: [["", "", "", ""], ["", "商品信息", "", "特性"], ["", "名称", "品牌", "颜色"], ["", "cold widget", "B1", "red"], ["", "small bolt", "B2", "blue"]],
+        5: [["only a line"]],
+    }
+    cells = spark.createDataFrame([(s, i, j, v) for s, g in grids.items() for i, r in enumerate(g) for j, v in enumerate(r)], "sheet_id long, row_no int, col_no int, value string")
+    layouts = {r.sheet_id: (r.kind, r.first_row, r.last_row) for r in sheets.sheet_layouts(sheets.ffill_first_col(sheets.dense_cells(cells))).collect()}
+    assert layouts == {1: ("transposed", 0, 1), 2: ("row_wise", 0, 0), 3: ("transposed", 0, 0), 4: ("row_wise", 0, 1), 5: ("flat", 0, 0)}
+    got = {(r.sheet_id, r.title): {f.k: f.v for f in r.fields} for r in sheets.layout_records(cells).collect()}
+    assert got[1, "Outdoor Series > WB730"] == {"重量": "15.5KG", "传输距离": "5KM", "价格": "￥165"}
+    assert got[2, "A001"] == {"订单号": "A001", "日期": "2026-03-01", "金额": "¥120", "状态": "已发货"}
+    assert got[3, "X1"] == {"重量": "1KG", "价格": "￥10"}  # one blank of four is under the rate for filling down
+    assert got[4, "small bolt"] == {"商品信息 > 名称": "small bolt", "品牌": "B2", "特性 > 颜色": "blue"}
+    assert sorted(k[0] for k in got) == [1, 1, 1, 2, 2, 2, 3, 3, 4, 4]
+    assert sheets.layout_records(cells.limit(0)).count() == 0
+
+
 def test_fill_and_grids(spark):
     grid = sheet(spark, [["a", "1"], [None, "2"], ["-", "3"], ["b", "4"]])
     assert [r.value for r in sheets.ffill_first_col(grid).filter("col_no = 0").orderBy("row_no").collect()] == ["a", "a", "a", "b"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.chunking import pack_udf
 from tidewell.functions.text import cell_type, field_alias, is_blank, parse_record_block, strip
+from tidewell.sources.shared import stored
 
 #: Words of field names and the look of entity names (fixed values).
 FIELD_WORDS = (
@@ -96,19 +97,72 @@ def table_profile(cells: DataFrame) -> DataFrame:
     return out.select("sheet_id", *[F.round(c, 3).alias(c) for c in ("row_h", "col_h", "f_header", "f_col0", "score")], kind.alias("kind"))
 
 
-def header_template_columns(cells: DataFrame, first: int, last: int) -> DataFrame:
+def header_template_columns(cells: DataFrame, first: int | str | Column, last: int | str | Column) -> DataFrame:
     """(sheet_id, col_no, name): rows ``first`` to ``last`` of each column joined by ' > ', repeats once; a
-    blank name is the column's number."""
+    blank name is the column's number. The bounds are numbers, or columns where each sheet has its own."""
     rows = cells.filter(F.col("row_no").between(first, last))
     parts = F.array_sort(F.collect_list(F.when(~is_blank("value"), F.struct("row_no", strip("value").alias("t")))))
     named = rows.groupBy("sheet_id", "col_no").agg(F.array_join(F.array_distinct(F.transform(parts, lambda x: x["t"])), " > ").alias("name"))
     return named.withColumn("name", F.when(F.col("name") == "", F.concat(F.lit("列"), F.col("col_no") + 1)).otherwise(F.col("name")))
 
 
+def dense_cells(cells: DataFrame) -> DataFrame:
+    """Cells whose rows and columns are numbered from 0 without gaps: those without any value go. One shuffle by sheet."""
+    rows = cells.select("sheet_id", "row_no", "col_no", "value").repartition("sheet_id")
+    for at in ("row_no", "col_no"):
+        told = F.max(~is_blank("value")).over(Window.partitionBy("sheet_id", at))
+        rows = rows.withColumn("told", told).filter("told").withColumn(at, F.dense_rank().over(Window.partitionBy("sheet_id").orderBy(at)) - 1)
+    return rows.drop("told")
+
+
+#: Rows that may name the entities of a transposed sheet, the share of different values under which the row above
+#: them groups them, and the mean length of names (fixed values).
+ENTITY_ROWS, GROUP_SHARE, NAME_LENGTH = 3, 0.6, 12
+
+
+def sheet_layouts(cells: DataFrame) -> DataFrame:
+    """(sheet_id, kind, first_row, last_row, repeats) of dense cells: the kind of ``table_profile``, the rows that
+    name fields (of a transposed sheet: entities), and the share of repeated names in the last of them.
+
+    A row-wise sheet's names stand in its header row, with the row above it as their groups where that has values.
+    A transposed sheet's stand in the first of its top rows that looks most like names of models; the row above
+    groups them where its values repeat. Data begin after ``last_row`` in either case."""
+    v = strip("value")
+    told = ~is_blank("value") & (F.col("col_no") > 0)
+    n = F.count_if(told)
+    share = F.count_if(told & v.rlike(MODEL)) / n
+    differ = F.countDistinct(F.when(told, v)) / n
+    short = (F.avg(F.when(told, F.length(v))) <= NAME_LENGTH).cast("double")
+    rows = cells.groupBy("sheet_id", "row_no").agg(
+        F.count_if(~is_blank("value")).alias("fill"), F.when(n > 0, differ).alias("differ"), F.when(n > 0, share + 0.3 * differ + 0.3 * short).otherwise(0.0).alias("like")
+    )
+    by_row = Window.partitionBy("sheet_id").orderBy("row_no")
+    rows = rows.withColumns({"fill_above": F.lag("fill", 1, 0).over(by_row), "differ_above": F.lag("differ").over(by_row)})
+    rows = rows.join(table_profile(cells).select("sheet_id", "kind"), "sheet_id").join(header_rows(cells), "sheet_id")
+    across = F.col("kind") == "transposed"
+    chosen = F.when(across, F.col("row_no") < ENTITY_ROWS).otherwise(F.col("row_no") == F.col("header_row"))
+    grouped = F.when(across, F.coalesce(F.col("differ_above") < GROUP_SHARE, F.lit(False))).otherwise(F.col("fill_above") > 0)
+    picked = F.max_by(F.struct("row_no", grouped.alias("grouped"), "differ"), F.struct("like", -F.col("row_no")))
+    out = rows.filter(chosen).groupBy("sheet_id", "kind").agg(picked.alias("r"))
+    return out.select("sheet_id", "kind", (F.col("r.row_no") - F.col("r.grouped").cast("int")).alias("first_row"), F.col("r.row_no").alias("last_row"), F.round(1 - F.coalesce("r.differ", F.lit(1.0)), 3).alias("repeats"))
+
+
+def layout_records(cells: DataFrame) -> DataFrame:
+    """(sheet_id, record_no, title, fields) of sheets of all kinds in one table, each read by its own layout: merged
+    first columns are filled down, names may span rows, records are rows or, of transposed sheets, columns. Sheets
+    of unknown kind are read by rows; flat ones (under two rows or columns) are text and give no records. Filled
+    cells and layouts are written once, as many steps read them."""
+    filled = stored(ffill_first_col(dense_cells(cells)), "cells")
+    sheets = filled.join(stored(sheet_layouts(filled).filter("kind <> 'flat'"), "layouts"), "sheet_id")
+    names = header_template_columns(sheets, F.col("first_row"), F.col("last_row"))
+    across = F.col("kind") == "transposed"
+    return sheet_records(sheets.filter(~across), names, F.col("last_row")).union(sheet_records(sheets.filter(across), names, F.col("last_row"), True))
+
+
 _FIELDS = "array<struct<k:string,v:string>>"
 
 
-def sheet_records(cells: DataFrame, names: DataFrame, header_row: int = 0, transposed: bool = False) -> DataFrame:
+def sheet_records(cells: DataFrame, names: DataFrame, header_row: int | Column = 0, transposed: bool = False) -> DataFrame:
     """(sheet_id, record_no, title, fields): a record per row, titled by its first value; or per column of a
     transposed sheet, fields of one name joined by '；'."""
     data = cells.filter((F.col("row_no") > header_row) & ~is_blank("value")).withColumn("value", strip("value"))

@@ -9,6 +9,7 @@ from tidewell.functions import pages as P
 from tidewell.operators import documents as D
 from tidewell.operators import sheets as S
 from tidewell.sources.derived import frame
+from tidewell.sources.shared import stored
 
 CELLS = """
     SELECT p_partkey // 50 AS sheet_id, p_partkey % 50 + 1 AS row_no, c AS col_no,
@@ -24,6 +25,41 @@ def cells(spark, sf):
     return spark.sql(text, part=frame(spark, sf, "part"))
 
 
+#: Sheets of 20 parts in three layouts: rows under a group row, columns under a series row, rows with merged types.
+MIXED = """
+    SELECT p_partkey // 20 AS sheet_id, p_partkey % 20 + 2 AS row_no, c AS col_no, CASE c WHEN 0 THEN p_name WHEN 1 THEN p_brand WHEN 2 THEN p_type ELSE concat(p_size, 'KG') END AS value
+    FROM part, (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) WHERE p_partkey // 20 % 3 = 0
+    UNION ALL
+    SELECT DISTINCT p_partkey // 20, r, c, CASE WHEN r = 0 THEN CASE c WHEN 0 THEN '商品信息' WHEN 2 THEN '特性' ELSE '' END ELSE CASE c WHEN 0 THEN '名称' WHEN 1 THEN '品牌' WHEN 2 THEN '类型' ELSE '重量' END END
+    FROM part, (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3), (SELECT 0 AS r UNION ALL SELECT 1) WHERE p_partkey // 20 % 3 = 0
+    UNION ALL
+    SELECT p_partkey // 20, r, p_partkey % 20 + 1, CASE r WHEN 0 THEN 'Series' WHEN 1 THEN concat('WB', p_partkey) WHEN 2 THEN concat(p_size, 'KG') WHEN 3 THEN concat('￥', CAST(floor(p_retailprice) AS BIGINT)) ELSE p_brand END
+    FROM part, (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) WHERE p_partkey // 20 % 3 = 1
+    UNION ALL
+    SELECT DISTINCT p_partkey // 20, r, 0, CASE r WHEN 0 THEN '' WHEN 1 THEN '型号' WHEN 2 THEN '重量' WHEN 3 THEN '价格' ELSE '品牌' END
+    FROM part, (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) WHERE p_partkey // 20 % 3 = 1
+    UNION ALL
+    SELECT p_partkey // 20, p_partkey % 20 + 1, c, CASE c WHEN 0 THEN CASE WHEN p_partkey % 20 % 3 = 0 THEN p_type ELSE '' END WHEN 1 THEN p_name ELSE concat(p_size, 'KG') END
+    FROM part, (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) WHERE p_partkey // 20 % 3 = 2
+    UNION ALL
+    SELECT DISTINCT p_partkey // 20, 0, c, CASE c WHEN 0 THEN '类型' WHEN 1 THEN '名称' ELSE '重量' END
+    FROM part, (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) WHERE p_partkey // 20 % 3 = 2"""
+
+
+def mixed_cells(spark, sf):
+    text = MIXED.replace("p_partkey // 20", "CAST(floor(p_partkey / 20) AS BIGINT)").replace("FROM part,", "FROM {part},")
+    return spark.sql(text, part=frame(spark, sf, "part"))
+
+
+def _layouts(spark, sf):
+    return S.sheet_layouts(stored(S.ffill_first_col(S.dense_cells(mixed_cells(spark, sf))), "cells")).drop("repeats")
+
+
+def _layout_records(spark, sf):
+    fields = F.array_join(F.transform("fields", lambda f: F.concat(f["k"], F.lit("="), f["v"])), "|")
+    return S.layout_records(mixed_cells(spark, sf)).select("sheet_id", F.col("record_no").cast("long").alias("record_no"), "title", fields.alias("fields"))
+
+
 def _pages(spark, sf):
     return D.lines_of(frame(spark, sf, "documents")).withColumn("page", F.expr("CAST(floor(line_no / 3) AS INT)"))
 
@@ -123,6 +159,8 @@ QUERIES = {
     "split_grids": _grids,
     "table_profile": lambda s, d: S.table_profile(cells(s, d)),
     "sheet_records": _records,
+    "sheet_layouts": _layouts,
+    "layout_records": _layout_records,
     "document_overview": _overview,
     "overview_blocks": _overview_blocks,
     "attribute_blocks": _attribute_blocks,
@@ -198,6 +236,12 @@ ORACLE_SQL = {
         a AS (SELECT sheet_id, row_no, col_no, coalesce(up, value) AS value FROM f UNION ALL SELECT * FROM cells WHERE col_no <> 0),
         n AS (SELECT sheet_id, row_no, string_agg(concat(['brand', 'name', 'type', 'weight', 'sku'][col_no + 1], ': ', trim(value)), '；' ORDER BY col_no) AS t, first(trim(value) ORDER BY col_no) AS title FROM a WHERE row_no > 0 AND trim(value) <> '' GROUP BY 1, 2)
         SELECT sheet_id, row_no AS record_no, concat('【', sheet_id, '】', title, '：', t) AS text FROM n""",
+    "sheet_layouts": """SELECT DISTINCT p_partkey // 20 AS sheet_id, CASE p_partkey // 20 % 3 WHEN 1 THEN 'transposed' ELSE 'row_wise' END AS kind, CAST(0 AS INT) AS first_row, CAST(CASE p_partkey // 20 % 3 WHEN 2 THEN 0 ELSE 1 END AS INT) AS last_row FROM part""",
+    "layout_records": """WITH p AS (SELECT *, p_partkey // 20 AS sheet_id, p_partkey % 20 AS k, p_partkey // 20 % 3 AS kind, concat(p_size, 'KG') AS weight FROM part),
+        b AS (SELECT *, first_value(p_type) OVER (PARTITION BY sheet_id, k // 3 ORDER BY k) AS merged FROM p)
+        SELECT sheet_id, CAST(k + CASE kind WHEN 0 THEN 2 ELSE 1 END AS BIGINT) AS record_no, CASE kind WHEN 0 THEN p_name WHEN 1 THEN concat('Series > WB', p_partkey) ELSE merged END AS title,
+        CASE kind WHEN 0 THEN concat('商品信息 > 名称=', p_name, '|品牌=', p_brand, '|特性 > 类型=', p_type, '|重量=', weight)
+          WHEN 1 THEN concat('重量=', weight, '|价格=￥', CAST(floor(p_retailprice) AS BIGINT), '|品牌=', p_brand) ELSE concat('类型=', merged, '|名称=', p_name, '|重量=', weight) END AS fields FROM b""",
     "overview_blocks": """WITH r AS (SELECT p_partkey // 25 AS doc_id, p_partkey AS seq, p_brand AS sheet, p_name AS title, concat(p_name, ': ', p_size, 'KG/', CAST(floor(p_retailprice) AS BIGINT)) AS quick FROM part),
         k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, lower(title) ORDER BY seq) = 1), s AS (SELECT doc_id, count(DISTINCT sheet) AS ns, min(sheet) AS sheet FROM r GROUP BY 1),
         o AS (SELECT doc_id, count(*) AS c, string_agg(title, '、' ORDER BY seq) AS names, string_agg(quick, '；' ORDER BY seq) AS quicks FROM k GROUP BY 1 HAVING count(*) >= 5)
