@@ -22,12 +22,13 @@ MODEL = r"^[A-Za-z]{1,8}[-_ ]?\d{1,}[A-Za-z0-9]*$"
 
 def ffill_first_col(cells: DataFrame, rate: float = 0.3) -> DataFrame:
     """First columns with at least ``rate`` blank cells are filled down with the last value above."""
-    first = cells.filter("col_no = 0").withColumn("blank", is_blank("value"))
-    share = F.avg(F.col("blank").cast("double")).over(Window.partitionBy("sheet_id"))
-    upto = Window.partitionBy("sheet_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    filled = F.last(F.when(~F.col("blank"), F.col("value")), ignorenulls=True).over(upto)
-    rows = first.withColumn("share", share).withColumn("value", F.when(F.col("blank") & (F.col("share") >= rate), F.coalesce(filled, F.col("value"))).otherwise(F.col("value")))
-    return rows.select(*cells.columns).union(cells.filter("col_no <> 0").select(*cells.columns))
+    first, blank = F.col("col_no") == 0, is_blank("value")
+    share = F.avg(F.when(first, blank.cast("double"))).over(Window.partitionBy("sheet_id"))
+    upto = Window.partitionBy("sheet_id").orderBy("row_no", "col_no").rowsBetween(Window.unboundedPreceding, 0)
+    above = F.last(F.when(first & ~blank, F.col("value")), ignorenulls=True).over(upto)
+    rows = cells.withColumns({"share": share, "above": above})
+    value = F.when(first & blank & (F.col("share") >= rate), F.coalesce("above", "value")).otherwise(F.col("value"))
+    return rows.withColumn("value", value).select(*cells.columns)
 
 
 def split_grids(cells: DataFrame, least_rows: int = 2, least_cols: int = 2, least_cells: int = 2) -> DataFrame:
