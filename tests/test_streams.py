@@ -61,6 +61,39 @@ def test_rate_limit_over_batches(spark, tmp_path):
     assert feed.held("held") == 1  # the first tenant's window is over
 
 
+REPLY = "session_id long, seq long, content string, images array<string>, created_at timestamp"
+SPAN = "session_id long, status string, from_at timestamp, to_at timestamp"
+
+
+def test_replies_by_status_with_images(spark, tmp_path):
+    """A stream over four restarts equals the job on tables: groups cross batches, a person's turn stands alone."""
+    day, home = "2024-01-01 ", str(tmp_path)
+    spans = [(1, "ai", day + "00:00:00", day + "00:01:00"), (1, "human", day + "00:01:00", day + "02:00:00"), (9, "ai", "2024-02-01 00:00:00", "2024-02-01 00:01:00")]
+    rows = [
+        [(1, 0, "a", ["x1", "x2"], day + "00:00:10"), (2, 0, "e", None, day + "00:00:10")],
+        [(1, 1, "b", ["x3", "x4"], day + "00:00:15"), (2, 1, "f", ["y"], day + "00:00:12"), (1, 2, "z", None, day + "00:00:58")],
+        [(1, 3, "c", ["x5"], day + "00:01:05"), (1, 4, "d", None, day + "00:01:07")],
+        [(9, 0, "end", None, "2024-02-01 00:00:10")],
+    ]
+
+    def table(rows, schema):
+        own = spark.createDataFrame(rows, schema.replace("timestamp", "string"))
+        return own.select(*[F.col(c).cast("timestamp") if c.endswith("_at") else F.col(c) for c in own.columns])
+
+    def shown(df):
+        return sorted((r.session_id, str(r.first_at)[11:], r.n, r.content, tuple(r.images)) for r in df.collect() if r.session_id < 9)
+
+    for number, batch in enumerate(rows):
+        table(batch, REPLY).coalesce(1).write.mode("append").parquet(f"{home}/m")
+        table([spans[2]] if number == 3 else spans[:2] if number == 0 else [], SPAN).coalesce(1).write.mode("append").parquet(f"{home}/s")
+        stream = jobs.debounce_replies(spark.readStream.schema(REPLY).parquet(f"{home}/m"), spark.readStream.schema(SPAN).parquet(f"{home}/s"), watermark="1 minute")
+        query = stream.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    want = [(1, "00:00:10", 2, "a\nb", ("x1", "x2", "x3")), (1, "00:00:58", 1, "z", ()), (1, "00:01:05", 1, "c", ("x5",)), (1, "00:01:07", 1, "d", ()), (2, "00:00:10", 2, "e\nf", ("y",))]
+    assert shown(spark.read.parquet(f"{home}/out")) == want
+    assert shown(jobs.debounce_replies(table(sum(rows, []), REPLY), table(spans, SPAN))) == want
+
+
 UPLOAD = "doc_id long, tenant_id long, kb_id string, filename string, text string"
 
 

@@ -27,6 +27,21 @@ def _debounce(rows):
     return J.debounce_messages(_zoned(rows).filter("role = 'visitor'"), "130 seconds").withColumn("content", F.md5("content"))
 
 
+def _replies(messages, spans):
+    images = F.when(F.col("seq") % 3 == 0, F.array(F.concat(F.lit("a"), "seq"), F.concat(F.lit("b"), "seq")))
+    spans = spans.withColumns({c: F.col(c).cast("timestamp") for c in ("from_at", "to_at")})
+    rows = J.debounce_replies(_zoned(messages).filter("role = 'visitor'").withColumn("images", images), spans, "130 seconds")
+    return rows.select("session_id", "first_at", F.col("n").cast("long").alias("n"), F.md5("content").alias("content"), F.array_join("images", ",").alias("images"))
+
+
+def _replies_stream(spark, sf):
+    """Both streams end with a row of a session of its own, a century on: the watermark then passes all other rows."""
+    messages, spans = stream(spark, sf, "messages"), stream(spark, sf, "status_spans")
+    last = messages.filter("session_id = 0 AND seq = 0").withColumns({"session_id": F.lit(-1).cast("long"), "role": F.lit("visitor"), "created_at": F.expr("created_at + INTERVAL '36500' DAY")})
+    closing = last.select("session_id", F.lit("ai").alias("status"), F.col("created_at").alias("from_at"), F.col("created_at").alias("to_at"))
+    return J.run_once(_replies(messages.unionByName(last), spans.unionByName(closing)), "replies")
+
+
 def _stages(rows):
     return rows.select(F.col("event_type").alias("stage"), F.col("value").alias("ms"), F.col("ts").cast("timestamp").alias("created_at"))
 
@@ -45,15 +60,21 @@ def _ingest(spark, sf):
 
 
 def _late(spark, sf):
-    path, state = shared_folder(spark, "late"), shared_folder(spark, "late-state")
-    J.count_late(_zoned(stream(spark, sf, "usage_records")), path, state, 3600)
+    """All usage rows in three deliveries, each drained by a restarted job: the second and third bring late rows."""
+    path, state, at = shared_folder(spark, "late"), shared_folder(spark, "late-state"), shared_folder(spark, "late-in")
+    rows = _zoned(frame(spark, sf, "usage_records"))
+    for delivery in range(3):
+        rows.filter(F.col("usage_id") % 3 == delivery).write.mode("append").parquet(at)
+        J.count_late(spark.readStream.schema(rows.schema).parquet(at), path, state, 3600)
     return J.late_counts(spark, path)
 
 
 QUERIES = {
     "debounce_messages": lambda s, d: _debounce(frame(s, d, "messages")),
     "debounce_messages_stream": lambda s, d: J.run_once(_debounce(stream(s, d, "messages")), "debounce", "complete"),
-    "dedupe_uploads_stream": lambda s, d: J.run_once(J.dedupe_stream(_zoned(stream(s, d, "kb_documents")).select("tenant_id", "kb_id", "filename", "size_bytes", "created_at")), "dedupe").drop("created_at"),
+    "debounce_replies": lambda s, d: _replies(frame(s, d, "messages"), frame(s, d, "status_spans")),
+    "debounce_replies_stream": _replies_stream,
+    "dedupe_uploads_stream": lambda s, d: J.run_once(J.dedupe_stream(_zoned(stream(s, d, "uploads")).select("tenant_id", "kb_id", "filename", "size_bytes", "created_at")), "dedupe").drop("created_at"),
     "timing_windows_stream": lambda s, d: J.run_once(_timing(J.read_stream(s, d, "events")), "timing", "complete"),
     "ingest_stream": _ingest,
     "late_counts": _late,
@@ -82,14 +103,23 @@ _CYCLES = with_views("""WITH c AS (SELECT tenant_id, session_id, cycle, min(CASE
 _DEBOUNCE = with_views("""WITH v AS (SELECT *, epoch(created_at) - epoch(lag(created_at) OVER (PARTITION BY session_id ORDER BY created_at, seq)) AS gap FROM messages WHERE role = 'visitor'),
         i AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 130 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY created_at, seq) AS island FROM v)
         SELECT session_id, min(created_at) AS first_at, count(*) AS n, md5(string_agg(content, chr(10) ORDER BY created_at, seq)) AS content FROM i GROUP BY session_id, island""", "messages")
+_REPLIES = with_views("""WITH j AS (SELECT m.session_id, m.seq, m.content, m.created_at, coalesce(s.status, 'ai') <> 'ai' AS alone, CASE WHEN m.seq % 3 = 0 THEN [concat('a', m.seq), concat('b', m.seq)] ELSE [] END AS images
+          FROM messages m LEFT JOIN status_spans s ON m.session_id = s.session_id AND m.created_at >= s.from_at AND m.created_at < s.to_at WHERE m.role = 'visitor'),
+        g AS (SELECT *, epoch(created_at) - epoch(lag(created_at) OVER (PARTITION BY session_id, alone ORDER BY created_at, seq)) AS gap FROM j),
+        i AS (SELECT *, sum(CASE WHEN alone OR gap IS NULL OR gap >= 130 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, alone ORDER BY created_at, seq) AS island FROM g)
+        SELECT session_id, min(created_at) AS first_at, count(*) AS n, md5(string_agg(content, chr(10) ORDER BY created_at, seq)) AS content,
+        array_to_string(list_slice(flatten(list(images ORDER BY created_at, seq)), 1, 3), ',') AS images FROM i GROUP BY session_id, alone, island""", "messages", "status_spans")
 _TIMING = """SELECT date_trunc('day', ts) AS start, event_type AS stage, count(*) AS calls, quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms, max(value) AS max_ms FROM events GROUP BY 1, 2"""
 
 ORACLE_SQL = {
     "debounce_messages": _DEBOUNCE,
     "debounce_messages_stream": _DEBOUNCE,
-    "dedupe_uploads_stream": with_views("SELECT DISTINCT tenant_id, kb_id, filename, size_bytes FROM kb_documents", "kb_documents"),
+    "debounce_replies": _REPLIES,
+    "debounce_replies_stream": _REPLIES,
+    "dedupe_uploads_stream": with_views("SELECT DISTINCT tenant_id, kb_id, filename, size_bytes FROM uploads", "uploads"),
     "timing_windows_stream": _TIMING,
-    "late_counts": "SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS late FROM events",
+    "late_counts": with_views("""WITH d AS (SELECT usage_id % 3 AS k, created_at FROM usage_records), m AS (SELECT k, max(max(created_at)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM d GROUP BY k)
+        SELECT count(*) AS n, count(*) FILTER (WHERE floor(epoch(created_at)) < floor(epoch(before)) - 3600) AS late FROM d JOIN m USING (k)""", "usage_records"),
     "usage_windows": _USAGE,
     "usage_windows_stream": _USAGE,
     "rate_windows": _RATE,

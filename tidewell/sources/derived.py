@@ -27,6 +27,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN session_id % 5 = 1 THEN 'asked for a person' ELSE '' END AS handoff_reason,
                min(created_at) AS created_at, max(created_at) AS last_active_at
         FROM messages GROUP BY session_id"""),
+    "status_spans": (("messages",), """
+        SELECT session_id, 'ai' AS status, created_at - INTERVAL '1' MINUTE AS from_at, created_at + INTERVAL '3' MINUTE AS to_at
+        FROM messages WHERE seq = 0 AND session_id % 5 <> 4
+        UNION ALL
+        SELECT session_id, CASE session_id % 5 WHEN 0 THEN 'ai' WHEN 1 THEN 'queued' ELSE 'human' END AS status, created_at + INTERVAL '3' MINUTE AS from_at, created_at + INTERVAL '12' HOUR AS to_at
+        FROM messages WHERE seq = 0 AND session_id % 5 <> 4"""),
     "usage_records": (("events",), """
         SELECT event_id AS usage_id, user_id % 4 AS tenant_id, user_id AS visitor_id,
                CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id % 8 END AS employee_id, event_type AS kind,

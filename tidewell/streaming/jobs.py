@@ -49,6 +49,24 @@ def debounce_messages(messages: DataFrame, delay: str = "10 seconds", watermark:
     return own.select("session_id", F.col("w.start").alias("first_at"), "n", F.array_join(F.transform("parts", lambda p: p["content"]), "\n").alias("content"))
 
 
+def debounce_replies(messages: DataFrame, spans: DataFrame, delay: str = "10 seconds", watermark: str = "10 minutes", longest: str = "1 day", most_images: int = 3) -> DataFrame:
+    """(session_id, first_at, n, content, images): ``debounce_messages`` where the assistant answers, with the first
+    ``most_images`` images of a group; a message that comes while someone else does stands alone, as it is.
+
+    ``spans``: (session_id, status, from_at, to_at), which don't overlap in a session; a longer one is renewed after
+    ``longest``, so that a stream's join can end its state. Messages outside of all spans count as the assistant's ('ai').
+    ``messages``: (session_id, seq, content, images, created_at); null images are none."""
+    rows = _watermarked(messages, "created_at", watermark)
+    known = _watermarked(spans.select(F.col("session_id").alias("of_session"), "status", "from_at", "to_at"), "from_at", watermark)
+    inside = (F.col("session_id") == F.col("of_session")) & (F.col("created_at") >= F.col("from_at")) & (F.col("created_at") < F.col("to_at"))
+    rows = rows.join(known, inside & (F.col("created_at") <= F.col("from_at") + F.expr(f"INTERVAL {longest}")), "left")
+    alone = F.when(F.col("status") != "ai", F.col("seq")).alias("alone")
+    part = F.struct("created_at", "seq", "content", F.coalesce("images", F.array().cast("array<string>")).alias("images"))
+    own = rows.groupBy("session_id", alone, F.session_window("created_at", delay).alias("w")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    images = F.slice(F.flatten(F.transform("parts", lambda p: p["images"])), 1, most_images)
+    return own.select("session_id", F.col("w.start").alias("first_at"), F.size("parts").alias("n"), F.array_join(F.transform("parts", lambda p: p["content"]), "\n").alias("content"), images.alias("images"))
+
+
 def usage_windows(usage: DataFrame, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """Tokens and calls per tenant, kind and tumbling window (UTC days by default)."""
     rows = _watermarked(usage, "created_at", watermark)
