@@ -1,6 +1,8 @@
 """Small fixtures for rules that the tables can't show."""
 
 import json
+import pickle
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -541,6 +543,53 @@ def test_csv(spark, tmp_path):
     assert [r.status for r in got if r.path.endswith("b.csv")] == ["failed"]
 
 
+def test_folders_of_files(spark, tmp_path):
+    """The same rows as Spark's own reader's, in folders of values too; hidden names, odd names, empty files."""
+    from tidewell.sources import folders
+
+    raws = {"a": "你好".encode("gb18030"), "b b": "\ufeffhéllo".encode(), "c": b"", "d": b"\xff\xfe\xff\x81", "_e": b"hidden", ".f": b"hidden", "g%20": b" ", "n": b"x" * 300_000}
+    for where in ("k=1", "k=2"):
+        (tmp_path / where).mkdir()
+        for name, raw in raws.items():
+            (tmp_path / where / f"{name}.txt").write_bytes(raw)
+    folders.register(spark)
+    plain = lambda rows: sorted((unquote(r.path.rpartition("/")[2]), *r[1:]) for r in rows.collect())
+    for where in ("k=*", "k=1"):
+        want = plain(files.read_text_files(spark, f"{tmp_path}/{where}"))
+        for slices in (1, 5):
+            got = spark.read.format("tidewell_text").option("slices", slices).load(f"{tmp_path}/{where}")
+            assert got.rdd.getNumPartitions() == slices and plain(got) == want
+    assert len(plain(spark.read.format("tidewell_text").load(str(tmp_path)))) == 12
+    assert spark.read.format("tidewell_text").load(f"file://{tmp_path}/k=1/n.txt").first().size_bytes == 300_000
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("tidewell_text").load(f"{tmp_path}/none").count() == 0
+
+
+def test_csv_folder(spark, tmp_path):
+    from tidewell.sources import folders
+
+    (tmp_path / "a.csv").write_text("x;y\n1;2,5\n\n;\n" + "3;4\n" * 9_000)
+    (tmp_path / "b.csv").write_text("only,header\n")
+    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "d.csv").write_text('"q\nr"\ns\n')
+    folders.register(spark)
+    rows = lambda df: sorted(df.collect(), key=lambda r: (r.path, r.row_no, r.col_no))
+    assert rows(spark.read.format("tidewell_csv").option("slices", 3).load(str(tmp_path))) == rows(files.read_csv_sniffed(spark, str(tmp_path)))
+
+
+def test_planning_lists_no_names(spark, tmp_path):
+    """The driver plans as many slices, of the same size, for many files as for none."""
+    from tidewell.sources import folders
+
+    reader = folders.TextFolder({"path": str(tmp_path), "slices": "4"}).reader(None)
+    before = pickle.dumps((reader, reader.partitions()))
+    for i in range(3_000):
+        (tmp_path / f"{i}").touch()
+    assert pickle.dumps((reader, reader.partitions())) == before
+    got = spark.read.format("tidewell_text").option("slices", 4).load(str(tmp_path))
+    assert got.filter("status = 'failed'").count() == 3_000
+
+
 def test_eval_files(spark, tmp_path):
     (tmp_path / "cases.json").write_text(json.dumps({"cases": [{"id": "1", "category": "c", "input": "q"}, {"id": "2"}]}))
     cases = files.read_eval_cases(spark, str(tmp_path / "cases.json"))

@@ -29,7 +29,8 @@ def read_table(spark: SparkSession, name: str, path: str | None = None, schema:
     return reader.parquet(path or name)
 
 
-def _decoded(raw: bytes) -> tuple[str, str]:
+def decoded(raw: bytes) -> tuple[str, str]:
+    """(text, encoding): the first encoding of the list that reads the bytes."""
     for encoding in ENCODINGS:
         try:
             return raw.decode(encoding), encoding
@@ -44,13 +45,14 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 
     @F.pandas_udf("text string, encoding string")
     def decode(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_decoded(bytes(c)) for c in content], columns=["text", "encoding"])
+        return pd.DataFrame([decoded(bytes(c)) for c in content], columns=["text", "encoding"])
 
     found = spark.read.format("binaryFile").load(path)
     rows = found.select("path", F.col("length").alias("size_bytes"), decode("content").alias("d"))
-    # The scan leaves out empty files; the listing, which the reader has made anyway, has them.
+    # The scan leaves out empty files; the listing, which the reader has made anyway, has them, as encoded URIs.
+    plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    listed = spark.createDataFrame([(f,) for f in found.inputFiles()], "path string").select(same("path").alias("path"))
+    listed = spark.createDataFrame([(f,) for f in found.inputFiles()], "path string").select(same(plain).alias("path"))
     none = listed.join(found.select(same("path").alias("path")), "path", "left_anti")
     rows = rows.union(none.select("path", F.lit(0).cast("long"), F.struct(F.lit("").alias("text"), F.lit("utf-8").alias("encoding"))))
     empty = F.trim("d.text") == ""
