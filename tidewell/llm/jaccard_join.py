@@ -43,6 +43,10 @@ BROADCAST_CLASSES = 2_000_000
 SKETCH = 4
 #: Places of a set's parities.
 BITS = 1024
+#: Percent that a class shares with the leader from whose answers its own are derived, where all links are asked for.
+NEAR = 70
+#: Differences from their leader in a block of members whose overlaps are derived together (about; a member counts 64 besides).
+DIFFERENCES = 50_000
 #: Lists of so many open postings first get each posting's nearest neighbour checked.
 LARGE = 12
 _LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint8)
@@ -438,21 +442,139 @@ def link_components(documents: DataFrame, percent: int = 80) -> DataFrame:
     return _linked(_documents(documents), percent)
 
 
-def link_pairs(documents: DataFrame, percent: int = 80) -> DataFrame:
+def link_pairs(documents: DataFrame, percent: int = 80, near: int = NEAR) -> DataFrame:
     """(a, b): the digests of every two different classes (see ``class_members``) that link, a < b, each once.
 
-    No pair is passed over for its component: the whole index is searched. As many rows as there are links,
-    which in a group of n near copies may be n * n / 2. Members of one class link with each other besides.
+    A class that shares ``near`` percent with a leader is its member, kept as what it has more and less. Members of
+    one leader are never searched for each other: the search skips pairs and lists inside a star, and finds for
+    pairs of different stars only that these meet. All overlaps inside a star and between stars that meet are then
+    derived from their leaders' sets by the differences, without the members' texts. As many rows as there are
+    links, which in a group of n near copies may be n * n / 2. Members of one class link with each other besides.
+    Texts without words, nulls and empty tables give no rows; repeated rows change nothing.
     """
     classes = _classes(_documents(documents)).filter(F.col("cls").isNotNull())
+    stars = _stars(classes, near)
+    known = stars.groupBy(_low_long("cls").alias("v")).agg(F.min(_low_long("lead")).alias("comp"))
     total = classes.agg(F.coalesce(F.sum(F.col("n") / 5 + 1), F.lit(0.0))).first()[0]
-    partitions = _partitions(documents.sparkSession, total)
-    rows = classes.select("v", F.col("v").alias("comp"), "text")
+    partitions = _partitions(classes.sparkSession, total)
+    rows = _with_components(classes, known)
     live = _open_postings(_index(rows, _common_shingles(rows, total), percent), partitions, percent)
-    links = _verified(classes, _candidates(live, classes, partitions, percent, False), percent)
+    pairs = _candidates(live, classes, partitions, percent, False)
+
+    leads = known.select(F.col("comp").alias("lead")).distinct()
+    star = known.union(leads.select("lead", "lead")).groupBy("v").agg(F.min("comp").alias("comp"))
+    marked = pairs.join(star.withColumnRenamed("comp", "p"), "v", "left").join(star.select(F.col("v").alias("w"), F.col("comp").alias("q")), "w", "left")
+    marked = store_rows(marked.select("v", "w", "p", "q"), "marked")
+    single = _verified(classes, marked.filter("p IS NULL AND q IS NULL").select("v", "w"), percent)
+    met = marked.filter("p IS NOT NULL OR q IS NOT NULL").select(F.coalesce("p", "v").alias("v"), F.coalesce("q", "w").alias("w"))
+    met = met.select(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w")).distinct()
+    related = store_rows(met.union(leads.select(F.col("lead").alias("v"), F.col("lead").alias("w"))), "related")
+    return _ordered(single.union(_derived(classes, stars, related, percent)))
+
+
+def _ordered(links: DataFrame) -> DataFrame:
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _stars(classes: DataFrame, near: int) -> DataFrame:
+    """(lead, cls, plus, minus): members with what they have more and less than their leader, checked on whole texts.
+    A leader is no member itself."""
+    pairs = store_rows(_leaders(classes, near), "leaders")
+    texts = _texts(classes, pairs)
+    one = texts.select("v", F.col("cls").alias("a"), F.col("text").alias("t"))
+    two = texts.select(F.col("v").alias("w"), F.col("cls").alias("b"), F.col("text").alias("u"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_up = zstandard.ZstdDecompressor().decompress
+        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
+        for batch in batches:
+            keep, plus, minus = [], [], []
+            for i, (b, t, u) in enumerate(zip(batch.column("b").to_pylist(), batch.column("t"), batch.column("u"))):
+                if last[0] != b:
+                    last = (b, _set_of(open_up(u.as_py())))
+                x, y = _set_of(open_up(t.as_py())), last[1]
+                more, less = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
+                if 100 * (len(x) - len(more)) >= near * (len(y) + len(more)):
+                    keep.append(i)
+                    plus.append(more.view(np.int64))
+                    minus.append(less.view(np.int64))
+            rows = batch.take(pa.array(keep, pa.int64()))
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column("b"), rows.column("a"), pa.array(plus, kind), pa.array(minus, kind)], ["lead", "cls", "plus", "minus"])
+
+    joined = one.join(pairs, "v").join(two, "w").filter(F.col("a") != F.col("b")).select("a", "b", "t", "u")
+    found = store_rows(map_batches(joined, check, "lead binary, cls binary, plus array<long>, minus array<long>").dropDuplicates(["cls"]), "near")
+    return store_rows(found.join(found.select(F.col("cls").alias("lead")), "lead", "left_anti"), "stars")
+
+
+class _Members:
+    """A block of members: sizes, and their differences from the leader as (member, shingle, +1 or -1)."""
+
+    def __init__(self, members: list[dict], lead: np.ndarray):
+        self.cls = np.array([m["cls"] for m in members], object)
+        sides = [(np.array(m[k], np.int64).view(np.uint64), sign) for m in members for k, sign in (("plus", 1), ("minus", -1))]
+        size = np.array([len(t) for t, _ in sides])
+        self.token = np.concatenate([t for t, _ in sides])
+        self.sign = np.repeat(np.array([s for _, s in sides]), size)
+        self.member = np.repeat(np.arange(len(sides)) // 2, size)
+        self.n = len(lead) + self.sums(np.ones(len(self.token), bool))
+
+    def sums(self, counted: np.ndarray) -> np.ndarray:
+        """Of each member, what it has more less what it has less, among the counted differences."""
+        return np.bincount(self.member[counted], self.sign[counted], len(self.cls)).astype(np.int64)
+
+    def table(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.cls), len(tokens)), np.float32)
+        spot = np.searchsorted(tokens, self.token).clip(max=len(tokens) - 1)
+        hit = tokens[spot] == self.token
+        out[self.member[hit], spot[hit]] = self.sign[hit]
+        return out
+
+
+def _overlaps(one: _Members, two: _Members, lead_one: np.ndarray, lead_two: np.ndarray, both: int) -> np.ndarray:
+    """Overlaps of all members of two blocks, from the overlap of their leaders: what either differs by counts where
+    the other leader has it, and differences that both have count by the product of their signs."""
+    out = both + one.sums(np.isin(one.token, lead_two))[:, None] + two.sums(np.isin(two.token, lead_one))[None, :]
+    shared = np.intersect1d(one.token, two.token)
+    for first in range(0, len(shared), 2048):
+        tokens = shared[first : first + 2048]
+        out += (one.table(tokens) @ two.table(tokens).T).astype(np.int64)  # whole numbers below 2 ** 24: exact
+    return out
+
+
+def _derived(classes: DataFrame, stars: DataFrame, related: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the members of ``related`` leaders or single classes (v, w; v = w for a leader's own). Members are
+    cut into blocks of about DIFFERENCES numbers, and pairs of blocks are dealt out."""
+    texts = store_rows(_texts(classes, related), "texts")
+    own = texts.select(F.col("cls").alias("lead"), "cls", *(F.lit(None).cast("array<long>").alias(c) for c in ("plus", "minus")))
+    empty = F.array().cast("array<long>")
+    members = own.union(stars.select("lead", "cls", "plus", "minus")).select("lead", F.struct("cls", F.coalesce("plus", empty).alias("plus"), F.coalesce("minus", empty).alias("minus")).alias("m"))
+    weight = F.size("m.plus") + F.size("m.minus") + 64
+    counts = members.groupBy("lead").agg(F.ceil(F.sum(weight) / DIFFERENCES).cast("int").alias("blocks"))
+    dealt = members.join(counts, "lead").withColumn("block", F.pmod(F.xxhash64("m.cls"), F.col("blocks")).cast("int"))
+    blocks = store_rows(dealt.groupBy("lead", "block").agg(F.collect_list("m").alias("members")), "blocks")
+    one = texts.select("v", F.col("cls").alias("lead"), F.col("text").alias("t")).join(blocks, "lead").select("v", F.col("lead").alias("a"), "t", F.col("block").alias("x"), F.col("members").alias("ms"))
+    two = texts.select(F.col("v").alias("w"), F.col("cls").alias("lead"), F.col("text").alias("u")).join(blocks, "lead").select("w", F.col("lead").alias("b"), "u", F.col("block").alias("y"), F.col("members").alias("ns"))
+    same = F.col("a") == F.col("b")
+    joined = related.join(one, "v").join(two, "w").filter((F.col("v") != F.col("w")) | (same & (F.col("x") <= F.col("y"))))
+    joined = joined.select("t", "u", "ms", "ns", same.alias("same"), (same & (F.col("x") == F.col("y"))).alias("inner"))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_up = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for row in batch.to_pylist():
+                x = _set_of(open_up(row["t"]))
+                y = x if row["same"] else _set_of(open_up(row["u"]))
+                both = len(x) if row["same"] else np.intersect1d(x, y, True).size
+                ms, ns = _Members(row["ms"], x), _Members(row["ns"], y)
+                met = _overlaps(ms, ns, x, y, both)
+                good = 100 * met >= percent * (ms.n[:, None] + ns.n[None, :] - met)
+                i, j = np.nonzero(np.triu(good, 1) if row["inner"] else good)
+                yield pa.RecordBatch.from_arrays([pa.array(ms.cls[i], pa.binary()), pa.array(ns.cls[j], pa.binary())], ["a", "b"])
+
+    return store_rows(map_batches(joined, step, "a binary, b binary", 16), "derived")
+
+
 def class_members(documents: DataFrame) -> DataFrame:
     """(doc_id, cls) of every row: the digest of its set of shingles, null for the empty set."""
     return _classes(_documents(documents)).select("doc_id", "cls")
