@@ -525,6 +525,25 @@ def test_html():
     assert pages.page_text("<p>" + "x" * 50, 10) == ("", "x" * 10, True)
 
 
+def test_hash_embed_by_hand(spark):
+    """Each token's bucket and sign from its digest, counted one by one."""
+    import hashlib
+    import math
+
+    inputs = ["Hello hello 42", "你好吗 ok", "...", None, "a b c d e f g h i j a b c a"]
+    tokens = [["hello", "hello", "42"], ["你", "你好", "好", "好吗", "吗", "ok"], [], [], list("abcdefghij") + list("abca")]
+    rows = spark.createDataFrame(list(enumerate(inputs)), "k int, text string")
+    for dim in (7, 256):
+        got = {r.k: r.embedding for r in vectors.hash_embed(rows, "text", dim).collect()}
+        for k, own in enumerate(tokens):
+            want = [0.0] * dim
+            for t in own:
+                digest = hashlib.blake2b(t.encode(), digest_size=8).digest()
+                want[int.from_bytes(digest, "big") % dim] += 1.0 if digest[0] >= 128 else -1.0
+            length = math.sqrt(sum(v * v for v in want)) or 1.0
+            assert got[k] == pytest.approx([v / length for v in want], abs=1e-6)
+
+
 # --- files
 
 

@@ -66,8 +66,19 @@ def _upsert(spark, sf):
     return V.upsert_vectors(base, new.union(fresh))
 
 
+def _with_texts(rows, spark, sf):
+    """Rows with the text of the document that their chunk's number leads to, numbers beyond the last beginning again."""
+    last = frame(spark, sf, "documents").agg((F.max("doc_id") + 1).alias("n"))  # one row
+    texts = frame(spark, sf, "documents").select(F.col("doc_id").alias("number"), "text")
+    numbered = rows.join(F.broadcast(last)).withColumn("number", F.expr("chunk_id % n"))
+    return numbered.join(texts, "number", "left").withColumn("text", F.coalesce("text", F.lit(""))).drop("number", "n")
+
+
+_TEXTS = "texts AS (SELECT chunk_id, coalesce(d.text, '') AS text FROM (SELECT chunk_id, chunk_id % (SELECT max(doc_id) + 1 FROM documents) AS number FROM chunk_vectors) c LEFT JOIN documents d ON d.doc_id = number)"
+
+
 def _pending(spark, sf):
-    chunks = frame(spark, sf, "chunk_vectors").withColumn("text", F.expr("CASE WHEN chunk_id % 8 = 0 THEN '单号: 1234567' ELSE 'x' END"))
+    chunks = _with_texts(frame(spark, sf, "chunk_vectors"), spark, sf).withColumn("text", F.expr("CASE WHEN chunk_id % 8 = 0 THEN concat(text, ' 单号: 1234567') ELSE text END"))
     return V.pending_vectors(chunks, chunks.filter("chunk_id % 4 < 2"), chunks.filter("chunk_id % 4 IN (1, 2)")).select("chunk_id")
 
 
@@ -77,7 +88,7 @@ def _both(spark, sf):
 
 
 def _vector_rows(spark, sf):
-    chunks = frame(spark, sf, "chunk_vectors").withColumn("text", F.expr("CASE WHEN chunk_id % 8 = 0 THEN '单号: 1234567' ELSE 'x' END"))
+    chunks = _with_texts(frame(spark, sf, "chunk_vectors"), spark, sf).withColumn("text", F.expr("CASE WHEN chunk_id % 8 = 0 THEN concat(text, ' 单号: 1234567') ELSE text END"))
     rows = V.assert_one_dimension(V.vector_rows(chunks))
     return rows.select("chunk_id", "tenant_id", "kb_id", "doc_id", F.round(F.element_at("vector", -1), 6).alias("last"), F.col("dim").cast("int").alias("dim"))
 
@@ -111,13 +122,13 @@ def _hits(spark, sf):
     """Hits of every query vector over all chunks of its tenant, scores of four digits."""
     queries, chunks = _vectors(spark, sf)
     rows = V.similarity_join(queries, chunks, top_k=60, min_score=-1.0)
-    return rows.select("query_id", "chunk_id", "kb_id", "doc_id", F.round("score", 4).alias("score"), F.concat(F.lit("text "), F.col("chunk_id") % 45).alias("text"))
+    return _with_texts(rows.select("query_id", "chunk_id", "kb_id", "doc_id", F.round("score", 4).alias("score")), spark, sf)
 
 
-_HITS = """hits AS (SELECT query_id, chunk_id, kb_id, doc_id, round(round(s, 6), 4) AS score, concat('text ', chunk_id % 45) AS text FROM (
+_HITS = f"""{_TEXTS}, hits AS (SELECT query_id, chunk_id, kb_id, doc_id, round(round(s, 6), 4) AS score, text FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS n FROM (
       SELECT query_id, chunk_id, kb_id, doc_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS s
-      FROM query_vectors q JOIN chunk_vectors c USING (tenant_id) WHERE enabled)) WHERE n <= 60)"""
+      FROM query_vectors q JOIN chunk_vectors c USING (tenant_id) WHERE enabled)) JOIN texts USING (chunk_id) WHERE n <= 60)"""
 
 
 def _floor(spark, sf):
@@ -295,12 +306,12 @@ ORACLE_SQL = {
         SELECT vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first, CAST(1 AS DOUBLE) AS length, round(list_cosine_similarity(e, list_reverse(e)), 6) AS mirror FROM d""",
     "hash_embed": "SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z0-9]') THEN CAST(1 AS DOUBLE) ELSE 0 END AS length FROM documents",
     "vector_plan": with_views("SELECT doc_id, count(*) AS enabled_chunks, count(*) FILTER (WHERE chunk_id % 10 <> 0) AS to_embed, count(*) FILTER (WHERE chunk_id % 10 = 0) AS noise FROM chunks WHERE enabled GROUP BY 1", "chunks"),
-    "vector_rows": with_views("""WITH d AS (SELECT *, CAST(embedding AS DOUBLE[]) AS e FROM chunk_vectors WHERE enabled AND chunk_id % 8 <> 0)
+    "vector_rows": with_views(f"""WITH {_TEXTS}, d AS (SELECT *, CAST(embedding AS DOUBLE[]) AS e FROM chunk_vectors JOIN texts USING (chunk_id) WHERE enabled AND chunk_id % 8 <> 0 AND NOT regexp_matches(text, '{X.ID_ROW}'))
         SELECT chunk_id, tenant_id, kb_id, doc_id, round(e[-1] / sqrt(list_dot_product(e, e)), 6) AS last, CAST(len(e) AS INT) AS dim FROM d""", "chunk_vectors"),
     "upsert_vectors": with_views("""SELECT chunk_id, tenant_id, CASE WHEN chunk_id % 6 = 0 THEN kb_id + 100 ELSE kb_id END AS kb_id,
         CASE WHEN chunk_id % 6 = 0 THEN 'updated' WHEN chunk_id % 3 = 0 THEN 'refused' ELSE 'kept' END AS state FROM chunk_vectors
         UNION ALL SELECT chunk_id + 100000, tenant_id, kb_id, 'inserted' FROM chunk_vectors WHERE chunk_id % 5 = 0""", "chunk_vectors"),
-    "pending_vectors": with_views("SELECT chunk_id FROM chunk_vectors WHERE enabled AND chunk_id % 8 <> 0 AND chunk_id % 4 <> 1", "chunk_vectors"),
+    "pending_vectors": with_views(f"WITH {_TEXTS} SELECT chunk_id FROM chunk_vectors JOIN texts USING (chunk_id) WHERE enabled AND chunk_id % 8 <> 0 AND chunk_id % 4 <> 1 AND NOT regexp_matches(text, '{X.ID_ROW}')", "chunk_vectors"),
     "existing_in_both": with_views("SELECT chunk_id FROM chunk_vectors WHERE chunk_id % 3 <> 0 AND chunk_id % 2 = 0", "chunk_vectors"),
     "rebuild_vectors": with_views("""WITH e AS (SELECT *, chunk_id % 10 = 1 AS noise, chunk_id % 4 = 0 AS there, regexp_matches(text, '[A-Za-z0-9]') AS words FROM chunks WHERE enabled)
         SELECT 'ok' AS counter, count(*) AS n FROM e WHERE NOT noise AND NOT there AND words UNION ALL SELECT 'fail', count(*) FROM e WHERE NOT noise AND NOT there AND NOT words
@@ -315,7 +326,7 @@ ORACLE_SQL = {
         f AS (SELECT h.*, k, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY score DESC, chunk_id) AS nth FROM hits h JOIN b USING (query_id)),
         g AS (SELECT * FROM f WHERE nth <= 3 * CASE WHEN k <= 1 THEN 8 ELSE greatest(2, CAST(ceil(8.0 / k) AS INT)) END)
         SELECT query_id, chunk_id, CAST({_CUT} AS INT) AS place FROM g"""),
-    "dedupe_hits": _hit_sql(f"""f AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY score DESC, chunk_id) AS nth FROM hits),
+    "dedupe_hits": _hit_sql(f"""f AS (SELECT *, row_number() OVER (PARTITION BY query_id, substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 120) ORDER BY score DESC, chunk_id) AS nth FROM hits),
         g AS (SELECT *, {_CUT} AS place FROM f WHERE nth = 1) SELECT query_id, chunk_id, CAST(place AS INT) AS place FROM g WHERE place <= 6"""),
     "rrf_fuse": _hit_sql(f"""a AS (SELECT query_id, chunk_id, 1.0 / (59 + {_CUT}) AS part FROM hits),
         s2 AS (SELECT query_id, chunk_id, CAST(chunk_id * 7 % 101 AS DOUBLE) AS score FROM hits WHERE chunk_id % 2 = 0),
