@@ -78,8 +78,16 @@ def _paths(spark, sf):
     return D.heading_paths(rows, 3).select("doc_id", F.col("line_no").cast("int").alias("line_no"), F.array_join("path", ">").alias("path"))
 
 
+def whole(pieces):
+    """How many pieces a document has, and the digest of all of them in order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
+    return pieces.groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(F.array_join(ordered, "|")).alias("text"))
+
+
 def _chunks(spark, sf):
-    return C.chunks_of(frame(spark, sf, "documents"), "text", 600, 100).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"))
+    """Every line a paragraph."""
+    docs = frame(spark, sf, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return whole(C.chunks_of(docs, "text", 600, 100))
 
 
 def _structure(spark, sf):
@@ -194,7 +202,38 @@ def _purity_sql(part: str, key: str) -> str:
         FROM (SELECT sheet_id, {key}, type, count(*) AS n FROM t WHERE row_no > head AND col_no > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1)"""
 
 
+_BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def stripped(text: str) -> str:
+    return f"regexp_replace({text}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+
+
+def _mark(marks: str) -> str:
+    return "length(regexp_extract(tail, '(?s)^.*[" + marks.replace("\n", "\\n") + "]'))"
+
+
+#: Of blocks ``b`` (doc_id, i, text) those over 600 characters in windows ``cut`` (doc_id, i, nth, piece), a step a window.
+CUTS = f"""w AS (SELECT doc_id, i, text, 0 AS nth, 0 AS spot, '' AS piece, length(text) <= 600 AS done FROM b
+    UNION ALL SELECT doc_id, i, text, nth + 1, greatest(cut - 100, spot + 1), substr(text, spot + 1, cut - spot), cut = length(text) FROM (
+      SELECT *, CASE WHEN stop = length(text) THEN stop WHEN hard > 0 THEN spot + 420 + hard WHEN soft > 0 THEN spot + 420 + soft ELSE stop END AS cut FROM (
+        SELECT *, {_mark(C.HARD)} AS hard, {_mark(C.SOFT)} AS soft FROM (
+          SELECT *, substr(text, spot + 421, stop - spot - 420) AS tail FROM (SELECT *, least(spot + 600, length(text)) AS stop FROM w WHERE NOT done))))),
+    cut AS (SELECT doc_id, i, nth, {stripped("piece")} AS piece FROM w WHERE nth > 0)"""
+
+_CLOSES = "held <> '' AND (length(held) >= 200 OR length(held) + 1 + length(text) > 600)"
+_CHUNKS = f"""WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, text FROM (SELECT doc_id, i, {stripped("line")} AS text FROM lines) WHERE text <> ''), {CUTS},
+    n AS (SELECT doc_id, i, text, coalesce(ps, []) AS ps FROM b LEFT JOIN (SELECT doc_id, i, list(piece ORDER BY nth) AS ps FROM cut WHERE piece <> '' GROUP BY 1, 2) USING (doc_id, i)),
+    c AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, '' AS held, CAST([] AS VARCHAR[]) AS done FROM b
+      UNION ALL SELECT doc_id, n.i, CASE WHEN length(text) > 600 THEN '' WHEN {_CLOSES} THEN concat(right(held, 100), chr(10), text) WHEN held <> '' THEN concat(held, chr(10), text) ELSE text END,
+        CASE WHEN length(text) > 600 THEN list_concat(list_concat(done, CASE WHEN held <> '' THEN [held] ELSE [] END), ps) WHEN {_CLOSES} THEN list_append(done, held) ELSE done END
+      FROM c JOIN n USING (doc_id) WHERE n.i = c.i + 1),
+    r AS (SELECT doc_id, list_concat(done, CASE WHEN held <> '' THEN [held] ELSE [] END) AS p FROM c JOIN (SELECT doc_id, max(i) AS i FROM b GROUP BY 1) USING (doc_id, i))
+    SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS text FROM r"""
+
 ORACLE_SQL = {
+    "chunk_text": _CHUNKS,
     "page_outcome": """SELECT page_id, md5(trim(regexp_replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g'))) AS title,
         CASE WHEN page_id % 9 = 0 THEN 'status 404' WHEN page_id % 7 = 0 THEN 'no text' ELSE '' END AS outcome FROM pages""",
     "split_grids": f"""WITH cells AS ({CELLS}), f AS (SELECT * FROM cells WHERE row_no % 20 <> 7 AND NOT (col_no = 2 AND sheet_id % 2 = 0) AND NOT {_BLANK}),

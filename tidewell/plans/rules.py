@@ -9,7 +9,7 @@ from tidewell.operators import documents as D
 from tidewell.operators import retrieval as R
 from tidewell.operators import scope as S
 from tidewell.operators import sheets as H
-from tidewell.plans.documents import CELLS, cells
+from tidewell.plans.documents import CELLS, CUTS, cells, stripped, whole
 from tidewell.plans.retrieval import _hit_sql
 from tidewell.sources.derived import frame, with_views
 
@@ -141,7 +141,7 @@ def _title(spark, sf):
 
 def _reindex(spark, sf):
     rows = frame(spark, sf, "documents").select(F.expr("doc_id % 100 AS doc_id"), F.col("doc_id").alias("seq"), "text")
-    return D.reindex_document(rows).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("seq").cast("long").alias("last"))
+    return whole(D.reindex_document(rows))
 
 
 def _alias(spark, sf):
@@ -190,6 +190,9 @@ _PAIRS = f"""docs AS (SELECT doc_id, concat('d', doc_id, '.txt') AS filename, co
         seg AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY line_no) AS segment FROM e)"""
 
 ORACLE_SQL = {
+    "reindex_document": f"""WITH RECURSIVE b AS (SELECT * FROM (SELECT doc_id % 100 AS doc_id, doc_id AS i, {stripped("text")} AS text FROM documents) WHERE text <> ''), {CUTS},
+        p AS (SELECT doc_id, i, 0 AS nth, text AS piece FROM b WHERE length(text) <= 600 UNION ALL SELECT * FROM cut WHERE piece <> '')
+        SELECT doc_id, count(*) AS n, md5(string_agg(piece, '|' ORDER BY i, nth)) AS text FROM p GROUP BY 1""",
     "flag_identifier_rows": f"SELECT doc_id, doc_id % 4 IN (0, 2) OR regexp_matches(text, '{X.ID_ROW}') AS noise FROM documents",
     "strip_meta": """WITH d AS (SELECT doc_id, regexp_replace(text, '^\\s+', '') AS bare, concat(CASE doc_id % 3 WHEN 0 THEN concat('【', source, '】《d', doc_id, '.txt》 ') WHEN 1 THEN concat('【', source, '】') ELSE '' END, text) AS whole FROM documents)
         SELECT doc_id, CASE WHEN bare = '' THEN whole ELSE bare END AS bare FROM d""",
