@@ -185,6 +185,23 @@ def test_a_bad_sample_only_costs_passes(spark, tables, monkeypatch):
     assert rows(collocations.collocations(docs, 5, 3, 100)) == want
 
 
+def test_false_hits_leave_no_phrase_out(spark, tables, monkeypatch):
+    made = collocations.gate_of
+
+    def crowded(*args):
+        gate = made(*args)
+        for bits in gate.bitmaps[1:]:
+            bits[:] = 255  # every pair hits, also of words that the gate doesn't propose
+        return gate
+
+    monkeypatch.setattr(collocations, "gate_of", crowded)
+    docs = tables["documents"].filter("doc_id < 60")
+    want = phrases([(r.lang, r.text) for r in docs.collect()], 5, 3, 100)
+    assert any(w[2].count(" ") == 2 for w in want)
+    for sample in (0.0, 0.2):
+        assert rows(collocations.collocations(docs, 5, 3, 100, sample=sample)) == want
+
+
 def test_collocations_of_odd_rows(spark, odd_wide, nothing):
     from pyspark.sql import functions as F
 
@@ -215,6 +232,15 @@ def test_texts_are_cut_between_words():
             assert got == want
 
 
+def test_blanks_longer_than_a_part_join_words(spark, monkeypatch):
+    assert list(collocations.cut_text(b"u a b" + b" " * 9 + b"\tc", 6, 2))[-1] == (b"a b   \tc", 4)
+    monkeypatch.setattr(collocations, "SLICE", 16)
+    texts = [("en", "one two" + " " * 70 + "three\t" + "\t " * 30 + "four. five")] * 4
+    docs = spark.createDataFrame(texts, "lang string, text string")
+    got = rows(collocations.collocations(docs, 4, 3))
+    assert got == phrases(texts, 4, 3, 2000) and {g[2] for g in got} == {"one two three", "two three four"}
+
+
 def test_queries_of_words_and_copies_match_their_sql(spark, sf_dir):
     for name in ("op11_collocations", "op13_content_sort"):
         got = queries.QUERIES[name](spark, sf_dir)

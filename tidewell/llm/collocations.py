@@ -37,24 +37,22 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def cut_text(raw: bytes, limit: int, keep: int) -> Iterator[tuple[bytes, int]]:
     """``raw`` in parts of about ``limit`` bytes, cut between words: (part, bytes at its start that repeat up to
-    ``keep`` words of the same piece from the part before)."""
+    ``keep`` words of the same piece from the parts before, however many blanks lie between)."""
     seps = [bytes([c]) for c in BREAKS + BLANKS]
-    start = new = 0
+    new, repeated = 0, b""
     while True:
         end = len(raw)
         if end - new > limit:
             end = max(raw.rfind(s, new, new + limit) for s in seps) + 1
             if end <= new:  # a word of more than the limit
                 end = min((at for s in seps if (at := raw.find(s, new + limit)) >= 0), default=len(raw) - 1) + 1
-        yield raw[start:end], new - start
+        part = repeated + raw[new:end]
+        yield part, len(repeated)
         if end == len(raw):
             return
-        new = start = end
-        for _ in range(keep):
-            at = len(raw[max(0, start - limit) : start].rstrip(BLANKS)) + max(0, start - limit)
-            if not at or raw[at - 1] in BREAKS:
-                break
-            start = max(raw.rfind(s, 0, at) for s in seps) + 1
+        piece = part[max(part.rfind(bytes([c])) for c in BREAKS) + 1 :]
+        words = piece.rsplit(None, keep)[-keep:] if keep else []  # within a piece only BLANKS are white space
+        new, repeated = end, b"".join(w + b" " for w in words)
 
 
 @dataclass
@@ -142,10 +140,11 @@ def counted(tokens: Tokens, gates: list[Gate], longest: int) -> Iterator[tuple[p
         n = np.bincount(ids[new], minlength=size)
         yield tokens.words.filter(pa.array(n > 0)), n[n > 0]
     grams, hashes, strings = ids, tokens.hashes, tokens.words  # the phrase that starts at each word, -1: none
+    reached = [np.ones(size, bool)] * len(gates)  # phrases that each gate's pass counted; false hits add none
     for k in range(2, longest + 1):
         a, b = grams[:-1], grams[1:]
         at = np.flatnonzero((a >= 0) & (b >= 0) & (tokens.piece[:-1] == tokens.piece[1:]) if k == 2 else (a >= 0) & (b >= 0))
-        passed = [g.holds(k - 1, hashes) for g in gates]
+        passed = [r & g.holds(k - 1, hashes) for r, g in zip(reached, gates)]
         now = [p[a[at]] & p[b[at]] for p in passed]
         some = np.logical_or.reduce(now)
         at, now = at[some], [x[some] for x in now]
@@ -153,9 +152,10 @@ def counted(tokens: Tokens, gates: list[Gate], longest: int) -> Iterator[tuple[p
             return
         key, where, number = np.unique(a[at] * size + ids[at + k - 1], return_index=True, return_inverse=True)
         head, tail = key // size, key % size
-        fresh = now[-1][where]
-        for x in now[:-1]:
-            fresh &= ~x[where]
+        reached = [x[where] for x in now]
+        fresh = reached[-1].copy()
+        for x in reached[:-1]:
+            fresh &= ~x
         n = np.bincount(number[new[at + k - 1]], minlength=len(key))
         out = np.flatnonzero(fresh & (n > 0))
         if k < longest:
