@@ -1,9 +1,11 @@
 """Queries against their SQL on small tables with rows that the test tables lack."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tests.test_queries import plain
 from tidewell.functions import pages
+from tidewell.operators import retrieval
 from tidewell.plans import registry
 
 
@@ -36,3 +38,15 @@ def test_titles_with_cut_references(spark, tmp_path):
 
 def test_reader_takes_cut_references():
     assert pages.page_text("<title>a &amp</title><p>b &lt c") == ("a &", "b < c", False)
+
+
+def test_copies_tie_in_the_fused_list(spark, monkeypatch):
+    """Word scores that differ only by the order in which they were summed go by the smaller chunk id."""
+    words = spark.createDataFrame([(0, 8, 82.29039828570095, 2), (0, 7, 82.29039828570092, 1), (0, 9, 12.5, 3)], "query_id long, chunk_id long, score double, place int")
+    monkeypatch.setattr(retrieval, "bm25_retrieve", lambda *_, **__: words)
+    chunks = spark.createDataFrame([(k, 1, 1, 1, 0, True, "some words") for k in (7, 8, 9)], "chunk_id long, tenant_id long, kb_id long, doc_id long, seq int, enabled boolean, text string")
+    queries = spark.createDataFrame([(0, "words")], "query_id long, text string")
+    scope = spark.createDataFrame([(0, 1, 1)], "query_id long, tenant_id long, kb_id long")
+    none = chunks.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", "kb_id", "doc_id", F.lit(0.0).alias("score")).limit(0)
+    hits = retrieval.hybrid_retrieve(queries, scope, chunks, none, 3, 0.05, final_min=0.0).orderBy("place").collect()
+    assert [h.chunk_id for h in hits] == [7, 8, 9]
