@@ -1,5 +1,7 @@
 """Queries against their SQL on small tables with rows that the test tables lack."""
 
+import hashlib
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -50,3 +52,22 @@ def test_copies_tie_in_the_fused_list(spark, monkeypatch):
     none = chunks.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", "kb_id", "doc_id", F.lit(0.0).alias("score")).limit(0)
     hits = retrieval.hybrid_retrieve(queries, scope, chunks, none, 3, 0.05, final_min=0.0).orderBy("place").collect()
     assert [h.chunk_id for h in hits] == [7, 8, 9]
+
+
+def cancelling(dim):
+    """Two words of one bucket whose signs are opposite."""
+    seen = {}
+    for k in range(10_000):
+        h = int.from_bytes(hashlib.blake2b(f"w{k}".encode(), digest_size=8).digest(), "big")
+        if other := seen.get((h % dim, 1 - (h >> 63))):
+            return f"{other} w{k}"
+        seen[h % dim, h >> 63] = f"w{k}"
+
+
+def test_texts_whose_tokens_cancel_out(spark, tmp_path):
+    text = cancelling(64)
+    documents = f"SELECT CAST(k AS BIGINT) AS doc_id, t AS text, 'src0' AS source FROM (VALUES (2, '{text}'), (3, '{text} {text}'), (5, '...'), (7, 'a b c')) v(k, t)"
+    for name in ("hash_embed",):
+        (tmp_path / name).mkdir()
+        rows, want = both(spark, tmp_path / name, name, documents=documents)
+        assert rows == want
