@@ -67,7 +67,7 @@ def cancelling(dim):
 def test_texts_whose_tokens_cancel_out(spark, tmp_path):
     text = cancelling(64)
     documents = f"SELECT CAST(k AS BIGINT) AS doc_id, t AS text, 'src0' AS source FROM (VALUES (2, '{text}'), (3, '{text} {text}'), (5, '...'), (7, 'a b c')) v(k, t)"
-    for name in ("hash_embed",):
+    for name in ("hash_embed", "rebuild_vectors"):
         (tmp_path / name).mkdir()
         rows, want = both(spark, tmp_path / name, name, documents=documents)
         assert rows == want
