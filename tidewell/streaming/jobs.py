@@ -88,10 +88,12 @@ def rate_windows(usage: DataFrame, window: str = "60 seconds", slide: str = "10
 
 
 def timing_windows(stages: DataFrame, window: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
-    """Latency percentiles per stage and window."""
+    """Latency percentiles per stage and window: values that occur, exact however many there are. A window's state is its
+    distinct values with their counts; ``operators.sketches`` is the form of fixed size."""
     rows = _watermarked(stages, "created_at", watermark)
-    own = rows.groupBy(F.window("created_at", window).alias("w"), "stage").agg(F.count("*").alias("calls"), F.percentile_approx("ms", [0.5, 0.95], 10_000).alias("p"), F.max("ms").alias("max_ms"))
-    return own.select(F.col("w.start").alias("start"), "stage", "calls", F.col("p")[0].alias("p50_ms"), F.col("p")[1].alias("p95_ms"), "max_ms")
+    percentiles = [F.expr(f"percentile_disc({p}D) WITHIN GROUP (ORDER BY ms)").alias(f"p{round(100 * p)}_ms") for p in (0.5, 0.95)]
+    own = rows.groupBy(F.window("created_at", window).alias("w"), "stage").agg(F.count("*").alias("calls"), *percentiles, F.max("ms").alias("max_ms"))
+    return own.select(F.col("w.start").alias("start"), "stage", "calls", "p50_ms", "p95_ms", "max_ms")
 
 
 def dedupe_stream(uploads: DataFrame, watermark: str = "7 days") -> DataFrame:
