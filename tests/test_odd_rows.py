@@ -76,7 +76,7 @@ def test_texts_whose_tokens_cancel_out(spark, tmp_path):
 def test_percentiles_of_windows_with_many_values(spark, tmp_path):
     """Past 10,000 rows a window's percentiles were approximate."""
     events = "SELECT k AS event_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (k % 80000) SECOND AS ts, k % 7 AS user_id, 'view' AS event_type, (k * 7919 % 60013) / 100.0::DOUBLE AS value, '' AS props FROM range(60000) r(k)"
-    for name in ("timing_windows",):
+    for name in ("timing_windows", "timing_windows_stream"):
         (tmp_path / name).mkdir()
         rows, want = both(spark, tmp_path / name, name, events=events)
         assert rows == want
