@@ -80,3 +80,9 @@ def test_percentiles_of_windows_with_many_values(spark, tmp_path):
         (tmp_path / name).mkdir()
         rows, want = both(spark, tmp_path / name, name, events=events)
         assert rows == want
+
+
+def test_upsert_of_numbers_that_are_taken(spark, tmp_path):
+    embeddings = "SELECT k AS vec_id, [1.0::FLOAT, k] AS embedding, CAST(k % 10 AS INTEGER) AS label FROM (SELECT unnest([0, 5, 6, 10, 15, 100000, 100005, 100010, 100015]) AS k)"
+    rows, want = both(spark, tmp_path, "upsert_vectors", embeddings=embeddings)
+    assert rows == want
