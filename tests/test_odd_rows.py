@@ -3,11 +3,12 @@
 import hashlib
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.test_queries import plain
 from tidewell.functions import pages
-from tidewell.operators import retrieval
+from tidewell.operators import retrieval, vectors
 from tidewell.plans import registry
 
 
@@ -86,3 +87,23 @@ def test_upsert_of_numbers_that_are_taken(spark, tmp_path):
     embeddings = "SELECT k AS vec_id, [1.0::FLOAT, k] AS embedding, CAST(k % 10 AS INTEGER) AS label FROM (SELECT unnest([0, 5, 6, 10, 15, 100000, 100005, 100010, 100015]) AS k)"
     rows, want = both(spark, tmp_path, "upsert_vectors", embeddings=embeddings)
     assert rows == want
+
+
+def test_similarity_join_keeps_its_ties_and_types(spark):
+    """Copies of a vector have one score wherever they stand in a block; ids may be strings; a missing vector scores 0."""
+    rng = np.random.default_rng(0)
+    own = rng.normal(size=(40, 64))
+    rows = [(f"c{k:03}", 1, "b", k, True, [float(x) for x in own[k % 40]]) for k in range(400)] + [("none", 1, "b", 1, True, None), ("short", 1, "b", 1, True, [1.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, tenant_id int, kb_id string, doc_id int, enabled boolean, embedding array<double>")
+    queries = spark.createDataFrame([(k, 1, "b", [float(x) for x in own[k]]) for k in range(40)], "query_id int, tenant_id int, kb_id string, embedding array<double>")
+    hits = vectors.similarity_join(queries, chunks, 3, -2.0)
+    assert dict(hits.dtypes) == {"query_id": "int", "chunk_id": "string", "kb_id": "string", "doc_id": "int", "score": "double", "place": "int"}
+    assert {(h.query_id, h.chunk_id, h.place, h.score) for h in hits.collect()} == {(k, f"c{k + 40 * n:03}", n + 1, 1.0) for k in range(40) for n in range(3)}
+    least = {h.chunk_id: h.score for h in vectors.similarity_join(queries.limit(1), chunks, 500, -2.0).collect()}
+    assert len(least) == 402 and least["none"] == least["short"] == 0.0
+
+
+def test_similarity_join_makes_no_row_of_every_pair(spark):
+    rows = spark.range(1).selectExpr("id AS query_id", "id AS chunk_id", "1 AS tenant_id", "1 AS kb_id", "id AS doc_id", "true AS enabled", "array(1.0D) AS embedding")
+    plan = vectors.similarity_join(rows, rows, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "score#" in plan
