@@ -89,6 +89,14 @@ def test_upsert_of_numbers_that_are_taken(spark, tmp_path):
     assert rows == want
 
 
+def test_scores_under_a_half(spark, tmp_path):
+    """0.81905 * 10000 lies a little under its half: the score is 0.819, after 0.81907."""
+    vectors = ", ".join(f"({k}, [{x}::FLOAT, sqrt(1 - {x} * {x})::FLOAT], 1)" for k, x in ((0, 1.0), (5, 0.81905), (6, 0.81907), (7, 0.5)))
+    embeddings = f"SELECT CAST(k AS BIGINT) AS vec_id, e AS embedding, CAST(l AS INTEGER) AS label FROM (VALUES {vectors}) v(k, e, l)"
+    rows, want = both(spark, tmp_path, "per_kb_floor", embeddings=embeddings, documents="SELECT CAST(9 AS BIGINT) AS doc_id, 'a' AS text")
+    assert rows == want
+
+
 def test_similarity_join_keeps_its_ties_and_types(spark):
     """Copies of a vector have one score wherever they stand in a block; ids may be strings; a missing vector scores 0."""
     rng = np.random.default_rng(0)
