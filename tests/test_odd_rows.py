@@ -115,3 +115,12 @@ def test_similarity_join_makes_no_row_of_every_pair(spark):
     rows = spark.range(1).selectExpr("id AS query_id", "id AS chunk_id", "1 AS tenant_id", "1 AS kb_id", "id AS doc_id", "true AS enabled", "array(1.0D) AS embedding")
     plan = vectors.similarity_join(rows, rows, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan and "score#" in plan
+
+
+def test_overview_blocks_are_cut_before_they_meet_the_questions(spark):
+    chunks = spark.range(50).selectExpr("id AS chunk_id", "id DIV 50 AS tenant_id", "id % 3 AS kb_id", "50 - id AS doc_id", "0 AS seq", "true AS enabled", "'【文档概览】x' AS text")
+    scope = spark.range(2).selectExpr("id AS query_id", "id DIV 50 AS tenant_id").crossJoin(spark.range(3).selectExpr("id AS kb_id"))
+    none = spark.createDataFrame([], "query_id long, chunk_id long, score double")
+    hits = retrieval.overview_fallback_hits(none, scope, chunks, none)
+    assert {(h.query_id, h.chunk_id, h.place) for h in hits.collect()} == {(q, 49 - k, k + 1) for q in range(2) for k in range(4)}
+    assert "windowspecdefinition(tenant_id" in hits._jdf.queryExecution().optimizedPlan().toString()
