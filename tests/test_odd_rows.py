@@ -1,6 +1,7 @@
 """Queries against their SQL on small tables with rows that the test tables lack."""
 
 import hashlib
+import re
 
 import duckdb
 import numpy as np
@@ -124,3 +125,25 @@ def test_overview_blocks_are_cut_before_they_meet_the_questions(spark):
     hits = retrieval.overview_fallback_hits(none, scope, chunks, none)
     assert {(h.query_id, h.chunk_id, h.place) for h in hits.collect()} == {(q, 49 - k, k + 1) for q in range(2) for k in range(4)}
     assert "windowspecdefinition(tenant_id" in hits._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pins_of_questions_with_several_ids(spark):
+    """Against brute force: a chunk counts under the first id that it names, and texts meet no window of questions."""
+    rng = np.random.default_rng(5)
+    ids = [f"{k}{k}{k}45678" for k in range(1, 6)] + ["1114567", "11145678x"]
+    texts = [" ".join(rng.choice([*ids, "；", "word"], size=rng.integers(1, 9))) for _ in range(300)]
+    asks = [" ".join(rng.choice(ids, size=rng.integers(1, 5))) for _ in range(60)]
+    chunks = spark.createDataFrame([(k, 1, k % 2, k, t, k % 7 > 0) for k, t in enumerate(texts)], "chunk_id long, tenant_id long, kb_id long, doc_id long, text string, enabled boolean")
+    queries = spark.createDataFrame(list(enumerate(asks)), "query_id long, text string")
+    scope = spark.createDataFrame([(q, 1, b) for q in range(60) for b in range(2) if q % 3 != b], "query_id long, tenant_id long, kb_id long")
+    hits = retrieval.pin_exact_ids(queries, scope, chunks)
+    want = set()
+    for q, ask in enumerate(asks):
+        tokens = re.findall(retrieval.KEY, ask)[:3]
+        found = []
+        for k, t in enumerate(texts):
+            if k % 7 and q % 3 != k % 2 and (first := next((x for x in tokens if x in t), None)):
+                found.append((-t.count(first), -t.count("；"), k))
+        want |= {(q, k, n) for n, (_, _, k) in enumerate(sorted(found)[:3], 1)}
+    assert {(h.query_id, h.chunk_id, h.place) for h in hits.collect()} == want
+    assert "Window" not in hits._jdf.queryExecution().optimizedPlan().toString()
