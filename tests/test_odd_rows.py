@@ -147,3 +147,11 @@ def test_pins_of_questions_with_several_ids(spark):
         want |= {(q, k, n) for n, (_, _, k) in enumerate(sorted(found)[:3], 1)}
     assert {(h.query_id, h.chunk_id, h.place) for h in hits.collect()} == want
     assert "Window" not in hits._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_postings_are_counted_in_place(spark):
+    own = {1: ["b", "a", "b", "b"], 2: [], 3: ["z"], 4: ["a", "c", "a"]}
+    tokens = spark.createDataFrame([(1, 1, k, t) for k, t in own.items()], "tenant_id long, kb_id long, chunk_id long, tokens array<string>")
+    rows = retrieval.bm25_postings(tokens)
+    assert {(r.chunk_id, r.term, r.tf, r.length) for r in rows.collect()} == {(k, w, t.count(w), len(t)) for k, t in own.items() for w in t}
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
